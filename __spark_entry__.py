@@ -19,8 +19,8 @@ from ludoscope.sources import catalogs, tables, topics
 SMOKE_DIR = "/root/testdata/sf0.001"
 LOWERED = {"above_pct": 5, "high_above_pct": 6}
 ISOLATED = {"min_owners": 100, "min_score": 20, "high_above": 50}
-INCONSISTENT = {"above_ratio": 1.001, "high_above": 1.05}
-GAME_ID = 300
+# Ids that exist in the test tables: a catalogue entry, a game with neighbours, one with events.
+GAME_ID, LINKED_GAME_ID, PLAYED_GAME_ID = oracle.GAME_ID, oracle.LINKED_GAME_ID, oracle.PLAYED_GAME_ID
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -148,14 +148,21 @@ def _dominance(games):
     )
 
 
+def _old_edges(games):
+    """Similarity edges as an earlier load left them, when scores were the review scores."""
+    return graph.edges_similar(
+        graph.graph_games(games).withColumn("popularity_score", F.col("review_score"))
+    )
+
+
 def _findings(spark, d, games=None):
     games = games or _stored_games(spark, d)
     nodes = graph.nodes_game(games)
-    similar = stored(graph.edges_similar(graph.graph_games(games)), "similar")
+    similar = graph.edges_similar(graph.graph_games(games))
     return anomalies.all_findings(
         _dominance(games),
         anomalies.isolated_games(nodes, similar, **ISOLATED),
-        anomalies.sales_inconsistency(similar, nodes, **INCONSISTENT),
+        anomalies.sales_inconsistency(_old_edges(games), nodes),
     )
 
 
@@ -366,12 +373,12 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     s["anom_publisher_dominance"] = lambda k, d: _dominance(fx.games(k, d))
     s["anom_isolated"] = lambda k, d: anomalies.isolated_games(_nodes(k, d), _similar(k, d), **ISOLATED)
     s["anom_inconsistency"] = lambda k, d: anomalies.sales_inconsistency(
-        _similar(k, d), _nodes(k, d), **INCONSISTENT
+        _old_edges(fx.games(k, d)), _nodes(k, d)
     )
     s["kg_anomalies"] = lambda k, d: fx.stored_findings(k, d, _findings(k, d))
     s["anomaly_summary"] = lambda k, d: anomalies.summary(_findings(k, d))
     s["similar_games"] = lambda k, d: graph.similar_games(
-        _similar(k, d), _nodes(k, d), GAME_ID, 50
+        _similar(k, d), _nodes(k, d), LINKED_GAME_ID, 50
     )
 
     # Read queries
@@ -391,7 +398,7 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     s["q_prices"] = lambda k, d: reports.price_report(_prices(k, d))
     s["live_state"] = fx.live
     s["live_state_stream"] = lambda k, d: fx.streamed_live(k, d, "purchases")
-    s["q_live_stat"] = lambda k, d: live.live_stat(fx.live(k, d), "purchases", GAME_ID)
+    s["q_live_stat"] = lambda k, d: live.live_stat(fx.live(k, d), "purchases", PLAYED_GAME_ID)
     s["q_live_all"] = lambda k, d: live.live_all(fx.live(k, d), "reviews", 50)
     s["hist_purchases"] = _history(0, "hour", 14)
     s["hist_reviews"] = _history(1, "day", 14, "avg_rating", "avg_recommend_pct")

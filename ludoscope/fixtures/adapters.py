@@ -107,7 +107,9 @@ def topic(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The topic as message values; every 101st is cut short and cannot be parsed."""
     rows = topic(spark, sf_dir, name)
-    text = F.to_json(F.struct(*rows.columns))
+    text = F.to_json(
+        F.struct(*rows.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    )
     broken = F.col("event_id").cast("bigint") % 101 == 0
     return rows.select(
         "event_id", F.when(broken, F.substring(text, 1, 12)).otherwise(text).alias("value")
