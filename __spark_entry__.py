@@ -14,6 +14,7 @@ from ludoscope.functions import text
 from ludoscope.operators import live, normalize, quality, requests, staging, windows
 from ludoscope.plans import anomalies, dashboard, graph, marts, reports
 from ludoscope.plans.materialise import stored
+from ludoscope.session import prepare
 from ludoscope.sources import catalogs, tables, topics
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -88,12 +89,9 @@ def _graph_games(spark, d):
     return graph.graph_games(fx.games(spark, d))
 
 
-def _similar(spark, d):
-    return graph.edges_similar(_graph_games(spark, d))
-
-
-def _nodes(spark, d):
-    return graph.nodes_game(fx.games(spark, d))
+def _neighbours(games):
+    similar = graph.edges_similar(graph.graph_games(games))
+    return graph.similar_games(similar, graph.nodes_game(games), LINKED_GAME_ID, 50)
 
 
 def _genre_nodes(spark, d, games):
@@ -155,15 +153,18 @@ def _old_edges(games):
     )
 
 
+def _isolated(games):
+    similar = graph.edges_similar(graph.graph_games(games))
+    return anomalies.isolated_games(graph.nodes_game(games), similar, **ISOLATED)
+
+
+def _inconsistent(games):
+    return anomalies.sales_inconsistency(_old_edges(games), graph.nodes_game(games))
+
+
 def _findings(spark, d, games=None):
     games = games or _stored_games(spark, d)
-    nodes = graph.nodes_game(games)
-    similar = graph.edges_similar(graph.graph_games(games))
-    return anomalies.all_findings(
-        _dominance(games),
-        anomalies.isolated_games(nodes, similar, **ISOLATED),
-        anomalies.sales_inconsistency(_old_edges(games), nodes),
-    )
+    return anomalies.all_findings(_dominance(games), _isolated(games), _inconsistent(games))
 
 
 def _flagged(spark, d):
@@ -280,7 +281,7 @@ def _enriched(spark, d):
 
 def entry(spark: SparkSession) -> DataFrame:
     """Trending games of the test events."""
-    return _plain(reports.list_trending(_trending(spark, SMOKE_DIR), limit=50))
+    return _plain(reports.list_trending(_trending(prepare(spark), SMOKE_DIR), limit=50))
 
 
 def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -362,7 +363,7 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Graph
     s["nodes_genre"] = lambda k, d: _genre_nodes(k, d, _stored_games(k, d))
     s["nodes_publisher"] = lambda k, d: _publisher_nodes(k, d, _stored_games(k, d), top=10)
-    s["nodes_game"] = _nodes
+    s["nodes_game"] = lambda k, d: graph.nodes_game(fx.games(k, d))
     s["split_csv"] = lambda k, d: _graph_games(k, d).select(
         "steam_app_id", F.explode(text.split_csv(F.col("tags"), graph.TAGS_PER_GAME)).alias("tag")
     )
@@ -370,16 +371,12 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         s[f"edges_{kind}"] = lambda k, d, build=getattr(graph, f"edges_{kind}"): build(_graph_games(k, d))
     s["nodes_other"] = lambda k, d: _other_nodes(fx.games(k, d))
     s["graph_stats"] = _graph_stats
-    s["anom_publisher_dominance"] = lambda k, d: _dominance(fx.games(k, d))
-    s["anom_isolated"] = lambda k, d: anomalies.isolated_games(_nodes(k, d), _similar(k, d), **ISOLATED)
-    s["anom_inconsistency"] = lambda k, d: anomalies.sales_inconsistency(
-        _old_edges(fx.games(k, d)), _nodes(k, d)
-    )
+    s["anom_publisher_dominance"] = lambda k, d: _dominance(_stored_games(k, d))
+    s["anom_isolated"] = lambda k, d: _isolated(_stored_games(k, d))
+    s["anom_inconsistency"] = lambda k, d: _inconsistent(_stored_games(k, d))
     s["kg_anomalies"] = lambda k, d: fx.stored_findings(k, d, _findings(k, d))
     s["anomaly_summary"] = lambda k, d: anomalies.summary(_findings(k, d))
-    s["similar_games"] = lambda k, d: graph.similar_games(
-        _similar(k, d), _nodes(k, d), LINKED_GAME_ID, 50
-    )
+    s["similar_games"] = lambda k, d: _neighbours(_stored_games(k, d))
 
     # Read queries
     s["q_games"] = lambda k, d: reports.list_games(
@@ -448,7 +445,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every implemented operator over the tables in ``sf_dir``."""
 
     def plain(build):
-        return lambda spark, sf_dir: _plain(build(spark, sf_dir))
+        return lambda spark, sf_dir: _plain(build(prepare(spark), sf_dir))
 
     return {name: plain(build) for name, build in _registered().items()}
 

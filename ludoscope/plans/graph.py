@@ -139,30 +139,32 @@ def edges_similar(
     """Each of a genre's ``pool`` most popular games with the ``following`` ones after it, if close.
 
     The rank filter is applied before the shuffle as well, so a task sends at most ``pool`` rows
-    per genre, and the self-join sees at most ``pool * following`` pairs per genre.
+    per genre. Neighbours are then the next rows of the same window: no self-join.
     """
     scored = games.filter(text.filled(F.col("genre")) & (F.col("popularity_score") != 0)).select(
         "genre",
-        F.col("steam_app_id").alias("id"),
-        F.col("popularity_score").cast("decimal(18,6)").alias("score"),
+        F.col("steam_app_id").alias("a"),
+        F.col("popularity_score").cast("decimal(18,6)").alias("high"),
     )
-    order = Window.partitionBy("genre").orderBy(F.col("score").desc(), "id")
-    ranked = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= pool)
-    a, b = ranked.alias("a"), ranked.alias("b")
-    near = (F.col("a.genre") == F.col("b.genre")) & F.col("b.rn").between(
-        F.col("a.rn") + 1, F.col("a.rn") + following
+    order = Window.partitionBy("genre").orderBy(F.col("high").desc(), "a")
+    best = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= pool)
+    entry = F.struct(F.col("a").alias("b"), F.col("high").alias("low"))
+    following_games = F.collect_list(entry).over(order.rowsBetween(1, following))
+    pairs = (
+        best.withColumn("next", following_games)
+        .select("genre", "a", "high", F.explode("next").alias("next"))
+        .select("genre", "a", "high", "next.*")
     )
-    high, low = F.col("a.score"), F.col("b.score")
-    close = (high - low) < high * F.lit(str(max_gap)).cast("decimal(6,4)")
-    pairs = a.join(b, near).filter(close).select(
-        F.col("a.id").alias("a"),
-        F.col("b.id").alias("b"),
-        F.round(low / high, 3).cast("double").alias("similarity_score"),
-        F.col("a.genre").alias("genre"),
+    close = (F.col("high") - F.col("low")) < F.col("high") * F.lit(str(max_gap)).cast("decimal(6,4)")
+    edges = pairs.filter(close).select(
+        "a",
+        "b",
+        F.round(F.col("low") / F.col("high"), 3).cast("double").alias("similarity_score"),
+        "genre",
     )
     # One edge per direction and pair, even where the pair shares several genres.
-    best = F.max(F.struct("similarity_score", "genre")).alias("best")
-    return pairs.groupBy("a", "b").agg(best).select("a", "b", "best.similarity_score", "best.genre")
+    kept = F.max(F.struct("similarity_score", "genre")).alias("kept")
+    return edges.groupBy("a", "b").agg(kept).select("a", "b", "kept.similarity_score", "kept.genre")
 
 
 # -- nodes -----------------------------------------------------------------------------------------
