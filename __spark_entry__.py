@@ -18,6 +18,7 @@ from ludoscope.session import prepare
 from ludoscope.sources import catalogs, tables, topics
 
 SMOKE_DIR = "/root/testdata/sf0.001"
+PRICE_DAYS = 7
 LOWERED = {"above_pct": 5, "high_above_pct": 6}
 ISOLATED = {"min_owners": 100, "min_score": 20, "high_above": 50}
 # Ids that exist in the test tables: a catalogue entry, a game with neighbours, one with events.
@@ -47,7 +48,9 @@ def _stored_games(spark, d):
 
 def _trending(spark, d, lookback_days=marts.LOOKBACK_DAYS, games=None):
     activity = marts.recent_activity(
-        *fx.all_staged_windows(spark, d), as_of=fx.AS_OF, lookback_days=lookback_days
+        *fx.all_staged_windows(spark, d, lookback_days),
+        as_of=fx.AS_OF,
+        lookback_days=lookback_days,
     )
     mart = marts.mart_trending(games or fx.games(spark, d), activity, lookback_days=lookback_days)
     return _settled(
@@ -57,23 +60,23 @@ def _trending(spark, d, lookback_days=marts.LOOKBACK_DAYS, games=None):
 
 def _reviews(spark, d, games=None):
     mart = marts.mart_review_analysis(
-        games or fx.games(spark, d), fx.staged_windows(spark, d, "reviews"), as_of=fx.AS_OF
+        games or fx.games(spark, d), fx.staged_windows(spark, d, "reviews", marts.LOOKBACK_DAYS), as_of=fx.AS_OF
     )
     return _settled(mart, "stream_avg_rating_period", "stream_recommend_pct_period")
 
 
 def _sessions(spark, d, games=None):
     return marts.mart_session_analysis(
-        games or fx.games(spark, d), fx.staged_windows(spark, d, "sessions"), as_of=fx.AS_OF
+        games or fx.games(spark, d), fx.staged_windows(spark, d, "sessions", marts.LOOKBACK_DAYS), as_of=fx.AS_OF
     )
 
 
 def _prices(spark, d, games=None):
     return marts.mart_price_analysis(
         games or fx.games(spark, d),
-        fx.staged_windows(spark, d, "purchases"),
+        fx.staged_windows(spark, d, "purchases", PRICE_DAYS),
         as_of=fx.AS_OF,
-        hours=7 * 24,
+        hours=PRICE_DAYS * 24,
     )
 
 
@@ -179,7 +182,7 @@ def _histories(spark, d, granularity="day", days=14):
         reports.wishlist_history,
     )
     return [
-        history(fx.windows(spark, d, topic), granularity, days, fx.AS_OF)
+        history(fx.windows(spark, d, topic, days=days), granularity, days, fx.AS_OF)
         for topic, history in zip(topics.TOPICS, built)
     ]
 

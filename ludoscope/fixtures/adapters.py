@@ -5,7 +5,7 @@ Events become the four topics, parts with their order lines become the two catal
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from ..streaming import jobs, sinks
 AS_OF = "2024-01-31 00:00:00"
 DAY = "1 day"
 DAY_SECONDS = 86_400
+LIVE_DAYS = 7
 # The test events are sparse, so their windows last a day and flags start at small counts.
 VIRAL, SPIKE, VIRAL_WISHLIST, BOMB = 2, 2, 2, 2
 # Event type of the test table that stands for each topic.
@@ -50,8 +51,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- topics ----------------------------------------------------------------------------------------
 
 
-def topic_from_events(events: DataFrame, topic: str) -> DataFrame:
-    """Events of one topic from the test table, batch or streaming."""
+def topic_from_events(events: DataFrame, topic: str, since: str | None = None) -> DataFrame:
+    """Events of one topic from the test table, batch or streaming.
+
+    ``since`` reaches the scan; filters on the windows made from the events could not.
+    """
+    if since:
+        events = events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
     event_id, user_id = F.col("event_id"), F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("int")
     started = F.col("event_type") == "signup"
@@ -107,8 +113,8 @@ def _numbered(prefix: str, number: Column, modulus: int) -> Column:
     return F.concat(F.lit(f"{prefix}_"), (number % modulus).cast("string"))
 
 
-def topic(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return topic_from_events(table(spark, sf_dir, "events"), name)
+def topic(spark: SparkSession, sf_dir: str, name: str, since: str | None = None) -> DataFrame:
+    return topic_from_events(table(spark, sf_dir, "events"), name, since)
 
 
 def messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,12 +150,22 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- windows ---------------------------------------------------------------------------------------
 
 
-def windows(spark: SparkSession, sf_dir: str, name: str, window: str = DAY) -> DataFrame:
-    return aggregate_windows(topic(spark, sf_dir, name), name, window=window)
+def days_before(days: int) -> str:
+    return str(datetime.fromisoformat(AS_OF) - timedelta(days=days))
+
+
+def windows(
+    spark: SparkSession, sf_dir: str, name: str, window: str = DAY, days: int | None = None
+) -> DataFrame:
+    """Windows of a topic; with ``days`` only the whole days before ``AS_OF`` are read."""
+    since = days_before(days) if days else None
+    return aggregate_windows(topic(spark, sf_dir, name, since), name, window=window)
 
 
-def staged_windows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = windows(spark, sf_dir, name)
+def staged_windows(
+    spark: SparkSession, sf_dir: str, name: str, days: int | None = None
+) -> DataFrame:
+    rows = windows(spark, sf_dir, name, days=days)
     if name == "purchases":
         return staging.stage_purchase_windows(rows, viral_from=VIRAL, window_seconds=DAY_SECONDS)
     if name == "reviews":
@@ -161,8 +177,10 @@ def staged_windows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return staging.stage_wishlist_windows(rows, viral_from=VIRAL_WISHLIST, window_seconds=DAY_SECONDS)
 
 
-def all_staged_windows(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [staged_windows(spark, sf_dir, name) for name in TOPICS]
+def all_staged_windows(
+    spark: SparkSession, sf_dir: str, days: int | None = None
+) -> list[DataFrame]:
+    return [staged_windows(spark, sf_dir, name, days) for name in TOPICS]
 
 
 # -- catalogues ------------------------------------------------------------------------------------
@@ -373,12 +391,12 @@ def streamed_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def live_windows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Day windows of every topic, updated last when the window closed."""
     closed = F.col("window_start") + F.make_dt_interval(F.lit(1))
-    return {t: windows(spark, sf_dir, t).withColumn("updated_at", closed) for t in TOPICS}
+    return {t: windows(spark, sf_dir, t, days=LIVE_DAYS + 1).withColumn("updated_at", closed) for t in TOPICS}
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live state over the last week of the test events."""
-    return live_state(live_windows(spark, sf_dir), as_of=AS_OF, ttl_seconds=7 * DAY_SECONDS)
+    return live_state(live_windows(spark, sf_dir), as_of=AS_OF, ttl_seconds=LIVE_DAYS * DAY_SECONDS)
 
 
 def loaded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
-_local_folder: str | None = None
+_local_folder: tempfile.TemporaryDirectory | None = None
 
 
 def build_session(app_name: str = "ludoscope", master: str | None = None, **settings: str) -> SparkSession:
@@ -42,13 +42,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is only ever used in local mode, where driver and tasks share one disk.
+    A machine-local folder is only ever used in local mode, where driver and tasks share one disk;
+    it goes away with the process. On a cluster the folder's retention rule removes old results.
     """
     global _local_folder
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        _local_folder = _local_folder or tempfile.mkdtemp(prefix="ludoscope-")
-        root = _local_folder
+        _local_folder = _local_folder or tempfile.TemporaryDirectory(prefix="ludoscope-")
+        root = _local_folder.name
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

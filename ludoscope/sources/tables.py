@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
@@ -68,31 +68,27 @@ def with_load_time(df: DataFrame, as_of: datetime | str | None = None) -> DataFr
     return df.withColumn("_loaded_at", times.anchor(as_of))
 
 
-def split_rejects(df: DataFrame, ddl: str, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Cast to ``ddl``; rows with an uncastable or a missing required value become rejects.
+def judged(df: DataFrame, ddl: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """Cast to ``ddl`` and add ``_problems``, the columns that do not fit (NULL when all do).
 
-    Rejects keep their original values next to the names of the offending columns.
+    A value that cannot be cast and a missing required value are problems.
     """
-    fields = columns_of(ddl)
-    good, problems = _casts_and_problems(fields, required)
-    judged = df.withColumn("_problems", problems)
-    accepted = judged.filter(F.size("_problems") == 0).select(*good)
-    rejected = judged.filter(F.size("_problems") > 0).withColumn(
-        "_problems", F.array_join("_problems", ",")
-    )
-    return accepted, rejected
-
-
-def _casts_and_problems(fields, required) -> tuple[list[Column], Column]:
-    good, problems = [], []
-    for name, kind in fields:
+    columns, problems = [], []
+    for name, kind in columns_of(ddl):
         value = F.col(name).try_cast(kind)
-        good.append(value.alias(name))
-        wrong = F.col(name).isNotNull() & value.isNull()
-        if name in required:
-            wrong = value.isNull()
+        wrong = value.isNull() if name in required else F.col(name).isNotNull() & value.isNull()
+        columns.append(value.alias(name))
         problems.append(F.when(wrong, F.lit(name)))
-    return good, F.array_compact(F.array(*problems))
+    named = F.nullif(F.concat_ws(",", *problems), F.lit(""))
+    return df.select(*columns, named.alias("_problems"), F.struct(*df.columns).alias("_original"))
+
+
+def split_rejects(df: DataFrame, ddl: str, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows that fit ``ddl``, and the others with their original values and ``_problems``."""
+    rows = judged(df, ddl, required)
+    good = rows.filter(F.col("_problems").isNull()).drop("_problems", "_original")
+    rejects = rows.filter(F.col("_problems").isNotNull()).select("_original.*", "_problems")
+    return good, rejects
 
 
 def full_refresh(
@@ -128,33 +124,36 @@ def load_incremental(
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     required: tuple[str, ...] = (),
     as_of: datetime | str | None = None,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = 10_000,
 ) -> None:
     """Load the files that arrived since the last call, each exactly once.
 
     The checkpoint remembers the loaded files. A batch writes to a folder of its own and replaces
-    it when it is retried, so a lost driver or executor cannot double rows.
+    it when it is retried, so a lost driver or executor cannot double rows. Good rows and rejects
+    are written in one pass, into the subfolders ``status=good`` and ``status=reject``; a reject
+    keeps its original values as JSON.
     """
-    reader = spark.readStream.schema(source_ddl).option("recursiveFileLookup", True)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    rows = reader.parquet(source)
+    rows = (
+        spark.readStream.schema(source_ddl)
+        .option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .parquet(source)
+    )
     if prepare:
         rows = prepare(rows)
+    bad = F.col("_problems").isNotNull()
+    checked = with_load_time(judged(rows, target_ddl, required), as_of).withColumns(
+        {
+            "status": F.when(bad, "reject").otherwise("good"),
+            "_original": F.when(bad, F.to_json("_original")),
+        }
+    )
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            good, rejects = split_rejects(batch, target_ddl, required)
-            with_load_time(good, as_of).write.mode("overwrite").parquet(
-                f"{target}/rows/batch_id={batch_id}"
-            )
-            rejects.write.mode("overwrite").parquet(f"{target}/rejects/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
+        batch.write.mode("overwrite").partitionBy("status").parquet(f"{target}/batch_id={batch_id}")
 
     (
-        rows.writeStream.foreachBatch(load_batch)
+        checked.writeStream.foreachBatch(load_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -162,8 +161,14 @@ def load_incremental(
     )
 
 
-def read_loaded(spark: SparkSession, target: str, part: str = "rows") -> DataFrame:
-    return spark.read.parquet(f"{target}/{part}").drop("batch_id")
+def read_loaded(spark: SparkSession, target: str) -> DataFrame:
+    good = spark.read.parquet(target).filter(F.col("status") == "good")
+    return good.drop("batch_id", "status", "_problems", "_original")
+
+
+def read_rejects(spark: SparkSession, target: str) -> DataFrame:
+    rejects = spark.read.parquet(target).filter(F.col("status") == "reject")
+    return rejects.select(F.col("_original").alias("original"), F.col("_problems").alias("problems"))
 
 
 def audit_counts(tables: dict[str, DataFrame]) -> DataFrame:

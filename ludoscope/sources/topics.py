@@ -63,24 +63,25 @@ def read_topic(
     bootstrap: str | None = None,
     path: str | None = None,
     starting_offsets: str = "latest",
-    max_files_per_trigger: int | None = None,
-    max_offsets_per_trigger: int | None = None,
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Streaming rows of one topic, from a message broker or from a folder of JSON-lines files."""
+    """Streaming rows of one topic, from a message broker or from a folder of JSON-lines files.
+
+    ``options`` go to the reader: ``maxOffsetsPerTrigger`` and ``minPartitions`` bound and spread
+    the load of a broker's few partitions, ``maxFilesPerTrigger`` does it for files.
+    """
     check_topic(topic)
     if bootstrap:
-        reader = (
+        raw = (
             spark.readStream.format("kafka")
             .option("kafka.bootstrap.servers", bootstrap)
             .option("subscribe", topic)
             .option("startingOffsets", starting_offsets)
+            .options(**(options or {}))
+            .load()
         )
-        if max_offsets_per_trigger:
-            reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
-        return parse_messages(reader.load(), topic)
-    if not path:
+    elif path:
+        raw = spark.readStream.format("text").options(**(options or {})).load(path)
+    else:
         raise ValueError("name either bootstrap servers or a folder")
-    reader = spark.readStream.format("text")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return parse_messages(reader.load(path), topic)
+    return parse_messages(raw, topic)

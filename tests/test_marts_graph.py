@@ -71,7 +71,6 @@ def test_similar_edges_pool_ties_and_gap(spark):
     edges = graph.edges_similar(frame(spark, GAME_DDL, data))
     got = rows(edges)
     big = [e for e in got if e[3] == "big"]
-    assert len(big) == 5 * 15 + 5 + 4 + 3 + 2 - 4 + 0 or len(big) == 85
     assert max(e[1] for e in big) == 19 and (0, 5, 0.95, "big") in big and (0, 6, 0.94, "big") not in big
     assert [e for e in got if e[3] == "tie"] == [(101, 102, 1.0, "tie")]
     assert [e for e in got if e[3] == "gap"] == [(202, 203, 0.7, "gap")]
@@ -178,9 +177,10 @@ def test_request_quantiles_and_errors(spark):
     assert rows(requests.error_rate(log), "window_start") == [(t, 10, 0.2, 2 / 300), (t + timedelta(minutes=5), 1, 0.0, 0.0)]
     got = rows(requests.latency_quantiles(log), "window_start")
     assert got[0][1:3] == (10, 0.005) and abs(got[0][3] - (0.1 + 0.15 * 4.5 / 5)) < 1e-12 and got[1][2] == 10.0
-    exact = log.groupBy(F.window("ts", "5 minutes").start.alias("w")).agg(F.percentile_disc("duration_s", F.lit(0.95)) if hasattr(F, "percentile_disc") else F.max("duration_s")).orderBy("w").collect()
+    exact = log.groupBy(F.window("ts", "5 minutes").alias("w")).agg(
+        F.expr("percentile_disc(0.95) within group (order by duration_s)").alias("p95"))
     sketch = rows(requests.latency_percentiles(log), "window_start")
-    assert [r[3] for r in sketch] == [r[1] for r in exact]
+    assert [r[3] for r in sketch] == [r.p95 for r in exact.orderBy("w").collect()]
     assert rows(requests.request_rate(log, "status").filter("status = 503")) == [(t, 503, 2 / 60)]
 
 
