@@ -130,11 +130,14 @@ def messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file as a stream."""
+    """The events table, one file or a folder of them, as a stream.
+
+    The last letter is a pattern because the file source takes a lone file only from a pattern.
+    All files form one batch: they are not in the order of their events, and a later batch would
+    drop as late what an earlier one could not have seen.
+    """
     schema = table(spark, sf_dir, "events").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +388,7 @@ def streamed_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     root, checkpoints = shared_folder(spark, "stream"), shared_folder(spark, "progress")
     events = topic_from_events(event_stream(stream_session(spark), sf_dir), name)
     jobs.start_raw(events, name, root, checkpoints, trigger={"availableNow": True}).awaitTermination()
-    return spark.read.parquet(sinks.raw_path(root, name)).drop("batch_id", "date")
+    return sinks.read_raw(spark, root, name).drop("date")
 
 
 def live_windows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.windows import WATERMARK, WINDOW, aggregate_windows
-from ..sources.topics import TOPICS, check_topic, split_malformed
+from ..sources.topics import TOPICS, check_topic
 from . import sinks
 
 AGGREGATE_TRIGGER = {"processingTime": "15 seconds"}
@@ -50,22 +49,11 @@ def start_aggregate(
 def start_raw(
     events: DataFrame, topic: str, root: str, checkpoints: str, *, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Copy of a topic's events into dated folders; unreadable messages go to ``rejects``."""
+    """Copy of a topic's events into dated folders; unreadable messages are set apart."""
     name = f"raw_events_{check_topic(topic)}"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_malformed(batch)
-        dated = good.withColumn("date", F.to_date("event_time"))
-        dated.write.mode("overwrite").partitionBy("date").parquet(
-            f"{sinks.raw_path(root, topic)}/batch_id={batch_id}"
-        )
-        bad.write.mode("overwrite").parquet(
-            f"{root}/streaming_rejects/{topic}/batch_id={batch_id}"
-        )
-
     return (
         events.writeStream.queryName(name)
-        .foreachBatch(sinks.combine(write))
+        .foreachBatch(sinks.raw_writer(root, topic))
         .option("checkpointLocation", f"{checkpoints}/{name}")
         .outputMode("append")
         .trigger(**(trigger or RAW_TRIGGER))

@@ -107,9 +107,9 @@ def test_raw_copy_keeps_events_and_sets_rejects_apart(spark, tmp_path):
     drop_file(folder, 1, [wish(1, 0), "{broken", wish(2, 86_400)])
     stream = topics.read_topic(spark, "wishlist", path=folder)
     jobs.start_raw(stream, "wishlist", root, progress, trigger=NOW).awaitTermination()
-    raw = spark.read.parquet(sinks.raw_path(root, "wishlist"))
+    raw = sinks.read_raw(spark, root, "wishlist")
     assert rows(raw.select("event_id", F.col("date").cast("string"))) == [("1", "2024-01-01"), ("2", "2024-01-02")]
-    assert spark.read.parquet(f"{root}/streaming_rejects/wishlist").count() == 1
+    assert sinks.read_raw(spark, root, "wishlist", "reject").count() == 1
 
 
 def test_eight_standing_queries(spark, tmp_path):
