@@ -22,9 +22,23 @@ def decimal_avg(amount: Column, scale: int, digits: int) -> Column:
     return F.round(total / F.nullif(F.count(amount), F.lit(0).cast("bigint")), digits).cast("double")
 
 
+def ratio_half_up(part: Column, whole: float, digits: int) -> Column:
+    """``part / whole`` rounded half-up, for whole numbers that are not negative.
+
+    Stays in primitive arithmetic; ``round`` on a double makes a BigDecimal for every row, which
+    event-sized tables should not pay for.
+    """
+    scale = 10**digits
+    return F.floor(part * F.lit(float(scale)) / F.lit(float(whole)) + F.lit(0.5)) / F.lit(float(scale))
+
+
 def revenue_micros(price: Column, discount_pct: Column) -> Column:
-    """Price after discount in millionths of a dollar, an exact bigint; NULL discount gives NULL."""
-    return F.round(price * 10_000).cast("bigint") * (F.lit(100) - discount_pct).cast("bigint")
+    """Price after discount in millionths of a dollar, an exact bigint; NULL discount gives NULL.
+
+    Prices have at most four decimals and are not negative.
+    """
+    units = F.floor(price * F.lit(10_000.0) + F.lit(0.5))
+    return units * (F.lit(100) - discount_pct).cast("bigint")
 
 
 def log_or_zero(amount: Column) -> Column:

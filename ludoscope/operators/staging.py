@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import labels, numbers
 
 # A window is flagged from these counts on.
 VIRAL_PURCHASES = 15
@@ -91,10 +91,10 @@ def _stage_events(events: DataFrame, *derived: Column, needs_game: bool, rename:
 
 
 def stage_purchases(events: DataFrame) -> DataFrame:
-    # Decimals keep the half cents of 25/50/75 % discounts exact, so they round up as they should.
-    price, keep = F.col("price_usd").cast("decimal(18,4)"), F.lit(100) - F.col("discount_pct")
-    net = F.round(price * keep.cast("decimal(5,0)") / F.lit(100).cast("decimal(3,0)"), 2)
-    return _stage_events(events, net.cast("double").alias("revenue_net_usd"), needs_game=True)
+    # Whole micros keep the half cents of 25/50/75 % discounts exact, so they round up as they should.
+    micros = numbers.revenue_micros(F.col("price_usd"), F.col("discount_pct"))
+    net = numbers.ratio_half_up(micros, 1e6, 2)
+    return _stage_events(events, net.alias("revenue_net_usd"), needs_game=True)
 
 
 def stage_reviews(events: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def stage_reviews(events: DataFrame) -> DataFrame:
 
 
 def stage_sessions(events: DataFrame) -> DataFrame:
-    hours = F.round(F.col("duration_seconds") / F.lit(3600.0), 2)
+    hours = numbers.ratio_half_up(F.col("duration_seconds"), 3600, 2)
     return _stage_events(events, hours.alias("duration_hours"), needs_game=False)
 
 

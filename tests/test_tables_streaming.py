@@ -76,7 +76,7 @@ def test_retried_batch_replaces_its_rows(spark, tmp_path):
     root = str(tmp_path)
     ddl = "window_start timestamp, game_id int, num_added bigint, num_removed bigint, net_added bigint"
     batch = frame(spark, ddl, [(datetime(2024, 1, 1), 1, 1, 0, 1), (datetime(2024, 1, 2), 1, 1, 0, 1)])
-    both = sinks.combine(sinks.live_writer(root, "wishlist"), sinks.history_writer(root, "wishlist", files_per_batch=1))
+    both = sinks.combine(sinks.live_writer(root, "wishlist"), sinks.history_writer(root, "wishlist"))
     for _ in range(2):
         both(batch, 7)
     assert spark.read.parquet(sinks.history_path(root, "wishlist")).count() == 2
