@@ -355,6 +355,11 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     s["popularity_score"] = lambda k, d: fx.games(k, d).select(
         "steam_app_id", "igdb_id", "popularity_score", "popularity_tier"
     )
+    s["popularity_tier"] = lambda k, d: fx.games(k, d).groupBy("popularity_tier").agg(
+        F.count(F.lit(1)).alias("num_games"),
+        F.min("popularity_score").alias("lowest"),
+        F.max("popularity_score").alias("highest"),
+    )
     s["mart_genre_stats"] = _genres
     s["mart_publisher_stats"] = _publishers
     s["mart_price_analysis"] = _prices

@@ -691,6 +691,9 @@ def statements() -> dict[str, str]:
     sql["mart_games"] = "SELECT * FROM games"
     sql["mart_games_dedupe"] = "SELECT * FROM games_dedupe"
     sql["popularity_score"] = "SELECT steam_app_id, igdb_id, popularity_score, popularity_tier FROM games"
+    sql["popularity_tier"] = """
+        SELECT popularity_tier, count(*) AS num_games, min(popularity_score) AS lowest, max(popularity_score) AS highest
+        FROM games GROUP BY 1"""
     sql["mart_genre_stats"] = "SELECT * FROM genre_stats"
     sql["mart_publisher_stats"] = "SELECT * FROM publisher_stats"
     sql["mart_price_analysis"] = "SELECT * FROM price_analysis"

@@ -1,0 +1,79 @@
+"""Plans under a key that holds a third of the rows, with the size limits lowered to test size."""
+
+from contextlib import contextmanager
+
+import pytest
+from ludoscope.operators import windows
+from ludoscope.plans import marts
+from ludoscope.sources import topics
+from pyspark.sql import functions as F
+
+
+@contextmanager
+def settings(spark, **values):
+    values = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+TINY = {
+    "spark__sql__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "20KB",
+    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "20KB",
+    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "1.5",
+    "spark__sql__shuffle__partitions": "16",
+}
+
+
+def titles(spark, n, hot, prefix):
+    """``n`` rows with a key; every third has the same one."""
+    key = F.when(F.col("id") % 3 == 0, hot).otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+    return spark.range(0, n, 1, 4).select(key.alias("_key"), F.col("id").alias(f"{prefix}_id"))
+
+
+@pytest.mark.parametrize("hot_left, hot_right", [("hot", "cold"), ("cold", "hot")])
+def test_title_join_splits_a_hot_title_on_either_side(spark, hot_left, hot_right):
+    """One side repeats its own hot title 10,000 times, the other has that title once."""
+    left = titles(spark, 30_000, hot_left, "l").unionByName(
+        spark.createDataFrame([(hot_right, -1)], "_key string, l_id bigint"))
+    right = titles(spark, 30_000, hot_right, "r").unionByName(
+        spark.createDataFrame([(hot_left, -1)], "_key string, r_id bigint"))
+    with settings(spark, **TINY):
+        joined = marts._left_join_any_skew(left, right, "_key")
+        got = joined.select(F.count("*"), F.count("r_id"), F.sum("l_id"), F.sum("r_id"))
+        values = tuple(got.collect()[0])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        want = left.join(right, "_key", "left").select(
+            F.count("*"), F.count("r_id"), F.sum("l_id"), F.sum("r_id"))
+        assert values == tuple(want.first())
+    assert "skew=true" in plan.split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("topic", topics.TOPICS)
+def test_windows_reduce_before_the_shuffle(spark, topic):
+    events = topics.parse_messages(spark.createDataFrame([("{}",)], "value string"), topic)
+    plan = windows.aggregate_windows(events, topic)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange", 1)
+    assert "HashAggregate" in above and "partial_" in below and "SortAggregate" not in plan
+
+
+def test_trending_groups_once(spark):
+    def staged(*columns):
+        return spark.createDataFrame([], "window_start timestamp, steam_app_id int, " + ", ".join(columns))
+
+    activity = marts.recent_activity(
+        staged("num_purchases bigint", "revenue_net_usd double", "is_viral boolean"),
+        staged("num_reviews bigint", "avg_rating double", "recommend_pct double", "is_review_bomb boolean"),
+        staged("num_starts bigint", "num_ends bigint", "avg_duration_sec double", "is_ccu_spike boolean"),
+        staged("net_added bigint", "is_viral_wishlist boolean"),
+        as_of="2024-01-31")
+    with settings(spark, spark__sql__adaptive__enabled="false",
+                  spark__sql__optimizer__excludedRules="org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation,org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation"):
+        plan = activity._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
