@@ -270,10 +270,10 @@ def _parsed_pages(spark, d):
 def _enriched(spark, d):
     b = fx.catalog_b(spark, d)
     key = F.col("p_partkey")
-    details = fx.table(spark, d, "part").filter(key % 2 == 0).select(
+    details = fx.table(spark, d, "part").select(
         key.cast("int").alias("appid"),
         F.when(key % 4 == 0, F.concat(F.lit("detail of "), "p_name")).otherwise("").alias("tags"),
-        F.lit("English, French").alias("languages"),
+        F.when(key % 2 == 0, "English, French").alias("languages"),
         F.lit(None).cast("string").alias("genre"),
     )
     return normalize.enrich_details(b, details, first=500).select("appid", "tags", "languages", "genre")

@@ -240,12 +240,16 @@ def catalog_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue A as its stored table; some titles occur twice."""
+    """Catalogue A as its stored table.
+
+    A third of the titles are those of catalogue B, and some of them occur twice; the other records
+    are remasters, which catalogue B does not list.
+    """
     key, size = F.col("p_partkey"), F.col("p_size")
     copies = F.when(key % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    title = F.concat_ws(" ", "p_name", key.cast("string"))
-    parts = table(spark, sf_dir, "part").filter(key % 3 == 0)
-    rows = parts.select("*", F.explode(copies).alias("copy"))
+    edition = F.when(key % 3 != 0, "remastered")
+    title = F.concat_ws(" ", "p_name", key.cast("string"), edition)
+    rows = table(spark, sf_dir, "part").select("*", F.explode(copies).alias("copy"))
     return rows.select(
         (key * 10 + F.col("copy")).cast("int").alias("igdb_id"),
         F.concat(F.lit("  "), F.upper(title), F.lit(" ")).alias("name"),

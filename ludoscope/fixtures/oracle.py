@@ -138,7 +138,8 @@ _PARTS["cat_b"] = f"""
         'English' AS languages, p_type AS genre
     FROM priced"""
 _PARTS["cat_a"] = """
-    SELECT CAST(p_partkey * 10 + copy AS INTEGER) AS igdb_id, '  ' || upper(p_name || ' ' || p_partkey) || ' ' AS name,
+    SELECT CAST(p_partkey * 10 + copy AS INTEGER) AS igdb_id, '  ' || upper(p_name || ' ' || p_partkey
+            || CASE WHEN p_partkey % 3 <> 0 THEN ' remastered' ELSE '' END) || ' ' AS name,
         'About ' || p_name AS summary,
         CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 100 AS DOUBLE) + 0.5e0 END AS rating,
         CAST(p_partkey % 500 + copy AS INTEGER) AS rating_count,
@@ -148,7 +149,7 @@ _PARTS["cat_a"] = """
         CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'Team ' || (p_partkey % 30) || ', Inc.' END AS developer,
         CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END AS publisher
     FROM part CROSS JOIN (VALUES (0), (1)) AS c(copy)
-    WHERE p_partkey % 3 = 0 AND (copy = 0 OR p_partkey % 50 = 0)"""
+    WHERE copy = 0 OR p_partkey % 50 = 0"""
 _PARTS["stg_a"] = f"""
     SELECT igdb_id AS game_id, name AS game_name, summary, rating, {_round("rating / 10e0", 2)} AS rating_normalized,
         rating_count, release_date, genres, trim(split_part(genres, ',', 1)) AS primary_genre, themes, platforms,
