@@ -17,6 +17,15 @@ from ludoscope.plans.materialise import stored
 from ludoscope.session import prepare
 from ludoscope.sources import catalogs, tables, topics
 
+documents = corpus_pipeline = None
+try:  # the document operators are an optional part
+    import ludoscope.llm.queries as documents
+
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name not in ("ludoscope.llm", "ludoscope.llm.queries", "corpus_pipeline"):
+        raise
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 PRICE_DAYS = 7
 LOWERED = {"above_pct": 5, "high_above_pct": 6}
@@ -455,9 +464,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def plain(build):
         return lambda spark, sf_dir: _plain(build(prepare(spark), sf_dir))
 
-    return {name: plain(build) for name, build in _registered().items()}
+    found = {name: plain(build) for name, build in _registered().items()}
+    if documents:
+        found |= documents.queries()
+    if corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    """The same results in DuckDB's SQL."""
-    return oracle.statements()
+    """The same results in DuckDB's SQL, where it can express them."""
+    found = oracle.statements()
+    if documents:
+        found |= documents.oracle_sql()
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
