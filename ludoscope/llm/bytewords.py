@@ -93,10 +93,11 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Word
     after[:-1] = inside[1:]
     after[offsets[1:][offsets[:-1] < offsets[1:]] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    return Words(starts, ends, _hashes(low, starts, ends), np.searchsorted(starts, offsets))
+    return Words(starts, ends, range_hashes(low, starts, ends), np.searchsorted(starts, offsets))
 
 
-def _hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges whose starts and ends both ascend."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
