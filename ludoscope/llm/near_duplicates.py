@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import stored
+from .common import stored, unused
 from .components import components
 
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with probability 6e-5
@@ -352,3 +352,33 @@ def _labelled(rows: DataFrame, ids: DataFrame, parts: DataFrame) -> DataFrame:
         .select("id", "key", "n_shingles", component.alias("component_id"), "component")
         .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
     )
+
+
+def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``, with all columns.
+
+    The row with the smallest (id, text hash) stays, null ids first; of rows that agree in both, one.
+    Documents without shingles all stay.
+    """
+    found = near_duplicates(docs, id_column, text_column, **settings)
+    found = stored(found.select("id", "key", "n_shingles", "component"), "groups")
+    grouped = found.where("component is not null")
+    first = grouped.groupBy("component").agg(F.min(F.struct("id", "key")).alias("first"))
+    rows = grouped.groupBy("component", "id", "key").agg(F.count("*").alias("copies"))
+    judged = rows.join(first, "component").select(
+        "id", "key", "copies", F.struct("id", "key").eqNullSafe(F.col("first")).alias("stays")
+    )
+    judged = stored(judged, "judged")
+    row_id, row_key = unused(docs.columns, "row_id"), unused(docs.columns, "row_key")
+    keyed = docs.withColumns({row_id: F.col(id_column).cast("long"), row_key: F.xxhash64(text_column)})
+
+    def with_any(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        others = others.select(F.col("id").alias(f"other_{row_id}"), F.col("key").alias(f"other_{row_key}"))
+        same = F.col(row_id).eqNullSafe(F.col(f"other_{row_id}")) & (F.col(row_key) == F.col(f"other_{row_key}"))
+        return rows.join(others, same, how)
+
+    kept = with_any(keyed, judged.where("not stays"), "left_anti")
+    repeated = judged.where("stays and copies > 1")
+    once = with_any(kept, repeated, "left_anti")
+    one = with_any(kept, repeated, "left_semi").dropDuplicates([row_id, row_key])
+    return once.unionByName(one).select(*docs.columns)

@@ -4,11 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from . import chat
+from .common import fold, prepare, table
+from .decontamination import contamination
+from .language_model import score_texts
+from .line_quality import with_quality
+from .mixing import ORACLE as MIXING_SQL
+from .mixing import mix
 from .near_duplicates import near_duplicates
+from .secret_scan import BASE, find_secrets, joined_spans, n_spans
+from .toxicity import with_toxicity
+from .url_filter import judge_urls
+from .vector_duplicates import near_duplicate_vectors
+
+GOOD_FROM = 0.3  # quality from which a document passes
+TOXIC_FROM = 0.5
+
+
+def _held_out(remainder: int) -> Column:
+    """Whether crc32 of the doc_id's text leaves this remainder by 5; false for a null id."""
+    return F.coalesce(fold("doc_id") == remainder, F.lit(False))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, score = with_quality(docs, table(spark, sf_dir, "labels"), keep_text=False)
+    return found.select(
+        "doc_id",
+        _held_out(0).alias("held_out"),
+        F.col(score).alias("score"),
+        (F.col(score) >= GOOD_FROM).cast("int").alias("predicted"),
+    )
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +47,101 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-_QUERIES = (op2_minhash_near_dedup,)
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's address."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, spans = find_secrets(docs, keep_text=False)
+    kinds = tuple(rule.kind for rule in BASE)
+    counts = [n_spans(spans, kind).alias(f"n_{kind}") for kind in kinds]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined_spans(spans, kinds).cast("binary"), 256).alias("base_sha256"),
+        joined_spans(spans).alias("spans"),
+    )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted and read back, and one that quotes the template."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", quoting), (-1, 1, "assistant", quoting)], rows.schema)
+    return chat.digests(chat.formatted(chat.paths(chat.chains(rows.unionByName(more)))))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings."""
+    found = near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a chain from low quality to toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    found, name = with_toxicity(docs, table(spark, sf_dir, "labels"), categories, keep_text=False)
+    return found.select(
+        "doc_id",
+        _held_out(0).alias("held_out"),
+        F.col(f"{name}.low_quality").alias("p_low_quality"),
+        F.col(f"{name}.toxic").alias("p_toxic"),
+        (F.col(f"{name}.toxic") >= TOXIC_FROM).cast("int").alias("toxic"),
+    )
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, docs.where(~_held_out(1)), carry=("doc_id",)).select(
+        "doc_id",
+        _held_out(1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, name = contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select(
+        "doc_id",
+        f"{name}.n_words",
+        f"{name}.n_hit",
+        F.size(f"{name}.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(f"{name}.items", ",").cast("binary"), 256).alias("items_sha256"),
+        f"{name}.contaminated",
+    )
+
+
+_QUERIES = (
+    op1_quality_classifier,
+    op2_minhash_near_dedup,
+    op3_url_filter,
+    op4_secret_scan,
+    op5_mixing,
+    op6_chat_formatting,
+    op7_embedding_near_dedup,
+    op8_toxicity,
+    op9_lm_scoring,
+    op10_decontamination,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": MIXING_SQL, "op6_chat_formatting": chat.ORACLE}
