@@ -4,12 +4,12 @@ A document is the set of its distinct word shingles. Texts with equal sets are o
 counted from then on, so copies cost nothing further. A class's MinHash signature is cut into bands;
 classes that share a band are candidates.
 
-Candidates are settled in three steps, none of which writes out all pairs of a group:
+Candidates are settled in two steps, neither of which writes out all pairs of a group:
 
-1. every class of a band is compared with the band's smallest class (a star, linear in the group);
-2. the same with a second, differently chosen class, for classes that are still apart;
-3. what is still apart in a band is compared in blocks of bounded size, whole bands against
-   themselves, so that no link between different components is lost.
+1. every class of a band is compared with two of its classes (stars, linear in the group);
+2. bands whose classes are still in several components are compared in blocks of bounded size, each
+   band against itself, so that no link between components is lost. Shingles that no other such class
+   has bound from above what a class can share, which rules out most of these pairs exactly.
 
 A comparison reads the signature in batches and stops as soon as the posterior probability of reaching
 the similarity falls below ``MISS``. Survivors are verified on the full sets.
@@ -168,7 +168,8 @@ def _prune_pairs(percent: int, bounds: np.ndarray):
 def _prune_block(percent: int, bounds: np.ndarray):
     """One block of a band: pairs of classes of different components that survive.
 
-    A pair that already met in an earlier band is left to that band's block.
+    Two sets share at most the smaller of their numbers of shared shingles. A pair that already met in an
+    earlier band is left to that band's block.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -176,13 +177,15 @@ def _prune_block(percent: int, bounds: np.ndarray):
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         side, component = group.column("side").to_numpy(), group.column("component").to_numpy()
         classes, n = group.column("class").to_numpy(), group.column("n_shingles").to_numpy()
+        shared = group.column("n_shared").to_numpy()
         signatures = _matrix(group.column("signature").combine_chunks())
         left = np.flatnonzero(side == low)
         right = left if low == high else np.flatnonzero(side == high)
         out_a, out_b = [], []
         for i in left:
             others = right[right > i] if low == high else right
-            others = others[(component[others] != component[i]) & _can_reach(n[others], n[i], percent)]
+            enough = (100 + percent) * np.minimum(shared[others], shared[i]) >= percent * (n[others] + n[i])
+            others = others[enough & (component[others] != component[i]) & _can_reach(n[others], n[i], percent)]
             others = others[_alive(np.broadcast_to(signatures[i], (len(others), HASHES)), signatures[others], bounds)]
             same = (signatures[others] == signatures[i]).reshape(-1, BANDS, ROWS).all(axis=2)
             first = _band_keys(signatures[i], same.argmax(axis=1))
@@ -227,13 +230,50 @@ def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs.select("a", "b", *[f"{c}_{end}" for c in columns for end in ("a", "b")])
 
 
-def _members(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bands that several classes share: (band, leader, size), and their (band, class)."""
+def _members(classes: DataFrame) -> DataFrame:
+    """(band, class, leader, second) of the bands that several classes share.
+
+    The leader is the band's smallest class, the second its class of the smallest scrambled number.
+    """
     bands = classes.select("class", "signature").mapInArrow(_bands, "band long, class long")
-    shared = bands.groupBy("band").agg(F.min("class").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    scrambled = F.struct(F.xxhash64("class"), F.col("class").alias("class"))
+    shared = (
+        bands.groupBy("band")
+        .agg(F.min("class").alias("leader"), F.min(scrambled).alias("second"), F.count("*").alias("size"))
+        .where("size > 1")
+        .select("band", "leader", F.col("second.class").alias("second"))
+    )
     return bands.join(shared, "band")
 
 
+def _shingle_rows(batches):
+    """(class, set) to one row (shingle, class) for each shingle."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            hashes = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
+            classes = np.full(len(hashes), batch.column(0)[k].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(classes)], names=["shingle", "class"])
+
+
+def _able(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(class, n_shingles, n_shared, signature) of the classes in ``apart`` that can link with another one.
+
+    n_shared leaves out the shingles that no other class in ``apart`` has. A class that has less than the
+    similarity's share of its own shingles in common with all others together links with none.
+    """
+    own = sets.join(apart.select("class").distinct(), "class", "left_semi")
+    rows = own.select("class", "hashes").mapInArrow(_shingle_rows, "shingle long, class long")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+    alone = alone.groupBy("class").agg(F.count("*").alias("alone"))
+    shared = own.select("class").join(alone, "class", "left").select("class", F.coalesce("alone", F.lit(0)).alias("alone"))
+    return (
+        classes.join(shared, "class")
+        .withColumn("n_shared", F.col("n_shingles") - F.col("alone"))
+        .where(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
+        .select("class", "n_shingles", "n_shared", "signature")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -287,44 +327,43 @@ def near_duplicates(
             _prune_pairs(percent, bounds), "a long, b long"
         )
 
-    # Step 1: each class with its band's smallest class.
-    stars = members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    links = stored(linked(survivors(stars)), "links")
+    # Step 1: each class with two classes of its band.
+    stars = None
+    for other in ("leader", "second"):
+        star = members.where(F.col("class") != F.col(other)).select(
+            F.least("class", other).alias("a"), F.greatest("class", other).alias("b")
+        )
+        stars = star if stars is None else stars.unionByName(star)
+    links = linked(survivors(stars.distinct()))
     parts = stored(components(links), "components")
 
-    # Step 2: classes that are apart from their band's class of the smallest scrambled number.
+    # Step 2: bands that still hold several components, in blocks.
     apart = _apart(members, parts)
-    scrambled = F.struct(F.xxhash64("class").alias("order"), F.col("class").alias("class"), F.col("component"))
-    second = apart.groupBy("band").agg(F.min(scrambled).alias("second"))
-    pairs = (
-        apart.join(second, "band")
-        .where("component <> second.component")
-        .select(F.least("class", "second.class").alias("a"), F.greatest("class", "second.class").alias("b"))
-        .distinct()
-    )
-    links = stored(links.unionByName(linked(survivors(pairs))), "links")
-    parts = stored(components(links), "components")
-
-    # Step 3: bands that still hold several components, in blocks.
-    blocks = _blocks(_apart(members, parts)).join(classes, "class")
+    able = stored(_able(apart, classes, sets, percent), "able")
+    apart = _mixed(stored(apart.join(able.select("class"), "class", "left_semi"), "apart"))
+    blocks = _blocks(apart).join(able, "class")
     pairs = blocks.groupBy("band", "low", "high").applyInArrow(_prune_block(percent, bounds), "a long, b long")
-    links = stored(links.unionByName(linked(pairs.distinct())), "links")
-    parts = stored(components(links), "components")
+    more = linked(pairs.distinct()).unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    parts = stored(components(more), "components")
     return _labelled(rows, ids, parts)
 
 
 def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(band, class, component, size) of the bands whose classes are not all in one component."""
     labelled = members.join(parts.withColumnRenamed("node", "class"), "class", "left").select(
-        "band", "class", "size", F.coalesce("component", "class").alias("component")
+        "band", "class", F.coalesce("component", "class").alias("component")
     )
-    labelled = stored(labelled, "labelled")
-    mixed = (
+    return stored(_mixed(stored(labelled, "labelled")), "apart")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Rows of bands with several components; ``size`` is counted anew."""
+    several = (
         labelled.groupBy("band")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
         .where("least <> most")
     )
-    return labelled.join(mixed.select("band"), "band", "left_semi")
+    return labelled.select("band", "class", "component").join(several.select("band", "size"), "band")
 
 
 def _blocks(apart: DataFrame) -> DataFrame:
