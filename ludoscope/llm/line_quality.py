@@ -2,14 +2,15 @@
 
 Every line is good or bad. A line's features are its own and those of the lines before and after it;
 neighbouring labels are tied by a transition matrix. A document's quality is the mean of its lines'
-forward-backward marginals of "good", weighted by the lines' lengths.
+forward-backward marginals of "good", weighted by the lines' lengths, and mapped to a probability by
+a logistic curve.
 
 The field is fitted on a bounded sample of labelled documents, whose lines take their document's label.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .calibration import fit_line, log_odds
 from .common import fold, unused, with_text_results
 
 SAMPLE = 3000  # labelled documents that the field is fitted on
@@ -107,6 +109,7 @@ class Field:
 
     weights: np.ndarray
     moves: np.ndarray
+    curve: tuple[float, float] = (1.0, 0.0)  # of the log-odds of a document's mean
 
     def marginals(self, features: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(good) of every line, and the expected transitions summed over all chains.
@@ -138,12 +141,17 @@ class Field:
         pairs /= pairs.sum(axis=(1, 2), keepdims=True)
         return good, pairs.sum(axis=0)
 
-    def qualities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        features, size, bounds = line_features(data, offsets)
-        good, _ = self.marginals(with_neighbours(features, bounds), bounds)
+    def means(self, features: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Mean marginal of "good" of each text, by length; ``features`` have neighbours already."""
+        good, _ = self.marginals(features, bounds)
         weight = size + 1.0
         return np.add.reduceat(good * weight, bounds[:-1]) / np.add.reduceat(weight, bounds[:-1])
 
+    def qualities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        features, size, bounds = line_features(data, offsets)
+        odds = log_odds(self.means(with_neighbours(features, bounds), size, bounds))
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] * odds + self.curve[1], -30, 30)))
+
 
 def fit(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> Field:
     """Maximum conditional likelihood with a Gaussian prior, by Adam on all chains.
@@ -217,7 +225,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str,
         for k in range(0, len(own), CHAIN):
             bounds.append(bounds[-1] + min(CHAIN, len(own) - k))
             kinds.append(row["label"])
-    return fit(np.concatenate(features).astype(float), np.array(bounds), np.array(kinds))
+    features = np.concatenate(features).astype(float)
+    field = fit(features, np.array(bounds), np.array(kinds))
+    whole = np.concatenate([[0], np.cumsum([row["n"] for row in rows])])
+    size = np.expm1(5 * features[:, 1])  # the feature of the length
+    means = log_odds(field.means(features, size, whole))
+    return replace(field, curve=fit_line(means, np.array([row["label"] for row in rows])))
 
 
 def with_quality(

@@ -2,15 +2,16 @@
 
 The categories are predicted one after another. Each has a logistic model, linear in the presence of words
 and of their first bytes and in the log-odds of the categories before it; those log-odds come from
-out-of-fold predictions while fitting, and from the earlier models when a text is scored. The last
-category is the one asked for; earlier ones tell apart what else makes a text unusual.
+out-of-fold predictions while fitting, and from the earlier models when a text is scored. The same
+out-of-fold predictions calibrate each category's probability. The last category is the one asked for;
+earlier ones tell apart what else makes a text unusual.
 
 The models are fitted on a bounded sample of labelled documents and scored on whole texts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .calibration import fit_line
 from .common import fold, unused, with_text_results
 
 SAMPLE = 6000  # labelled documents that the models are fitted on
@@ -51,6 +53,7 @@ class Model:
     weights: np.ndarray
     bias: float
     chain: np.ndarray  # weights of the earlier categories' log-odds
+    curve: tuple[float, float] = (1.0, 0.0)  # of the log-odds, fitted out of fold
 
 
 def _fit(rows: np.ndarray, columns: np.ndarray, n_columns: int, earlier: np.ndarray, labels: np.ndarray):
@@ -112,9 +115,6 @@ def train_chain(rows: np.ndarray, codes: np.ndarray, labels: np.ndarray, folds:
     earlier = np.zeros((n, 0))
     for category in range(labels.shape[1]):
         y = labels[:, category].astype(float)
-        models.append(_train(rows, codes, earlier, y))
-        if category + 1 == labels.shape[1]:
-            break
         odds = np.zeros(n)
         for k in range(FOLDS):
             inside, outside = folds != k, folds == k
@@ -122,6 +122,7 @@ def train_chain(rows: np.ndarray, codes: np.ndarray, labels: np.ndarray, folds:
             used = inside[rows]
             part = _train(renumber[rows[used]], codes[used], earlier[inside], y[inside])
             odds[outside] = _odds(part, rows[~used], codes[~used], n, earlier)[outside]
+        models.append(replace(_train(rows, codes, earlier, y), curve=fit_line(odds, y)))
         earlier = np.column_stack([earlier, odds])
     return models
 
@@ -207,7 +208,7 @@ def with_toxicity(
         for model in models:
             odds = _odds(model, text, found, n, earlier)
             earlier = np.column_stack([earlier, odds])
-            out.append(pa.array(1 / (1 + np.exp(-odds))))
+            out.append(pa.array(1 / (1 + np.exp(-np.clip(model.curve[0] * odds + model.curve[1], -30, 30)))))
         return out
 
     return with_text_results(docs, text_column, name, fields, per_piece, keep_text=keep_text), name
