@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import with_load_time
 
-# Limits of the three detectors.
-DOMINANCE_PCT, DOMINANCE_GAMES, DOMINANCE_HIGH_PCT, DOMINANCE_LIMIT = 50, 3, 70, 50
-ISOLATED_OWNERS, ISOLATED_SCORE, ISOLATED_HIGH_SCORE, ISOLATED_LIMIT = 100_000, 30, 60, 100
-INCONSISTENT_RATIO, INCONSISTENT_HIGH_RATIO, INCONSISTENT_LIMIT = 3, 5, 50
+# Limits of the three detectors, and the wording of their descriptions.
+DOMINANCE_PCT, DOMINANCE_GAMES, DOMINANCE_HIGH_PCT = 50, 3, 70
+ISOLATED_OWNERS, ISOLATED_SCORE, ISOLATED_HIGH_SCORE = 100_000, 30, 60
+INCONSISTENT_RATIO, INCONSISTENT_HIGH_RATIO = 3, 5
+DOMINANCE_TEXT = "%s controls %.1f%% of %s (%d/%d games)"
+ISOLATED_TEXT = "%s has no similar games (score:%s, tier:%s, owners:%s)"
+INCONSISTENT_TEXT = "%s (score:%s) vs %s (score:%s) - %.1fx diff despite similarity=%s (%s)"
 
 
 def _finding(kind: str, entity: Column, entity_type: str, related: Column, text: Column,
@@ -39,7 +42,6 @@ def publisher_dominance(
     above_pct: float = DOMINANCE_PCT,
     min_games: int = DOMINANCE_GAMES,
     high_above_pct: float = DOMINANCE_HIGH_PCT,
-    limit: int = DOMINANCE_LIMIT,
 ) -> DataFrame:
     """Publishers that hold more than ``above_pct`` percent of a genre's games."""
     in_genre = genre_edges.select("src_id", F.col("dst").alias("genre"))
@@ -52,11 +54,9 @@ def publisher_dominance(
         .join(total, "genre")
         .filter(share > above_pct)
         .withColumn("pct", F.round(share, 1))
-        .orderBy(F.col("pct").desc(), "publisher", "genre")
-        .limit(limit)
     )
     text = F.format_string(
-        "%s controls %.1f%% of %s (%d/%d games)", "publisher", "pct", "genre", "held", "total"
+        DOMINANCE_TEXT, "publisher", "pct", "genre", "held", "total"
     )
     return found.select(
         *_finding("publisher_dominance", F.col("publisher"), "Publisher", F.col("genre"), text,
@@ -71,18 +71,15 @@ def isolated_games(
     min_owners: int = ISOLATED_OWNERS,
     min_score: float = ISOLATED_SCORE,
     high_above: float = ISOLATED_HIGH_SCORE,
-    limit: int = ISOLATED_LIMIT,
 ) -> DataFrame:
     """Popular games without a similarity edge in either direction."""
     linked = similar.select(F.explode(F.array("a", "b")).alias("steam_app_id"))
     found = (
         nodes.filter((F.col("owners_estimate") > min_owners) & (F.col("popularity_score") > min_score))
         .join(linked, "steam_app_id", "left_anti")
-        .orderBy(F.col("popularity_score").desc(), "steam_app_id")
-        .limit(limit)
     )
     text = F.format_string(
-        "%s has no similar games (score:%s, tier:%s, owners:%s)",
+        ISOLATED_TEXT,
         "name",
         _shown(F.col("popularity_score")),
         _shown(F.col("popularity_tier")),
@@ -100,7 +97,6 @@ def sales_inconsistency(
     *,
     above_ratio: float = INCONSISTENT_RATIO,
     high_above: float = INCONSISTENT_HIGH_RATIO,
-    limit: int = INCONSISTENT_LIMIT,
 ) -> DataFrame:
     """Similar games whose popularity differs by more than the given factor.
 
@@ -117,11 +113,9 @@ def sales_inconsistency(
         .join(b, F.col("b") == F.col("b_steam_app_id"))
         .filter(ratio > above_ratio)
         .withColumn("ratio", F.round(ratio, 1))
-        .orderBy(F.col("ratio").desc(), "a", "b")
-        .limit(limit)
     )
     text = F.format_string(
-        "%s (score:%s) vs %s (score:%s) - %.1fx diff despite similarity=%s (%s)",
+        INCONSISTENT_TEXT,
         "a_name",
         _shown(F.col("a_score")),
         "b_name",

@@ -54,7 +54,7 @@ def mart_tables(
     *,
     as_of: datetime | str | None = None,
     lookback_days: int = marts.LOOKBACK_DAYS,
-    dedupe: bool = False,
+    dedupe: bool = True,
 ) -> dict[str, DataFrame]:
     """Write the seven marts below ``root`` and read them back."""
     p, r, s, w = (

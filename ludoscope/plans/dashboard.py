@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Most rows the home page asks of each result.
-HOME_LIMITS = {"games": 500, "trending": 200, "graph_anomalies": 500, "stream_anomalies": 200}
 
-
-def home_kpis(results: dict[str, DataFrame], limits: dict[str, int] = HOME_LIMITS) -> DataFrame:
-    """Rows of each result as the home page shows them, that is up to the result's limit."""
+def home_kpis(results: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each result."""
     stacked = None
     for name, df in results.items():
-        shown = F.least(F.count(F.lit(1)), F.lit(limits[name]).cast("bigint")).alias("n")
-        one = df.agg(shown).select(F.lit(name).alias("kpi"), "n")
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kpi"), "n")
         stacked = one if stacked is None else stacked.unionByName(one)
     return stacked
 

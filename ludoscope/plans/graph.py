@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.ranking import sliced_row_number
 
-# Publishers that get statistics, tags kept per game, and the similarity rule.
-TOP_PUBLISHERS = 200
-TAGS_PER_GAME = 3
-SIMILAR_POOL = 20
+# The similarity rule.
 SIMILAR_NEXT = 5
 SIMILAR_MAX_GAP = 0.30
 
@@ -53,9 +51,12 @@ def graph_genres(genre_stats: DataFrame) -> DataFrame:
     )
 
 
-def graph_publishers(publisher_stats: DataFrame, top: int = TOP_PUBLISHERS) -> DataFrame:
-    # The ranks are 1..n without gaps, so the cap is a filter and needs no sort.
-    return publisher_stats.filter(F.col("rank_by_owners") <= top).select(
+def graph_publishers(publisher_stats: DataFrame, top: int | None = None) -> DataFrame:
+    """Statistics of all publishers, or of the ``top`` by owners."""
+    if top is not None:
+        # The ranks are 1..n without gaps, so the cap is a filter and needs no sort.
+        publisher_stats = publisher_stats.filter(F.col("rank_by_owners") <= top)
+    return publisher_stats.select(
         "publisher",
         F.col("market_share_games_pct").alias("market_share_pct"),
         F.col("rank_by_owners").alias("rank"),
@@ -103,11 +104,12 @@ def edges_theme(games: DataFrame) -> DataFrame:
     return _edges(games, "HAS_THEME", text.split_csv(F.col("themes")))
 
 
-def edges_tag(games: DataFrame) -> DataFrame:
-    return _edges(games, "TAGGED_WITH", text.split_csv(F.col("tags"), TAGS_PER_GAME))
+def edges_tag(games: DataFrame, per_game: int | None = None) -> DataFrame:
+    """Edges to all tags of a game, or to its first ``per_game``."""
+    return _edges(games, "TAGGED_WITH", text.split_csv(F.col("tags"), per_game))
 
 
-def named_edges(games: DataFrame) -> DataFrame:
+def named_edges(games: DataFrame, tags_per_game: int | None = None) -> DataFrame:
     """All edges from games to named nodes; the games are read once."""
     kinds = {
         "BELONGS_TO": F.when(text.filled(F.col("genre")), F.array("genre")),
@@ -115,7 +117,7 @@ def named_edges(games: DataFrame) -> DataFrame:
         "PUBLISHED_BY": text.split_csv(F.col("publisher")),
         "AVAILABLE_ON": text.split_csv(F.col("platforms")),
         "HAS_THEME": text.split_csv(F.col("themes")),
-        "TAGGED_WITH": text.split_csv(F.col("tags"), TAGS_PER_GAME),
+        "TAGGED_WITH": text.split_csv(F.col("tags"), tags_per_game),
     }
     def tagged(kind: str, names):
         names = F.coalesce(names, F.array().cast("array<string>"))
@@ -132,29 +134,31 @@ def named_edges(games: DataFrame) -> DataFrame:
 def edges_similar(
     games: DataFrame,
     *,
-    pool: int = SIMILAR_POOL,
+    pool: int | None = None,
     following: int = SIMILAR_NEXT,
     max_gap: float = SIMILAR_MAX_GAP,
 ) -> DataFrame:
-    """Each of a genre's ``pool`` most popular games with the ``following`` ones after it, if close.
+    """Each game of a genre with the ``following`` games after it by popularity, if close.
 
-    The rank filter is applied before the shuffle as well, so a task sends at most ``pool`` rows
-    per genre. Neighbours are then the next rows of the same window: no self-join.
+    ``pool`` keeps the edges within a genre's most popular games. Ranks come from slices of the order,
+    so a genre that holds a large part of all games is not one task, and a neighbour is found by its
+    genre and rank: a game meets ``following`` others, whatever the genre's size.
     """
     scored = games.filter(text.filled(F.col("genre")) & (F.col("popularity_score") != 0)).select(
         "genre",
         F.col("steam_app_id").alias("a"),
         F.col("popularity_score").cast("decimal(18,6)").alias("high"),
     )
-    order = Window.partitionBy("genre").orderBy(F.col("high").desc(), "a")
-    best = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= pool)
-    entry = F.struct(F.col("a").alias("b"), F.col("high").alias("low"))
-    following_games = F.collect_list(entry).over(order.rowsBetween(1, following))
-    pairs = (
-        best.withColumn("next", following_games)
-        .select("genre", "a", "high", F.explode("next").alias("next"))
-        .select("genre", "a", "high", "next.*")
-    )
+    # Records that agree in genre, score and id, if a title has several, are told apart by a number.
+    numbered = scored.groupBy("genre", "a", "high").agg(F.count(F.lit(1)).alias("copies")).select(
+        "genre", "a", "high", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")
+    ).withColumn("key", F.struct("a", "copy"))
+    ranked = sliced_row_number(numbered, "high", "key", "rn", by="genre")
+    if pool is not None:
+        ranked = ranked.filter(F.col("rn") <= pool)
+    after = ranked.select("genre", "a", "high", F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + following)).alias("rn"))
+    others = ranked.select("genre", "rn", F.col("a").alias("b"), F.col("high").alias("low"))
+    pairs = after.join(others, ["genre", "rn"])
     close = (F.col("high") - F.col("low")) < F.col("high") * F.lit(str(max_gap)).cast("decimal(6,4)")
     edges = pairs.filter(close).select(
         "a",

@@ -24,11 +24,11 @@ WEIGHTS = {"purchases": 5, "reviews": 3, "sessions": 1, "wishlist": 2}
 # -- games -----------------------------------------------------------------------------------------
 
 
-def mart_games(catalog_b: DataFrame, catalog_a: DataFrame, *, dedupe: bool = False) -> DataFrame:
+def mart_games(catalog_b: DataFrame, catalog_a: DataFrame, *, dedupe: bool = True) -> DataFrame:
     """Catalogue B enriched with the catalogue A records of the same title, scored and tiered.
 
-    A title that occurs several times in A multiplies the game's row; ``dedupe`` keeps only the
-    record with the most ratings.
+    Of the records of one title in A the one with the most ratings counts; without ``dedupe`` all do,
+    and a title that occurs several times there multiplies the game's row. A blank title matches none.
     """
     a = catalog_a.select(
         text.name_key(F.col("game_name")).alias("_key"),
@@ -46,7 +46,7 @@ def mart_games(catalog_b: DataFrame, catalog_a: DataFrame, *, dedupe: bool = Fal
         "game_modes",
         F.col("developer").alias("igdb_developer"),
         F.col("publisher").alias("igdb_publisher"),
-    ).filter(F.col("_key").isNotNull())
+    ).filter(text.filled(F.col("_key")))
     if dedupe:
         best = Window.partitionBy("_key").orderBy(
             F.col("igdb_rating_count").desc_nulls_last(), F.col("igdb_id")
@@ -227,13 +227,14 @@ def mart_price_analysis(
             F.round(F.coalesce(F.sum("_revenue"), F.lit(0)), 2).cast("decimal(20,2)").alias("_revenue"),
         )
     )
-    totals = per_tier.agg(
-        F.sum("total_owners").alias("_owners_all"),
-        F.sum("_revenue").cast("decimal(20,2)").alias("_revenue_all"),
-    )
+    # One row per tier, so this window sees six rows at most.
+    tiers = Window.partitionBy()
+    revenue_all = F.sum("_revenue").over(tiers).cast("decimal(20,2)")
     revenue_share = F.col("_revenue") * 100 / F.nullif(F.col("_revenue_all"), F.lit(0).cast("decimal(20,2)"))
     return (
-        per_tier.join(F.broadcast(totals))
+        per_tier.withColumns(
+            {"_owners_all": F.sum("total_owners").over(tiers), "_revenue_all": revenue_all}
+        )
         .select(
             "price_tier",
             "num_games",

@@ -6,7 +6,7 @@ JSON object keyed by app id. Both page sizes are fixed by their providers, so a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fields of the providers' records.
@@ -34,13 +34,10 @@ def parse_catalog_a(messages: DataFrame, value: str = "value") -> DataFrame:
     return messages.select(F.from_json(value, RECORD_A).alias("r")).select("r.*")
 
 
-def top_rated(records: DataFrame, total: int = 10_000) -> DataFrame:
-    """The ``total`` best rated records; unrated ones never count."""
-    return (
-        records.filter(F.col("rating").isNotNull())
-        .orderBy(F.col("rating").desc(), F.col("id"))
-        .limit(total)
-    )
+def top_rated(records: DataFrame, total: int | None = None) -> DataFrame:
+    """The rated records, or the ``total`` best of them; unrated ones never count."""
+    rated = records.filter(F.col("rating").isNotNull())
+    return rated if total is None else rated.orderBy(F.col("rating").desc(), F.col("id")).limit(total)
 
 
 def read_catalog_b_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -49,23 +46,24 @@ def read_catalog_b_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(number.alias("page"), F.col("value").alias("body"))
 
 
+def _apps() -> Column:
+    return F.from_json("body", f"map<string, struct<{_struct_fields(INFO_B)}>>")
+
+
 def explode_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """Records of all pages up to the first empty or unreadable one (or ``max_pages``)."""
+    """Records of all readable pages (below ``max_pages``); the others are ``rejected_pages``."""
     if max_pages is not None:
         pages = pages.filter(F.col("page") < max_pages)
-    parsed = pages.select(
-        "page", F.from_json("body", f"map<string, struct<{_struct_fields(INFO_B)}>>").alias("apps")
-    )
-    empty = F.col("apps").isNull() | (F.size("apps") == 0)
-    # A one-row aggregate, so the nested-loop broadcast below carries a single number.
-    first_empty = parsed.agg(F.min(F.when(empty, F.col("page"))).alias("stop"))
     return (
-        parsed.join(F.broadcast(first_empty))
-        .filter(F.col("stop").isNull() | (F.col("page") < F.col("stop")))
-        .select("page", F.explode("apps").alias("appid", "info"))
+        pages.select("page", F.explode(_apps()).alias("appid", "info"))
         .select("page", F.col("appid").try_cast("bigint").alias("appid"), "info.*")
     )
 
 
+def rejected_pages(pages: DataFrame) -> DataFrame:
+    """Pages that cannot be read, with their text; a page without records is none of them."""
+    return pages.filter(_apps().isNull()).select("page", "body")
+
+
 def _struct_fields(ddl: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (f.split(" ", 1) for f in ddl.split(", ")))
