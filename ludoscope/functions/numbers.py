@@ -23,7 +23,7 @@ def decimal_avg(amount: Column, scale: int, digits: int) -> Column:
 
 
 def ratio_half_up(part: Column, whole: float, digits: int) -> Column:
-    """``part / whole`` rounded half-up, for whole numbers that are not negative.
+    """``part / whole`` rounded half-up.
 
     Stays in primitive arithmetic; ``round`` on a double makes a BigDecimal for every row, which
     event-sized tables should not pay for.
@@ -32,14 +32,34 @@ def ratio_half_up(part: Column, whole: float, digits: int) -> Column:
     return F.floor(part * F.lit(float(scale)) / F.lit(float(whole)) + F.lit(0.5)) / F.lit(float(scale))
 
 
-def revenue_micros(price: Column, discount_pct: Column) -> Column:
-    """Price after discount in millionths of a dollar, an exact bigint; NULL discount gives NULL.
+# Fixed value: units of a dollar that a price is counted in, and a price after discount a hundred times finer.
+PRICE_UNITS = 100_000_000
 
-    Prices have at most four decimals and are not negative.
+
+def net_units(price: Column, discount_pct: Column) -> Column:
+    """Price after discount in 10**-10 dollars, an exact bigint; NULL discount gives NULL.
+
+    Prices count to the eighth decimal, and beyond half-up; they may be negative, below 9 * 10**8.
     """
-    units = F.floor(price * F.lit(10_000.0) + F.lit(0.5))
+    units = F.floor(price * F.lit(float(PRICE_UNITS)) + F.lit(0.5))
     return units * (F.lit(100) - discount_pct).cast("bigint")
 
 
+def net_sum(price: Column, discount_pct: Column) -> Column:
+    """Sum of prices after discount in dollars, independent of the order of addition.
+
+    Whole millionths and what is below them are summed apart, so that neither sum of a bigint runs over.
+    """
+    units, below = net_units(price, discount_pct), F.lit(10_000).cast("bigint")
+    rest = F.pmod(units, below)
+    whole = F.call_function("div", units - rest, below)
+    return (F.sum(whole) + F.sum(rest) / F.lit(1e4)) / F.lit(1e6)
+
+
+def net_price(price: Column, discount_pct: Column, digits: int) -> Column:
+    """Price after discount in dollars, rounded half-up."""
+    return ratio_half_up(net_units(price, discount_pct), 100.0 * PRICE_UNITS, digits)
+
+
 def log_or_zero(amount: Column) -> Column:
     return F.when(amount > 0, F.ln(amount)).otherwise(F.lit(0.0))

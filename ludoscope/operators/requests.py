@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import sliced_running_sum
+
 RATE_WINDOW = "1 minute"
 QUALITY_WINDOW = "5 minutes"
 QUANTILES = (0.50, 0.95, 0.99)
-# Upper bounds of the latency histogram in seconds; a last open bucket follows.
-LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
+# Upper bounds of the latency histogram in seconds. A last bucket ends at the group's largest value.
+LATENCY_BOUNDS = (
+    0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0, 15.0, 30.0, 60.0, 120.0, 300.0, 600.0,
+)
 
 
 def total_requests(log: DataFrame) -> DataFrame:
@@ -20,19 +24,23 @@ def _per_window(log: DataFrame, window: str, by: tuple[str, ...], *aggregates: C
     if watermark:
         log = log.withWatermark("ts", watermark)
     grouped = log.groupBy(F.window("ts", window).alias("span"), *by).agg(*aggregates)
-    return grouped.select(F.col("span.start").alias("window_start"), *grouped.columns[1:])
+    seconds = (F.unix_micros("span.end") - F.unix_micros("span.start")) / F.lit(1e6)
+    return grouped.select(
+        F.col("span.start").alias("window_start"), *grouped.columns[1:], seconds.alias("_seconds")
+    )
 
 
 def request_rate(
-    log: DataFrame, *by: str, window: str = RATE_WINDOW, seconds: int = 60, watermark: str | None = None
+    log: DataFrame, *by: str, window: str = RATE_WINDOW, watermark: str | None = None
 ) -> DataFrame:
     """Requests per second in each window, overall or per ``handler`` / ``status``."""
-    rate = (F.count(F.lit(1)) / F.lit(float(seconds))).alias("req_per_sec")
-    return _per_window(log, window, by, rate, watermark=watermark)
+    counted = _per_window(log, window, by, F.count(F.lit(1)).alias("requests"), watermark=watermark)
+    rate = (F.col("requests") / F.col("_seconds")).alias("req_per_sec")
+    return counted.select("window_start", *by, rate)
 
 
 def error_rate(
-    log: DataFrame, *, window: str = QUALITY_WINDOW, seconds: int = 300, watermark: str | None = None
+    log: DataFrame, *, window: str = QUALITY_WINDOW, watermark: str | None = None
 ) -> DataFrame:
     """Share of 5xx answers in each window, and 5xx answers per second."""
     failed = F.count_if(F.col("status").between(500, 599))
@@ -48,7 +56,7 @@ def error_rate(
         "window_start",
         "requests",
         (F.col("failed") / F.col("requests")).alias("error_rate"),
-        (F.col("failed") / F.lit(float(seconds))).alias("errors_per_sec"),
+        (F.col("failed") / F.col("_seconds")).alias("errors_per_sec"),
     )
 
 
@@ -69,7 +77,13 @@ def latency_quantiles(
         for i, bound in enumerate(bounds)
     ]
     counted = _per_window(
-        log, window, by, F.count("duration_s").alias("requests"), *bound_counts, watermark=watermark
+        log,
+        window,
+        by,
+        F.count("duration_s").alias("requests"),
+        F.max("duration_s").alias("most"),
+        *bound_counts,
+        watermark=watermark,
     )
     return counted.select(
         "window_start",
@@ -87,7 +101,8 @@ def _histogram_quantile(q: float, bounds: tuple[float, ...]) -> Column:
         lower = bounds[i - 1] if i else 0.0
         inside = (wanted - below) / F.nullif(F.col(f"le_{i}") - below, F.lit(0.0))
         chain = chain.when(F.col(f"le_{i}") >= wanted, F.lit(lower) + F.lit(bound - lower) * inside)
-    return chain.otherwise(F.lit(bounds[-1]))
+    below, lower = F.col(f"le_{len(bounds) - 1}"), F.lit(bounds[-1])
+    return chain.otherwise(lower + (F.col("most") - lower) * (wanted - below) / (F.col("requests") - below))
 
 
 def latency_percentiles(
@@ -95,10 +110,28 @@ def latency_percentiles(
     *by: str,
     window: str = QUALITY_WINDOW,
     quantiles: tuple[float, ...] = QUANTILES,
-    accuracy: int = 10_000,
 ) -> DataFrame:
-    """Percentiles of the durations themselves, from a sketch of bounded size per group."""
-    aggregates = [
-        F.percentile_approx("duration_s", q, accuracy).alias(f"p{round(q * 100)}") for q in quantiles
-    ]
-    return _per_window(log, window, by, F.count("duration_s").alias("requests"), *aggregates)
+    """Exact percentiles: the smallest duration that at least that share of a group does not exceed.
+
+    Equal durations are counted first, on the map side too. Running counts come from slices of the
+    order, so that a group of any size is spread over tasks; no group's durations meet in one.
+    """
+    spans = log.select(F.window("ts", window).start.alias("window_start"), *by, "duration_s")
+    group = F.struct("window_start", *by)
+    counted = spans.groupBy("window_start", *by, "duration_s").agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy("window_start", *by).agg(
+        F.coalesce(F.sum(F.when(F.col("duration_s").isNotNull(), F.col("n"))), F.lit(0)).alias("requests")
+    )
+    known = counted.filter(F.col("duration_s").isNotNull()).select(
+        group.alias("span"), "duration_s", "n"
+    )
+    running = sliced_running_sum(known, ["span", "duration_s"], "n", "upto", by="span")
+    of_group = totals.select(group.alias("span"), "window_start", *by, "requests")
+    reached = running.join(of_group.select("span", "requests"), "span")
+    picked = reached.groupBy("span").agg(
+        *[
+            F.min(F.when(F.col("upto") >= F.col("requests") * F.lit(q), F.col("duration_s"))).alias(f"p{round(q * 100)}")
+            for q in quantiles
+        ]
+    )
+    return of_group.join(picked, "span", "left").drop("span")

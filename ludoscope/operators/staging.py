@@ -91,9 +91,8 @@ def _stage_events(events: DataFrame, *derived: Column, needs_game: bool, rename:
 
 
 def stage_purchases(events: DataFrame) -> DataFrame:
-    # Whole micros keep the half cents of 25/50/75 % discounts exact, so they round up as they should.
-    micros = numbers.revenue_micros(F.col("price_usd"), F.col("discount_pct"))
-    net = numbers.ratio_half_up(micros, 1e6, 2)
+    # Whole units keep the half cents of 25/50/75 % discounts exact, so they round up as they should.
+    net = numbers.net_price(F.col("price_usd"), F.col("discount_pct"), 2)
     return _stage_events(events, net.alias("revenue_net_usd"), needs_game=True)
 
 

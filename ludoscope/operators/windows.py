@@ -20,10 +20,10 @@ def _ones(condition: Column) -> Column:
 def measures(topic: str) -> list[Column]:
     """Aggregates of one topic; all of them combine on the map side."""
     if check_topic(topic) == "purchases":
-        micros = numbers.revenue_micros(F.col("price_usd"), F.col("discount_pct"))
+        revenue = numbers.net_sum(F.col("price_usd"), F.col("discount_pct"))
         return [
             F.count(F.lit(1)).alias("num_purchases"),
-            (F.sum(micros) / F.lit(1e6)).alias("revenue_net_usd"),
+            revenue.alias("revenue_net_usd"),
         ]
     if topic == "reviews":
         return [
@@ -72,5 +72,6 @@ def latest_version(versions: DataFrame, *, version: str = "batch_id") -> DataFra
     """
     key = ["window_start", "game_id"]
     rest = [c for c in versions.columns if c not in (*key, version)]
-    # One max_by per column keeps fixed-width buffers, and with them hash aggregation.
-    return versions.groupBy(*key).agg(*[F.max_by(c, version).alias(c) for c in rest])
+    # All columns come from one row, also among equal versions.
+    newest = F.max(F.struct(version, *rest)).alias("newest")
+    return versions.groupBy(*key).agg(newest).select(*key, *[f"newest.{c}" for c in rest])

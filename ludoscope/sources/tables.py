@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,10 +103,54 @@ def full_refresh(
     required: tuple[str, ...] = (),
     as_of: datetime | str | None = None,
 ) -> DataFrame:
-    """Replace ``target`` by one day of a dated source, skipping rows that do not fit ``ddl``."""
-    good, _ = split_rejects(read_dated(spark, root, source, day), ddl, required)
-    with_load_time(good, as_of).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    """Replace ``target`` by one day of a dated source and return the new content.
+
+    Rows that do not fit ``ddl`` are kept beside it (``read_refresh_rejects``). A day that is not there
+    is refused and changes nothing. Each load is written aside, into a folder of its own, and becomes the
+    content when it is complete; a reader of an earlier load is not disturbed.
+    """
+    rows = read_dated(spark, root, source, day)
+    if not rows.take(1):
+        raise ValueError(f"{source} has no rows of {day}; {target} stays as it is")
+    bad = F.col("_problems").isNotNull()
+    checked = with_load_time(judged(rows, ddl, required), as_of).withColumns(
+        {
+            "load": F.lit(_next_load(spark, target)),
+            "status": F.when(bad, "reject").otherwise("good"),
+            "_original": F.when(bad, F.to_json("_original")),
+        }
+    )
+    checked.write.mode("append").partitionBy("load", "status").parquet(target)
+    return read_refreshed(spark, target)
+
+
+def _loads(spark: SparkSession, target: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _next_load(spark: SparkSession, target: str) -> int:
+    loads = _loads(spark, target)
+    return 0 if loads is None else (loads.agg(F.max("load")).first()[0] or 0) + 1
+
+
+def _newest_load(spark: SparkSession, target: str, status: str) -> DataFrame:
+    loads = spark.read.parquet(target)
+    newest = loads.agg(F.max("load")).first()[0]
+    return loads.filter((F.col("load") == newest) & (F.col("status") == status)).drop("load", "status")
+
+
+def read_refreshed(spark: SparkSession, target: str) -> DataFrame:
+    return _newest_load(spark, target, "good").drop("_problems", "_original")
+
+
+def read_refresh_rejects(spark: SparkSession, target: str) -> DataFrame:
+    rejects = _newest_load(spark, target, "reject")
+    return rejects.select(F.col("_original").alias("original"), F.col("_problems").alias("problems"))
 
 
 def nanos_to_timestamp(df: DataFrame, name: str = "window_start") -> DataFrame:
@@ -128,11 +173,14 @@ def load_incremental(
 ) -> None:
     """Load the files that arrived since the last call, each exactly once.
 
-    The checkpoint remembers the loaded files. A batch writes to a folder of its own and replaces
-    it when it is retried, so a lost driver or executor cannot double rows. Good rows and rejects
-    are written in one pass, into the subfolders ``status=good`` and ``status=reject``; a reject
-    keeps its original values as JSON.
+    The checkpoint remembers the loaded files. A batch writes to a folder of its own below the day of
+    the load and replaces it when it is retried, so a lost driver or executor cannot double rows. Good
+    rows and rejects are written in one pass, into the subfolders ``status=good`` and
+    ``status=reject``; a reject keeps its original values as JSON. Without ``as_of`` the load time is
+    the start of this call, so that a batch retried by a later call may lie below another day; readers
+    take the newest copy of a batch.
     """
+    as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
     rows = (
         spark.readStream.schema(source_ddl)
         .option("recursiveFileLookup", True)
@@ -150,7 +198,14 @@ def load_incremental(
     )
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("status").parquet(f"{target}/batch_id={batch_id}")
+        day = F.to_date("_loaded_at")
+        (
+            batch.withColumns({"load_date": day, "batch_id": F.lit(batch_id)})
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("load_date", "batch_id", "status")
+            .parquet(target)
+        )
 
     (
         checked.writeStream.foreachBatch(load_batch)
@@ -161,13 +216,30 @@ def load_incremental(
     )
 
 
-def read_loaded(spark: SparkSession, target: str) -> DataFrame:
-    good = spark.read.parquet(target).filter(F.col("status") == "good")
-    return good.drop("batch_id", "status", "_problems", "_original")
+def _newest_copies(spark: SparkSession, target: str, since: str | None) -> DataFrame:
+    """Loaded rows, of each batch those of the newest day only; ``since`` lists fewer days."""
+    rows = spark.read.option("basePath", target).parquet(days_from(spark, target, "load_date", since))
+    newest = rows.groupBy("batch_id").agg(F.max("load_date").alias("load_date"))  # from folder names
+    return rows.join(newest, ["batch_id", "load_date"], "left_semi")
+
+
+def days_from(spark: SparkSession, root: str, column: str, since: str | None) -> str:
+    """The folders below ``root`` whose ``column`` is a day from ``since`` to tomorrow, as one pattern."""
+    if since is None:
+        return root
+    first, last = date.fromisoformat(since), date.today() + timedelta(days=1)
+    days = [str(first + timedelta(days=k)) for k in range(max(1, (last - first).days + 1))]
+    return f"{root}/{column}={{{','.join(days)}}}"
+
+
+def read_loaded(spark: SparkSession, target: str, since: str | None = None) -> DataFrame:
+    """Good rows, of loads from the day ``since`` on."""
+    good = _newest_copies(spark, target, since).filter(F.col("status") == "good")
+    return good.drop("batch_id", "load_date", "status", "_problems", "_original")
 
 
-def read_rejects(spark: SparkSession, target: str) -> DataFrame:
-    rejects = spark.read.parquet(target).filter(F.col("status") == "reject")
+def read_rejects(spark: SparkSession, target: str, since: str | None = None) -> DataFrame:
+    rejects = _newest_copies(spark, target, since).filter(F.col("status") == "reject")
     return rejects.select(F.col("_original").alias("original"), F.col("_problems").alias("problems"))
 
 

@@ -40,15 +40,27 @@ def check_topic(topic: str) -> str:
     return topic
 
 
-def parse_messages(messages: DataFrame, topic: str, value: str = "value") -> DataFrame:
-    """JSON text in ``value`` -> typed columns; a malformed message becomes a row of NULLs."""
-    parsed = F.from_json(F.col(value).cast("string"), TOPIC_SCHEMAS[check_topic(topic)])
-    return messages.select(parsed.alias("data")).select("data.*")
+RAW = "_raw"  # text of a message that cannot be read
+
+
+def parse_messages(
+    messages: DataFrame, topic: str, value: str = "value", *, keep_raw: bool = False
+) -> DataFrame:
+    """JSON text in ``value`` -> typed columns; a malformed message becomes a row of NULLs.
+
+    ``keep_raw`` adds the text of malformed messages as ``_raw``.
+    """
+    message = F.col(value).cast("string")
+    parsed = F.from_json(message, TOPIC_SCHEMAS[check_topic(topic)])
+    rows = messages.select(parsed.alias("data"), message.alias(RAW)).select("data.*", RAW)
+    if not keep_raw:
+        return rows.drop(RAW)
+    return rows.withColumn(RAW, F.when(is_malformed(rows), F.col(RAW)))
 
 
 def is_malformed(parsed: DataFrame) -> Column:
     """True for the all-NULL rows that unreadable messages leave behind."""
-    return reduce(and_, [F.col(c).isNull() for c in parsed.columns])
+    return reduce(and_, [F.col(c).isNull() for c in parsed.columns if c != RAW])
 
 
 def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +80,8 @@ def read_topic(
     """Streaming rows of one topic, from a message broker or from a folder of JSON-lines files.
 
     ``options`` go to the reader: ``maxOffsetsPerTrigger`` and ``minPartitions`` bound and spread
-    the load of a broker's few partitions, ``maxFilesPerTrigger`` does it for files.
+    the load of a broker's few partitions, ``maxFilesPerTrigger`` does it for files. Messages that
+    cannot be read keep their text in ``_raw``.
     """
     check_topic(topic)
     if bootstrap:
@@ -84,4 +97,4 @@ def read_topic(
         raw = spark.readStream.format("text").options(**(options or {})).load(path)
     else:
         raise ValueError("name either bootstrap servers or a folder")
-    return parse_messages(raw, topic)
+    return parse_messages(raw, topic, keep_raw=True)
