@@ -51,8 +51,8 @@ def _settled(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _stored_games(spark, d):
-    """The games mart, written once for the queries that read it several times."""
-    return stored(fx.games(spark, d), "mart-games")
+    """The games mart as a stored table, which the queries over marts and graph read."""
+    return fx.warehouse(spark, d, "mart-games", fx.games)
 
 
 def _trending(spark, d, lookback_days=marts.LOOKBACK_DAYS, games=None):
@@ -61,7 +61,7 @@ def _trending(spark, d, lookback_days=marts.LOOKBACK_DAYS, games=None):
         as_of=fx.AS_OF,
         lookback_days=lookback_days,
     )
-    mart = marts.mart_trending(games or fx.games(spark, d), activity, lookback_days=lookback_days)
+    mart = marts.mart_trending(games or _stored_games(spark, d), activity, lookback_days=lookback_days)
     return _settled(
         mart, "avg_rating_period", "recommend_pct_period", "avg_session_duration_sec_period"
     )
@@ -69,20 +69,20 @@ def _trending(spark, d, lookback_days=marts.LOOKBACK_DAYS, games=None):
 
 def _reviews(spark, d, games=None):
     mart = marts.mart_review_analysis(
-        games or fx.games(spark, d), fx.staged_windows(spark, d, "reviews", marts.LOOKBACK_DAYS), as_of=fx.AS_OF
+        games or _stored_games(spark, d), fx.staged_windows(spark, d, "reviews", marts.LOOKBACK_DAYS), as_of=fx.AS_OF
     )
     return _settled(mart, "stream_avg_rating_period", "stream_recommend_pct_period")
 
 
 def _sessions(spark, d, games=None):
     return marts.mart_session_analysis(
-        games or fx.games(spark, d), fx.staged_windows(spark, d, "sessions", marts.LOOKBACK_DAYS), as_of=fx.AS_OF
+        games or _stored_games(spark, d), fx.staged_windows(spark, d, "sessions", marts.LOOKBACK_DAYS), as_of=fx.AS_OF
     )
 
 
 def _prices(spark, d, games=None):
     return marts.mart_price_analysis(
-        games or fx.games(spark, d),
+        games or _stored_games(spark, d),
         fx.staged_windows(spark, d, "purchases", PRICE_DAYS),
         as_of=fx.AS_OF,
         hours=PRICE_DAYS * 24,
@@ -90,15 +90,24 @@ def _prices(spark, d, games=None):
 
 
 def _genres(spark, d, games=None):
-    return marts.mart_genre_stats(games or fx.games(spark, d))
+    return marts.mart_genre_stats(games or _stored_games(spark, d))
 
 
 def _publishers(spark, d, games=None):
-    return marts.mart_publisher_stats(games or fx.games(spark, d))
+    return marts.mart_publisher_stats(games or _stored_games(spark, d))
+
+
+def _mart(spark, d, name):
+    """A mart as the daily run leaves it: built once, then read."""
+    builders = {
+        "trending": _trending, "genres": _genres, "publishers": _publishers, "reviews": _reviews,
+        "sessions": _sessions, "prices": _prices, "findings": _findings, "flagged": _flagged,
+    }
+    return fx.warehouse(spark, d, f"mart-{name}", builders[name])
 
 
 def _graph_games(spark, d):
-    return graph.graph_games(fx.games(spark, d))
+    return graph.graph_games(_stored_games(spark, d))
 
 
 def _neighbours(games):
@@ -108,12 +117,12 @@ def _neighbours(games):
 
 def _genre_nodes(spark, d, games):
     edges = graph.edges_genre(graph.graph_games(games))
-    return graph.nodes_genre(graph.graph_genres(_genres(spark, d, games)), edges)
+    return graph.nodes_genre(graph.graph_genres(_mart(spark, d, "genres")), edges)
 
 
-def _publisher_nodes(spark, d, games, top=graph.TOP_PUBLISHERS):
+def _publisher_nodes(spark, d, games):
     edges = graph.edges_publisher(graph.graph_games(games))
-    stats = graph.graph_publishers(_publishers(spark, d, games), top)
+    stats = graph.graph_publishers(_mart(spark, d, "publishers"))
     return graph.nodes_publisher(stats, edges)
 
 
@@ -143,10 +152,10 @@ def _graph_inputs(spark, d):
             F.lit(kind).alias("input"), F.col(name).alias("name"), F.col(owners).alias("owners")
         )
 
-    publishers = graph.graph_publishers(_publishers(spark, d, games), top=10)
+    publishers = graph.graph_publishers(_mart(spark, d, "publishers"))
     return (
         shape(graph.graph_games(games), "game", "game_name", "owners_estimate")
-        .unionByName(shape(graph.graph_genres(_genres(spark, d, games)), "genre", "genre", "total_owners"))
+        .unionByName(shape(graph.graph_genres(_mart(spark, d, "genres")), "genre", "genre", "total_owners"))
         .unionByName(shape(publishers, "publisher", "publisher", "total_owners"))
     )
 
@@ -165,6 +174,12 @@ def _old_edges(games):
     )
 
 
+def _merged_edges(games):
+    """A load without a wipe: fresh edges over those an earlier load left."""
+    fresh = graph.edges_similar(graph.graph_games(games))
+    return graph.merged(_old_edges(games), fresh, "a", "b")
+
+
 def _isolated(games):
     similar = graph.edges_similar(graph.graph_games(games))
     return anomalies.isolated_games(graph.nodes_game(games), similar, **ISOLATED)
@@ -205,17 +220,16 @@ def _loaded(df):
 
 
 def _mart_tables(spark, d):
-    games = _stored_games(spark, d)
     return {
         "igdb_games": fx.catalog_a(spark, d),
         "steamspy_games": fx.catalog_b(spark, d),
-        "mart_games": games,
-        "mart_trending_games": _trending(spark, d, games=games),
-        "mart_genre_stats": _genres(spark, d, games),
-        "mart_publisher_stats": _publishers(spark, d, games),
-        "mart_price_analysis": _prices(spark, d, games),
-        "mart_review_analysis": _reviews(spark, d, games),
-        "mart_session_analysis": _sessions(spark, d, games),
+        "mart_games": _stored_games(spark, d),
+        "mart_trending_games": _mart(spark, d, "trending"),
+        "mart_genre_stats": _mart(spark, d, "genres"),
+        "mart_publisher_stats": _mart(spark, d, "publishers"),
+        "mart_price_analysis": _mart(spark, d, "prices"),
+        "mart_review_analysis": _mart(spark, d, "reviews"),
+        "mart_session_analysis": _mart(spark, d, "sessions"),
     }
 
 
@@ -233,13 +247,12 @@ def _node_keys(spark, d):
 
 
 def _home(spark, d):
-    games = _stored_games(spark, d)
     return dashboard.home_kpis(
         {
-            "games": games,
-            "trending": _trending(spark, d, games=games),
-            "graph_anomalies": _findings(spark, d, games),
-            "stream_anomalies": _flagged(spark, d),
+            "games": _stored_games(spark, d),
+            "trending": _mart(spark, d, "trending"),
+            "graph_anomalies": _mart(spark, d, "findings"),
+            "stream_anomalies": _mart(spark, d, "flagged"),
         }
     )
 
@@ -271,12 +284,12 @@ def _part_texts(spark, d):
     )
 
 
-def _parsed_pages(spark, d):
-    records = catalogs.explode_pages(fx.raw_pages_b(spark, d))
+def _parsed_pages(pages):
+    records = catalogs.explode_pages(pages)
     return records.select("page", "appid", "name", "developer", "publisher", "owners", "price", "positive", "negative", "genre")
 
 
-def _enriched(spark, d):
+def _enriched(spark, d, first=500):
     b = fx.catalog_b(spark, d)
     key = F.col("p_partkey")
     details = fx.table(spark, d, "part").select(
@@ -285,7 +298,7 @@ def _enriched(spark, d):
         F.when(key % 2 == 0, "English, French").alias("languages"),
         F.lit(None).cast("string").alias("genre"),
     )
-    return normalize.enrich_details(b, details, first=500).select("appid", "tags", "languages", "genre")
+    return normalize.enrich_details(b, details, first=first).select("appid", "tags", "languages", "genre")
 
 
 # -- the contract ----------------------------------------------------------------------------------
@@ -306,15 +319,27 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     s["catalog_top_rated"] = lambda k, d: catalogs.top_rated(
         catalogs.parse_catalog_a(fx.raw_records_a(k, d)), 500
     ).select("id", "name", "rating", "rating_count")
-    s["catalog_pages_explode"] = _parsed_pages
+    s["catalog_rated"] = lambda k, d: catalogs.top_rated(
+        catalogs.parse_catalog_a(fx.raw_records_a(k, d))
+    ).select("id", "name", "rating", "rating_count")
+    s["catalog_pages_explode"] = lambda k, d: _parsed_pages(fx.raw_pages_b(k, d))
+    s["catalog_pages_with_bad"] = lambda k, d: _parsed_pages(fx.damaged_pages_b(k, d)).select("page", "appid")
+    s["catalog_page_rejects"] = lambda k, d: catalogs.rejected_pages(fx.damaged_pages_b(k, d))
     s["write_dated"] = fx.rewritten_day
     s["load_agg_incremental"] = fx.loaded_windows
     s["load_events_incremental"] = lambda k, d: fx.loaded_events(k, d, "purchases")
+    for topic in ("reviews", "sessions", "wishlist"):
+        s[f"load_events_incremental_{topic}"] = lambda k, d, t=topic: fx.loaded_events(k, d, t)
     s["load_catalog_full_refresh"] = fx.refreshed_catalog
     s["load_rejects"] = fx.rejected_events
     s["load_audit_counts"] = lambda k, d: tables.audit_counts(
-        {f"STREAM_{t.upper()}": fx.topic(k, d, t) for t in topics.TOPICS}
+        {
+            "IGDB_GAMES": fx.catalog_a(k, d),
+            "STEAMSPY_GAMES": fx.catalog_b(k, d),
+            **{f"STREAM_{t.upper()}": fx.topic(k, d, t) for t in topics.TOPICS},
+        }
     )
+    s["message_rejects"] = fx.unreadable_messages
     s["graph_inputs"] = _graph_inputs
 
     # Catalogue normalisation
@@ -334,12 +359,15 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p_partkey", text.tags_to_string(F.col("tags")).alias("tags")
     )
     s["enrich_details"] = _enriched
+    s["enrich_details_all"] = lambda k, d: _enriched(k, d, None)
 
     # Windows, at the length the stream uses and as streams
     for topic in topics.TOPICS:
         s[f"win_{topic}"] = lambda k, d, t=topic: fx.windows(k, d, t, windows.WINDOW)
         s[f"stream_{topic}"] = lambda k, d, t=topic: fx.streamed_windows(k, d, t)
     s["raw_events"] = lambda k, d: fx.streamed_raw(k, d, "sessions")
+    for topic in ("purchases", "reviews", "wishlist"):
+        s[f"raw_events_{topic}"] = lambda k, d, t=topic: fx.streamed_raw(k, d, t)
     s["agg_latest_version"] = lambda k, d: windows.latest_version(fx.update_mode_versions(k, d))
 
     # Staging
@@ -360,11 +388,11 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     # Marts
     s["mart_games"] = fx.games
-    s["mart_games_dedupe"] = lambda k, d: fx.games(k, d, dedupe=True)
-    s["popularity_score"] = lambda k, d: fx.games(k, d).select(
+    s["mart_games_all_records"] = lambda k, d: fx.games(k, d, dedupe=False)
+    s["popularity_score"] = lambda k, d: _stored_games(k, d).select(
         "steam_app_id", "igdb_id", "popularity_score", "popularity_tier"
     )
-    s["popularity_tier"] = lambda k, d: fx.games(k, d).groupBy("popularity_tier").agg(
+    s["popularity_tier"] = lambda k, d: _stored_games(k, d).groupBy("popularity_tier").agg(
         F.count(F.lit(1)).alias("num_games"),
         F.min("popularity_score").alias("lowest"),
         F.max("popularity_score").alias("highest"),
@@ -379,39 +407,45 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     # Graph
     s["nodes_genre"] = lambda k, d: _genre_nodes(k, d, _stored_games(k, d))
-    s["nodes_publisher"] = lambda k, d: _publisher_nodes(k, d, _stored_games(k, d), top=10)
-    s["nodes_game"] = lambda k, d: graph.nodes_game(fx.games(k, d))
+    s["nodes_publisher"] = lambda k, d: _publisher_nodes(k, d, _stored_games(k, d))
+    s["nodes_game"] = lambda k, d: graph.nodes_game(_stored_games(k, d))
     s["split_csv"] = lambda k, d: _graph_games(k, d).select(
-        "steam_app_id", F.explode(text.split_csv(F.col("tags"), graph.TAGS_PER_GAME)).alias("tag")
+        "steam_app_id", F.explode(text.split_csv(F.col("tags"))).alias("tag")
     )
     for kind in ("genre", "developer", "publisher", "platform", "theme", "tag", "similar"):
         s[f"edges_{kind}"] = lambda k, d, build=getattr(graph, f"edges_{kind}"): build(_graph_games(k, d))
-    s["nodes_other"] = lambda k, d: _other_nodes(fx.games(k, d))
+    s["nodes_other"] = lambda k, d: _other_nodes(_stored_games(k, d))
     s["graph_stats"] = _graph_stats
     s["anom_publisher_dominance"] = lambda k, d: _dominance(_stored_games(k, d))
     s["anom_isolated"] = lambda k, d: _isolated(_stored_games(k, d))
     s["anom_inconsistency"] = lambda k, d: _inconsistent(_stored_games(k, d))
+    s["graph_merged"] = lambda k, d: _merged_edges(_stored_games(k, d))
     s["kg_anomalies"] = lambda k, d: fx.stored_findings(k, d, _findings(k, d))
-    s["anomaly_summary"] = lambda k, d: anomalies.summary(_findings(k, d))
+    s["anomaly_summary"] = lambda k, d: anomalies.summary(_mart(k, d, "findings"))
     s["similar_games"] = lambda k, d: _neighbours(_stored_games(k, d))
 
     # Read queries
     s["q_games"] = lambda k, d: reports.list_games(
-        fx.games(k, d), min_owners=100, genre="econ", tier="mid"
+        _stored_games(k, d), min_owners=100, genre="econ", tier="mid"
     )
-    s["q_game"] = lambda k, d: reports.get_game(fx.games(k, d), GAME_ID)
-    s["q_genres"] = lambda k, d: reports.list_genres(_genres(k, d), 4)
-    s["q_publishers"] = lambda k, d: reports.list_publishers(_publishers(k, d), 20)
-    s["q_trending"] = lambda k, d: reports.list_trending(_trending(k, d), only_anomalies=True)
-    s["q_stream_anomalies"] = lambda k, d: reports.stream_anomalies(_flagged(k, d), 200)
+    s["q_game"] = lambda k, d: reports.get_game(_stored_games(k, d), GAME_ID)
+    s["q_genres"] = lambda k, d: reports.list_genres(_mart(k, d, "genres"), 4)
+    s["q_publishers"] = lambda k, d: reports.list_publishers(_mart(k, d, "publishers"), 20)
+    s["q_trending"] = lambda k, d: reports.list_trending(_mart(k, d, "trending"), only_anomalies=True)
+    s["q_stream_anomalies"] = lambda k, d: reports.stream_anomalies(_mart(k, d, "flagged"), 200)
     s["q_graph_anomalies"] = lambda k, d: reports.graph_anomalies(
-        _findings(k, d), anomaly_type="isolated_game", severity="High", limit=20
+        _mart(k, d, "findings"), anomaly_type="isolated_game", severity="High", limit=20
     )
-    s["q_reviews"] = lambda k, d: reports.review_report(_reviews(k, d))
-    s["q_sessions"] = lambda k, d: reports.session_report(_sessions(k, d))
-    s["q_prices"] = lambda k, d: reports.price_report(_prices(k, d))
+    s["q_reviews"] = lambda k, d: reports.review_report(_mart(k, d, "reviews"))
+    s["q_sessions"] = lambda k, d: reports.session_report(_mart(k, d, "sessions"))
+    s["q_prices"] = lambda k, d: reports.price_report(_mart(k, d, "prices"))
     s["live_state"] = fx.live
     s["live_state_stream"] = lambda k, d: fx.streamed_live(k, d, "purchases")
+    for topic in ("reviews", "sessions", "wishlist"):
+        s[f"live_state_stream_{topic}"] = lambda k, d, t=topic: fx.streamed_live(k, d, t)
+    s["live_hash"] = lambda k, d: live.as_hash(fx.live(k, d)).select(
+        "key", *[F.element_at("data", name).alias(name) for name in ("game_id", "num_purchases", "num_reviews", "num_starts", "net_added")]
+    )
     s["q_live_stat"] = lambda k, d: live.live_stat(fx.live(k, d), "purchases", PLAYED_GAME_ID)
     s["q_live_all"] = lambda k, d: live.live_all(fx.live(k, d), "reviews", 50)
     s["hist_purchases"] = _history(0, "hour", 14)
@@ -424,20 +458,20 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     s["kpi_live"] = lambda k, d: dashboard.live_kpis(fx.live(k, d))
     s["kpi_pulse"] = lambda k, d: dashboard.live_pulse(fx.live(k, d))
     s["top_n_live"] = lambda k, d: dashboard.live_top(fx.live(k, d))
-    s["anomaly_type_counts"] = lambda k, d: dashboard.anomaly_type_counts(_flagged(k, d))
-    s["severity_kpis"] = lambda k, d: dashboard.severity_kpis(_findings(k, d))
-    s["anomaly_hierarchy"] = lambda k, d: dashboard.anomaly_hierarchy(_findings(k, d))
-    s["genre_totals"] = lambda k, d: dashboard.genre_totals(_genres(k, d))
+    s["anomaly_type_counts"] = lambda k, d: dashboard.anomaly_type_counts(_mart(k, d, "flagged"))
+    s["severity_kpis"] = lambda k, d: dashboard.severity_kpis(_mart(k, d, "findings"))
+    s["anomaly_hierarchy"] = lambda k, d: dashboard.anomaly_hierarchy(_mart(k, d, "findings"))
+    s["genre_totals"] = lambda k, d: dashboard.genre_totals(_mart(k, d, "genres"))
     s["hist_kpis"] = lambda k, d: dashboard.history_kpis(*_histories(k, d))
-    s["trending_podium"] = lambda k, d: dashboard.trending_podium(_trending(k, d))
-    s["top_trending"] = lambda k, d: dashboard.top_trending(_trending(k, d))
-    s["top_genres"] = lambda k, d: dashboard.top_genres(_genres(k, d))
+    s["trending_podium"] = lambda k, d: dashboard.trending_podium(_mart(k, d, "trending"))
+    s["top_trending"] = lambda k, d: dashboard.top_trending(_mart(k, d, "trending"))
+    s["top_genres"] = lambda k, d: dashboard.top_genres(_mart(k, d, "genres"))
 
     # Data quality
     s["dq_not_null"] = lambda k, d: quality.check_not_null(_mart_tables(k, d))
     s["dq_unique"] = lambda k, d: quality.check_unique(_mart_tables(k, d))
     s["dq_accepted_values"] = lambda k, d: quality.check_accepted_values(
-        {"mart_games": fx.games(k, d)}, {("mart_games", "popularity_tier"): ("superstar", "hit", "mid")}
+        {"mart_games": _stored_games(k, d)}
     )
     s["dq_node_keys"] = _node_keys
 

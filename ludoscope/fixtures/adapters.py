@@ -19,7 +19,7 @@ from ..operators.windows import aggregate_windows
 from ..plans import anomalies, marts
 from ..session import prepare, shared_folder
 from ..sources import tables
-from ..sources.topics import TOPIC_SCHEMAS, TOPICS
+from ..sources.topics import RAW, TOPIC_SCHEMAS, TOPICS, is_malformed, parse_messages
 from ..streaming import jobs, sinks
 
 AS_OF = "2024-01-31 00:00:00"
@@ -277,6 +277,19 @@ def games(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     )
 
 
+_warehouse: dict[tuple[str, str, str], str] = {}
+
+
+def warehouse(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table that is built from ``sf_dir`` once in an application and read back from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _warehouse:
+        path = shared_folder(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _warehouse[key] = path
+    return spark.read.parquet(_warehouse[key])
+
+
 def raw_records_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested catalogue A records as JSON text in ``value``."""
 
@@ -337,6 +350,20 @@ def raw_pages_b(spark: SparkSession, sf_dir: str, page_size: int = 100) -> DataF
     )
 
 
+def damaged_pages_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, every fifth from page 2 on cut short in transit."""
+    cut = F.col("page") % 5 == 2
+    return raw_pages_b(spark, sf_dir, 10).select(
+        "page", F.when(cut, F.concat(F.lit("cut "), "page")).otherwise(F.col("body")).alias("body")
+    )
+
+
+def unreadable_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the purchase messages that cannot be parsed."""
+    parsed = parse_messages(messages(spark, sf_dir, "purchases"), "purchases", keep_raw=True)
+    return parsed.filter(is_malformed(parsed)).select(F.col(RAW).alias("message"))
+
+
 # -- stored tables and streams ---------------------------------------------------------------------
 
 
@@ -346,7 +373,7 @@ def update_mode_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topic(spark, sf_dir, "purchases").select("*", arrived)
     per_batch = rows.groupBy(F.window("event_time", DAY).alias("span"), "game_id", "batch_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(numbers.revenue_micros(F.col("price_usd"), F.col("discount_pct"))).alias("micros"),
+        F.sum(numbers.net_units(F.col("price_usd"), F.col("discount_pct"))).alias("units"),
     )
     so_far = Window.partitionBy("span", "game_id").orderBy("batch_id")
     return per_batch.select(
@@ -354,7 +381,7 @@ def update_mode_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "game_id",
         "batch_id",
         F.sum("n").over(so_far).alias("num_purchases"),
-        (F.sum("micros").over(so_far) / F.lit(1e6)).alias("revenue_net_usd"),
+        (F.sum("units").over(so_far) / F.lit(1e10)).alias("revenue_net_usd"),
     )
 
 

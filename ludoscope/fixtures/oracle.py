@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from ..functions.labels import POPULARITY_TIERS
+
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 # Games the single-game queries look up: in the catalogue, with neighbours, with events.
 GAME_ID, LINKED_GAME_ID, PLAYED_GAME_ID = 300, 114, 510
@@ -201,11 +203,11 @@ def _games_from(a: str) -> str:
         FROM stg_b b LEFT JOIN {a} a ON lower(trim(b.game_name)) = lower(trim(a.game_name))))"""
 
 
-_PARTS["games"] = _games_from("stg_a")
+_PARTS["games_all"] = _games_from("stg_a")
 _PARTS["best_a"] = """
     SELECT * FROM stg_a
     QUALIFY row_number() OVER (PARTITION BY lower(trim(game_name)) ORDER BY rating_count DESC NULLS LAST, game_id) = 1"""
-_PARTS["games_dedupe"] = _games_from("best_a")
+_PARTS["games"] = _games_from("best_a")
 
 _AUDIENCE = f"""CAST(count(*) AS BIGINT) AS num_games, CAST(sum(owners_estimate) AS BIGINT) AS total_owners,
         {_mean_of("owners_estimate", 0, 0)} AS avg_owners,
@@ -316,10 +318,12 @@ _PARTS["named"] = """
         popularity_score, review_score FROM games WHERE game_name <> ''"""
 
 
-def _linked(column: str, rel_type: str, cap: int | None = None) -> str:
-    items = f"list_filter(list_transform(string_split({column}, ','), lambda x: trim(x)), lambda x: x <> '')"
-    if cap:
-        items = f"list_slice({items}, 1, {cap})"
+def _items(column: str) -> str:
+    return f"list_filter(list_transform(string_split({column}, ','), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _linked(column: str, rel_type: str) -> str:
+    items = _items(column)
     return f"""
     SELECT DISTINCT src_id, dst, '{rel_type}' AS rel_type
     FROM (SELECT steam_app_id AS src_id, unnest({items}) AS dst FROM named)"""
@@ -331,13 +335,12 @@ _PARTS["e_developer"] = _linked("developer", "DEVELOPED_BY")
 _PARTS["e_publisher"] = _linked("publisher", "PUBLISHED_BY")
 _PARTS["e_platform"] = _linked("platforms", "AVAILABLE_ON")
 _PARTS["e_theme"] = _linked("themes", "HAS_THEME")
-_PARTS["e_tag"] = _linked("tags", "TAGGED_WITH", 3)
+_PARTS["e_tag"] = _linked("tags", "TAGGED_WITH")
 for _name, _score in (("similar", "popularity_score"), ("old", "review_score")):
     _PARTS[f"pool_{_name}"] = f"""
     SELECT genre, steam_app_id AS id, CAST(round({_score} * 100) AS BIGINT) AS s,
         row_number() OVER (PARTITION BY genre ORDER BY {_score} DESC, steam_app_id) AS rn
-    FROM named WHERE genre <> '' AND {_score} <> 0
-    QUALIFY rn <= 20"""
+    FROM named WHERE genre <> '' AND {_score} <> 0"""
     _PARTS[f"e_{_name}"] = f"""
     SELECT a, b, similarity_score, genre FROM (
         SELECT x.id AS a, y.id AS b, x.genre,
@@ -363,7 +366,7 @@ _PARTS["n_publisher"] = """
     SELECT name, market_share_pct, "rank", num_games, total_owners, avg_review_score, num_distinct_genres
     FROM (SELECT publisher AS name, coalesce(market_share_games_pct, 0e0) AS market_share_pct,
             rank_by_owners AS "rank", num_games, total_owners, coalesce(avg_review_score, 0e0) AS avg_review_score,
-            num_distinct_genres FROM publisher_stats WHERE rank_by_owners <= 10)
+            num_distinct_genres FROM publisher_stats)
     FULL OUTER JOIN (SELECT DISTINCT dst AS name FROM e_publisher) USING (name)"""
 _PARTS["n_other"] = """
     SELECT DISTINCT 'Developer' AS label, dst AS name FROM e_developer
@@ -381,8 +384,7 @@ _PARTS["dominance"] = f"""
         FROM (SELECT g.dst AS genre, p.dst AS publisher, count(*) AS held
               FROM e_publisher p JOIN e_genre g USING (src_id) GROUP BY 1, 2)
         JOIN (SELECT dst AS genre, count(*) AS total FROM e_genre GROUP BY 1) USING (genre)
-        WHERE held >= 3 AND 100 * held > 5 * total
-        ORDER BY pct DESC, publisher, genre LIMIT 50)"""
+        WHERE held >= 3 AND 100 * held > 5 * total)"""
 _PARTS["isolated"] = """
     SELECT 'isolated_game' AS anomaly_type, name AS entity_name, 'Game' AS entity_type,
         CAST(NULL AS VARCHAR) AS related_entity,
@@ -391,8 +393,7 @@ _PARTS["isolated"] = """
         popularity_score AS metric_value, CASE WHEN popularity_score > 50 THEN 'High' ELSE 'Medium' END AS severity
     FROM n_game
     WHERE owners_estimate > 100 AND popularity_score > 20
-        AND steam_app_id NOT IN (SELECT a FROM e_similar UNION ALL SELECT b FROM e_similar)
-    ORDER BY popularity_score DESC, steam_app_id LIMIT 100"""
+        AND steam_app_id NOT IN (SELECT a FROM e_similar UNION ALL SELECT b FROM e_similar)"""
 _PARTS["inconsistent"] = f"""
     SELECT 'sales_inconsistency' AS anomaly_type, an AS entity_name, 'Game' AS entity_type, bn AS related_entity,
         an || ' (score:' || sa || ') vs ' || bn || ' (score:' || sb || ') - ' || printf('%.1f', ratio)
@@ -404,8 +405,7 @@ _PARTS["inconsistent"] = f"""
             {_round("greatest(sa, sb) / least(sa, sb)", 1)} AS ratio
         FROM e_old e JOIN n_game x ON e.a = x.steam_app_id JOIN n_game y ON e.b = y.steam_app_id
         WHERE x.popularity_score > 0 AND y.popularity_score > 0
-            AND greatest(x.popularity_score, y.popularity_score) / least(x.popularity_score, y.popularity_score) > 3
-        ORDER BY ratio DESC, e.a, e.b LIMIT 50)"""
+            AND greatest(x.popularity_score, y.popularity_score) / least(x.popularity_score, y.popularity_score) > 3)"""
 _PARTS["findings"] = """
     SELECT * FROM dominance UNION ALL SELECT * FROM isolated UNION ALL SELECT * FROM inconsistent"""
 
@@ -602,6 +602,17 @@ def statements() -> dict[str, str]:
         SELECT p_partkey AS id, p_name AS name, CAST(p_partkey % 100 AS DOUBLE) + 0.5e0 AS rating,
             CAST(p_partkey % 500 AS INTEGER) AS rating_count
         FROM part WHERE p_partkey % 7 <> 0 ORDER BY rating DESC, id LIMIT 500"""
+    sql["catalog_rated"] = """
+        SELECT p_partkey AS id, p_name AS name, CAST(p_partkey % 100 AS DOUBLE) + 0.5e0 AS rating,
+            CAST(p_partkey % 500 AS INTEGER) AS rating_count
+        FROM part WHERE p_partkey % 7 <> 0"""
+    sql["catalog_pages_with_bad"] = """
+        SELECT CAST(p_partkey // 10 AS INTEGER) AS page, p_partkey AS appid FROM part WHERE p_partkey // 10 % 5 <> 2"""
+    sql["catalog_page_rejects"] = """
+        SELECT DISTINCT CAST(p_partkey // 10 AS INTEGER) AS page, 'cut ' || (p_partkey // 10) AS body
+        FROM part WHERE p_partkey // 10 % 5 = 2"""
+    sql["message_rejects"] = """
+        SELECT '{"event_id":' AS message FROM purchases WHERE CAST(event_id AS BIGINT) % 101 = 0"""
     sql["catalog_pages_explode"] = """
         SELECT CAST(p_partkey // 100 AS INTEGER) AS page, p_partkey AS appid, p_name AS name,
             'Studio ' || (p_partkey % 40) AS developer, p_brand AS publisher,
@@ -616,6 +627,8 @@ def statements() -> dict[str, str]:
     sql["load_agg_incremental"] = f"""
         SELECT *, {AS_OF} AS _loaded_at FROM day_purchases WHERE game_id % 10 <> 3"""
     sql["load_events_incremental"] = f"SELECT *, {AS_OF} AS _loaded_at FROM purchases"
+    for t in ("reviews", "sessions", "wishlist"):
+        sql[f"load_events_incremental_{t}"] = f"SELECT *, {AS_OF} AS _loaded_at FROM {t}"
     sql["load_catalog_full_refresh"] = f"SELECT *, {AS_OF} AS _loaded_at FROM cat_b"
     sql["load_rejects"] = """
         SELECT event_id, CASE WHEN bad_game THEN '??' ELSE CAST(game_id AS VARCHAR) END AS game_id,
@@ -624,13 +637,14 @@ def statements() -> dict[str, str]:
         FROM (SELECT *, CAST(event_id AS BIGINT) % 89 = 0 AS bad_game, CAST(event_id AS BIGINT) % 83 = 0 AS bad_price
               FROM purchases)
         WHERE bad_game OR bad_price"""
+    audited = {"IGDB_GAMES": "cat_a", "STEAMSPY_GAMES": "cat_b", **{f"STREAM_{t.upper()}": t for t in TOPICS}}
     sql["load_audit_counts"] = " UNION ALL ".join(
-        f"SELECT 'STREAM_{t.upper()}' AS tbl, CAST(count(*) AS BIGINT) AS n_rows FROM {t}" for t in TOPICS
+        f"SELECT '{name}' AS tbl, CAST(count(*) AS BIGINT) AS n_rows FROM {t}" for name, t in audited.items()
     )
     sql["graph_inputs"] = """
         SELECT 'game' AS input, game_name AS name, owners_estimate AS owners FROM games WHERE game_name <> ''
         UNION ALL SELECT 'genre', genre, total_owners FROM genre_stats
-        UNION ALL SELECT 'publisher', publisher, total_owners FROM publisher_stats WHERE rank_by_owners <= 10"""
+        UNION ALL SELECT 'publisher', publisher, total_owners FROM publisher_stats"""
 
     # Catalogue normalisation
     sql["flatten_catalog_a"] = """
@@ -667,12 +681,16 @@ def statements() -> dict[str, str]:
             CASE WHEN appid < 500 AND appid % 2 = 0 THEN 'English, French' ELSE languages END AS languages, genre
         FROM cat_b JOIN part ON appid = p_partkey"""
 
+    sql["enrich_details_all"] = sql["enrich_details"].replace("appid < 500 AND ", "")
+
     # Windows
     for t in TOPICS:
         sql[f"win_{t}"] = f"SELECT * FROM short_{t}"
         sql[f"stream_{t}"] = f"SELECT * FROM day_{t}"
         sql[f"stg_{t}_agg"] = f"SELECT * FROM staged_{t}"
     sql["raw_events"] = "SELECT * FROM sessions"
+    for t in ("purchases", "reviews", "wishlist"):
+        sql[f"raw_events_{t}"] = f"SELECT * FROM {t}"
     sql["agg_latest_version"] = "SELECT * FROM day_purchases"
 
     # Staging
@@ -690,7 +708,7 @@ def statements() -> dict[str, str]:
 
     # Marts
     sql["mart_games"] = "SELECT * FROM games"
-    sql["mart_games_dedupe"] = "SELECT * FROM games_dedupe"
+    sql["mart_games_all_records"] = "SELECT * FROM games_all"
     sql["popularity_score"] = "SELECT steam_app_id, igdb_id, popularity_score, popularity_tier FROM games"
     sql["popularity_tier"] = """
         SELECT popularity_tier, count(*) AS num_games, min(popularity_score) AS lowest, max(popularity_score) AS highest
@@ -707,9 +725,7 @@ def statements() -> dict[str, str]:
     sql["nodes_genre"] = "SELECT * FROM n_genre"
     sql["nodes_publisher"] = "SELECT * FROM n_publisher"
     sql["nodes_game"] = "SELECT * FROM n_game"
-    sql["split_csv"] = """
-        SELECT steam_app_id, unnest([trim(split_part(tags, ',', 1)), trim(split_part(tags, ',', 2)),
-            trim(split_part(tags, ',', 3))]) AS tag FROM named"""
+    sql["split_csv"] = f"SELECT steam_app_id, unnest({_items('tags')}) AS tag FROM named"
     for kind in ("genre", "developer", "publisher", "platform", "theme", "tag", "similar"):
         sql[f"edges_{kind}"] = f"SELECT * FROM e_{kind}"
     sql["nodes_other"] = "SELECT * FROM n_other"
@@ -726,6 +742,8 @@ def statements() -> dict[str, str]:
     sql["anom_publisher_dominance"] = "SELECT * FROM dominance"
     sql["anom_isolated"] = "SELECT * FROM isolated"
     sql["anom_inconsistency"] = "SELECT * FROM inconsistent"
+    sql["graph_merged"] = """
+        SELECT * FROM e_similar UNION ALL SELECT * FROM e_old WHERE (a, b) NOT IN (SELECT (a, b) FROM e_similar)"""
     sql["kg_anomalies"] = f"SELECT *, {AS_OF} AS _loaded_at FROM findings"
     sql["anomaly_summary"] = "SELECT anomaly_type, severity, count(*) AS n FROM findings GROUP BY 1, 2"
     sql["similar_games"] = """
@@ -772,9 +790,13 @@ def statements() -> dict[str, str]:
     )
     sql["q_prices"] = "SELECT * FROM price_analysis"
     sql["live_state"] = "SELECT * FROM live"
-    sql["live_state_stream"] = """
-        SELECT 'purchases' AS topic, game_id, window_start, num_purchases, revenue_net_usd FROM day_purchases
+    for t in TOPICS:
+        sql["live_state_stream" if t == "purchases" else f"live_state_stream_{t}"] = f"""
+        SELECT '{t}' AS topic, day_{t}.* FROM day_{t}
         QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY window_start DESC) = 1"""
+    fields = ("game_id", "num_purchases", "num_reviews", "num_starts", "net_added")
+    columns = ", ".join(f"CAST({f} AS VARCHAR) AS {f}" for f in fields)
+    sql["live_hash"] = f"SELECT 'stat:' || topic || ':' || game_id AS key, {columns} FROM live"
     sql["q_live_stat"] = "SELECT * FROM live WHERE topic = 'purchases' AND game_id = {played}"
     sql["q_live_all"] = "SELECT * FROM live WHERE topic = 'reviews' ORDER BY topic, game_id LIMIT 50"
     sql["hist_purchases"] = _history("purchases", "hour", 14, _HISTORY_MEASURES["purchases"])
@@ -784,10 +806,10 @@ def statements() -> dict[str, str]:
 
     # Dashboard
     sql["kpi_home"] = """
-        SELECT 'games' AS kpi, least(count(*), 500) AS n FROM games
-        UNION ALL SELECT 'trending', least(count(*), 200) FROM trending
-        UNION ALL SELECT 'graph_anomalies', least(count(*), 500) FROM findings
-        UNION ALL SELECT 'stream_anomalies', least(count(*), 200) FROM flagged"""
+        SELECT 'games' AS kpi, count(*) AS n FROM games
+        UNION ALL SELECT 'trending', count(*) FROM trending
+        UNION ALL SELECT 'graph_anomalies', count(*) FROM findings
+        UNION ALL SELECT 'stream_anomalies', count(*) FROM flagged"""
     sql["kpi_live"] = _LIVE_TOTALS
     sql["kpi_pulse"] = f"""
         SELECT unnest(['Purchases', 'Reviews', 'Sessions', 'Wishlist']) AS topic,
@@ -840,7 +862,9 @@ def statements() -> dict[str, str]:
     sql["dq_accepted_values"] = """
         SELECT 'accepted_values' AS check_name, 'mart_games' AS table_name, 'popularity_tier' AS column_name,
             count(*) AS failures
-        FROM games WHERE popularity_tier NOT IN ('superstar', 'hit', 'mid')"""
+        FROM games WHERE popularity_tier NOT IN ({tiers})""".format(
+        tiers=", ".join(f"'{t}'" for t in POPULARITY_TIERS)
+    )
     sql["dq_node_keys"] = _check(
         "unique",
         {
