@@ -86,9 +86,10 @@ def test_flatten_nested_record(spark, tmp_path):
 def test_top_rated_skips_unrated_and_breaks_ties(spark):
     df = frame(spark, "id bigint, rating double", [(3, 9.0), (1, 9.0), (2, None), (4, 10.0)])
     assert column(catalogs.top_rated(df, 2), "id", F.col("rating").desc()) == [4, 1]
+    assert rows(catalogs.top_rated(df).select("id")) == [(1,), (3,), (4,)]
 
 
-def test_pages_stop_at_first_empty_one(spark, tmp_path):
+def test_all_pages_count(spark, tmp_path):
     pages = {
         0: {"10": {"name": "ten", "tags": {"a": 1}, "positive": 3, "negative": 1, "price": "999"}},
         1: {"20": {"name": "twenty", "tags": ["b"], "owners": "0 .. 20,000"}, "bad": {"name": "no id"}},
@@ -99,16 +100,18 @@ def test_pages_stop_at_first_empty_one(spark, tmp_path):
         (tmp_path / f"{number}.json").write_text(json.dumps(page))
     raw = catalogs.read_catalog_b_pages(spark, str(tmp_path))
     records = catalogs.explode_pages(raw)
-    assert sorted(rows(records.select("page", "appid")), key=str) == [(0, 10), (1, 20), (1, None)]
+    assert sorted(rows(records.select("page", "appid")), key=str) == [(0, 10), (1, 20), (1, None), (3, 30)]
+    assert catalogs.rejected_pages(raw).count() == 0
     assert catalogs.explode_pages(raw, max_pages=1).count() == 1
     flat = {r.appid: r for r in normalize.flatten_catalog_b(records).collect()}
     assert (flat[10].review_score, flat[10].price_usd, flat[10].tags, flat[10].ccu) == (75.0, 9.99, "a", 0)
     assert (flat[20].review_score, flat[20].owners_estimate, flat[20].tags) == (None, 10_000, "b")
 
 
-def test_unreadable_page_ends_the_list(spark):
+def test_unreadable_page_is_set_apart(spark):
     pages = frame(spark, "page int, body string", [(0, '{"1": {"name": "a"}}'), (1, "<html>"), (2, '{"2": {}}')])
-    assert rows(catalogs.explode_pages(pages).select("appid")) == [(1,)]
+    assert rows(catalogs.explode_pages(pages).select("appid")) == [(1,), (2,)]
+    assert rows(catalogs.rejected_pages(pages)) == [(1, "<html>")]
 
 
 def test_enrich_details_overwrites_only_with_values(spark):

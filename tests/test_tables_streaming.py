@@ -54,10 +54,23 @@ def test_updates_collapse_to_the_batch_result(spark, tmp_path):
     batch = aggregate_windows(topics.parse_messages(spark.read.text(folder), "wishlist"), "wishlist")
     final = sinks.read_history(spark, root, "wishlist", since="2024-01-01")
     assert rows(final, "window_start", "game_id") == rows(batch, "window_start", "game_id")
-    sinks.compact_history(spark, root, "wishlist", str(tmp_path / "final"))
-    sinks.compact_history(spark, root, "wishlist", str(tmp_path / "final"))
-    assert spark.read.parquet(str(tmp_path / "final")).drop("date").exceptAll(final).count() == 0
-    assert spark.read.parquet(str(tmp_path / "final")).count() == final.count()
+    want = rows(final, "window_start", "game_id")
+    assert sinks.compacted_upto(spark, root, "wishlist") is None
+    sinks.compact_history(spark, root, "wishlist")
+    sinks.compact_history(spark, root, "wishlist")
+    done = sinks.compacted_upto(spark, root, "wishlist")
+    assert done == versions.agg(F.max("batch_id")).first()[0]
+    assert rows(sinks.read_history(spark, root, "wishlist"), "window_start", "game_id") == want
+    # A later batch changes one window and adds another.
+    drop_file(folder, 4, [wish(8, 32), wish(9, 61)])
+    run(spark, folder, root, progress)
+    batch = aggregate_windows(topics.parse_messages(spark.read.text(folder), "wishlist"), "wishlist")
+    want = rows(batch, "window_start", "game_id")
+    assert rows(sinks.read_history(spark, root, "wishlist"), "window_start", "game_id") == want
+    sinks.compact_history(spark, root, "wishlist")
+    assert sinks.compacted_upto(spark, root, "wishlist") > done
+    assert rows(sinks.read_history(spark, root, "wishlist", since="2024-01-01"), "window_start", "game_id") == want
+    assert sinks.read_history(spark, root, "wishlist", since="2024-01-01").count() == len(want)
 
 
 def test_late_rows(spark, tmp_path):
@@ -80,6 +93,7 @@ def test_retried_batch_replaces_its_rows(spark, tmp_path):
     for _ in range(2):
         both(batch, 7)
     assert spark.read.parquet(sinks.history_path(root, "wishlist")).count() == 2
+    assert spark.read.parquet(sinks.live_path(root, "wishlist")).count() == 1
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     entries = sinks.read_live(spark, root, "wishlist", as_of=now)
     state = live_state({"wishlist": entries}, as_of=now)
@@ -88,6 +102,51 @@ def test_retried_batch_replaces_its_rows(spark, tmp_path):
     assert not batch.is_cached
 
 
+def test_a_live_batch_retried_after_the_hour_turns_leaves_one_copy(spark, tmp_path, monkeypatch):
+    ddl = "window_start timestamp, game_id int, num_added bigint, num_removed bigint, net_added bigint"
+    batch = frame(spark, ddl, [(datetime(2024, 1, 1), 1, 1, 0, 1)])
+
+    class Clock(datetime):
+        at = datetime(2024, 1, 1, 0, 59, 59, tzinfo=timezone.utc)
+
+        @classmethod
+        def now(cls, tz=None):
+            return cls.at
+
+    monkeypatch.setattr(sinks, "datetime", Clock)
+    writer = sinks.live_writer(str(tmp_path), "wishlist")
+    writer(batch, 7)
+    Clock.at = datetime(2024, 1, 1, 1, 0, 5, tzinfo=timezone.utc)
+    writer(batch, 7)
+    entries = sinks.read_live(spark, str(tmp_path), "wishlist", as_of=datetime(2024, 1, 1, 1, 0, 5))
+    assert [(r["game_id"], r["updated_at"]) for r in entries.collect()] == [(1, datetime(2024, 1, 1, 1, 0, 5))]
+
+
+def test_reading_some_days_lists_only_their_folders(spark, tmp_path):
+    ddl = "window_start timestamp, game_id int, num_added bigint, num_removed bigint, net_added bigint"
+    days = [datetime(2024, 1, d) for d in range(1, 9)]
+    sinks.history_writer(str(tmp_path), "wishlist")(frame(spark, ddl, [(d, 1, 1, 0, 1) for d in days]), 0)
+    files = sinks._versions(spark, sinks.history_path(str(tmp_path), "wishlist"), "2024-01-07").inputFiles()
+    assert len(files) == 2 and all("date=2024-01-07" in f or "date=2024-01-08" in f for f in files)
+
+
+def test_a_refresh_by_an_absent_day_changes_nothing(spark, tmp_path):
+    root, target = str(tmp_path / "dated"), str(tmp_path / "table")
+    tables.write_dated(frame(spark, "x string", [("1",), ("one",)]), root, "s", "2024-01-01")
+    got = tables.full_refresh(spark, root, "s", "2024-01-01", "x INT", target, required=("x",), as_of="2024-01-31")
+    assert rows(got.select("x")) == [(1,)]
+    assert [(r.original, r.problems) for r in tables.read_refresh_rejects(spark, target).collect()] == [('{"x":"one"}', "x")]
+    try:
+        tables.full_refresh(spark, root, "s", "2024-01-02", "x INT", target)
+        raise AssertionError("no error")
+    except ValueError:
+        pass
+    assert rows(tables.read_refreshed(spark, target).select("x")) == [(1,)]
+    tables.write_dated(frame(spark, "x string", [("2",)]), root, "s", "2024-01-02")
+    tables.full_refresh(spark, root, "s", "2024-01-02", "x INT", target, as_of="2024-01-31")
+    assert rows(tables.read_refreshed(spark, target).select("x")) == [(2,)]
+
+
 def test_combine_releases_the_batch_when_a_sink_fails(spark):
     batch = spark.range(3).toDF("x")
 
@@ -109,7 +168,9 @@ def test_raw_copy_keeps_events_and_sets_rejects_apart(spark, tmp_path):
     jobs.start_raw(stream, "wishlist", root, progress, trigger=NOW).awaitTermination()
     raw = sinks.read_raw(spark, root, "wishlist")
     assert rows(raw.select("event_id", F.col("date").cast("string"))) == [("1", "2024-01-01"), ("2", "2024-01-02")]
-    assert sinks.read_raw(spark, root, "wishlist", "reject").count() == 1
+    rejects = sinks.read_raw(spark, root, "wishlist", "reject")
+    assert [r["_raw"] for r in rejects.collect()] == ["{broken"]
+    assert rows(sinks.read_raw(spark, root, "wishlist", since="2024-01-02").select("event_id")) == [("2",)]
 
 
 def test_eight_standing_queries(spark, tmp_path):
@@ -167,6 +228,7 @@ def test_incremental_load_takes_each_file_once(spark, tmp_path):
     assert got == [(datetime(2024, 1, 1, 12, 0, 0, 123_456), 1), (datetime(2024, 1, 1, 12, 0, 0, 123_456), 3)]
     rejects = {r.problems: r.original for r in tables.read_rejects(spark, target).collect()}
     assert set(rejects) == {"game_id", "window_start"} and '"game_id":"one"' in rejects["game_id"]
+    assert tables.read_loaded(spark, target, since="2024-01-31").count() == 2
 
 
 def test_dated_write_replaces_one_day_and_ignores_empty(spark, tmp_path):

@@ -135,6 +135,18 @@ def test_session_report_completion_may_exceed_100(spark):
     assert (row.completion_rate_pct, row.peak_starts_in_window_period, row.avg_session_duration_min_period) == (200.0, 2, 1.0)
 
 
+def test_revenue_keeps_small_and_long_prices(spark):
+    df = frame(spark, "event_time timestamp, game_id int, price_usd double, discount_pct int",
+               [(T, 1, 0.00004, 0), (T, 2, 1.23456789, 50), (T, 3, -2.5, 20), (T, 4, 5.0, None), (T, 5, 9e8, 0)])
+    got = rows(windows.aggregate_windows(df, "purchases").select("game_id", "revenue_net_usd"), "game_id")
+    assert [r[1] for r in got] == [0.00004, 0.617283945, -2.0, None, 9e8]
+
+
+def test_latest_version_takes_all_columns_from_one_row(spark):
+    versions = frame(spark, "window_start timestamp, game_id int, a int, b int, batch_id int", [(T, 1, 1, 9, 7), (T, 1, 2, 8, 7)])
+    assert rows(windows.latest_version(versions)) == [(T, 1, 2, 8)]
+
+
 def test_latest_version_equals_batch(spark):
     versions = frame(spark, "window_start timestamp, game_id int, num_purchases bigint, revenue_net_usd double, batch_id int",
                      [(T, 1, 1, 1.0, 0), (T, 1, 5, None, 2), (T, 1, 3, 2.0, 1), (T, 2, 1, 1.0, 10)])
