@@ -85,25 +85,23 @@ def _levels(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     )
     levels, messages = [], state.count()
     while True:
-        waiting = state.where("up is not null").count()
-        if not waiting or 1 << len(levels) > messages:
+        waiting = state.where("up is not null")
+        if not waiting.take(1) or 1 << len(levels) > messages:
             break
-        levels.append(state.where("up is not null").select("tree", "node", "up"))
+        levels.append(waiting.select("tree", "node", "up"))
         above = state.select(
             F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"),
             F.col("depth").alias("more"), F.col("total").alias("plus"),
         )
-        step = state.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        state = stored(
-            step.select(
-                "tree",
-                "node",
-                F.col("next").alias("up"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"),
-            ),
-            "jumps",
+        # Messages that have reached their root take no further part; the ancestor of the others is there.
+        step = waiting.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select(
+            "tree",
+            "node",
+            F.col("next").alias("up"),
+            (F.col("depth") + F.col("more")).alias("depth"),
+            (F.col("total") + F.col("plus")).alias("total"),
         )
+        state = stored(state.where("up is null").unionByName(step), "jumps")
     return levels, state.where("up is null").select("tree", "node", "depth", "total")
 
 
