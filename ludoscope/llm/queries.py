@@ -21,7 +21,7 @@ from .url_filter import judge_urls
 from .vector_duplicates import near_duplicate_vectors
 
 GOOD_FROM = 0.3  # quality from which a document passes
-TOXIC_FROM = 0.1  # probability from which a document counts as toxic: a miss weighs more than a false alarm
+TOXIC_FROM = 0.3  # probability from which a document counts as toxic: a miss weighs more than a false alarm
 
 
 def _held_out(remainder: int) -> Column:

@@ -77,7 +77,7 @@ def plain_scores(pages):
         from math import floor
 
         bins = sorted({max(-1000, min(1000, floor(s * 100))) for s in goods + bads})
-        at = [max(-1000, min(1000, floor(score(u) * 100))) for u, _ in pages]
+        at = [max(-1000, min(1000, floor(score(u) * 100))) for _, u in pages]
         best = max(
             ((sum(floor(g * 100) >= b for g in goods) / len(goods) + sum(floor(x * 100) < b for x in bads) / len(bads), -abs(b), b) for b in set(at) | set(bins))
         )
