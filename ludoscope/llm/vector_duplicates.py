@@ -19,6 +19,8 @@ from .components import components
 
 BITS, TABLES = 16, 40  # a pair at cosine 0.95 shares no bucket with probability 3e-4
 BLOCK = 512
+SMALL = 32  # rows of a block up to which pairs are compared by shifting rows
+CHUNK = 8192  # rows of the blocks that one call compares
 
 _planes: dict[int, np.ndarray] = {}
 
@@ -79,52 +81,72 @@ def _bucket_rows(batches):
             )
 
 
+def _near_pairs(vectors: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs a < b of one block whose unit vectors reach the cosine; blocks are runs of rows."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    block = np.repeat(np.arange(len(starts)), sizes)
+    small = np.repeat(sizes <= SMALL, sizes)
+    for shift in range(1, min(SMALL, sizes.max(initial=0))):
+        a = np.flatnonzero(small[:-shift] & (block[:-shift] == block[shift:]))
+        near = np.einsum("ij,ij->i", vectors[a], vectors[a + shift]) >= cosine
+        out.append((a[near], a[near] + shift))
+    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+        part = vectors[start : start + size]
+        a, b = np.nonzero(np.triu(part @ part.T >= cosine, 1))
+        out.append((a + start, b + start))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _compare(cosine: float):
-    """One block: (class, links, other) with the multiplicities linked to a class and an edge to its group.
+    """Many blocks: (class, links, other) with the multiplicities linked to a class and an edge to its group.
 
     A pair counts in the first table in which it shares a bucket, so in one block only.
     """
 
-    def run(group: pa.Table) -> pa.Table:
-        slot, length = group.column("slot")[0].as_py(), group.column("length")[0].as_py()
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        side = group.column("side").to_numpy()
-        order = np.argsort(side != low, kind="stable")
-        group, side = group.take(pa.array(order)), side[order]
-        classes, copies = group.column("class").to_numpy(), group.column("copies").to_numpy()
-        vectors = _matrix(group.column("vector").combine_chunks(), length)
+    def of_one_length(part: pa.Table, length: int) -> list[np.ndarray]:
+        names = ("slot", "bucket", "low", "high", "side")
+        keys = [part.column(c).to_numpy().astype(np.int64) for c in names]
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        slot, _, low, high, side = keys
+        begins = np.ones(len(order), bool)
+        begins[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys[:4]])
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(starts, len(order)))
+        classes, copies = part.column("class").to_numpy()[order], part.column("copies").to_numpy()[order]
+        raw = _matrix(part.column("vector").combine_chunks(), length)[order]
         # Divided by the largest component first, so that no square overflows or vanishes.
-        vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-        vectors = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-        near = vectors @ vectors.T >= cosine
-        np.fill_diagonal(near, False)
-        if low != high:
-            near &= side[:, None] != side[None, :]
-        a, b = np.nonzero(np.triu(near))
-        if slot:
-            buckets = _buckets(vectors)[:, :slot]
-            fresh = np.concatenate(
-                [~(buckets[a[k : k + 4096]] == buckets[b[k : k + 4096]]).any(axis=1) for k in range(0, len(a), 4096)]
-                or [np.zeros(0, bool)]
-            )
-            a, b = a[fresh], b[fresh]
-        links = np.bincount(a, copies[b], len(classes)) + np.bincount(b, copies[a], len(classes))
-        group_of = np.arange(len(classes))
+        unit = raw / np.abs(raw).max(axis=1, keepdims=True)
+        unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        a, b = _near_pairs(unit, starts, sizes, cosine)
+        across = (low[a] == high[a]) | (side[a] != side[b])
+        a, b = a[across], b[across]
+        fresh = np.ones(len(a), bool)
+        for k in range(0, len(a), 4096):
+            rows, at = np.unique(np.concatenate([a[k : k + 4096], b[k : k + 4096]]), return_inverse=True)
+            buckets = _buckets(raw[rows])
+            x, y = buckets[at[: len(at) // 2]], buckets[at[len(at) // 2 :]]
+            fresh[k : k + 4096] = (x == y).argmax(axis=1) == slot[a[k : k + 4096]]
+        a, b = a[fresh], b[fresh]
+        links = np.bincount(a, copies[b], len(order)) + np.bincount(b, copies[a], len(order))
+        group = np.arange(len(order))
         while len(a):
-            least = np.minimum(group_of[a], group_of[b])
-            if (group_of[a] == least).all() and (group_of[b] == least).all():
+            least = np.minimum(group[a], group[b])
+            if (group[a] == least).all() and (group[b] == least).all():
                 break
-            np.minimum.at(group_of, group_of[a], least)
-            np.minimum.at(group_of, group_of[b], least)
-            group_of = group_of[group_of]
+            np.minimum.at(group, group[a], least)
+            np.minimum.at(group, group[b], least)
+            group = group[group]
         some = np.flatnonzero(links)
-        return pa.table(
-            {
-                "class": pa.array(classes[some]),
-                "links": pa.array(links[some].astype(np.int64)),
-                "other": pa.array(classes[group_of[some]]),
-            }
-        )
+        return [classes[some], links[some].astype(np.int64), classes[group[some]]]
+
+    def run(chunk: pa.Table) -> pa.Table:
+        lengths = chunk.column("length").to_numpy()
+        found = [
+            of_one_length(chunk.take(pa.array(np.flatnonzero(lengths == length))), int(length))
+            for length in np.unique(lengths)
+        ]
+        return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], names=["class", "links", "other"])
 
     return run
 
@@ -164,12 +186,18 @@ def near_duplicate_vectors(
     dealt = members.withColumn("side", F.pmod(F.xxhash64("class"), count)).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
     )
-    blocks = dealt.select(
-        "class", *keys, "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high")
-    ).join(classes.select("class", "copies", "vector"), "class")
+    blocks = stored(
+        dealt.select(
+            "class", *keys, "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high")
+        ),
+        "blocks",
+    )
+    # Blocks are dealt into chunks of about CHUNK rows; a block has at most two sides of about BLOCK rows.
+    chunks = max(1, -(-blocks.count() // CHUNK))
+    chunk = F.pmod(F.xxhash64(*keys, "low", "high"), F.lit(chunks)).alias("chunk")
+    whole = blocks.select("*", chunk).join(classes.select("class", "copies", "vector"), "class")
     found = stored(
-        blocks.groupBy(*keys, "low", "high").applyInArrow(_compare(cosine), "class long, links long, other long"),
-        "links",
+        whole.groupBy("chunk").applyInArrow(_compare(cosine), "class long, links long, other long"), "links"
     )
     parts = components(found, "class", "other")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
