@@ -365,6 +365,7 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for topic in topics.TOPICS:
         s[f"win_{topic}"] = lambda k, d, t=topic: fx.windows(k, d, t, windows.WINDOW)
         s[f"stream_{topic}"] = lambda k, d, t=topic: fx.streamed_windows(k, d, t)
+        s[f"stream_late_{topic}"] = lambda k, d, t=topic: fx.streamed_deliveries(k, d, t)
     s["raw_events"] = lambda k, d: fx.streamed_raw(k, d, "sessions")
     for topic in ("purchases", "reviews", "wishlist"):
         s[f"raw_events_{topic}"] = lambda k, d, t=topic: fx.streamed_raw(k, d, t)

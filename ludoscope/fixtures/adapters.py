@@ -85,12 +85,13 @@ def topic_from_events(events: DataFrame, topic: str, since: str | None = None) -
             "helpful_votes": (event_id % 20).cast("int"),
         }
     elif topic == "sessions":
-        kind = F.when(started, "session_start").otherwise("session_end")
+        beat = ~started & (event_id % 5 == 0)
+        kind = F.when(started, "session_start").when(beat, "session_heartbeat").otherwise("session_end")
         head["session_id"] = F.concat(F.lit("s"), user_id.cast("string"))
         body = {
             "platform": F.when(started, _numbered("platform", user_id, 3)),
             "device": F.when(started, _numbered("device", user_id, 2)),
-            "duration_seconds": F.when(~started, F.floor(F.col("value") * 60).cast("int")),
+            "duration_seconds": F.when(~started & ~beat, F.floor(F.col("value") * 60).cast("int")),
         }
     else:
         kind, body = F.lit("wishlist_update"), {
@@ -404,6 +405,35 @@ def run_aggregate_stream(spark: SparkSession, sf_dir: str, name: str) -> str:
     return root
 
 
+LATE_BEFORE = "2024-01-10"
+
+
+def late_events(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A topic's events with ``drop``, the delivery they come in: three periods, then some events of the first."""
+    rows = topic(spark, sf_dir, name)
+    early = F.col("event_time") < F.lit(LATE_BEFORE).cast("timestamp")
+    late = early & (F.col("event_id").cast("bigint") % 50 == 0)
+    later = F.col("event_time") < F.lit("2024-01-20").cast("timestamp")
+    return rows.withColumn("drop", F.when(late, 3).when(early, 0).when(later, 1).otherwise(2))
+
+
+def streamed_deliveries(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Four deliveries in four micro-batches; the last brings events of windows that are long closed."""
+    session = stream_session(spark)
+    source, root, checkpoints = (shared_folder(spark, p) for p in ("drops", "stream", "progress"))
+    rows = late_events(spark, sf_dir, name)
+    files = 2  # of each delivery
+    for drop in range(4):
+        part = rows.filter(F.col("drop") == drop).drop("drop")
+        part.repartitionByRange(files, "event_id").write.mode("append").parquet(source)
+    events = session.readStream.schema(rows.drop("drop").schema).option("maxFilesPerTrigger", files).parquet(source)
+    query = jobs.start_aggregate(
+        events, name, root, checkpoints, window=DAY, trigger={"availableNow": True}
+    )
+    query.awaitTermination()
+    return sinks.read_history(spark, root, name)
+
+
 def streamed_windows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sinks.read_history(spark, run_aggregate_stream(spark, sf_dir, name), name)
 

@@ -71,11 +71,11 @@ _PARTS["reviews"] = f"""
     FROM ev WHERE event_type = 'view'"""
 _PARTS["sessions"] = f"""
     SELECT {_TOPIC_HEAD.format(
-        kind="CASE event_type WHEN 'signup' THEN 'session_start' ELSE 'session_end' END",
+        kind="CASE WHEN event_type = 'signup' THEN 'session_start' WHEN event_id % 5 = 0 THEN 'session_heartbeat' ELSE 'session_end' END",
         extra="'s' || user_id AS session_id, ")},
         CASE event_type WHEN 'signup' THEN 'platform_' || (user_id % 3) END AS platform,
         CASE event_type WHEN 'signup' THEN 'device_' || (user_id % 2) END AS device,
-        CASE event_type WHEN 'error' THEN CAST(floor(value * 60) AS INTEGER) END AS duration_seconds
+        CASE WHEN event_type = 'error' AND event_id % 5 <> 0 THEN CAST(floor(value * 60) AS INTEGER) END AS duration_seconds
     FROM ev WHERE event_type IN ('signup', 'error')"""
 _PARTS["wishlist"] = f"""
     SELECT {_TOPIC_HEAD.format(kind="'wishlist_update'", extra="")},
@@ -103,6 +103,9 @@ for _t, _m in _MEASURES.items():
     _PARTS[f"day_{_t}"] = f"""
     SELECT CAST(date_trunc('day', event_time) AS TIMESTAMP) AS window_start, game_id, {_m}
     FROM {_t} GROUP BY 1, 2"""
+    _PARTS[f"intime_{_t}"] = f"""
+    SELECT CAST(date_trunc('day', event_time) AS TIMESTAMP) AS window_start, game_id, {_m}
+    FROM {_t} WHERE NOT (event_time < TIMESTAMP '2024-01-10' AND CAST(event_id AS BIGINT) % 50 = 0) GROUP BY 1, 2"""
 
 _FLAGS = {
     "purchases": f"""{_mean("CAST(round(revenue_net_usd * 1e6) AS BIGINT)", "num_purchases", 6, 2)} AS avg_price_per_purchase,
@@ -687,6 +690,7 @@ def statements() -> dict[str, str]:
     for t in TOPICS:
         sql[f"win_{t}"] = f"SELECT * FROM short_{t}"
         sql[f"stream_{t}"] = f"SELECT * FROM day_{t}"
+        sql[f"stream_late_{t}"] = f"SELECT * FROM intime_{t}"
         sql[f"stg_{t}_agg"] = f"SELECT * FROM staged_{t}"
     sql["raw_events"] = "SELECT * FROM sessions"
     for t in ("purchases", "reviews", "wishlist"):
