@@ -218,18 +218,27 @@ def load_incremental(
 
 def _newest_copies(spark: SparkSession, target: str, since: str | None) -> DataFrame:
     """Loaded rows, of each batch those of the newest day only; ``since`` lists fewer days."""
-    rows = spark.read.option("basePath", target).parquet(days_from(spark, target, "load_date", since))
+    rows = read_days(spark, target, "load_date", since)
     newest = rows.groupBy("batch_id").agg(F.max("load_date").alias("load_date"))  # from folder names
     return rows.join(newest, ["batch_id", "load_date"], "left_semi")
 
 
-def days_from(spark: SparkSession, root: str, column: str, since: str | None) -> str:
-    """The folders below ``root`` whose ``column`` is a day from ``since`` to tomorrow, as one pattern."""
+def read_days(spark: SparkSession, root: str, column: str, since: str | None = None) -> DataFrame:
+    """Rows below ``root``, or those whose ``column`` is a day from ``since`` to tomorrow.
+
+    With ``since`` only the folders of these days are listed, by a pattern of their names.
+    """
+    whole = spark.read.option("basePath", root)
     if since is None:
-        return root
+        return whole.parquet(root)
     first, last = date.fromisoformat(since), date.today() + timedelta(days=1)
     days = [str(first + timedelta(days=k)) for k in range(max(1, (last - first).days + 1))]
-    return f"{root}/{column}={{{','.join(days)}}}"
+    try:
+        return whole.parquet(f"{root}/{column}={{{','.join(days)}}}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return whole.parquet(root).filter(F.col(column) >= F.lit(since).cast("date"))  # no row
 
 
 def read_loaded(spark: SparkSession, target: str, since: str | None = None) -> DataFrame:
