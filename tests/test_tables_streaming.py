@@ -127,6 +127,7 @@ def test_reading_some_days_lists_only_their_folders(spark, tmp_path):
     days = [datetime(2024, 1, d) for d in range(1, 9)]
     sinks.history_writer(str(tmp_path), "wishlist")(frame(spark, ddl, [(d, 1, 1, 0, 1) for d in days]), 0)
     files = sinks._versions(spark, sinks.history_path(str(tmp_path), "wishlist"), "2024-01-07").inputFiles()
+    assert sinks.read_history(spark, str(tmp_path), "wishlist", since="2024-02-01").count() == 0
     assert len(files) == 2 and all("date=2024-01-07" in f or "date=2024-01-08" in f for f in files)
 
 
