@@ -166,10 +166,11 @@ def _prune_pairs(percent: int, bounds: np.ndarray):
 
 
 def _prune_block(percent: int, bounds: np.ndarray):
-    """One block of a band: pairs of classes of different components that survive.
+    """One block of a band: its classes in surviving pairs of different components, and their partners.
 
     Two sets share at most the smaller of their numbers of shared shingles. A pair that already met in an
-    earlier band is left to that band's block.
+    earlier band is left to that band's block, and it is listed with one of its classes. So a block
+    returns a row for each of its classes at most, however many pairs it has.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -181,7 +182,7 @@ def _prune_block(percent: int, bounds: np.ndarray):
         signatures = _matrix(group.column("signature").combine_chunks())
         left = np.flatnonzero(side == low)
         right = left if low == high else np.flatnonzero(side == high)
-        out_a, out_b = [], []
+        partners: dict[int, np.ndarray] = {}
         for i in left:
             others = right[right > i] if low == high else right
             enough = (100 + percent) * np.minimum(shared[others], shared[i]) >= percent * (n[others] + n[i])
@@ -189,16 +190,59 @@ def _prune_block(percent: int, bounds: np.ndarray):
             others = others[_alive(np.broadcast_to(signatures[i], (len(others), HASHES)), signatures[others], bounds)]
             same = (signatures[others] == signatures[i]).reshape(-1, BANDS, ROWS).all(axis=2)
             first = _band_keys(signatures[i], same.argmax(axis=1))
-            others = others[first == band]
-            out_a.append(np.full(len(others), classes[i]))
-            out_b.append(classes[others])
-        empty = [np.zeros(0, np.int64)]
-        a, b = np.concatenate(out_a or empty), np.concatenate(out_b or empty)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if (first == band).any():
+                partners[i] = others[first == band]
+        listed = sorted({*partners, *(int(k) for found in partners.values() for k in found)})
+        return pa.table(
+            {
+                "band": pa.array([band] * len(listed), pa.int64()),
+                "low": pa.array([low] * len(listed), pa.int64()),
+                "high": pa.array([high] * len(listed), pa.int64()),
+                "class": pa.array(classes[listed], pa.int64()),
+                "component": pa.array(component[listed], pa.int64()),
+                "partners": pa.array([classes[partners[i]] if i in partners else [] for i in listed], pa.list_(pa.int64())),
+            }
+        )
+
+    return run
+
+
+def _confirm_block(percent: int):
+    """One block's listed classes with their full sets: pairs that reach the similarity.
+
+    A pair that pairs found before already connect is passed over.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        classes = group.column("class").to_pylist()
+        root = dict(zip(classes, group.column("component").to_pylist(), strict=True))
+        sets = {c: np.frombuffer(x.as_buffer(), np.uint64) for c, x in zip(classes, group.column("hashes"), strict=True)}
+        joined: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            c = root[c]
+            while c in joined:
+                c = joined[c]
+            return c
+
+        links = []
+        for a, partners in zip(classes, group.column("partners").to_pylist(), strict=True):
+            for b in partners:
+                if top(a) != top(b) and _similar(sets[a], sets[b], percent):
+                    links.append((a, b))
+                    joined[top(a)] = top(b)
+        columns = list(zip(*links, strict=True)) or [[], []]
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
 
     return run
 
 
+def _similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two sets, sorted, reach the similarity."""
+    shared = int(np.isin(u, v, assume_unique=True).sum())
+    return 100 * shared >= percent * (len(u) + len(v) - shared)
+
+
 def _band_keys(signature: np.ndarray, bands: np.ndarray) -> np.ndarray:
     """Keys of the given bands of one signature."""
     parts, keys = signature.reshape(BANDS, ROWS).astype(np.uint64), np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -212,11 +256,10 @@ def _confirm(percent: int):
 
     def run(batches):
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                shared = int(np.isin(u, v, assume_unique=True).sum())
-                linked.append(100 * shared >= percent * (len(u) + len(v) - shared))
+            linked = [
+                _similar(*(np.frombuffer(z.as_buffer(), np.uint64) for z in pair), percent)
+                for pair in zip(batch.column(2), batch.column(3), strict=True)
+            ]
             yield batch.filter(pa.array(linked, pa.bool_())).select([0, 1])
 
     return run
@@ -342,8 +385,13 @@ def near_duplicates(
     able = stored(_able(apart, classes, sets, percent), "able")
     apart = _mixed(stored(apart.join(able.select("class"), "class", "left_semi"), "apart"))
     blocks = _blocks(apart).join(able, "class")
-    pairs = blocks.groupBy("band", "low", "high").applyInArrow(_prune_block(percent, bounds), "a long, b long")
-    more = linked(pairs.distinct()).unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    block = ["band", "low", "high"]
+    listed = blocks.groupBy(*block).applyInArrow(
+        _prune_block(percent, bounds),
+        "band long, low long, high long, class long, component long, partners array<long>",
+    )
+    found = listed.join(sets, "class").groupBy(*block).applyInArrow(_confirm_block(percent), "a long, b long")
+    more = found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
     parts = stored(components(more), "components")
     return _labelled(rows, ids, parts)
 
