@@ -132,9 +132,11 @@ def _plan(rows: DataFrame) -> DataFrame:
     )
     cut = _thresholds(rows, plan.where("extra > 0"))
     same = F.col("p.source").eqNullSafe(F.col("c.source"))
-    return plan.alias("p").join(cut.alias("c"), same, "left").select(
+    whole_plan = plan.alias("p").join(cut.alias("c"), same, "left").select(
         "p.source", "p.source_size", "p.target", "p.whole", F.coalesce("c.threshold", F.lit(0)).alias("threshold")
     )
+    # Stored, so that its size is known when it is joined: a small one is broadcast, and no text is shuffled.
+    return stored(whole_plan, "plan")
 
 
 def mix(
