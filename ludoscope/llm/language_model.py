@@ -1,8 +1,8 @@
 """Language-model scores by online logistic context mixing over bits.
 
 A text is a stream of bytes, lower-cased, and one end symbol; a byte is eight binary decisions. For each
-order from 0 to 4, a hashed context (the bytes before, and the bits already known of this one) has a pair
-of counters of zeros and ones, gathered from all training texts. A decision mixes the log-odds of the five
+order from 0 to 4, a context (the bytes before, and the bits already known of this one) has a pair of
+counters of zeros and ones, gathered from all training texts. A decision mixes the log-odds of the five
 predictors in the logistic domain, with a weight set gated by the highest order that has been seen and by
 the place of the bit. Weights are learnt online, batch after batch over the corpus, each prediction made
 without the occurrence that it predicts; a last table adaptively refines the mixed probability.
@@ -10,14 +10,15 @@ without the occurrence that it predicts; a last table adaptively refines the mix
 When texts are scored, counters, weights and refinement are fixed: a text's score depends on the text and
 the training texts alone, and equal strings of five bytes cost the same everywhere, so each is mixed once.
 
-The counters are a table of fixed size, TABLE_BITS, and so is the list of frequent words; only these are
-handed to every task. Word counts and byte strings are counted over the whole corpus by shuffles, and the
-words beyond the frequent ones are joined.
+The counters are exact and grow with the corpus. Byte strings are counted by a shuffle and kept as a table
+of one row per three bytes of context, which holds all that orders 2 to 4 have to know about its strings; a
+row has at most 65,536 strings. Orders 0 and 1 have at most 65,536 counts and are handed to every task,
+as are the frequent words and the bits of the frequent byte strings; the other words and strings are joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +31,9 @@ from . import bytewords as bw
 from .common import OncePerWorker, stored, with_text_results
 
 ORDERS = 5
-TABLE_BITS = 22  # counters: 2 ** 22 pairs, 32 MB
+TABLE_BITS = 22  # of ``string_bits`` and ``_Scorer`` over a hashed table, which no query uses
 HOT_WORDS = 1 << 18  # frequent words that every task holds, 4 MB; the others are joined
+HOT_STRINGS = 1 << 20  # frequent byte strings whose bits every task holds, 16 MB; the others are joined
 PIECE = 1 << 20
 ROUNDS = 2  # online passes over the corpus
 BATCH = 4096  # byte strings of one online step
@@ -100,11 +102,11 @@ class _Tally:
         )
 
 
-_WORD, _STRING = 0, 1
+_WORD, _STRING, _ASKED = 0, 1, 2
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to counts of word hashes and of five-byte strings."""
+    """Training texts to counts of word hashes and of five-byte strings."""
     tallies = {_WORD: _Tally(), _STRING: _Tally()}
     for batch in batches:
         for i, j, data, offsets in bw.pieces(batch.column(0), PIECE):
@@ -118,6 +120,99 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield tally.take(kind)
 
 
+def _count_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to be scored to counts of their five-byte strings."""
+    tally = _Tally()
+    for batch in batches:
+        for _, _, data, offsets in bw.pieces(batch.column(0), PIECE):
+            tally.add(byte_strings(data, offsets))
+            if tally.full():
+                yield tally.take(_ASKED)
+    yield tally.take(_ASKED)
+
+
+# -- the counters ------------------------------------------------------------------------------------
+
+_CONTEXTS = (1 << 24) - 1
+
+
+def context_table(strings: DataFrame) -> DataFrame:
+    """One row per three bytes of context, from (key, n in training, m to be scored) of all strings.
+
+    ``strings`` has all strings after that context, ``second`` the training counts of the bytes after its
+    last two bytes.
+    """
+    key = F.col("key")
+    rows = strings.groupBy(F.shiftright(key, 8).bitwiseAND(_CONTEXTS).alias("context")).agg(
+        F.sort_array(F.collect_list(F.struct("key", "n", "m"))).alias("strings")
+    )
+    counts = strings.where("n > 0").groupBy(key.bitwiseAND(_CONTEXTS).alias("key")).agg(F.sum("n").alias("n"))
+    second = counts.groupBy(F.shiftright(key, 8).alias("pair")).agg(
+        F.sort_array(F.collect_list(F.struct("key", "n"))).alias("second")
+    )
+    joined = rows.withColumn("pair", F.col("context").bitwiseAND(0xFFFF)).join(second, "pair", "left")
+    return joined.select("strings", "second")
+
+
+def first_counts(strings: DataFrame) -> np.ndarray:
+    """Training counts by a byte and the one before it: at most 65,536 rows."""
+    pairs = strings.where("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n"))
+    table, counts = pairs.toArrow(), np.zeros(1 << 16, np.int64)
+    counts[table.column("key").to_numpy()] = table.column("n").to_numpy()
+    return counts
+
+
+def _upto(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def _on_path(codes: np.ndarray, place: Callable[[np.ndarray], np.ndarray], upto: np.ndarray) -> np.ndarray:
+    """For 0 to 8 leading bits of each code's last byte, the occurrences in the same context that share them.
+
+    ``upto[place(x)]`` is the number of occurrences of codes below x.
+    """
+    out = np.empty((9, len(codes)), np.int64)
+    for bits in range(9):
+        low = codes >> (8 - bits) << (8 - bits)
+        out[bits] = upto[place(low + (1 << (8 - bits)))] - upto[place(low)]
+    return out
+
+
+def path_counts(keys: np.ndarray, n: np.ndarray, second: tuple[np.ndarray, np.ndarray], first: np.ndarray) -> np.ndarray:
+    """Occurrences (order, leading bits, string) on the paths of all strings of some three-byte contexts.
+
+    ``second`` has codes of three bytes and their counts, ``first`` is that of ``first_counts``.
+    """
+    out = np.empty((ORDERS, 9, len(keys)), np.int64)
+    zero = _upto(first.reshape(256, 256).sum(axis=0))
+    out[0] = _on_path(keys & 0xFF, lambda x: x, zero)
+    out[1] = _on_path(keys & 0xFFFF, lambda x: x, _upto(first))
+    codes, at = np.unique(second[0], return_index=True)  # rows of the same two bytes repeat them
+    out[2] = _on_path(keys & _CONTEXTS, lambda x: np.searchsorted(codes, x), _upto(second[1][at]))
+    for order, mask in ((3, (1 << 32) - 1), (4, (1 << 40) - 1)):
+        own = keys & mask
+        by_code = np.argsort(own, kind="stable")
+        ordered, upto = own[by_code], _upto(n[by_code])
+        out[order] = _on_path(own, lambda x, ordered=ordered: np.searchsorted(ordered, x), upto)
+    return out
+
+
+def _strings_of(batches: Iterator[pa.RecordBatch], first: np.ndarray) -> Iterator[tuple]:
+    """(strings, n, m, path counts) of rows of the context table, BATCH strings at most at a time."""
+    for batch in batches:
+        ends = np.concatenate([[0], np.cumsum(batch.column(0).value_lengths().to_numpy())])
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + BATCH, "right")) - 1)
+            part = batch.slice(i, j - i)
+            keys, n, m = (x.to_numpy() for x in part.column(0).flatten().flatten())
+            paths = path_counts(keys, n, tuple(x.to_numpy() for x in part.column(1).flatten().flatten()), first)
+            for k in range(0, len(keys), BATCH):
+                to = slice(k, k + BATCH)
+                yield keys[to].view(np.uint64), n[to], m[to], paths[:, :, to]
+            i = j
+
+
 # -- the mixing model --------------------------------------------------------------------------------
 
 
@@ -142,26 +237,6 @@ def _decisions(strings: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield place, known, (byte >> np.uint64(7 - place)) & np.uint64(1)
 
 
-def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(string, n) to the counters that its occurrences raise: (slot, zeros, ones)."""
-    zeros, ones = np.zeros(1 << TABLE_BITS), np.zeros(1 << TABLE_BITS)
-    for batch in batches:
-        strings, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(float)
-        hashes = _context_hashes(strings)
-        for _, known, bit in _decisions(strings):
-            on = bit.astype(bool)
-            for h in hashes:
-                slots = _slots(h, known)
-                np.add.at(ones, slots[on], n[on])
-                np.add.at(zeros, slots[~on], n[~on])
-    used = np.flatnonzero(zeros + ones)
-    for k in range(0, len(used), 1 << 16):
-        at = used[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(zeros[at]), pa.array(ones[at])], names=["slot", "zeros", "ones"]
-        )
-
-
 @dataclass
 class Mixer:
     """Weight sets, and the refinement: probability of a one by weight set and binned log-odds."""
@@ -180,13 +255,23 @@ def _bin_odds() -> np.ndarray:
     return np.linspace(-9, 9, _BINS)
 
 
-def _inputs(tables, hashes, known, bit=None) -> tuple[np.ndarray, np.ndarray]:
+def _at_place(paths: np.ndarray, place: int, bit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Zeros and ones of each order's context at this decision of the strings with these path counts."""
+    own = paths[:, place + 1].astype(float)
+    other = paths[:, place] - own
+    return [(np.where(bit == 0, a, b), np.where(bit == 1, a, b)) for a, b in zip(own, other, strict=True)]
+
+
+def _hashed(tables: np.ndarray, hashes: list[np.ndarray], known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Zeros and ones of each order's context from a hashed table."""
+    return [(tables[0][at].astype(float), tables[1][at].astype(float)) for at in (_slots(h, known) for h in hashes)]
+
+
+def _inputs(counters, bit=None) -> tuple[np.ndarray, np.ndarray]:
     """Mixer inputs (rows, _INPUTS) and the highest order seen; with ``bit``, one occurrence of it less."""
-    zeros, ones = tables
-    x, seen = np.ones((len(known), _INPUTS)), np.zeros(len(known), np.int64)
-    for k, h in enumerate(hashes):
-        slots = _slots(h, known)
-        a, b = zeros[slots].astype(float), ones[slots].astype(float)
+    rows = len(counters[0][0])
+    x, seen = np.ones((rows, _INPUTS)), np.zeros(rows, np.int64)
+    for k, (a, b) in enumerate(counters):
         if bit is not None:
             a, b = np.maximum(a - (bit == 0), 0), np.maximum(b - (bit == 1), 0)
         total = a + b
@@ -212,27 +297,46 @@ def _probability(mixer: Mixer, x: np.ndarray, sets: np.ndarray) -> np.ndarray:
     return np.clip((mixed + refined) / 2, 1e-6, 1 - 1e-6)
 
 
-def string_bits(strings: np.ndarray, tables, mixer: Mixer) -> np.ndarray:
-    """Bits that the last byte of each string takes after the others."""
-    bits, hashes = np.zeros(len(strings)), _context_hashes(strings)
+def _bits(strings: np.ndarray, counters: Callable, mixer: Mixer) -> np.ndarray:
+    """Bits that the last byte of each string takes, by its ``counters(place, known, bit)``."""
+    bits = np.zeros(len(strings))
     for place, known, bit in _decisions(strings):
-        x, seen = _inputs(tables, hashes, known)
+        x, seen = _inputs(counters(place, known, bit))
         one = _probability(mixer, x, place * ORDERS + seen)
         bits -= np.log2(np.where(bit == 1, one, 1 - one))
     return bits
 
 
+def string_bits(strings: np.ndarray, tables, mixer: Mixer) -> np.ndarray:
+    """Bits that the last byte of each string takes after the others, by a hashed table."""
+    hashes = _context_hashes(strings)
+    return _bits(strings, lambda place, known, bit: _hashed(tables, hashes, known), mixer)
+
+
+def _mix(shared, mixer: Mixer):
+    """Rows of the context table to (string, bits, occurrences) of the strings that are to be scored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for strings, _, m, paths in _strings_of(batches, shared.value):
+            asked = m > 0
+            strings, paths = strings[asked], paths[:, :, asked]
+            bits = _bits(strings, lambda place, known, bit, paths=paths: _at_place(paths, place, bit), mixer)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(strings.view(np.int64)), pa.array(bits), pa.array(m[asked])], names=["key", "bits", "n"]
+            )
+
+    return run
+
+
 def _learn(shared, mixer: Mixer):
     """Online pass over a part of the corpus: its weights and how much each is worth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
         weights = mixer.weights.copy()
         worth = np.tile(np.eye(_INPUTS) * 20.0, (_SETS, 1, 1))
-        for strings, n in _training(batches):
-            hashes = _context_hashes(strings)
-            for place, known, bit in _decisions(strings):
-                x, seen = _inputs(tables, hashes, known, bit)
+        for strings, n, paths in _training(batches, shared.value):
+            for place, _, bit in _decisions(strings):
+                x, seen = _inputs(_at_place(paths, place, bit), bit)
                 for order in range(ORDERS):
                     at = seen == order
                     if not at.any():
@@ -253,11 +357,10 @@ def _refine(shared, mixer: Mixer):
     """Pass over a part of the corpus: ones and all decisions by weight set and bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, sums = shared.value, np.zeros((2, _SETS, _BINS))
-        for strings, n in _training(batches):
-            hashes = _context_hashes(strings)
-            for place, known, bit in _decisions(strings):
-                x, seen = _inputs(tables, hashes, known, bit)
+        sums = np.zeros((2, _SETS, _BINS))
+        for strings, n, paths in _training(batches, shared.value):
+            for place, _, bit in _decisions(strings):
+                x, seen = _inputs(_at_place(paths, place, bit), bit)
                 sets = place * ORDERS + seen
                 low, part = _bins((x * mixer.weights[sets]).sum(axis=1))
                 for at, share in ((low, n * (1 - part)), (low + 1, n * part)):
@@ -268,33 +371,32 @@ def _refine(shared, mixer: Mixer):
     return run
 
 
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, BATCH):
-            part = batch.slice(k, BATCH)
-            yield part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy().astype(float)
+def _training(batches: Iterator[pa.RecordBatch], first: np.ndarray) -> Iterator[tuple]:
+    """(strings, n, path counts) of the training strings."""
+    for strings, n, _, paths in _strings_of(batches, first):
+        taught = n > 0
+        yield strings[taught], n[taught].astype(float), paths[:, :, taught]
 
 
 def _sums(df: DataFrame) -> np.ndarray:
-    """Sum of the arrays of all parts: a few 10 KB from each of at most 16 tasks."""
+    """Sum of the arrays of all parts: some 40 KB from each."""
     return sum(np.frombuffer(r["sums"], float) for r in df.collect())
 
 
-def train_mixer(strings: DataFrame, shared) -> Mixer:
+def train_mixer(contexts: DataFrame, shared) -> Mixer:
     """Learn weights in ROUNDS online passes, averaged over the parts of the corpus, then the refinement."""
-    parts = stored(strings.select("key", "n").repartition(16, F.xxhash64("key")), "strings")
     mixer = Mixer.start()
     for _ in range(ROUNDS):
-        sums = _sums(parts.mapInArrow(_learn(shared, mixer), "sums binary"))
+        sums = _sums(contexts.mapInArrow(_learn(shared, mixer), "sums binary"))
         size = _SETS * _INPUTS * _INPUTS
         worth, moment = sums[:size].reshape(_SETS, _INPUTS, _INPUTS), sums[size:].reshape(_SETS, _INPUTS)
         mixer = Mixer(np.linalg.solve(worth, moment[:, :, None])[:, :, 0], mixer.refined)
-    ones, total = _sums(parts.mapInArrow(_refine(shared, mixer), "sums binary")).reshape(2, _SETS, _BINS)
+    ones, total = _sums(contexts.mapInArrow(_refine(shared, mixer), "sums binary")).reshape(2, _SETS, _BINS)
     return Mixer(mixer.weights, (ones + 2 * mixer.refined) / (total + 2))
 
 
 class _Scorer:
-    """Bits of strings, each mixed once as long as it stays in a table of fixed size."""
+    """Bits of strings by a hashed table, each mixed once as long as it stays in a cache; no query uses it."""
 
     def __init__(self, tables, mixer: Mixer):
         self.tables, self.mixer = tables, mixer
@@ -315,13 +417,50 @@ class _Scorer:
         return out
 
 
+class _Known:
+    """Bits of the frequent strings: from a table of one string per place, the others by search."""
+
+    def __init__(self, hot):
+        self.keys, self.values = hot  # ascending
+        place = self._place(self.keys)
+        self.strings = np.full(1 << _CACHE_BITS, 2**64 - 1, np.uint64)  # no string is that
+        self.bits = np.zeros(1 << _CACHE_BITS)
+        self.strings[place], self.bits[place] = self.keys, self.values
+
+    @staticmethod
+    def _place(strings: np.ndarray) -> np.ndarray:
+        return ((strings * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
+
+    def __call__(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits, 0 where unknown, and which strings are not among the frequent ones."""
+        place = self._place(strings)
+        missing = np.flatnonzero(self.strings[place] != strings)
+        bits, unknown = self.bits[place], np.zeros(len(strings), bool)
+        bits[missing], unknown[missing] = 0.0, True
+        if len(missing) and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, strings[missing]), len(self.keys) - 1)
+            real = self.keys[at] == strings[missing]
+            bits[missing[real]] = self.values[at[real]]
+            unknown[missing[real]] = False
+        return bits, unknown
+
+
 # -- the operator ------------------------------------------------------------------------------------
 
-_scorer = OncePerWorker(_Scorer)
-_FIELDS = "row long, n_tokens long, n_known long, known_sum double, log10_p double, n_bytes long, rare array<long>"
+_known = OncePerWorker(_Known)
+_FIELDS = (
+    "row long, n_tokens long, n_known long, known_sum double, bits double, n_bytes long, rare array<long>, "
+    "rare_strings array<long>"
+)
+
+
+def _lists(values: np.ndarray, owners: np.ndarray, n: int) -> pa.Array:
+    """The values of each of n texts; ``owners`` ascend."""
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.view(np.int64)))
 
 
-def _score(shared, hot, mixer: Mixer):
+def _score(hot, hot_strings):
     counter = [0]  # each task starts from its own copy
 
     def per_piece(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
@@ -338,29 +477,31 @@ def _score(shared, hot, mixer: Mixer):
         else:
             known, logs = np.zeros(len(text), bool), np.zeros(n)
         ends = 0 if end_log is None else 1
-        rare = found.hashes[~known].view(np.int64)
-        rare_bounds = np.concatenate([[0], np.cumsum(np.bincount(text[~known], minlength=n))]).astype(np.int32)
-        bits = np.add.reduceat(_scorer(shared, mixer)(byte_strings(data, offsets)), offsets[:-1] + np.arange(n))
+        strings = byte_strings(data, offsets)
+        firsts = offsets[:-1] + np.arange(n)
+        bits, unknown = _known(hot_strings)(strings)
+        unknown = np.flatnonzero(unknown)
         return [
             pa.array(first + np.arange(n)),
             pa.array(np.diff(found.bounds) + 1),
             pa.array(np.bincount(text[known], minlength=n) + ends),
             pa.array(logs + (end_log or 0.0)),
-            pa.array(-bits * np.log10(2)),
+            pa.array(np.add.reduceat(bits, firsts)),
             pa.array(np.diff(offsets)),
-            pa.ListArray.from_arrays(pa.array(rare_bounds), pa.array(rare)),
+            _lists(found.hashes[~known], text[~known], n),
+            _lists(strings[unknown], np.searchsorted(firsts, unknown, "right") - 1, n),
         ]
 
     return per_piece
 
 
-def _frequent(words: DataFrame) -> DataFrame:
-    """The most frequent words, HOT_WORDS at most: those above a count that a histogram of counts yields."""
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent words or strings, ``most`` of them at most: those above a count that a histogram of counts yields."""
     level = F.floor(F.log2("n") * 8)
     held, least = 0, None
     for row in words.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
         held += row["words"]
-        if held > HOT_WORDS:
+        if held > most:
             break
         least = row["level"]
     return words.where(level >= least) if least is not None else words.limit(0)
@@ -377,35 +518,47 @@ def score_texts(docs: DataFrame, training: DataFrame, text_column: str = "text",
     """
     spark = docs.sparkSession
     texts = training.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    found = texts.mapInArrow(_count, "kind byte, key long, n long").unionByName(
+        docs.select(text_column).mapInArrow(_count_asked, "kind byte, key long, n long")
+    )
+    word = F.col("kind") == _WORD
     counts = stored(
-        texts.mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts"
+        found.groupBy(word.alias("word"), "key").agg(
+            F.coalesce(F.sum(F.when(F.col("kind") != _ASKED, F.col("n"))), F.lit(0)).alias("n"),
+            F.coalesce(F.sum(F.when(F.col("kind") == _ASKED, F.col("n"))), F.lit(0)).alias("m"),
+        ),
+        "counts",
     )
-    words, strings = (counts.where(F.col("kind") == k).select("key", "n") for k in (_WORD, _STRING))
+    words, strings = counts.where("word").select("key", "n"), counts.where("not word").select("key", "n", "m")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = words.where(F.col("key") == 0).agg(F.sum("n")).first()[0]
-    frequent = _frequent(words.where("key <> 0")).toArrow()
+    frequent = _frequent(words.where("key <> 0"), HOT_WORDS).toArrow()
     keys = frequent.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     hot_logs = np.log10(frequent.column("n").to_numpy()[order] + 0.5)
     context = spark.sparkContext
     hot = context.broadcast((keys[order], hot_logs, None if end is None else float(np.log10(end + 0.5))))
 
-    slots = strings.mapInArrow(_counters, "slot int, zeros double, ones double")
-    table = slots.groupBy("slot").agg(F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")).toArrow()
-    tables = np.zeros((2, 1 << TABLE_BITS), np.float32)
-    for k, name in enumerate(("zeros", "ones")):
-        tables[k, table.column("slot").to_numpy()] = table.column(name).to_numpy()
-    del table
-    shared = context.broadcast(tables)
-    mixer = train_mixer(strings, shared) if total else Mixer.start()
+    shared = context.broadcast(first_counts(strings))
+    contexts = stored(context_table(strings), "contexts")
+    mixer = train_mixer(contexts, shared) if total else Mixer.start()
+    bits = stored(contexts.mapInArrow(_mix(shared, mixer), "key long, bits double, n long"), "bits")
+    frequent = _frequent(bits, HOT_STRINGS).toArrow()
+    keys = frequent.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    hot_strings = context.broadcast((keys[order], frequent.column("bits").to_numpy()[order]))
+    del frequent
 
     plain = docs.select(*[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)], F.col(text_column).alias("text"))
     scored = with_text_results(
-        plain, "text", "lm", _FIELDS, _score(shared, hot, mixer), keep_text=False, piece_bytes=PIECE
+        plain, "text", "lm", _FIELDS, _score(hot, hot_strings), keep_text=False, piece_bytes=PIECE
     )
     scored = stored(scored.select(*[F.col(f"carried_{k}") for k in range(len(carry))], "lm.*"), "scores")
     rare = scored.select("row", F.explode("rare").alias("key")).join(words, "key")
     more = rare.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 0.5)).alias("more_sum"))
+    strange = scored.select("row", F.explode("rare_strings").alias("key")).join(bits.select("key", "bits"), "key")
+    more_bits = strange.groupBy("row").agg(F.sum("bits").alias("more_bits"))
+    all_bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
     n_known = F.col("n_known") + F.coalesce("more_known", F.lit(0))
     ends_unknown = F.col("n_tokens") - n_known
     base = (
@@ -414,12 +567,12 @@ def score_texts(docs: DataFrame, training: DataFrame, text_column: str = "text",
         + ends_unknown * float(np.log10(0.5))
         - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))
     )
-    return scored.join(more, "row", "left").select(
+    return scored.join(more, "row", "left").join(more_bits, "row", "left").select(
         *[F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)],
         "n_tokens",
         n_known.alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        F.col("log10_p").alias("score"),
-        (-F.col("log10_p") / float(np.log10(2)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (-all_bits * float(np.log10(2))).alias("score"),
+        (all_bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )

@@ -162,3 +162,38 @@ def test_byte_strings_hold_each_byte_and_end():
     found = lm.byte_strings(data, np.array([0, 0, 4]))
     assert [int(s) & 255 for s in found] == [0xFF, 97, 98, 0xC3, 0xA9, 0xFF]
     assert int(found[2]) == 0xFEFEFE6162
+
+
+def test_path_counts_equal_plain_counting():
+    rng = np.random.default_rng(5)
+    strings = np.unique(rng.integers(97, 101, (300, 5)) @ (1 << np.arange(32, -1, -8)))
+    n = rng.integers(0, 4, len(strings))
+    first, second = np.zeros(1 << 16, np.int64), {}
+    for s, k in zip(strings, n, strict=True):
+        first[s & 0xFFFF] += k
+        second[s & 0xFFFFFF] = second.get(s & 0xFFFFFF, 0) + k
+    both = np.array(list(second) * 2), np.array(list(second.values()) * 2)
+    got = lm.path_counts(strings, n, both, first)
+    for order in range(lm.ORDERS):
+        own = strings & ((1 << 8 * (order + 1)) - 1)
+        for bits in range(9):
+            shared = (own[:, None] >> (8 - bits)) == (own[None, :] >> (8 - bits))
+            assert (got[order, bits] == shared @ n).all()
+
+
+def test_never_seen_contexts_stay_unseen_however_many_are_counted(spark):
+    prepare(spark)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789;:<>{}[]|~_=+", np.uint8)
+    rng = np.random.default_rng(6)
+    rows = [(i, letters[rng.integers(0, len(letters), 40_000)].tobytes().decode()) for i in range(10)]
+    training = plain.documents(spark, rows, "doc_id long, text string")
+    docs = plain.documents(spark, [(1, "!#$%&*(?/"), (2, "!/?(*&%$#"), (3, "!$#&%(*/?")], "doc_id long, text string")
+    scores = [r["score"] for r in lm.score_texts(docs, training, carry=("doc_id",)).collect()]
+    assert len(scores) == 3 and np.allclose(scores, scores[0], rtol=1e-12)
+
+
+def test_frequent_and_rare_strings_count_alike(spark, monkeypatch):
+    docs = table(prepare(spark), SMALL, "documents").limit(40)
+    whole = sorted((r["doc_id"], round(r["score"], 6)) for r in lm.score_texts(docs, docs, carry=("doc_id",)).collect())
+    monkeypatch.setattr(lm, "HOT_STRINGS", 100)
+    assert whole == sorted((r["doc_id"], round(r["score"], 6)) for r in lm.score_texts(docs, docs, carry=("doc_id",)).collect())
