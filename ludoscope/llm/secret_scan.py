@@ -26,13 +26,14 @@ from .trigrams import query_of, trigrams_of
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of ``pattern`` whose ``group`` has at least ``least`` characters."""
+    """Matches of ``pattern`` whose ``group`` has at least ``least`` characters, with the ``tail`` behind each."""
 
     kind: str
     pattern: str
     flags: int = 0
     group: int = 0
     least: int = 0
+    tail: str = ""
 
     @property
     def query(self):
@@ -41,8 +42,19 @@ class Rule:
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         for match in re.compile(self.pattern, self.flags).finditer(text):
             if match.end(self.group) - match.start(self.group) >= self.least:
-                yield match.span()
-
+                yield match.start(), re.compile(self.tail).match(text, match.end()).end()
+
+
+#: A key behind its BEGIN line: all up to the END line if that is the next marker; else header lines and Base64
+#: lines, whole or in runs of 16 and more, and the shorter run that ends them. Line breaks may be escaped,
+#: lines quoted or indented.
+_BETWEEN = r"""(?:\s|\\+[nrt]|(?://|\+)(?=\s)|[>#"'|*,])"""
+_KEY = (
+    r"(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:(?:{_BETWEEN}++[A-Z][A-Za-z-]*:\x20[^\r\n\\]*+)*+"
+    rf"(?:{_BETWEEN}*+[A-Za-z0-9+/=]{{16,}}+|(?:\s*[\r\n]|\\+n){_BETWEEN}*+[A-Za-z0-9+/=]++(?=[\x20\t\x22',]*(?:[\r\n\\]|\Z)))++"
+    rf"(?:{_BETWEEN}++[A-Za-z0-9+/=]+)?)?"
+)
 
 #: The base rules, then what is found beyond them, in the order of their listing.
 BASE = (
@@ -57,7 +69,7 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", least=16),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
