@@ -34,6 +34,7 @@ class Rule:
     group: int = 0
     least: int = 0
     tail: str = ""
+    span: int = 0  # group that the span starts with
 
     @property
     def query(self):
@@ -42,7 +43,7 @@ class Rule:
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         for match in re.compile(self.pattern, self.flags).finditer(text):
             if match.end(self.group) - match.start(self.group) >= self.least:
-                yield match.start(), re.compile(self.tail).match(text, match.end()).end()
+                yield match.start(self.span), re.compile(self.tail).match(text, match.end()).end()
 
 
 #: A key behind its BEGIN line: all up to the END line if that is the next marker; else header lines and Base64
@@ -74,7 +75,12 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]{1,200}:[^\s/:@]{1,200}@"),
+    Rule(
+        "url_login",
+        # The scheme is looked for once in each run of its characters, so that long runs cost no more.
+        r"(?<![A-Za-z0-9+.-])[0-9+.-]*([A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]*:[^\s/:@]+@)",
+        span=1,
+    ),
 )
 RULES = BASE + MORE
 

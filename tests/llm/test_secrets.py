@@ -114,3 +114,14 @@ def test_no_byte_of_a_private_key_is_left(spark):
         assert left in ("", "and") and text.endswith("a text after it"), (doc, text)
     (_, text, _), = scan(spark, [(1, f"It says {begin}. Note: one. Note: two, and nothing follows")], mask="*")
     assert text == "It says *. Note: one. Note: two, and nothing follows"
+
+
+def test_logins_of_any_length_without_user_and_in_any_case():
+    rule = ss.RULES[-1]
+    for url in ["redis://:password@", "HTTPS://me:word@", "https://me:" + "t" * 5000 + "@", "Ftp://" + "u" * 300 + ":w@"]:
+        for before in ("", "at ", "=", "1-", "(é"):
+            assert list(rule.spans(f"{before}{url}host")) == [(len(before), len(before) + len(url))]
+        grams = {url.lower()[k : k + 3].encode() for k in range(len(url) - 2)}
+        assert rule.query and all(any(a <= grams for a in clause) for clause in rule.query)
+    assert list(rule.spans("http://host:80/x me@host http://me@host")) == []
+    assert list(rule.spans("ab0" * 300_000)) == []
