@@ -1,4 +1,4 @@
-"""Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact confirmation.
+"""Near-duplicate documents: MinHash bands, sequential verification, exact confirmation.
 
 A document is the set of its distinct word shingles. Texts with equal sets are one class and are only
 counted from then on, so copies cost nothing further. A class's MinHash signature is cut into bands;
@@ -11,8 +11,8 @@ Candidates are settled in two steps, neither of which writes out all pairs of a
    band against itself, so that no link between components is lost. Shingles that no other such class
    has bound from above what a class can share, which rules out most of these pairs exactly.
 
-A comparison reads the signature in batches and stops as soon as the posterior probability of reaching
-the similarity falls below ``MISS``. Survivors are verified on the full sets.
+A comparison reads the signature in batches and stops as soon as the matches are too few for the
+similarity; a pair that reaches it is stopped with probability ``MISS`` at most. Survivors are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .components import components
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with probability 6e-5
 HASHES = BANDS * ROWS
 BATCH = 32  # signature values that one step of the sequential comparison reads
-MISS = 1e-4  # chosen probability of pruning a pair that reaches the similarity
+MISS = 1e-4  # most that pruning a pair at the similarity may be likely, over all batches
 BLOCK = 512  # classes of a band that meet in one comparison block
 
 _seeds = np.random.default_rng(20).integers(0, 2**32, (2, HASHES), dtype=np.uint64).astype(np.uint32)
@@ -51,16 +51,19 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 def fewest_matches(similarity: float, miss: float = MISS) -> np.ndarray:
     """For each number n of values read, the matches below which a pair is given up.
 
-    With a uniform prior, P(similarity reached | m of n match) is the probability that a binomial
-    variable of n + 1 draws at that similarity is at most m.
+    ``miss`` is shared out over the batches: a pair at the similarity, whose values match independently
+    with that probability, is given up by the k-th of b batches with probability ``miss`` * k / b at most.
     """
     bounds = np.zeros(HASHES + 1, np.int64)
+    step = np.array([comb(BATCH, m) * similarity**m * (1 - similarity) ** (BATCH - m) for m in range(BATCH + 1)])
+    alive, spent = np.ones(1), 0.0
     for n in range(BATCH, HASHES + 1, BATCH):
-        total, m = 0.0, -1
-        while total < miss:
-            m += 1
-            total += comb(n + 1, m) * similarity**m * (1 - similarity) ** (n + 1 - m)
-        bounds[n] = m
+        alive = np.convolve(alive, step)
+        given_up = spent + np.cumsum(alive)
+        bounds[n] = np.searchsorted(given_up, miss * n / HASHES, "right")
+        if bounds[n]:
+            spent = given_up[bounds[n] - 1]
+        alive[: bounds[n]] = 0
     return bounds
 
 
@@ -142,7 +145,7 @@ def _can_reach(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _alive(a: np.ndarray, b: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Indices of the row pairs whose posterior stays above the miss probability in every batch."""
+    """Indices of the row pairs that have enough matches in every batch."""
     kept, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for n in range(BATCH, HASHES + 1, BATCH):
         matches = matches + (a[kept, n - BATCH : n] == b[kept, n - BATCH : n]).sum(axis=1)

@@ -91,3 +91,18 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**{k: 0 for k in range(301)}, 500: 500, 501: 500}
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5, 0.95])
+def test_all_batches_together_prune_a_pair_at_the_limit_with_miss_at_most(similarity):
+    from math import comb
+
+    bounds, alive = nd.fewest_matches(similarity), {0: 1.0}
+    for n in range(nd.BATCH, nd.HASHES + 1, nd.BATCH):
+        after = {}
+        for m, p in alive.items():
+            for k in range(nd.BATCH + 1):
+                q = p * comb(nd.BATCH, k) * similarity**k * (1 - similarity) ** (nd.BATCH - k)
+                after[m + k] = after.get(m + k, 0.0) + q
+        alive = {m: p for m, p in after.items() if m >= bounds[n]}
+    assert 0 < 1 - sum(alive.values()) <= nd.MISS * (1 + 1e-6)
