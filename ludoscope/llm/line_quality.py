@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .calibration import fit_line, log_odds
-from .common import fold, unused, with_text_results
+from .common import fold, stored, unused, with_text_results
 
 SAMPLE = 3000  # labelled documents that the field is fitted on
-SAMPLE_LINES = 200_000  # and their lines at most; whole documents, in the order of their hash
+SAMPLE_LINES = 200_000  # and their lines at most; the longest documents lend the middle of theirs
 CHAIN = 64  # lines of one chain while fitting
 STEPS = 120
 
@@ -173,6 +173,16 @@ def fit(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, steps: int
     return Field(values[:-4], values[-4:].reshape(2, 2))
 
 
+def _most_lines(counts: list[int]) -> int:
+    """The most lines that every document can lend if SAMPLE_LINES bounds their sum."""
+    counts, left = np.sort(np.array(counts, np.int64)), SAMPLE_LINES
+    for k, n in enumerate(counts):
+        if n * (len(counts) - k) > left:
+            return max(left // (len(counts) - k), 1)
+        left -= n
+    return SAMPLE_LINES
+
+
 def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label: str) -> list:
     """(label, n_lines, features) of the sampled documents, in the order of their hash."""
     known = (
@@ -183,32 +193,28 @@ def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str
         .select("doc_id", "label", F.xxhash64("doc_id").alias("place"))
     )
     chosen = known.orderBy("place", "doc_id").limit(SAMPLE)  # proven bound: SAMPLE rows of three numbers
-    texts = (
+    texts = stored(
         docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
         .join(F.broadcast(chosen), "doc_id")
         .groupBy("place", "doc_id", "label")
         .agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
-        .select("place", "label", "text")
+        .select("place", "label", "text"),
+        "sample",
     )
+    n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    most = _most_lines([row["n"] for row in texts.select(n_lines.alias("n")).collect()])  # at most SAMPLE rows
 
     def per_piece(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         features, _, bounds = line_features(data, offsets)
         sizes = np.diff(bounds)
-        rows = [
-            features[bounds[k] : bounds[k + 1]].tobytes() if sizes[k] <= SAMPLE_LINES else b""
-            for k in range(len(sizes))
-        ]
-        return [pa.array(sizes), pa.array(rows, pa.binary())]
+        lent = np.minimum(sizes, most)
+        firsts = bounds[:-1] + (sizes - lent) // 2
+        rows = [features[i : i + n].tobytes() for i, n in zip(firsts, lent, strict=True)]
+        return [pa.array(lent), pa.array(rows, pa.binary())]
 
     found = with_text_results(texts, "text", "lines", "n long, features binary", per_piece, keep_text=False)
-    lines = found.select("place", "label", "lines.n", "lines.features").where(F.col("n") <= SAMPLE_LINES)
-    kept, total = [], 0
-    for row in lines.orderBy("place").toLocalIterator():
-        total += row["n"]
-        if total > SAMPLE_LINES:
-            break
-        kept.append(row)
-    return kept
+    lines = found.select("place", "label", "lines.n", "lines.features")
+    return lines.orderBy("place").collect()  # at most SAMPLE_LINES lines
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label: str) -> Field | float:
@@ -245,7 +251,8 @@ def with_quality(
     """``docs`` with its quality between 0 and 1, and that column's name.
 
     Only the text decides. Labels come from rows whose crc32(doc_id as text) mod 5 is not 0, from a sample
-    of at most SAMPLE documents and SAMPLE_LINES lines; ids with contradicting labels and labels other than
+    of at most SAMPLE documents; if they have more than SAMPLE_LINES lines, the longest lend as many as all
+    together may have, from their middle. Scoring covers all lines. Ids with contradicting labels and labels other than
     0 and 1 are left out. Null and empty texts are scored as one empty line. Without labels of both kinds
     every text gets the smoothed share of label 1. Repeated rows and extra columns stay as they are.
     """

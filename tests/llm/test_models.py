@@ -197,3 +197,16 @@ def test_frequent_and_rare_strings_count_alike(spark, monkeypatch):
     whole = sorted((r["doc_id"], round(r["score"], 6)) for r in lm.score_texts(docs, docs, carry=("doc_id",)).collect())
     monkeypatch.setattr(lm, "HOT_STRINGS", 100)
     assert whole == sorted((r["doc_id"], round(r["score"], 6)) for r in lm.score_texts(docs, docs, carry=("doc_id",)).collect())
+
+
+def test_documents_of_very_many_lines_do_not_end_the_sample(spark, monkeypatch):
+    prepare(spark)
+    monkeypatch.setattr(lq, "SAMPLE_LINES", 300)
+    ids = [k for k in range(1, 60) if crc32(str(k).encode()) % 5]
+    texts = [(k, "\n".join(f"{'Good words here.' if k % 2 else '#$ 1 1 1'} {i}" for i in range(2000 if k % 3 else 3))) for k in ids]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in ids], LABELS)
+    rows = lq._sample(plain.documents(spark, texts), labels, "doc_id", "text", "quality")
+    assert len(rows) == len(ids) and {r["label"] for r in rows} == {0, 1}
+    assert 200 < sum(r["n"] for r in rows) <= 300 and {r["n"] for r in rows if r["n"] < 4} == {3}
+    assert isinstance(lq.fit_on(plain.documents(spark, texts), labels, "doc_id", "text", "quality"), lq.Field)
+    assert lq._most_lines([5, 7]) >= 7 and lq._most_lines([2, 500, 500]) == 149
