@@ -105,6 +105,44 @@ def _levels(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return levels, state.where("up is null").select("tree", "node", "depth", "total")
 
 
+def _messages(messages: DataFrame, tree: str, node: str, parent: str, role: str, text: str, score: str | None) -> DataFrame:
+    """(tree, node, parent, role, text, score), one row per message; a root's parent is null or not there."""
+    value = F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)
+    best = F.min(
+        F.struct(
+            F.col(parent).alias("parent"),
+            F.coalesce(F.col(role), F.lit("")).alias("role"),
+            F.coalesce(F.col(text), F.lit("")).alias("text"),
+            value.alias("score"),
+        )
+    )
+    return stored(
+        messages.where(F.col(node).isNotNull())
+        .groupBy(F.col(tree).alias("tree"), F.col(node).alias("node"))
+        .agg(best.alias("m"))
+        .select("tree", "node", "m.*")
+        .withColumn("parent", F.when(F.col("parent") != F.col("node"), F.col("parent"))),
+        "messages",
+    )
+
+
+def unrooted(
+    messages: DataFrame,
+    *,
+    tree: str = "tree",
+    node: str = "node",
+    parent: str = "parent",
+    role: str = "role",
+    text: str = "text",
+    score: str | None = None,
+) -> DataFrame:
+    """(tree, node, parent, role, text, score) of the messages that ``paths`` rejects: on a cycle or below one."""
+    nodes = _messages(messages, tree, node, parent, role, text, score)
+    _, reached = _levels(nodes)
+    rooted = reached.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    return nodes.join(rooted, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+
+
 def paths(
     messages: DataFrame,
     *,
@@ -121,24 +159,10 @@ def paths(
     A path's score is the sum of its messages' scores; equal scores go by the longer path, then the
     smaller leaf. A null role or text is empty, a null score 0, a null tree is a tree of its own. Rows
     without a node are no messages; of rows with the same tree and node the smallest (parent, role, text)
-    counts. A parent that is not there makes a root. An empty table gives no rows.
+    counts. A parent that is not there, or that is the message itself, makes a root. Messages on a longer
+    cycle, and those below one, are on no path; ``unrooted`` returns them. An empty table gives no rows.
     """
-    value = F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)
-    best = F.min(
-        F.struct(
-            F.col(parent).alias("parent"),
-            F.coalesce(F.col(role), F.lit("")).alias("role"),
-            F.coalesce(F.col(text), F.lit("")).alias("text"),
-            value.alias("score"),
-        )
-    )
-    nodes = stored(
-        messages.where(F.col(node).isNotNull())
-        .groupBy(F.col(tree).alias("tree"), F.col(node).alias("node"))
-        .agg(best.alias("m"))
-        .select("tree", "node", "m.*"),
-        "messages",
-    )
+    nodes = _messages(messages, tree, node, parent, role, text, score)
     levels, reached = _levels(nodes)
     parents = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p"))
     leaves = reached.join(
