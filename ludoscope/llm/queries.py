@@ -11,6 +11,7 @@ from . import chat
 from .common import fold, prepare, table
 from .decontamination import contamination
 from .language_model import score_texts
+from .line_frequency import quality_rules
 from .line_quality import with_quality
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mix
@@ -130,6 +131,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules about every document's words, and about lines that many documents of its source share."""
+    found = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 _QUERIES = (
     op1_quality_classifier,
     op2_minhash_near_dedup,
@@ -141,6 +148,7 @@ _QUERIES = (
     op8_toxicity,
     op9_lm_scoring,
     op10_decontamination,
+    op11_quality_rules,
 )
 
 
