@@ -20,6 +20,7 @@ from .secret_scan import BASE, find_secrets, joined_spans, n_spans
 from .toxicity import with_toxicity
 from .url_filter import judge_urls
 from .vector_duplicates import near_duplicate_vectors
+from .whitening import whiten
 
 GOOD_FROM = 0.3  # quality from which a document passes
 TOXIC_FROM = 0.3  # probability from which a document counts as toxic: a miss weighs more than a false alarm
@@ -137,6 +138,28 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their largest principal components, of unit variance each."""
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    place = ("place", "whitened")
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "n",
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "explained",
+        "identity_error",
+        F.posexplode("whitened").alias(*place),
+    ).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.get("explained", F.col("place")).alias("explained"),
+        "identity_error",
+    )
+
+
 _QUERIES = (
     op1_quality_classifier,
     op2_minhash_near_dedup,
@@ -149,6 +172,7 @@ _QUERIES = (
     op9_lm_scoring,
     op10_decontamination,
     op11_quality_rules,
+    op13_embedding_whitening,
 )
 
 
