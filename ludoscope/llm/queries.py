@@ -11,6 +11,7 @@ from . import chat
 from .common import fold, prepare, table
 from .decontamination import contamination
 from .language_model import score_texts
+from .lexical_search import search
 from .line_frequency import quality_rules
 from .line_quality import with_quality
 from .mixing import ORACLE as MIXING_SQL
@@ -138,6 +139,12 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for every benchmark item."""
+    found = search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on their largest principal components, of unit variance each."""
     found = whiten(table(spark, sf_dir, "embeddings"))
@@ -172,6 +179,7 @@ _QUERIES = (
     op9_lm_scoring,
     op10_decontamination,
     op11_quality_rules,
+    op12_lexical_search,
     op13_embedding_whitening,
 )
 
