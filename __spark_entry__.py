@@ -42,11 +42,6 @@ def _plain(df: DataFrame) -> DataFrame:
     return df
 
 
-def _settled(df: DataFrame, *columns: str) -> DataFrame:
-    """Round averages of averages, whose last bit depends on the order of addition."""
-    return df.withColumns({c: F.round(c, 8) for c in columns})
-
-
 # -- shared inputs of the registered queries -------------------------------------------------------
 
 
@@ -61,17 +56,13 @@ def _trending(spark, d, lookback_days=marts.LOOKBACK_DAYS, games=None):
         as_of=fx.AS_OF,
         lookback_days=lookback_days,
     )
-    mart = marts.mart_trending(games or _stored_games(spark, d), activity, lookback_days=lookback_days)
-    return _settled(
-        mart, "avg_rating_period", "recommend_pct_period", "avg_session_duration_sec_period"
-    )
+    return marts.mart_trending(games or _stored_games(spark, d), activity, lookback_days=lookback_days)
 
 
 def _reviews(spark, d, games=None):
-    mart = marts.mart_review_analysis(
+    return marts.mart_review_analysis(
         games or _stored_games(spark, d), fx.staged_windows(spark, d, "reviews", marts.LOOKBACK_DAYS), as_of=fx.AS_OF
     )
-    return _settled(mart, "stream_avg_rating_period", "stream_recommend_pct_period")
 
 
 def _sessions(spark, d, games=None):
@@ -211,8 +202,8 @@ def _histories(spark, d, granularity="day", days=14):
     ]
 
 
-def _history(index: int, granularity: str, days: int, *unsettled: str):
-    return lambda spark, d: _settled(_histories(spark, d, granularity, days)[index], *unsettled)
+def _history(index: int, granularity: str, days: int):
+    return lambda spark, d: _histories(spark, d, granularity, days)[index]
 
 
 def _loaded(df):
@@ -450,8 +441,8 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     s["q_live_stat"] = lambda k, d: live.live_stat(fx.live(k, d), "purchases", PLAYED_GAME_ID)
     s["q_live_all"] = lambda k, d: live.live_all(fx.live(k, d), "reviews", 50)
     s["hist_purchases"] = _history(0, "hour", 14)
-    s["hist_reviews"] = _history(1, "day", 14, "avg_rating", "avg_recommend_pct")
-    s["hist_sessions"] = _history(2, "week", 30, "avg_duration_sec")
+    s["hist_reviews"] = _history(1, "day", 14)
+    s["hist_sessions"] = _history(2, "week", 30)
     s["hist_wishlist"] = _history(3, "month", 30)
 
     # Dashboard

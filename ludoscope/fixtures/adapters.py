@@ -374,7 +374,7 @@ def update_mode_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topic(spark, sf_dir, "purchases").select("*", arrived)
     per_batch = rows.groupBy(F.window("event_time", DAY).alias("span"), "game_id", "batch_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(numbers.net_units(F.col("price_usd"), F.col("discount_pct"))).alias("units"),
+        F.sum(numbers.net_hundredths(F.col("price_usd"), F.col("discount_pct"))).alias("hundredths"),
     )
     so_far = Window.partitionBy("span", "game_id").orderBy("batch_id")
     return per_batch.select(
@@ -382,7 +382,7 @@ def update_mode_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "game_id",
         "batch_id",
         F.sum("n").over(so_far).alias("num_purchases"),
-        (F.sum("units").over(so_far) / F.lit(1e10)).alias("revenue_net_usd"),
+        (F.sum("hundredths").over(so_far) / F.lit(100)).cast("double").alias("revenue_net_usd"),
     )
 
 

@@ -48,6 +48,11 @@ def _mean_of(column: str, scale: int, digits: int = 2) -> str:
     return _mean(_units(column, scale), f"count({column})", scale, digits)
 
 
+def _avg(column: str) -> str:
+    """Average that does not depend on the order of addition; values count to eight decimals."""
+    return f"CAST(sum(CAST({column} AS DECIMAL(25,8))) AS DOUBLE) / nullif(count({column}), 0)"
+
+
 # -- named sub-queries -----------------------------------------------------------------------------
 
 _PARTS: dict[str, str] = {}
@@ -261,12 +266,12 @@ _PARTS["review_analysis"] = f"""
         CAST(30 AS INTEGER) AS lookback_days, positive_reviews AS historical_positive,
         negative_reviews AS historical_negative, review_score AS historical_review_score,
         review_label AS historical_label, CAST(coalesce(n, 0) AS BIGINT) AS stream_reviews_period,
-        round(r, 8) AS stream_avg_rating_period, round(c, 8) AS stream_recommend_pct_period,
+        r AS stream_avg_rating_period, c AS stream_recommend_pct_period,
         CAST(coalesce(bombs, 0) AS BIGINT) AS review_bomb_windows_period,
         coalesce(bomb, false) AS had_review_bomb_period,
         CAST(round(CAST(c AS DECIMAL(18,8)) - CAST(review_score AS DECIMAL(18,8)), 2) AS DOUBLE) AS sentiment_drift_pct
     FROM games LEFT JOIN (
-        SELECT steam_app_id, sum(num_reviews) AS n, avg(avg_rating) AS r, avg(recommend_pct) AS c,
+        SELECT steam_app_id, sum(num_reviews) AS n, {_avg('avg_rating')} AS r, {_avg('recommend_pct')} AS c,
             count(*) FILTER (is_review_bomb) AS bombs, bool_or(is_review_bomb) AS bomb
         FROM staged_reviews WHERE window_start >= {AS_OF} - INTERVAL '30 days' GROUP BY 1) USING (steam_app_id)
     WHERE coalesce(n, 0) > 0 OR coalesce(bomb, false)"""
@@ -280,7 +285,7 @@ _PARTS["session_analysis"] = f"""
         coalesce(spike, false) AS had_ccu_spike_period, CAST(coalesce(peak, 0) AS BIGINT) AS peak_starts_in_window_period,
         {_share("coalesce(e, 0)", "coalesce(s, 0)")} AS completion_rate_pct
     FROM games LEFT JOIN (
-        SELECT steam_app_id, sum(num_starts) AS s, sum(num_ends) AS e, avg(avg_duration_sec) AS dur,
+        SELECT steam_app_id, sum(num_starts) AS s, sum(num_ends) AS e, {_avg('avg_duration_sec')} AS dur,
             count(*) FILTER (is_ccu_spike) AS spikes, bool_or(is_ccu_spike) AS spike, max(num_starts) AS peak
         FROM staged_sessions WHERE window_start >= {AS_OF} - INTERVAL '30 days' GROUP BY 1) USING (steam_app_id)
     WHERE coalesce(s, 0) > 0 OR coalesce(spike, false)"""
@@ -298,16 +303,16 @@ def _trending(days: int) -> str:
             owners_estimate, popularity_score, popularity_tier, CAST({days} AS INTEGER) AS lookback_days,
             CAST(coalesce(p.n, 0) AS BIGINT) AS total_purchases_period,
             CAST(coalesce(p.micros, 0) AS DOUBLE) / 1e6 AS total_revenue_period_usd,
-            CAST(coalesce(r.n, 0) AS BIGINT) AS total_reviews_period, round(r.rating, 8) AS avg_rating_period,
-            round(r.recommend, 8) AS recommend_pct_period, CAST(coalesce(s.n, 0) AS BIGINT) AS total_sessions_period,
-            round(s.duration, 8) AS avg_session_duration_sec_period,
+            CAST(coalesce(r.n, 0) AS BIGINT) AS total_reviews_period, r.rating AS avg_rating_period,
+            r.recommend AS recommend_pct_period, CAST(coalesce(s.n, 0) AS BIGINT) AS total_sessions_period,
+            s.duration AS avg_session_duration_sec_period,
             CAST(coalesce(w.net, 0) AS BIGINT) AS wishlist_net_added_period,
             coalesce(p.flag, false) AS had_viral_purchases_period, coalesce(r.flag, false) AS had_review_bomb_period,
             coalesce(s.flag, false) AS had_ccu_spike_period, coalesce(w.flag, false) AS had_viral_wishlist_period
         FROM games g
         LEFT JOIN {recent("purchases", "sum(num_purchases) AS n, sum(CAST(round(revenue_net_usd * 1e6) AS BIGINT)) AS micros, bool_or(is_viral) AS flag")} p USING (steam_app_id)
-        LEFT JOIN {recent("reviews", "sum(num_reviews) AS n, avg(avg_rating) AS rating, avg(recommend_pct) AS recommend, bool_or(is_review_bomb) AS flag")} r USING (steam_app_id)
-        LEFT JOIN {recent("sessions", "sum(num_starts) AS n, avg(avg_duration_sec) AS duration, bool_or(is_ccu_spike) AS flag")} s USING (steam_app_id)
+        LEFT JOIN {recent("reviews", f"sum(num_reviews) AS n, {_avg('avg_rating')} AS rating, {_avg('recommend_pct')} AS recommend, bool_or(is_review_bomb) AS flag")} r USING (steam_app_id)
+        LEFT JOIN {recent("sessions", f"sum(num_starts) AS n, {_avg('avg_duration_sec')} AS duration, bool_or(is_ccu_spike) AS flag")} s USING (steam_app_id)
         LEFT JOIN {recent("wishlist", "sum(net_added) AS net, bool_or(is_viral_wishlist) AS flag")} w USING (steam_app_id))
     WHERE total_purchases_period + total_reviews_period + total_sessions_period + abs(wishlist_net_added_period) > 0"""
 
@@ -439,10 +444,10 @@ def _history(topic: str, unit: str, days: int, measures: str) -> str:
 _HISTORY_MEASURES = {
     "purchases": """CAST(sum(num_purchases) AS BIGINT) AS purchases,
         CAST(sum(CAST(round(revenue_net_usd * 1e6) AS BIGINT)) AS DOUBLE) / 1e6 AS revenue""",
-    "reviews": """CAST(sum(num_reviews) AS BIGINT) AS reviews, round(avg(avg_rating), 8) AS avg_rating,
-        round(avg(recommend_pct), 8) AS avg_recommend_pct""",
-    "sessions": """CAST(sum(num_starts) AS BIGINT) AS starts, CAST(sum(num_ends) AS BIGINT) AS ends,
-        round(avg(avg_duration_sec), 8) AS avg_duration_sec""",
+    "reviews": f"""CAST(sum(num_reviews) AS BIGINT) AS reviews, {_avg("avg_rating")} AS avg_rating,
+        {_avg("recommend_pct")} AS avg_recommend_pct""",
+    "sessions": f"""CAST(sum(num_starts) AS BIGINT) AS starts, CAST(sum(num_ends) AS BIGINT) AS ends,
+        {_avg("avg_duration_sec")} AS avg_duration_sec""",
     "wishlist": """CAST(sum(num_added) AS BIGINT) AS added, CAST(sum(num_removed) AS BIGINT) AS removed,
         CAST(sum(net_added) AS BIGINT) AS net_added""",
 }

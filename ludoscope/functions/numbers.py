@@ -11,9 +11,24 @@ def share_pct(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(part * F.lit(100.0) / F.nullif(whole, F.lit(0).cast("bigint")), digits)
 
 
-def decimal_sum(amount: Column, scale: int = 6) -> Column:
-    """Sum of doubles that carry at most ``scale`` decimals, without floating-point drift."""
-    return F.sum(amount.cast(f"decimal(20,{scale})"))
+# Fixed value: dollars are counted to twelve decimals, below 10**13.
+MONEY = "decimal(25,12)"
+
+
+def money(amount: Column) -> Column:
+    """Dollars as a decimal; NULL for what is no amount: NaN, infinite, or 10**13 and more."""
+    return amount.try_cast(MONEY)
+
+
+def money_sum(amount: Column) -> Column:
+    """Exact sum of dollars; what is no amount counts like NULL."""
+    return F.try_sum(money(amount))
+
+
+def exact_avg(amount: Column) -> Column:
+    """Average that does not depend on the order of addition; values count to eight decimals."""
+    total = F.try_sum(amount.try_cast("decimal(25,8)")).cast("double")
+    return total / F.nullif(F.count(amount), F.lit(0).cast("bigint"))
 
 
 def decimal_avg(amount: Column, scale: int, digits: int) -> Column:
@@ -32,33 +47,23 @@ def ratio_half_up(part: Column, whole: float, digits: int) -> Column:
     return F.floor(part * F.lit(float(scale)) / F.lit(float(whole)) + F.lit(0.5)) / F.lit(float(scale))
 
 
-# Fixed value: units of a dollar that a price is counted in, and a price after discount a hundred times finer.
-PRICE_UNITS = 100_000_000
-
-
-def net_units(price: Column, discount_pct: Column) -> Column:
-    """Price after discount in 10**-10 dollars, an exact bigint; NULL discount gives NULL.
+def net_hundredths(price: Column, discount_pct: Column) -> Column:
+    """A hundred times the price after discount, an exact decimal.
 
-    Prices count to the eighth decimal, and beyond half-up; they may be negative, below 9 * 10**8.
+    NULL for a NULL discount and for a price that is no amount (``money``).
     """
-    units = F.floor(price * F.lit(float(PRICE_UNITS)) + F.lit(0.5))
-    return units * (F.lit(100) - discount_pct).cast("bigint")
+    rest = F.lit(100).cast("decimal(11,0)") - discount_pct.cast("decimal(10,0)")
+    return money(price) * rest
 
 
 def net_sum(price: Column, discount_pct: Column) -> Column:
-    """Sum of prices after discount in dollars, independent of the order of addition.
-
-    Whole millionths and what is below them are summed apart, so that neither sum of a bigint runs over.
-    """
-    units, below = net_units(price, discount_pct), F.lit(10_000).cast("bigint")
-    rest = F.pmod(units, below)
-    whole = F.call_function("div", units - rest, below)
-    return (F.sum(whole) + F.sum(rest) / F.lit(1e4)) / F.lit(1e6)
+    """Sum of prices after discount in dollars, independent of the order of addition."""
+    return (F.try_sum(net_hundredths(price, discount_pct)) / F.lit(100)).cast("double")
 
 
 def net_price(price: Column, discount_pct: Column, digits: int) -> Column:
     """Price after discount in dollars, rounded half-up."""
-    return ratio_half_up(net_units(price, discount_pct), 100.0 * PRICE_UNITS, digits)
+    return F.round(net_hundredths(price, discount_pct) / F.lit(100), digits).cast("double")
 
 
 def log_or_zero(amount: Column) -> Column:

@@ -1,86 +1,28 @@
-"""Row numbers without sorting a whole table, or a whole group, in one task."""
+"""Row numbers by descending value, over slices of the order (see ``ordered``)."""
 
 from __future__ import annotations
 
-from math import ceil, sqrt
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import SLICE, row_number, sliced
 
-def row_numbers(df: DataFrame, key: str, ranks: dict[str, str]) -> DataFrame:
-    """Add ``alias: value`` row numbers, by descending value and then by the unique ``key``.
 
-    ``df`` is read several times and should be stored.
-    """
+def row_numbers(df: DataFrame, key: str, ranks: dict[str, str]) -> DataFrame:
+    """Add ``alias: value`` row numbers, by descending value and then by the unique ``key``."""
     for alias, value in ranks.items():
-        ranked = sliced_row_number(df.select(key, value), value, key, alias)
-        df = df.join(ranked.select(key, alias), key)
+        df = sliced_row_number(df, value, key, alias)
     return df
 
 
-def sliced_row_number(
-    df: DataFrame, value: str, key: str, alias: str, *, by: str | None = None, slices: int | None = None
-) -> DataFrame:
-    """``row_number() over ([partition by by] order by value desc nulls last, key)``, unique ``key``.
-
-    Numeric ``value``; otherwise as ``sliced_running_sum``.
-    """
-    order = {"_null": F.col(value).isNull(), "_value": -F.col(value), "_one": F.lit(1).cast("bigint")}
-    places = [by] if by else []
-    numbered = sliced_running_sum(
-        df.withColumns(order), [*places, "_null", "_value", key], "_one", alias, by=by, slices=slices
-    )
-    return numbered.drop(*order)
-
-
-def sliced_running_sum(
-    df: DataFrame, order: list[str], amount: str, alias: str, *, by: str | None = None, slices: int | None = None
-) -> DataFrame:
-    """``sum(amount) over ([partition by by] order by order)``; ``order`` is unique and begins with ``by``.
-
-    A window without partitions would pull all rows into one task, and one by group a whole group.
-    Here cut points, a fixed pseudo-random sample of the rows, split the order into slices of similar
-    size, as many as there are shuffle partitions. The cut points compare all of ``order``, so rows
-    that share a group or a value are still spread. The sum is that of earlier slices plus the one
-    inside the slice; within a group it starts anew. Only the cut points and as many sums are
-    broadcast, whatever the table's size. NULLs come first, and ``amount`` has none.
-    """
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(order)])
-    cuts = (
-        df.select(place.alias("place"))
-        .orderBy(F.xxhash64("place"), "place")
-        .limit(slices)
-        .agg(F.array_sort(F.collect_list("place")).alias("_cuts"))
-    )
-    sliced = df.join(F.broadcast(cuts)).withColumn("_slice", _cuts_up_to(place, slices)).drop("_cuts")
-    # At most slices + 1 rows reach this window.
-    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy("_slice")
-        .agg(F.sum(amount).alias("_sum"))
-        .select("_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = (
-        sliced.withColumn("_inside", F.sum(amount).over(inside))
-        .join(F.broadcast(offsets), "_slice")
-        .withColumn(alias, F.col("_offset") + F.col("_inside"))
-        .drop("_slice", "_inside", "_offset")
-    )
-    if by is None:
-        return summed
-    first = summed.groupBy(by).agg(F.min(F.col(alias) - F.col(amount)).alias("_before"))
-    return summed.join(first, by).withColumn(alias, F.col(alias) - F.col("_before")).drop("_before")
+def by_descending(df: DataFrame, value: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns whose ascending order is that of ``value`` descending, NULLs last; and their names."""
+    return df.withColumns({"_null": F.col(value).isNull(), "_value": -F.col(value)}), ["_null", "_value"]
 
 
-def _cuts_up_to(place: Column, slices: int) -> Column:
-    """How many of the sorted ``_cuts`` are not after ``place``, by two short scans."""
-    step = ceil(sqrt(slices))
-    coarse = F.filter(
-        F.filter("_cuts", lambda _, i: i % step == 0), lambda cut: cut <= place
-    )
-    before = F.greatest(F.size(coarse) - 1, F.lit(0)) * step
-    fine = F.filter(F.slice("_cuts", before + 1, F.lit(step)), lambda cut: cut <= place)
-    return before + F.size(fine)
+def sliced_row_number(df: DataFrame, value: str, key: str, alias: str, *, by: str | None = None) -> DataFrame:
+    """``row_number() over ([partition by by] order by value desc nulls last, key)``, unique ``key``, numeric value."""
+    groups = [by] if by else []
+    ordered, columns = by_descending(df, value)
+    order = [*columns, key]
+    return row_number(sliced(ordered, groups, order), groups, order, alias).drop(*columns, SLICE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import sliced_running_sum
+from .ordered import running_sum, sliced
 
 RATE_WINDOW = "1 minute"
 QUALITY_WINDOW = "5 minutes"
@@ -114,24 +114,20 @@ def latency_percentiles(
     """Exact percentiles: the smallest duration that at least that share of a group does not exceed.
 
     Equal durations are counted first, on the map side too. Running counts come from slices of the
-    order, so that a group of any size is spread over tasks; no group's durations meet in one.
+    order, so that a group of any size is spread over tasks; no group's durations meet in one. A group's
+    number of requests is what is counted up to a duration and from it on.
     """
+    groups = ["window_start", *by]
     spans = log.select(F.window("ts", window).start.alias("window_start"), *by, "duration_s")
-    group = F.struct("window_start", *by)
-    counted = spans.groupBy("window_start", *by, "duration_s").agg(F.count(F.lit(1)).alias("n"))
-    totals = counted.groupBy("window_start", *by).agg(
-        F.coalesce(F.sum(F.when(F.col("duration_s").isNotNull(), F.col("n"))), F.lit(0)).alias("requests")
-    )
-    known = counted.filter(F.col("duration_s").isNotNull()).select(
-        group.alias("span"), "duration_s", "n"
-    )
-    running = sliced_running_sum(known, ["span", "duration_s"], "n", "upto", by="span")
-    of_group = totals.select(group.alias("span"), "window_start", *by, "requests")
-    reached = running.join(of_group.select("span", "requests"), "span")
-    picked = reached.groupBy("span").agg(
+    known = F.when(F.col("duration_s").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    counted = sliced(spans.groupBy(*groups, "duration_s").agg(F.sum(known).alias("n")), groups, ["duration_s"])
+    running = running_sum(counted, groups, ["duration_s"], {"upto": "n"})
+    running = running_sum(running, groups, ["duration_s"], {"from_here": "n"}, backwards=True)
+    requests = F.col("upto") + F.col("from_here") - F.col("n")
+    return running.withColumn("requests", requests).groupBy(*groups).agg(
+        F.max("requests").alias("requests"),
         *[
             F.min(F.when(F.col("upto") >= F.col("requests") * F.lit(q), F.col("duration_s"))).alias(f"p{round(q * 100)}")
             for q in quantiles
-        ]
+        ],
     )
-    return of_group.join(picked, "span", "left").drop("span")

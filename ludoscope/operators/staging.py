@@ -91,7 +91,7 @@ def _stage_events(events: DataFrame, *derived: Column, needs_game: bool, rename:
 
 
 def stage_purchases(events: DataFrame) -> DataFrame:
-    # Whole units keep the half cents of 25/50/75 % discounts exact, so they round up as they should.
+    # Decimals keep the half cents of 25/50/75 % discounts exact, so they round up as they should.
     net = numbers.net_price(F.col("price_usd"), F.col("discount_pct"), 2)
     return _stage_events(events, net.alias("revenue_net_usd"), needs_game=True)
 
@@ -129,7 +129,7 @@ def _flag(condition: Column) -> Column:
 def stage_purchase_windows(
     windows: DataFrame, *, viral_from: int = VIRAL_PURCHASES, window_seconds: int = WINDOW_SECONDS
 ) -> DataFrame:
-    per_purchase = F.col("revenue_net_usd").cast("decimal(20,6)") / F.nullif(
+    per_purchase = numbers.money(F.col("revenue_net_usd")) / F.nullif(
         F.col("num_purchases"), F.lit(0).cast("bigint")
     )
     return _stage_windows(

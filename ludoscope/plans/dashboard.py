@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbers
+
 
 def home_kpis(results: dict[str, DataFrame]) -> DataFrame:
     """Rows of each result."""
@@ -45,7 +47,7 @@ def live_kpis(state: DataFrame) -> DataFrame:
     }
     revenue = F.when(F.col("topic") == "purchases", _number(F.col("revenue_net_usd")))
     return state.agg(
-        F.coalesce(F.sum(revenue.cast("decimal(20,6)")).cast("double"), F.lit(0.0)).alias("total_revenue"),
+        F.coalesce(numbers.money_sum(revenue).cast("double"), F.lit(0.0)).alias("total_revenue"),
         *[_events(value).alias(f"total_{topic}") for topic, value in per_topic.items()],
     )
 
@@ -119,7 +121,7 @@ def history_kpis(
 ) -> DataFrame:
     """Totals over the four histories of one range."""
     zero = F.lit(0).cast("bigint")
-    revenue = F.sum(F.col("revenue").cast("decimal(20,6)")).cast("double")
+    revenue = numbers.money_sum(F.col("revenue")).cast("double")
     parts = (
         purchases.agg(
             F.coalesce(revenue, F.lit(0.0)).alias("total_revenue"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators.ranking import sliced_row_number
+from ..operators import ordered
 
 # The similarity rule.
 SIMILAR_NEXT = 5
@@ -140,9 +140,9 @@ def edges_similar(
 ) -> DataFrame:
     """Each game of a genre with the ``following`` games after it by popularity, if close.
 
-    ``pool`` keeps the edges within a genre's most popular games. Ranks come from slices of the order,
-    so a genre that holds a large part of all games is not one task, and a neighbour is found by its
-    genre and rank: a game meets ``following`` others, whatever the genre's size.
+    ``pool`` keeps the edges within a genre's most popular games. The followers of a game come from its
+    slice of the order and the slices behind it (``ordered``), so a genre that holds a large part of all
+    games is not one task, and no game is joined with others.
     """
     scored = games.filter(text.filled(F.col("genre")) & (F.col("popularity_score") != 0)).select(
         "genre",
@@ -151,14 +151,15 @@ def edges_similar(
     )
     # Records that agree in genre, score and id, if a title has several, are told apart by a number.
     numbered = scored.groupBy("genre", "a", "high").agg(F.count(F.lit(1)).alias("copies")).select(
-        "genre", "a", "high", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")
-    ).withColumn("key", F.struct("a", "copy"))
-    ranked = sliced_row_number(numbered, "high", "key", "rn", by="genre")
+        "genre", "a", "high", (-F.col("high")).alias("falling"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")
+    )
+    by, order = ["genre"], ["falling", "a", "copy"]
+    ranked = ordered.sliced(numbered, by, order)
+    after = ordered.neighbours(ranked, by, order, F.struct(F.col("a").alias("b"), F.col("high").alias("low")), "after", count=following)
     if pool is not None:
-        ranked = ranked.filter(F.col("rn") <= pool)
-    after = ranked.select("genre", "a", "high", F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + following)).alias("rn"))
-    others = ranked.select("genre", "rn", F.col("a").alias("b"), F.col("high").alias("low"))
-    pairs = after.join(others, ["genre", "rn"])
+        after = ordered.row_number(after, by, order, "rn").filter(F.col("rn") < pool)
+        after = after.withColumn("after", F.slice("after", 1, F.least(F.lit(pool) - F.col("rn"), F.lit(following)).cast("int")))
+    pairs = after.select("genre", "a", "high", F.explode("after").alias("other")).select("genre", "a", "high", "other.*")
     close = (F.col("high") - F.col("low")) < F.col("high") * F.lit(str(max_gap)).cast("decimal(6,4)")
     edges = pairs.filter(close).select(
         "a",

@@ -210,7 +210,7 @@ def mart_price_analysis(
         .groupBy("steam_app_id")
         .agg(
             F.sum("num_purchases").alias("_purchases"),
-            numbers.decimal_sum(F.col("revenue_net_usd")).alias("_revenue"),
+            numbers.money_sum(F.col("revenue_net_usd")).alias("_revenue"),
         )
     )
     per_tier = (
@@ -224,13 +224,13 @@ def mart_price_analysis(
             numbers.decimal_avg(F.col("review_score"), 1, 2).alias("avg_review_score"),
             numbers.decimal_avg(F.col("popularity_score"), 2, 2).alias("avg_popularity_score"),
             F.coalesce(F.sum("_purchases"), F.lit(0).cast("bigint")).alias("total_purchases_24h"),
-            F.round(F.coalesce(F.sum("_revenue"), F.lit(0)), 2).cast("decimal(20,2)").alias("_revenue"),
+            F.round(F.coalesce(F.try_sum("_revenue"), F.lit(0)), 2).cast("decimal(30,2)").alias("_revenue"),
         )
     )
     # One row per tier, so this window sees six rows at most.
     tiers = Window.partitionBy()
-    revenue_all = F.sum("_revenue").over(tiers).cast("decimal(20,2)")
-    revenue_share = F.col("_revenue") * 100 / F.nullif(F.col("_revenue_all"), F.lit(0).cast("decimal(20,2)"))
+    revenue_all = F.sum("_revenue").over(tiers).cast("decimal(30,2)")
+    revenue_share = F.col("_revenue") * 100 / F.nullif(F.col("_revenue_all"), F.lit(0).cast("decimal(30,2)"))
     return (
         per_tier.withColumns(
             {"_owners_all": F.sum("total_owners").over(tiers), "_revenue_all": revenue_all}
@@ -262,7 +262,7 @@ def _recent(windows: DataFrame, as_of, lookback_days: int) -> DataFrame:
 def _average(name: str, weight: str, weighted: bool) -> Column:
     """Average over windows, or over the events behind them."""
     if not weighted:
-        return F.avg(name)
+        return numbers.exact_avg(F.col(name))
     counted = F.when(F.col(name).isNotNull(), F.col(weight))
     return F.sum(F.col(name) * counted) / F.nullif(F.sum(counted), F.lit(0).cast("bigint"))
 
@@ -393,7 +393,7 @@ def recent_activity(
     purchases = _recent(purchase_windows, as_of, lookback_days).select(
         "steam_app_id",
         "num_purchases",
-        F.col("revenue_net_usd").cast("decimal(20,6)").alias("revenue"),
+        numbers.money(F.col("revenue_net_usd")).alias("revenue"),
         "is_viral",
     )
     reviews = _recent(review_windows, as_of, lookback_days).select(
@@ -417,7 +417,7 @@ def recent_activity(
 
     return stacked.groupBy("steam_app_id").agg(
         total("num_purchases").alias("total_purchases_period"),
-        F.coalesce(F.sum("revenue").cast("double"), F.lit(0.0)).alias("total_revenue_period_usd"),
+        F.coalesce(F.try_sum("revenue").cast("double"), F.lit(0.0)).alias("total_revenue_period_usd"),
         total("num_reviews").alias("total_reviews_period"),
         _average("avg_rating", "num_reviews", weighted).alias("avg_rating_period"),
         _average("recommend_pct", "num_reviews", weighted).alias("recommend_pct_period"),

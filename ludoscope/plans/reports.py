@@ -213,7 +213,7 @@ def purchase_history(
         days,
         as_of,
         F.sum("num_purchases").alias("purchases"),
-        numbers.decimal_sum(F.col("revenue_net_usd")).cast("double").alias("revenue"),
+        numbers.money_sum(F.col("revenue_net_usd")).cast("double").alias("revenue"),
     )
 
 
@@ -227,8 +227,8 @@ def review_history(
         days,
         as_of,
         F.sum("num_reviews").alias("reviews"),
-        F.avg("avg_rating").alias("avg_rating"),
-        F.avg("recommend_pct").alias("avg_recommend_pct"),
+        numbers.exact_avg(F.col("avg_rating")).alias("avg_rating"),
+        numbers.exact_avg(F.col("recommend_pct")).alias("avg_recommend_pct"),
     )
 
 
@@ -242,7 +242,7 @@ def session_history(
         as_of,
         F.sum("num_starts").alias("starts"),
         F.sum("num_ends").alias("ends"),
-        F.avg("avg_duration_sec").alias("avg_duration_sec"),
+        numbers.exact_avg(F.col("avg_duration_sec")).alias("avg_duration_sec"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime, timedelta, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +41,10 @@ WINDOW_TABLES = {
 }
 
 
+#: Loads of a refreshed table that stay beside the recorded one, for their readers.
+KEPT_LOADS = 1
+
+
 def columns_of(ddl: str) -> list[tuple[str, str]]:
     return [tuple(f.replace(" NOT NULL", "").split(" ", 1)) for f in ddl.split(", ")]
 
@@ -107,7 +111,8 @@ def full_refresh(
 
     Rows that do not fit ``ddl`` are kept beside it (``read_refresh_rejects``). A day that is not there
     is refused and changes nothing. Each load is written aside, into a folder of its own, and becomes the
-    content when it is complete; a reader of an earlier load is not disturbed.
+    content when it is complete and recorded; a reader of the load before is not disturbed, and older
+    loads are removed.
     """
     rows = read_dated(spark, root, source, day)
     if not rows.take(1):
@@ -115,33 +120,58 @@ def full_refresh(
     bad = F.col("_problems").isNotNull()
     checked = with_load_time(judged(rows, ddl, required), as_of).withColumns(
         {
-            "load": F.lit(_next_load(spark, target)),
             "status": F.when(bad, "reject").otherwise("good"),
             "_original": F.when(bad, F.to_json("_original")),
         }
     )
-    checked.write.mode("append").partitionBy("load", "status").parquet(target)
+    load = _current_load(spark, target) + 1
+    checked.write.mode("overwrite").partitionBy("status").parquet(f"{target}/load={load}")
+    record_position(spark, target, load)
+    forget(spark, f"{target}/load={load - 1 - KEPT_LOADS}")
     return read_refreshed(spark, target)
 
 
-def _loads(spark: SparkSession, target: str) -> DataFrame | None:
+def record_position(spark: SparkSession, path: str, position: int) -> None:
+    """Note beside ``path`` how far it is complete; the largest number noted counts."""
+    noted = spark.createDataFrame([(position,)], "position bigint")
+    noted.coalesce(1).write.mode("overwrite").json(f"{path}_position/at={position}")
+    known = sorted(folders(spark, f"{path}_position/at=*"), key=lambda f: int(f.rsplit("at=", 1)[1]))
+    forget(spark, *known[:-2])
+
+
+def recorded_position(spark: SparkSession, path: str) -> int | None:
     try:
-        return spark.read.parquet(target)
+        noted = spark.read.schema("position bigint").json(f"{path}_position")
     except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    return noted.agg(F.max("position")).first()[0]
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders whose names fit the pattern, on whatever store they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or []]
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Remove folders, on whatever store they are; absent ones are passed over."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _next_load(spark: SparkSession, target: str) -> int:
-    loads = _loads(spark, target)
-    return 0 if loads is None else (loads.agg(F.max("load")).first()[0] or 0) + 1
+def _current_load(spark: SparkSession, target: str) -> int:
+    current = recorded_position(spark, target)
+    return -1 if current is None else current
 
 
 def _newest_load(spark: SparkSession, target: str, status: str) -> DataFrame:
-    loads = spark.read.parquet(target)
-    newest = loads.agg(F.max("load")).first()[0]
-    return loads.filter((F.col("load") == newest) & (F.col("status") == status)).drop("load", "status")
+    """Rows of the recorded load; the folders of other loads are not looked at."""
+    rows = spark.read.parquet(f"{target}/load={_current_load(spark, target)}")
+    return rows.filter(F.col("status") == status).drop("status")
 
 
 def read_refreshed(spark: SparkSession, target: str) -> DataFrame:
@@ -173,12 +203,10 @@ def load_incremental(
 ) -> None:
     """Load the files that arrived since the last call, each exactly once.
 
-    The checkpoint remembers the loaded files. A batch writes to a folder of its own below the day of
-    the load and replaces it when it is retried, so a lost driver or executor cannot double rows. Good
-    rows and rejects are written in one pass, into the subfolders ``status=good`` and
-    ``status=reject``; a reject keeps its original values as JSON. Without ``as_of`` the load time is
-    the start of this call, so that a batch retried by a later call may lie below another day; readers
-    take the newest copy of a batch.
+    The checkpoint remembers the loaded files. A batch writes to a folder of its own and replaces it when it
+    is retried, whatever the clock says, so a lost driver or executor cannot double rows. Good rows and
+    rejects are written in one pass, into the subfolders ``status=good`` and ``status=reject``; a reject
+    keeps its original values as JSON. Without ``as_of`` the load time is the start of this call.
     """
     as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
     rows = (
@@ -198,14 +226,7 @@ def load_incremental(
     )
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
-        day = F.to_date("_loaded_at")
-        (
-            batch.withColumns({"load_date": day, "batch_id": F.lit(batch_id)})
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("load_date", "batch_id", "status")
-            .parquet(target)
-        )
+        batch.write.mode("overwrite").partitionBy("status").parquet(f"{target}/batch_id={batch_id}")
 
     (
         checked.writeStream.foreachBatch(load_batch)
@@ -216,39 +237,35 @@ def load_incremental(
     )
 
 
-def _newest_copies(spark: SparkSession, target: str, since: str | None) -> DataFrame:
-    """Loaded rows, of each batch those of the newest day only; ``since`` lists fewer days."""
-    rows = read_days(spark, target, "load_date", since)
-    newest = rows.groupBy("batch_id").agg(F.max("load_date").alias("load_date"))  # from folder names
-    return rows.join(newest, ["batch_id", "load_date"], "left_semi")
-
-
-def read_days(spark: SparkSession, root: str, column: str, since: str | None = None) -> DataFrame:
-    """Rows below ``root``, or those whose ``column`` is a day from ``since`` to tomorrow.
+def read_days(
+    spark: SparkSession, root: str, column: str, since: str | None = None, ddl: str | None = None
+) -> DataFrame:
+    """Rows below ``root``, or those of the day ``since`` and later, and those without a day.
 
-    With ``since`` only the folders of these days are listed, by a pattern of their names.
+    The days are folders, so the filter picks files by their path. Nothing else is left out: rows dated
+    beyond today stay, and so do rows without a date, which are the unreadable ones.
     """
-    whole = spark.read.option("basePath", root)
+    rows = (spark.read.schema(ddl) if ddl else spark.read).parquet(root)
     if since is None:
-        return whole.parquet(root)
-    first, last = date.fromisoformat(since), date.today() + timedelta(days=1)
-    days = [str(first + timedelta(days=k)) for k in range(max(1, (last - first).days + 1))]
-    try:
-        return whole.parquet(f"{root}/{column}={{{','.join(days)}}}")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return whole.parquet(root).filter(F.col(column) >= F.lit(since).cast("date"))  # no row
+        return rows
+    day = F.col(column).cast("date")
+    return rows.filter((day >= F.lit(since).cast("date")) | day.isNull())
+
+
+def _loaded(spark: SparkSession, target: str, status: str, since: str | None) -> DataFrame:
+    rows = spark.read.parquet(target).filter(F.col("status") == status).drop("batch_id", "status")
+    if since is not None:
+        rows = rows.filter(F.col("_loaded_at") >= F.lit(since).cast("timestamp"))
+    return rows
 
 
 def read_loaded(spark: SparkSession, target: str, since: str | None = None) -> DataFrame:
-    """Good rows, of loads from the day ``since`` on."""
-    good = _newest_copies(spark, target, since).filter(F.col("status") == "good")
-    return good.drop("batch_id", "load_date", "status", "_problems", "_original")
+    """Good rows, of loads from the day ``since`` on, which the files' statistics tell."""
+    return _loaded(spark, target, "good", since).drop("_problems", "_original")
 
 
 def read_rejects(spark: SparkSession, target: str, since: str | None = None) -> DataFrame:
-    rejects = _newest_copies(spark, target, since).filter(F.col("status") == "reject")
+    rejects = _loaded(spark, target, "reject", since)
     return rejects.select(F.col("_original").alias("original"), F.col("_problems").alias("problems"))
 
 

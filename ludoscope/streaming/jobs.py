@@ -32,13 +32,18 @@ def start_aggregate(
     watermark: str = WATERMARK,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Windowed aggregate of a topic, in update mode, into the history and the live state."""
+    """Windowed aggregate of a topic, in update mode, into the history, and from its files into the live state."""
     name = QUERY_NAMES[check_topic(topic)]
     windows = aggregate_windows(events, topic, window=window, watermark=watermark)
-    both = sinks.combine(sinks.live_writer(root, topic), sinks.history_writer(root, topic))
+    write_history = sinks.history_writer(root, topic)
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        write_history(batch, batch_id)
+        sinks.refresh_live(batch.sparkSession, root, topic, batch_id)
+
     return (
         windows.writeStream.queryName(name)
-        .foreachBatch(both)
+        .foreachBatch(take)
         .option("checkpointLocation", f"{checkpoints}/{name}")
         .outputMode("update")
         .trigger(**(trigger or AGGREGATE_TRIGGER))

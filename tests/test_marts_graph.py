@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from helpers import frame, plan_of, rows
-from ludoscope.operators import live, quality, ranking, requests
+from ludoscope.operators import live, ordered, quality, ranking, requests
 from ludoscope.plans import anomalies, dashboard, graph, marts, reports
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -76,12 +76,14 @@ def test_sliced_row_number_equals_plain_window(spark):
 
 
 @pytest.mark.parametrize("slices", [1, 2, 7, 64])
-def test_sliced_row_number_within_groups(spark, slices):
+def test_sliced_row_number_within_groups(spark, monkeypatch, slices):
     df = spark.range(3000).select(
         F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("grp"),
         F.col("id").alias("key"), (F.col("id") % 50).alias("value"))
     plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("value").desc(), "key")))
-    sliced = ranking.sliced_row_number(df, "value", "key", "rank", by="grp", slices=slices)
+    shape = ordered.sliced
+    monkeypatch.setattr(ranking, "sliced", lambda df, by, order: shape(df, by, order, slices))
+    sliced = ranking.sliced_row_number(df, "value", "key", "rank", by="grp")
     assert rows(sliced.select("key", "rank")) == rows(plain.select("key", "rank"))
 
 

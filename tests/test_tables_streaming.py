@@ -5,7 +5,7 @@ import os
 import time
 from datetime import datetime, timedelta, timezone
 
-from helpers import frame, rows
+from helpers import frame, plan_of, rows
 from ludoscope.operators.live import live_state
 from ludoscope.operators.windows import aggregate_windows, latest_version
 from ludoscope.plans import anomalies
@@ -85,50 +85,109 @@ def test_late_rows(spark, tmp_path):
     assert final == {datetime(2024, 1, 1, 12, 0, 0): 2, datetime(2024, 1, 1, 12, 1, 30): 3}
 
 
+WISHES = "window_start timestamp, game_id int, num_added bigint, num_removed bigint, net_added bigint"
+
+
+def take(spark, root, batch, batch_id, **settings):
+    sinks.history_writer(root, "wishlist")(batch, batch_id)
+    sinks.refresh_live(spark, root, "wishlist", batch_id, **settings)
+
+
 def test_retried_batch_replaces_its_rows(spark, tmp_path):
     root = str(tmp_path)
-    ddl = "window_start timestamp, game_id int, num_added bigint, num_removed bigint, net_added bigint"
-    batch = frame(spark, ddl, [(datetime(2024, 1, 1), 1, 1, 0, 1), (datetime(2024, 1, 2), 1, 1, 0, 1)])
-    both = sinks.combine(sinks.live_writer(root, "wishlist"), sinks.history_writer(root, "wishlist"))
+    batch = frame(spark, WISHES, [(datetime(2024, 1, 1), 1, 1, 0, 1), (datetime(2024, 1, 2), 1, 1, 0, 1)])
     for _ in range(2):
-        both(batch, 7)
+        take(spark, root, batch, 7)
     assert spark.read.parquet(sinks.history_path(root, "wishlist")).count() == 2
-    assert spark.read.parquet(sinks.live_path(root, "wishlist")).count() == 1
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     entries = sinks.read_live(spark, root, "wishlist", as_of=now)
     state = live_state({"wishlist": entries}, as_of=now)
     assert rows(state.select("game_id", "window_start", "net_added")) == [(1, datetime(2024, 1, 2), 1)]
     assert live_state({"wishlist": entries}, as_of=now + timedelta(hours=1)).count() == 0
-    assert not batch.is_cached
 
 
-def test_a_live_batch_retried_after_the_hour_turns_leaves_one_copy(spark, tmp_path, monkeypatch):
-    ddl = "window_start timestamp, game_id int, num_added bigint, num_removed bigint, net_added bigint"
-    batch = frame(spark, ddl, [(datetime(2024, 1, 1), 1, 1, 0, 1)])
+class Clock(datetime):
+    at = datetime(2024, 1, 1, 0, 59, 59, tzinfo=timezone.utc)
 
-    class Clock(datetime):
-        at = datetime(2024, 1, 1, 0, 59, 59, tzinfo=timezone.utc)
+    @classmethod
+    def now(cls, tz=None):
+        return cls.at
 
-        @classmethod
-        def now(cls, tz=None):
-            return cls.at
 
+def test_live_state_is_one_row_per_key_and_forgets(spark, tmp_path, monkeypatch):
+    """A key that is not updated leaves the files; a retried batch leaves what one run leaves."""
     monkeypatch.setattr(sinks, "datetime", Clock)
-    writer = sinks.live_writer(str(tmp_path), "wishlist")
-    writer(batch, 7)
-    Clock.at = datetime(2024, 1, 1, 1, 0, 5, tzinfo=timezone.utc)
-    writer(batch, 7)
-    entries = sinks.read_live(spark, str(tmp_path), "wishlist", as_of=datetime(2024, 1, 1, 1, 0, 5))
-    assert [(r["game_id"], r["updated_at"]) for r in entries.collect()] == [(1, datetime(2024, 1, 1, 1, 0, 5))]
-
-
-def test_reading_some_days_lists_only_their_folders(spark, tmp_path):
-    ddl = "window_start timestamp, game_id int, num_added bigint, num_removed bigint, net_added bigint"
+    root, day = str(tmp_path), datetime(2024, 1, 1)
+
+    def at(second):
+        Clock.at = datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=second)
+        return Clock.at.replace(tzinfo=None)
+
+    def entries(as_of):
+        found = sinks.read_live(spark, root, "wishlist", as_of=as_of)
+        return rows(found.select("game_id", "net_added", "updated_at"), "game_id")
+
+    start = at(0)
+    take(spark, root, frame(spark, WISHES, [(day, 1, 1, 0, 1), (day, 2, 2, 0, 2), (day, None, 5, 0, 5)]), 0)
+    assert entries(start) == [(1, 1, start), (2, 2, start)]
+    later = at(300)
+    for _ in range(2):  # the same window again, with more in it, and the batch twice
+        take(spark, root, frame(spark, WISHES, [(day, 1, 3, 0, 3)]), 1)
+        assert entries(later) == [(1, 3, later), (2, 2, start)]
+    take(spark, root, frame(spark, WISHES, []), 2)
+    assert entries(later) == [(1, 3, later), (2, 2, start)]
+    end = at(700)  # game 2 has been silent for more than 600 seconds
+    take(spark, root, frame(spark, WISHES, [(day - timedelta(days=1), 1, 9, 0, 9)]), 3)
+    assert entries(end) == [(1, 3, later)]
+    stored_rows = [spark.read.parquet(f).count() for f in tables.folders(spark, f"{sinks.live_path(root, 'wishlist')}/version=*")]
+    assert len(stored_rows) == 2 and stored_rows[-1] == 1
+    assert len(tables.folders(spark, f"{sinks.live_path(root, 'wishlist')}_position/at=*")) == 2
+
+
+def test_reading_some_days_reads_only_their_folders(spark, tmp_path):
     days = [datetime(2024, 1, d) for d in range(1, 9)]
-    sinks.history_writer(str(tmp_path), "wishlist")(frame(spark, ddl, [(d, 1, 1, 0, 1) for d in days]), 0)
-    files = sinks._versions(spark, sinks.history_path(str(tmp_path), "wishlist"), "2024-01-07").inputFiles()
-    assert sinks.read_history(spark, str(tmp_path), "wishlist", since="2024-02-01").count() == 0
+    sinks.history_writer(str(tmp_path), "wishlist")(frame(spark, WISHES, [(d, 1, 1, 0, 1) for d in days]), 0)
+    found = sinks._versions(spark, sinks.history_path(str(tmp_path), "wishlist"), "wishlist", "2024-01-07")
+    files = [r[0] for r in found.select(F.input_file_name()).distinct().collect()]
     assert len(files) == 2 and all("date=2024-01-07" in f or "date=2024-01-08" in f for f in files)
+    assert "PartitionFilters: [((cast(date" in plan_of(found) or "PartitionFilters: [((date" in plan_of(found)
+    assert sinks.read_history(spark, str(tmp_path), "wishlist", since="2024-02-01").count() == 0
+
+
+def test_since_loses_neither_rejects_nor_rows_of_the_future(spark, tmp_path):
+    folder, root, progress = (str(tmp_path / p) for p in ("in", "out", "progress"))
+    far = 86_400 * 365 * 9
+    drop_file(folder, 1, [wish(1, 0), wish(2, far), "{broken", wish(3, -86_400 * 400)])
+    stream = topics.read_topic(spark, "wishlist", path=folder)
+    jobs.start_raw(stream, "wishlist", root, progress, trigger=NOW).awaitTermination()
+    for since in (None, "2020-01-01"):
+        assert rows(sinks.read_raw(spark, root, "wishlist", since=since).select("event_id")) == [("1",), ("2",), ("3",)]
+    for since in (None, "2020-01-01", "2023-06-01", "2024-01-01"):
+        rejects = sinks.read_raw(spark, root, "wishlist", "reject", since=since)
+        assert [r["_raw"] for r in rejects.collect()] == ["{broken"]
+    assert rows(sinks.read_raw(spark, root, "wishlist", since="2024-01-01").select("event_id")) == [("1",), ("2",)]
+    run(spark, folder, root, str(tmp_path / "p2"))
+    assert sinks.read_history(spark, root, "wishlist", since="2024-01-01").count() == 2
+
+
+def test_covered_batches_and_replaced_days_are_removed(spark, tmp_path):
+    root, day = str(tmp_path), datetime(2024, 1, 1)
+    write = sinks.history_writer(root, "wishlist")
+    write(frame(spark, WISHES, [(day, 1, 1, 0, 1), (day + timedelta(days=1), 2, 1, 0, 1)]), 0)
+    assert sinks.remove_covered(spark, root, "wishlist") == 0
+    write(frame(spark, WISHES, [(day, 1, 2, 0, 2)]), 1)
+    sinks.compact_history(spark, root, "wishlist")
+    assert sinks.remove_covered(spark, root, "wishlist") == 3
+    want = [(day, 1, 2), (day + timedelta(days=1), 2, 1)]
+    got = ("window_start", "game_id", "num_added")
+    assert rows(sinks.read_history(spark, root, "wishlist").select(*got), "game_id") == want
+    write(frame(spark, WISHES, [(day, 1, 5, 0, 5)]), 2)
+    want[0] = (day, 1, 5)
+    assert rows(sinks.read_history(spark, root, "wishlist").select(*got), "game_id") == want
+    sinks.compact_history(spark, root, "wishlist")
+    assert sinks.remove_covered(spark, root, "wishlist") == 2
+    assert rows(sinks.read_history(spark, root, "wishlist").select(*got), "game_id") == want
+    assert rows(sinks.read_history(spark, root, "wishlist", since="2024-01-02").select(*got), "game_id") == want[1:]
 
 
 def test_a_refresh_by_an_absent_day_changes_nothing(spark, tmp_path):
@@ -144,22 +203,14 @@ def test_a_refresh_by_an_absent_day_changes_nothing(spark, tmp_path):
         pass
     assert rows(tables.read_refreshed(spark, target).select("x")) == [(1,)]
     tables.write_dated(frame(spark, "x string", [("2",)]), root, "s", "2024-01-02")
+    before = tables.read_refreshed(spark, target)
     tables.full_refresh(spark, root, "s", "2024-01-02", "x INT", target, as_of="2024-01-31")
     assert rows(tables.read_refreshed(spark, target).select("x")) == [(2,)]
-
-
-def test_combine_releases_the_batch_when_a_sink_fails(spark):
-    batch = spark.range(3).toDF("x")
-
-    def broken(df, batch_id):
-        df.count()
-        raise RuntimeError("sink")
-
-    try:
-        sinks.combine(broken)(batch, 0)
-    except RuntimeError:
-        pass
-    assert not batch.is_cached
+    assert rows(before.select("x")) == [(1,)]  # a reader of the load before still finds its files
+    tables.full_refresh(spark, root, "s", "2024-01-02", "x INT", target, as_of="2024-01-31")
+    assert [f.rsplit("/", 1)[1] for f in tables.folders(spark, f"{target}/load=*")] == ["load=1", "load=2"]
+    files = tables.read_refreshed(spark, target).inputFiles()
+    assert files and all("load=2" in f for f in files)
 
 
 def test_raw_copy_keeps_events_and_sets_rejects_apart(spark, tmp_path):
