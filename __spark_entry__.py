@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ludoscope.fixtures import adapters as fx
 from ludoscope.fixtures import oracle
 from ludoscope.functions import text
-from ludoscope.operators import live, normalize, quality, requests, staging, windows
+from ludoscope.operators import live, normalize, play_sessions, quality, requests, sliding, staging, subtotals, windows
 from ludoscope.plans import anomalies, dashboard, graph, marts, reports
 from ludoscope.plans.materialise import stored
 from ludoscope.session import prepare
@@ -29,7 +29,9 @@ except ModuleNotFoundError as missing:
 SMOKE_DIR = "/root/testdata/sf0.001"
 PRICE_DAYS = 7
 LOWERED = {"above_pct": 5, "high_above_pct": 6}
-ISOLATED = {"min_owners": 100, "min_score": 20, "high_above": 50}
+ISOLATED = {"min_owners": 100, "min_score": 20, "high_above": 90}
+# Scores of neighbours in the popularity order lie close, so games are isolated within a narrow gap only.
+ISOLATED_GAP = 0.001
 # Ids that exist in the test tables: a catalogue entry, a game with neighbours, one with events.
 GAME_ID, LINKED_GAME_ID, PLAYED_GAME_ID = oracle.GAME_ID, oracle.LINKED_GAME_ID, oracle.PLAYED_GAME_ID
 
@@ -172,8 +174,8 @@ def _merged_edges(games):
 
 
 def _isolated(games):
-    similar = graph.edges_similar(graph.graph_games(games))
-    return anomalies.isolated_games(graph.nodes_game(games), similar, **ISOLATED)
+    close = graph.edges_similar(graph.graph_games(games), max_gap=ISOLATED_GAP)
+    return anomalies.isolated_games(graph.nodes_game(games), close, **ISOLATED)
 
 
 def _inconsistent(games):
@@ -237,6 +239,10 @@ def _node_keys(spark, d):
     return quality.check_unique(frames, quality.NODE_KEYS)
 
 
+def _totals(metric):
+    return {"n": F.count(F.lit(1)), "total": F.sum(F.col(metric).cast("decimal(20,6)")).cast("double")}
+
+
 def _home(spark, d):
     return dashboard.home_kpis(
         {
@@ -360,6 +366,29 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     s["raw_events"] = lambda k, d: fx.streamed_raw(k, d, "sessions")
     for topic in ("purchases", "reviews", "wishlist"):
         s[f"raw_events_{topic}"] = lambda k, d, t=topic: fx.streamed_raw(k, d, t)
+    s["raw_events_since"] = fx.raw_since
+    s["win_purchases_odd_prices"] = lambda k, d: windows.aggregate_windows(fx.odd_prices(k, d), "purchases", window=fx.DAY)
+    s["stg_purchases_odd_prices"] = lambda k, d: staging.stage_purchases(_loaded(fx.odd_prices(k, d))).select("event_id", "revenue_net_usd")
+    for topic in topics.TOPICS:
+        s[f"win_sliding_{topic}"] = lambda k, d, t=topic: sliding.sliding_windows(fx.topic(k, d, t), t)
+        s[f"live_state_expiring_{topic}"] = lambda k, d, t=topic: fx.expiring_live(k, d, t)
+        s[f"stream_unique_{topic}"] = lambda k, d, t=topic: fx.streamed_unique(k, d, t)
+    s["unique_purchases"] = lambda k, d: fx.unique(k, d, "purchases")
+    s["play_sessions"] = lambda k, d: play_sessions.play_sessions(
+        fx.topic(k, d, "sessions"), gap_seconds=fx.DAY_SECONDS, by=("user_id",)
+    )
+    s["stream_play_sessions"] = fx.streamed_sessions
+    s["purchase_reviews"] = fx.matches
+    s["stream_purchase_reviews"] = fx.streamed_matches
+
+    # Order and time
+    s["price_in_force"] = fx.price_in_force
+    s["campaign_events"] = fx.campaign_events
+    s["campaign_overlaps"] = fx.campaign_overlaps
+    s["purchase_gaps"] = fx.purchase_gaps
+    s["owner_deciles"] = lambda k, d: fx.owner_deciles(_stored_games(k, d))
+    s["load_change"] = fx.load_change
+    s["players_from_sketches"] = fx.players
     s["agg_latest_version"] = lambda k, d: windows.latest_version(fx.update_mode_versions(k, d))
 
     # Staging
@@ -451,6 +480,12 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     s["kpi_pulse"] = lambda k, d: dashboard.live_pulse(fx.live(k, d))
     s["top_n_live"] = lambda k, d: dashboard.live_top(fx.live(k, d))
     s["anomaly_type_counts"] = lambda k, d: dashboard.anomaly_type_counts(_mart(k, d, "flagged"))
+    s["findings_subtotals"] = lambda k, d: subtotals.all_subtotals(
+        _mart(k, d, "findings"), "anomaly_type", "severity", "related_entity", **_totals("metric_value")
+    )
+    s["flagged_rollup"] = lambda k, d: subtotals.rolled_up(
+        _mart(k, d, "flagged"), "anomaly_type", "steam_app_id", **_totals("metric_2")
+    )
     s["severity_kpis"] = lambda k, d: dashboard.severity_kpis(_mart(k, d, "findings"))
     s["anomaly_hierarchy"] = lambda k, d: dashboard.anomaly_hierarchy(_mart(k, d, "findings"))
     s["genre_totals"] = lambda k, d: dashboard.genre_totals(_mart(k, d, "genres"))
@@ -477,6 +512,7 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     s["req_latency_p99_by_handler"] = lambda k, d: requests.latency_quantiles(
         fx.request_log(k, d), "handler", quantiles=(0.99,)
     )
+    s["req_latency_from_sketches"] = fx.day_latency
     s["req_latency_percentile"] = lambda k, d: requests.latency_percentiles(
         fx.request_log(k, d), window="1 day"
     )

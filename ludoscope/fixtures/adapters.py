@@ -9,18 +9,20 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import numbers
-from ..operators import staging
+from ..operators import as_of, matching, ordered, overlaps, play_sessions, sketches, staging
 from ..operators.live import live_state
 from ..operators.normalize import review_score
+from ..operators.unique import unique_events
 from ..operators.windows import aggregate_windows
 from ..plans import anomalies, marts
+from ..plans.materialise import stored
 from ..session import prepare, shared_folder
-from ..sources import tables
+from ..sources import tables, topics
 from ..sources.topics import RAW, TOPIC_SCHEMAS, TOPICS, is_malformed, parse_messages
-from ..streaming import jobs, sinks
+from ..streaming import jobs, keyed_state, sinks
 
 AS_OF = "2024-01-31 00:00:00"
 DAY = "1 day"
@@ -417,21 +419,250 @@ def late_events(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumn("drop", F.when(late, 3).when(early, 0).when(later, 1).otherwise(2))
 
 
-def streamed_deliveries(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Four deliveries in four micro-batches; the last brings events of windows that are long closed."""
-    session = stream_session(spark)
-    source, root, checkpoints = (shared_folder(spark, p) for p in ("drops", "stream", "progress"))
-    rows = late_events(spark, sf_dir, name)
-    files = 2  # of each delivery
-    for drop in range(4):
+FILES = 2  # of each delivery
+
+
+def delivered(spark: SparkSession, rows: DataFrame, drops: int = 4) -> tuple[str, StructType]:
+    """A folder with the rows of each ``drop`` in FILES files, one delivery after the other; and their schema."""
+    source = shared_folder(spark, "drops")
+    for drop in range(drops):
         part = rows.filter(F.col("drop") == drop).drop("drop")
-        part.repartitionByRange(files, "event_id").write.mode("append").parquet(source)
-    events = session.readStream.schema(rows.drop("drop").schema).option("maxFilesPerTrigger", files).parquet(source)
+        part.repartitionByRange(FILES, "event_id").write.mode("append").parquet(source)
+    return source, rows.drop("drop").schema
+
+
+def delivery_stream(session: SparkSession, source: str, schema: StructType) -> DataFrame:
+    return session.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(source)
+
+
+def run_deliveries(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A topic's standing query over four deliveries in four micro-batches; returns the output root.
+
+    The last delivery brings events of windows that are long closed.
+    """
+    session = stream_session(spark)
+    root, checkpoints = shared_folder(spark, "stream"), shared_folder(spark, "progress")
+    events = delivery_stream(session, *delivered(spark, late_events(spark, sf_dir, name)))
     query = jobs.start_aggregate(
         events, name, root, checkpoints, window=DAY, trigger={"availableNow": True}
     )
     query.awaitTermination()
-    return sinks.read_history(spark, root, name)
+    return root
+
+
+def streamed_deliveries(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return sinks.read_history(spark, run_deliveries(spark, sf_dir, name), name)
+
+
+def expiring_live(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Live entries as keyed state with timers, from the history that four deliveries left."""
+    root, checkpoints = run_deliveries(spark, sf_dir, name), shared_folder(spark, "progress")
+    session = stream_session(spark)
+    for key, value in keyed_state.STATE_STORE.items():
+        session.conf.set(key, value)
+    query = keyed_state.start_expiring(
+        session, name, root, checkpoints, ttl_seconds=LIVE_DAYS * DAY_SECONDS, window_seconds=DAY_SECONDS,
+        trigger={"availableNow": True}, maxFilesPerTrigger="60",
+    )
+    query.awaitTermination()
+    entries = keyed_state.read_expiring(spark, root, name).withColumnRenamed("closes", "updated_at")
+    return entries.withColumn("topic", F.lit(name))
+
+
+def with_flush(rows: DataFrame) -> DataFrame:
+    """One more delivery, of an event far ahead, after which the watermark has passed all others."""
+    schema = rows.schema
+    fixed = {"event_id": "flush", "event_time": datetime(2024, 6, 1, tzinfo=timezone.utc), "user_id": "flush", "drop": 4}
+    fixed |= {"game_id": -1, "event_type": "flush"}
+    last = rows.sparkSession.createDataFrame([tuple(fixed.get(f.name) for f in schema)], StructType([
+        StructField(f.name, f.dataType) for f in schema
+    ]))
+    return rows.unionByName(last)
+
+
+def _collected(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """What a stream gives out in append mode, batch by batch, stored and read back."""
+    target, checkpoints = shared_folder(spark, name), shared_folder(spark, "progress")
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoints)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(target).drop("batch_id")
+
+
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Play sessions of a player over the deliveries of the sessions topic."""
+    rows = with_flush(late_events(spark, sf_dir, "sessions"))
+    events = delivery_stream(stream_session(spark), *delivered(spark, rows, 5))
+    found = play_sessions.play_sessions(events, gap_seconds=DAY_SECONDS, by=("user_id",), watermark="10 seconds")
+    return _collected(found, spark, "sessions").filter("user_id <> 'flush'")
+
+
+def streamed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the player's reviews of the following week, over the deliveries of both topics."""
+    session = stream_session(spark)
+    sides = [
+        delivery_stream(session, *delivered(spark, with_flush(late_events(spark, sf_dir, name)), 5))
+        for name in ("purchases", "reviews")
+    ]
+    found = matching.followed_by(*sides, by=("user_id",), watermarks=("10 seconds", "10 seconds"))
+    return _collected(_matched(found), spark, "matches").filter("user_id <> 'flush'")
+
+
+def _matched(found: DataFrame) -> DataFrame:
+    """The columns of a match that the registered queries give."""
+    return found.select(
+        F.col("purchase_event_id").alias("event_id"),
+        F.col("purchase_event_time").alias("event_time"),
+        F.col("purchase_user_id").alias("user_id"),
+        F.col("review_event_id").alias("review_id"),
+        F.col("review_event_time").alias("review_time"),
+        F.col("review_rating").alias("rating"),
+    )
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(matching.followed_by(topic(spark, sf_dir, "purchases"), topic(spark, sf_dir, "reviews"), by=("user_id",)))
+
+
+def repeated_events(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A topic's deliveries in which every tenth event comes twice, and once more in the next delivery."""
+    rows = late_events(spark, sf_dir, name)
+    again = F.col("event_id").cast("bigint") % 10 == 0
+    times = F.when(again, F.array(F.lit(0), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("later", F.explode(times)).withColumn("drop", F.least(F.col("drop") + F.col("later"), F.lit(3))).drop("later")
+
+
+def streamed_unique(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    session = stream_session(spark)
+    root, checkpoints = shared_folder(spark, "stream"), shared_folder(spark, "progress")
+    events = delivery_stream(session, *delivered(spark, repeated_events(spark, sf_dir, name)))
+    query = jobs.start_raw(events, name, root, checkpoints, trigger={"availableNow": True}, unique_within="10 seconds")
+    query.awaitTermination()
+    return sinks.read_raw(spark, root, name).drop("date")
+
+
+def unique(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return unique_events(repeated_events(spark, sf_dir, name).drop("drop"))
+
+
+RAW_SINCE = "2024-01-10"
+
+
+def raw_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchase messages, some dated years ahead and some unreadable, copied and read from a day on."""
+    session = stream_session(spark)
+    source, root, checkpoints = (shared_folder(spark, p) for p in ("drops", "stream", "progress"))
+    rows = messages(spark, sf_dir, "purchases")
+    ahead = F.col("event_id").cast("bigint") % 103 == 0
+    rows.select(F.when(ahead, F.replace("value", F.lit('"event_time":"2024'), F.lit('"event_time":"2031'))).otherwise(F.col("value"))).write.text(source)
+    events = topics.read_topic(session, "purchases", path=source)
+    jobs.start_raw(events, "purchases", root, checkpoints, trigger={"availableNow": True}).awaitTermination()
+    kinds = [
+        sinks.read_raw(spark, root, "purchases", kind, since=RAW_SINCE).select(
+            "event_id", "date", F.lit(kind).alias("status"), (F.col(RAW) if kind == "reject" else F.lit(None).cast("string")).alias("message")
+        )
+        for kind in ("good", "reject")
+    ]
+    return kinds[0].unionByName(kinds[1])
+
+
+def odd_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases of which some cost a billionth of a dollar, two billion, or nothing that is an amount."""
+    number, price = F.col("event_id").cast("bigint") % 13, F.col("price_usd")
+    odd = F.when(number == 0, 1e-9).when(number == 1, 2e9).when(number == 2, float("nan")).when(number == 3, 1e18)
+    return topic(spark, sf_dir, "purchases").withColumn("price_usd", odd.otherwise(price))
+
+
+def price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price changes: a review stands for a new list price of its game, every eleventh for none."""
+    rows = topic(spark, sf_dir, "reviews")
+    number = F.col("event_id").cast("bigint")
+    return rows.select(
+        "game_id",
+        F.col("event_time").alias("since"),
+        number.alias("change"),
+        F.when(number % 11 != 0, number % 60).alias("list_price"),
+    )
+
+
+def price_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list price at each purchase."""
+    found = as_of.in_force(
+        topic(spark, sf_dir, "purchases"), price_list(spark, sf_dir), ["game_id"], "event_time", ["change", "list_price"],
+        state_time="since", version="change",
+    )
+    return found.select("event_id", "game_id", "change", "list_price")
+
+
+def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Campaigns of games: of hours, of days, and some of most of the month."""
+    number = F.col("event_id").cast("bigint")
+    hours = F.when(number % 97 == 0, 500).when(number % 7 == 0, 50).otherwise(number % 5)
+    return topic(spark, sf_dir, "wishlist").select(
+        F.col("event_id").alias("campaign"), "game_id", F.col("event_time").alias("starts"),
+        (F.col("event_time") + F.make_dt_interval(hours=hours.cast("int"))).alias("ends"),
+    )
+
+
+def campaign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlaps.at_moments(
+        topic(spark, sf_dir, "purchases"), campaigns(spark, sf_dir), ["game_id"], "event_time", ("starts", "ends")
+    )
+    return found.select("left.event_id", "left.game_id", "right.campaign")
+
+
+def campaign_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = campaigns(spark, sf_dir)
+    found = overlaps.overlapping(every, every, ["game_id"], ("starts", "ends"), ("starts", "ends"))
+    one, other = F.col("left.campaign"), F.col("right.campaign")
+    return found.filter(one < other).select(one.alias("campaign"), other.alias("other"))
+
+
+def purchase_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds since a game's purchase before."""
+    by, order = ["game_id"], ["event_time", "event_id"]
+    cut = ordered.sliced(topic(spark, sf_dir, "purchases").select(*by, *order), by, order)
+    found = ordered.previous(cut, by, order, "event_time", "before")
+    seconds = F.unix_seconds("event_time") - F.unix_seconds("before")
+    return found.select("event_id", "game_id", seconds.alias("seconds_since"))
+
+
+def owner_deciles(games: DataFrame) -> DataFrame:
+    """Tenth of the games, by falling owners."""
+    rows = games.select("steam_app_id", "owners_estimate", (-F.col("owners_estimate")).alias("falling"))
+    order = ["falling", "steam_app_id"]
+    return ordered.ntile(ordered.sliced(rows, [], order), [], order, 10, "decile").select("steam_app_id", "owners_estimate", "decile")
+
+
+def load_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between two loads of catalogue B: rows gone, new, changed, and held twice."""
+    columns = ["appid", "name", "publisher", "ccu"]
+    rows, key = catalog_b(spark, sf_dir).select(*columns), F.col("appid")
+    before = rows.filter(key % 19 != 0).withColumn("publisher", F.when(key % 5 != 0, F.col("publisher")))
+    changed = rows.filter(key % 23 != 0).withColumn("publisher", F.when(key % 5 != 0, F.col("publisher")))
+    after = changed.withColumn("ccu", F.when(key % 29 == 0, F.lit(-1)).otherwise(F.col("ccu")))
+    return tables.load_difference(before, after.unionByName(after.filter(key % 31 == 0)), columns)
+
+
+def day_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of days out of stored sketches of minutes."""
+    minutes = stored(sketches.latency_sketches(request_log(spark, sf_dir)), "latency-sketches")
+    return sketches.latency_of(sketches.merged_latency(minutes))
+
+
+def players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players of each game and week out of stored sketches of hours."""
+    hours = stored(sketches.user_sketches(topic(spark, sf_dir, "sessions"), "game_id"), "user-sketches")
+    return sketches.users_of(sketches.merged_users(hours, "game_id", span="week"), "game_id")
 
 
 def streamed_windows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -344,7 +344,8 @@ _PARTS["e_publisher"] = _linked("publisher", "PUBLISHED_BY")
 _PARTS["e_platform"] = _linked("platforms", "AVAILABLE_ON")
 _PARTS["e_theme"] = _linked("themes", "HAS_THEME")
 _PARTS["e_tag"] = _linked("tags", "TAGGED_WITH")
-for _name, _score in (("similar", "popularity_score"), ("old", "review_score")):
+# Edges of one load, of one whose scores were the review scores, and of one within a narrow gap.
+for _name, _score, _gap in (("similar", "popularity_score", "0.3"), ("old", "review_score", "0.3"), ("close", "popularity_score", "0.001")):
     _PARTS[f"pool_{_name}"] = f"""
     SELECT genre, steam_app_id AS id, CAST(round({_score} * 100) AS BIGINT) AS s,
         row_number() OVER (PARTITION BY genre ORDER BY {_score} DESC, steam_app_id) AS rn
@@ -354,7 +355,7 @@ for _name, _score in (("similar", "popularity_score"), ("old", "review_score")):
         SELECT x.id AS a, y.id AS b, x.genre,
             CAST((2000 * y.s + x.s) // (2 * x.s) AS DOUBLE) / 1e3 AS similarity_score
         FROM pool_{_name} x JOIN pool_{_name} y ON x.genre = y.genre AND y.rn > x.rn AND y.rn <= x.rn + 5
-        WHERE 10 * (x.s - y.s) < 3 * x.s)
+        WHERE 1000 * (x.s - y.s) < {round(1000 * float(_gap))} * x.s)
     QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY similarity_score DESC, genre DESC) = 1"""
 _PARTS["n_game"] = """
     SELECT steam_app_id, game_name AS name, coalesce(review_score, 0e0) AS review_score, review_label,
@@ -398,10 +399,10 @@ _PARTS["isolated"] = """
         CAST(NULL AS VARCHAR) AS related_entity,
         name || ' has no similar games (score:' || popularity_score || ', tier:' || popularity_tier || ', owners:'
             || format('{:,}', owners_estimate) || ')' AS description,
-        popularity_score AS metric_value, CASE WHEN popularity_score > 50 THEN 'High' ELSE 'Medium' END AS severity
+        popularity_score AS metric_value, CASE WHEN popularity_score > 90 THEN 'High' ELSE 'Medium' END AS severity
     FROM n_game
     WHERE owners_estimate > 100 AND popularity_score > 20
-        AND steam_app_id NOT IN (SELECT a FROM e_similar UNION ALL SELECT b FROM e_similar)"""
+        AND steam_app_id NOT IN (SELECT a FROM e_close UNION ALL SELECT b FROM e_close)"""
 _PARTS["inconsistent"] = f"""
     SELECT 'sales_inconsistency' AS anomaly_type, an AS entity_name, 'Game' AS entity_type, bn AS related_entity,
         an || ' (score:' || sa || ') vs ' || bn || ' (score:' || sb || ') - ' || printf('%.1f', ratio)
@@ -462,6 +463,66 @@ _PARTS["texts"] = """
     SELECT p_partkey, p_name, p_type, p_brand, p_partkey % 10 AS m, p_partkey % 6 AS t FROM part"""
 
 
+_IN_TIME = "NOT (event_time < TIMESTAMP '2024-01-10' AND CAST(event_id AS BIGINT) % 50 = 0)"
+for _t in TOPICS:
+    _PARTS[f"punctual_{_t}"] = f"""
+    SELECT * FROM {_t} WHERE {_IN_TIME}"""
+    _PARTS[f"expiring_{_t}"] = f"""
+    SELECT '{_t}' AS topic, intime_{_t}.*, window_start + INTERVAL '1 day' AS updated_at FROM intime_{_t}
+    WHERE window_start > (SELECT max(window_start) FROM intime_{_t}) - INTERVAL '7 days'
+    QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY window_start DESC) = 1"""
+    _PARTS[f"sliding_{_t}"] = f"""
+    SELECT make_timestamp(w * 30000000) AS window_start, game_id, {_MEASURES[_t]}
+    FROM (SELECT *, unnest(range(epoch_us(event_time) // 30000000 - 59, epoch_us(event_time) // 30000000 + 1)) AS w FROM {_t})
+    GROUP BY 1, 2"""
+
+
+def _play_sessions(source: str) -> str:
+    return f"""
+    SELECT user_id, min(event_time) AS session_start, max(event_time) AS session_end,
+        CAST(epoch_us(max(event_time)) - epoch_us(min(event_time)) AS DOUBLE) / 1e6 AS played_seconds,
+        count(*) AS num_events, count(*) FILTER (event_type = 'session_start') AS num_starts,
+        count(*) FILTER (event_type = 'session_heartbeat') AS num_heartbeats,
+        count(*) FILTER (event_type = 'session_end') AS num_ends,
+        count(*) FILTER (event_type = 'session_end') > 0 AS completed
+    FROM (
+        SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY event_time, event_id ROWS UNBOUNDED PRECEDING) AS number
+        FROM (
+            SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY user_id ORDER BY event_time, event_id)
+                <= INTERVAL '1 day' THEN 0 ELSE 1 END AS begins FROM {source}))
+    GROUP BY user_id, number"""
+
+
+def _matches(prefix: str = "") -> str:
+    return f"""
+    SELECT p.event_id, p.event_time, p.user_id, r.event_id AS review_id, r.event_time AS review_time, r.rating
+    FROM {prefix}purchases p LEFT JOIN {prefix}reviews r ON p.user_id = r.user_id
+        AND r.event_time >= p.event_time AND r.event_time <= p.event_time + INTERVAL '7 days'"""
+
+
+_PARTS["price_changes"] = """
+    SELECT game_id, event_time AS since, CAST(event_id AS BIGINT) AS change,
+        CASE WHEN CAST(event_id AS BIGINT) % 11 <> 0 THEN CAST(event_id AS BIGINT) % 60 END AS list_price
+    FROM reviews
+    QUALIFY row_number() OVER (PARTITION BY game_id, event_time ORDER BY CAST(event_id AS BIGINT) DESC) = 1"""
+_PARTS["campaigns"] = """
+    SELECT event_id AS campaign, game_id, event_time AS starts, event_time + to_hours(CAST(CASE
+            WHEN CAST(event_id AS BIGINT) % 97 = 0 THEN 500 WHEN CAST(event_id AS BIGINT) % 7 = 0 THEN 50
+            ELSE CAST(event_id AS BIGINT) % 5 END AS INTEGER)) AS ends
+    FROM wishlist"""
+# Prices in 10**-12 dollars, times a hundred; those that are no amount have none.
+_PARTS["odd_purchases"] = """
+    SELECT *, CAST(CASE CAST(event_id AS BIGINT) % 13 WHEN 0 THEN 1000 WHEN 1 THEN 2000000000000000000000
+            WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE CAST(round(price_usd * 100) AS HUGEINT) * 10000000000 END AS HUGEINT)
+        * (100 - discount_pct) AS units
+    FROM purchases"""
+_PARTS["load_before"] = """
+    SELECT appid, name, CASE WHEN appid % 5 <> 0 THEN publisher END AS publisher, ccu FROM cat_b WHERE appid % 19 <> 0"""
+_PARTS["load_once"] = """
+    SELECT appid, name, CASE WHEN appid % 5 <> 0 THEN publisher END AS publisher,
+        CASE WHEN appid % 29 = 0 THEN -1 ELSE ccu END AS ccu FROM cat_b WHERE appid % 23 <> 0"""
+
+
 # -- statements ------------------------------------------------------------------------------------
 
 
@@ -700,6 +761,57 @@ def statements() -> dict[str, str]:
     sql["raw_events"] = "SELECT * FROM sessions"
     for t in ("purchases", "reviews", "wishlist"):
         sql[f"raw_events_{t}"] = f"SELECT * FROM {t}"
+    for t in TOPICS:
+        sql[f"win_sliding_{t}"] = f"SELECT * FROM sliding_{t}"
+        sql[f"live_state_expiring_{t}"] = f"SELECT * FROM expiring_{t}"
+        sql[f"stream_unique_{t}"] = f"SELECT * FROM punctual_{t}"
+    sql["unique_purchases"] = "SELECT * FROM purchases"
+    sql["raw_events_since"] = """
+        SELECT * FROM (
+            SELECT event_id, CAST(CASE WHEN CAST(event_id AS BIGINT) % 103 = 0
+                THEN event_time + INTERVAL '7 years' ELSE event_time END AS DATE) AS date, 'good' AS status,
+                CAST(NULL AS VARCHAR) AS message
+            FROM purchases WHERE CAST(event_id AS BIGINT) % 101 <> 0)
+        WHERE date >= DATE '2024-01-10'
+        UNION ALL SELECT NULL, NULL, 'reject', '{"event_id":' FROM purchases WHERE CAST(event_id AS BIGINT) % 101 = 0"""
+    sql["win_purchases_odd_prices"] = """
+        SELECT CAST(date_trunc('day', event_time) AS TIMESTAMP) AS window_start, game_id, count(*) AS num_purchases,
+            CAST(CAST(sum(units) AS VARCHAR) || 'e-14' AS DOUBLE) AS revenue_net_usd
+        FROM odd_purchases GROUP BY 1, 2"""
+    sql["stg_purchases_odd_prices"] = """
+        SELECT event_id, CAST(CAST((units + 500000000000) // 1000000000000 AS VARCHAR) || 'e-2' AS DOUBLE) AS revenue_net_usd
+        FROM odd_purchases"""
+    sql["play_sessions"] = _play_sessions("sessions")
+    sql["stream_play_sessions"] = _play_sessions("punctual_sessions")
+    sql["purchase_reviews"] = _matches()
+    sql["stream_purchase_reviews"] = _matches("punctual_")
+
+    # Order and time
+    sql["price_in_force"] = """
+        SELECT p.event_id, p.game_id, c.change, c.list_price
+        FROM purchases p ASOF LEFT JOIN price_changes c ON p.game_id = c.game_id AND p.event_time >= c.since"""
+    sql["campaign_events"] = """
+        SELECT event_id, p.game_id, campaign FROM purchases p JOIN campaigns c
+        ON p.game_id = c.game_id AND event_time >= starts AND event_time < ends"""
+    sql["campaign_overlaps"] = """
+        SELECT a.campaign, b.campaign AS other FROM campaigns a JOIN campaigns b ON a.game_id = b.game_id
+        AND a.starts < b.ends AND b.starts < a.ends AND a.campaign < b.campaign
+        WHERE a.starts < a.ends AND b.starts < b.ends"""
+    sql["purchase_gaps"] = """
+        SELECT event_id, game_id, epoch_us(event_time) // 1000000
+            - epoch_us(lag(event_time) OVER (PARTITION BY game_id ORDER BY event_time, event_id)) // 1000000 AS seconds_since
+        FROM purchases"""
+    sql["owner_deciles"] = """
+        SELECT steam_app_id, owners_estimate,
+            CAST(ntile(10) OVER (ORDER BY owners_estimate DESC, steam_app_id) AS INTEGER) AS decile FROM games"""
+    sql["load_change"] = """
+        SELECT *, CASE WHEN n_before = 0 THEN 'added' WHEN n_after = 0 THEN 'removed'
+            WHEN n_after > n_before THEN 'repeated' ELSE 'thinned' END AS change
+        FROM (SELECT appid, name, publisher, ccu, CAST(sum(b) AS BIGINT) AS n_before, CAST(sum(a) AS BIGINT) AS n_after
+              FROM (SELECT *, 1 AS b, 0 AS a FROM load_before UNION ALL SELECT *, 0, 1 FROM load_once
+                    UNION ALL SELECT *, 0, 1 FROM load_once WHERE appid % 31 = 0)
+              GROUP BY appid, name, publisher, ccu)
+        WHERE n_before <> n_after"""
     sql["agg_latest_version"] = "SELECT * FROM day_purchases"
 
     # Staging
@@ -833,6 +945,17 @@ def statements() -> dict[str, str]:
         ]
     )
     sql["anomaly_type_counts"] = "SELECT anomaly_type, count(*) AS n FROM flagged GROUP BY 1"
+    totals = "count(*) AS n, CAST(sum(CAST({} AS DECIMAL(20,6))) AS DOUBLE) AS total"
+    sql["findings_subtotals"] = f"""
+        SELECT anomaly_type, severity, related_entity, grouping(anomaly_type) = 1 AS all_anomaly_type,
+            grouping(severity) = 1 AS all_severity, grouping(related_entity) = 1 AS all_related_entity,
+            CAST(grouping(anomaly_type, severity, related_entity) AS INTEGER) AS grouping_id, {totals.format("metric_value")}
+        FROM findings GROUP BY CUBE (anomaly_type, severity, related_entity)"""
+    sql["flagged_rollup"] = f"""
+        SELECT anomaly_type, steam_app_id, grouping(anomaly_type) = 1 AS all_anomaly_type,
+            grouping(steam_app_id) = 1 AS all_steam_app_id,
+            CAST(grouping(anomaly_type, steam_app_id) AS INTEGER) AS grouping_id, {totals.format("metric_2")}
+        FROM flagged GROUP BY ROLLUP (anomaly_type, steam_app_id)"""
     sql["severity_kpis"] = """
         SELECT count(*) AS total, count(*) FILTER (severity = 'High') AS high,
             count(*) FILTER (severity = 'Medium') AS medium FROM findings"""

@@ -276,3 +276,27 @@ def audit_counts(tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("tbl"), "n_rows")
         counts = one if counts is None else counts.unionByName(one)
     return counts
+
+
+def load_difference(before: DataFrame, after: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows that differ in how often two loads hold them: ``columns``, ``n_before``, ``n_after``, ``change``.
+
+    A row that only one load holds is ``added`` or ``removed``; one that both hold, but not as often, is
+    ``repeated`` or ``thinned``. Values are compared with NULLs equal. Both loads are counted in one shuffle,
+    combined on the map side, whatever the number of repeated rows.
+    """
+    columns = columns or before.columns
+    sides = [
+        df.select(*columns, F.lit(1 - side).cast("bigint").alias("n_before"), F.lit(side).cast("bigint").alias("n_after"))
+        for side, df in enumerate((before, after))
+    ]
+    counted = sides[0].unionByName(sides[1]).groupBy(*columns).agg(
+        F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after")
+    )
+    change = (
+        F.when(F.col("n_before") == 0, "added")
+        .when(F.col("n_after") == 0, "removed")
+        .when(F.col("n_after") > F.col("n_before"), "repeated")
+        .otherwise("thinned")
+    )
+    return counted.filter(F.col("n_before") != F.col("n_after")).withColumn("change", change)

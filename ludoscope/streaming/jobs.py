@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.unique import unique_events
 from ..operators.windows import WATERMARK, WINDOW, aggregate_windows
 from ..sources.topics import TOPICS, check_topic
 from . import sinks
@@ -52,10 +53,22 @@ def start_aggregate(
 
 
 def start_raw(
-    events: DataFrame, topic: str, root: str, checkpoints: str, *, trigger: dict | None = None
+    events: DataFrame,
+    topic: str,
+    root: str,
+    checkpoints: str,
+    *,
+    trigger: dict | None = None,
+    unique_within: str | None = None,
 ) -> StreamingQuery:
-    """Copy of a topic's events into dated folders; unreadable messages are set apart."""
+    """Copy of a topic's events into dated folders; unreadable messages are set apart.
+
+    With ``unique_within``, how late an event may be, events delivered again are left out. Late ones and all
+    but one of the unreadable messages of that time are then left out too.
+    """
     name = f"raw_events_{check_topic(topic)}"
+    if unique_within:
+        events = unique_events(events, watermark=unique_within)
     return (
         events.writeStream.queryName(name)
         .foreachBatch(sinks.raw_writer(root, topic))

@@ -85,7 +85,7 @@ if __name__ == "__main__":
             else:
                 problem = compare(build(spark, sf_dir), con, statements[name])
         except Exception as error:  # a broken query is a finding like any other
-            problem = f"{type(error).__name__}: {str(error)[:700]}"
+            problem = f"{type(error).__name__}: {str(error)[:300]} ... {str(error)[-900:]}"
         bad += problem is not None
         print(f"{name:30s} {time.time() - start:6.2f}s {'ok' if problem is None else 'DIFF ' + problem[:1200]}", flush=True)
     print("differences:", bad)
