@@ -11,8 +11,9 @@ Candidates are settled in two steps, neither of which writes out all pairs of a
    band against itself, so that no link between components is lost. Shingles that no other such class
    has bound from above what a class can share, which rules out most of these pairs exactly.
 
-A comparison reads the signature in batches and stops as soon as the matches are too few for the
-similarity; a pair that reaches it is stopped with probability ``MISS`` at most. Survivors are verified on the full sets.
+A comparison reads the signature in batches. After each, the posterior of the pair's similarity given its
+matches so far decides whether it goes on; a pair at the similarity is stopped with probability ``MISS``
+at most, over all batches. Survivors are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -48,23 +49,49 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least.astype(np.uint16)
 
 
-def fewest_matches(similarity: float, miss: float = MISS) -> np.ndarray:
-    """For each number n of values read, the matches below which a pair is given up.
+def posterior(n: int, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Probability that a pair of which m of n values match is at least that similar.
 
-    ``miss`` is shared out over the batches: a pair at the similarity, whose values match independently
-    with that probability, is given up by the k-th of b batches with probability ``miss`` * k / b at most.
+    Before any value is read every similarity is equally likely, so it then follows a beta distribution with
+    m + 1 and n - m + 1. Its tail is that of a binomial one: at most m of n + 1 values of a pair at the
+    similarity match.
     """
-    bounds = np.zeros(HASHES + 1, np.int64)
+    chances = [comb(n + 1, k) * similarity**k * (1 - similarity) ** (n + 1 - k) for k in range(n + 2)]
+    return np.cumsum(chances)[m]
+
+
+def _given_up(bounds: np.ndarray, similarity: float) -> float:
+    """Probability that a pair at the similarity, whose values match independently, falls below the bounds."""
     step = np.array([comb(BATCH, m) * similarity**m * (1 - similarity) ** (BATCH - m) for m in range(BATCH + 1)])
-    alive, spent = np.ones(1), 0.0
+    alive = np.ones(1)
     for n in range(BATCH, HASHES + 1, BATCH):
         alive = np.convolve(alive, step)
-        given_up = spent + np.cumsum(alive)
-        bounds[n] = np.searchsorted(given_up, miss * n / HASHES, "right")
-        if bounds[n]:
-            spent = given_up[bounds[n] - 1]
         alive[: bounds[n]] = 0
-    return bounds
+    return 1 - alive.sum()
+
+
+def fewest_matches(similarity: float, miss: float = MISS) -> np.ndarray:
+    """For each number n of values read, the matches below which a pair is given up.
+
+    A pair is given up once the posterior probability that it reaches the similarity is below a level, the
+    same after every batch: the highest one at which a pair at the similarity is given up by any of the
+    batches with probability ``miss`` at most.
+    """
+
+    def bounds_at(level: float) -> np.ndarray:
+        bounds = np.zeros(HASHES + 1, np.int64)
+        for n in range(BATCH, HASHES + 1, BATCH):
+            bounds[n] = np.searchsorted(posterior(n, np.arange(n + 1), similarity), level)
+        return bounds
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        level = (low + high) / 2
+        if _given_up(bounds_at(level), similarity) <= miss:
+            low = level
+        else:
+            high = level
+    return bounds_at(low)
 
 
 def _sets(words: int):

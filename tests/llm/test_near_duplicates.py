@@ -76,13 +76,28 @@ def test_one_of_each_group_keeps_one_of_repeated_rows(spark):
     assert kept == sorted([(1, "a b c d e f"), (3, None), (3, None), (4, "z"), (None, "q r s t u v")], key=repr)
 
 
-def test_no_pair_at_the_limit_is_given_up_by_more_than_the_chosen_share():
-    from math import comb
+def test_posterior_is_that_of_a_uniform_prior():
+    """Against the beta density itself, summed on a fine grid."""
+    import numpy as np
+
+    grid = (np.arange(200_000) + 0.5) / 200_000
+    for n, m in ((32, 20), (32, 32), (96, 70), (192, 140)):
+        log = m * np.log(grid) + (n - m) * np.log1p(-grid)
+        density = np.exp(log - log.max())
+        exact = density[grid >= 0.8].sum() / density.sum()
+        assert abs(nd.posterior(n, np.array([m]), 0.8)[0] - exact) < 1e-4
+
+
+def test_pairs_are_given_up_at_one_level_of_the_posterior():
+    """Whatever the batch: just below the bound the posterior is under the level, at the bound it is not."""
+    import numpy as np
 
     bounds = nd.fewest_matches(0.8)
-    for n in range(nd.BATCH, nd.HASHES + 1, nd.BATCH):
-        tail = sum(comb(n + 1, m) * 0.8**m * 0.2 ** (n + 1 - m) for m in range(int(bounds[n])))
-        assert tail < nd.MISS
+    batches = range(nd.BATCH, nd.HASHES + 1, nd.BATCH)
+    below = max(nd.posterior(n, np.array([bounds[n] - 1]), 0.8)[0] for n in batches)
+    at = min(nd.posterior(n, np.array([bounds[n]]), 0.8)[0] for n in batches)
+    assert 0 < below < at < nd.MISS
+    assert all(bounds[n] < bounds[n + nd.BATCH] for n in list(batches)[:-1])
 
 
 def test_components_of_a_long_path(spark):
