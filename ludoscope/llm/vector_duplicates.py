@@ -1,13 +1,17 @@
 """Near-duplicate vectors by random-hyperplane sign hashing, exact cosines and connected components.
 
-In each of TABLES tables a vector's bucket is the signs of BITS random projections. Equal vectors are one
-class with a multiplicity. Classes that share a bucket are compared exactly, in blocks of bounded size, so
+In each of several tables a vector's bucket is the signs of random projections. The number of signs follows
+the number of vectors, so that buckets stay small, and the number of tables follows the signs, so that the
+same share of pairs is found. Equal vectors are one class with a multiplicity. Classes that share a bucket are compared exactly, in blocks of bounded size, so
 that a bucket that holds a large share of all rows is split over tasks and its pairs are never written
 out: a block returns, for each class, the multiplicities linked to it and one edge to its group.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import acos, ceil, log, log1p, pi
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,21 +21,43 @@ from . import bytewords as bw
 from .common import stored
 from .components import components
 
-BITS, TABLES = 16, 40  # a pair at cosine 0.95 shares no bucket with probability 3e-4
+MISS = 3e-4  # probability that a pair at the cosine shares no bucket
+LEAST_BITS, MOST_BITS = 8, 48
 BLOCK = 512
 SMALL = 32  # rows of a block up to which pairs are compared by shifting rows
 CHUNK = 8192  # rows of the blocks that one call compares
+NEAR = 1e-6  # pairs this close to the cosine are candidates, whatever the order of a product's additions
+DIMENSIONS = 256  # that are projected at a time
+
+
+def tables_for(vectors: int, cosine: float) -> tuple[int, int]:
+    """Signs of a bucket, as many as the bits of the number of vectors, and the tables that they take.
+
+    A random hyperplane separates vectors at an angle with the probability angle / pi.
+    """
+    bits = min(max(LEAST_BITS, (max(vectors, 1) - 1).bit_length()), MOST_BITS)
+    together = (1 - acos(min(max(cosine, -1.0), 1.0)) / pi) ** bits
+    return bits, 1 if together >= 1 else ceil(log(MISS) / log1p(-together))
+
+
+@lru_cache(maxsize=8)
+def _planes(first: int, columns: int) -> np.ndarray:
+    """Random directions in DIMENSIONS dimensions from the first one on."""
+    return np.random.default_rng([11, first]).standard_normal((DIMENSIONS, columns))
 
-_planes: dict[int, np.ndarray] = {}
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component, so that no square or sum overflows or vanishes."""
+    return vectors / np.abs(vectors).max(axis=1, keepdims=True)
 
-def _buckets(vectors: np.ndarray) -> np.ndarray:
-    """(rows, TABLES) bucket numbers."""
-    size = vectors.shape[1]
-    if size not in _planes:
-        _planes[size] = np.random.default_rng([11, size]).standard_normal((size, TABLES * BITS))
-    signs = (vectors @ _planes[size] >= 0).reshape(len(vectors), TABLES, BITS)
-    return signs @ (1 << np.arange(BITS, dtype=np.int64))
+
+def _buckets(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """(rows, tables) bucket numbers."""
+    scaled, sums = _scaled(vectors), np.zeros((len(vectors), tables * bits))
+    for first in range(0, scaled.shape[1], DIMENSIONS):
+        part = scaled[:, first : first + DIMENSIONS]
+        sums += part @ _planes(first, tables * bits)[: part.shape[1]]
+    return (sums >= 0).reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def _usable(batches):
@@ -42,7 +68,7 @@ def _usable(batches):
             found = None
             if vector.is_valid and not vector.values.null_count:
                 found = vector.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                if not (len(found) and np.isfinite(found).all() and found.any() and np.isfinite(found @ found)):
+                if not (len(found) and np.isfinite(found).all() and found.any()):
                     found = None
             if found is None:
                 classes.append(None), lengths.append(None), raw.append(None)
@@ -62,39 +88,44 @@ def _matrix(column: pa.Array, length: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), length)
 
 
-def _bucket_rows(batches):
-    """(class, length, vector) to one row (class, length, slot, bucket) for each table."""
-    for batch in batches:
-        lengths = batch.column(1).to_numpy()
-        for length in np.unique(lengths):
-            at = np.flatnonzero(lengths == length)
-            part = batch.take(pa.array(at))
-            buckets = _buckets(_matrix(part.column(2), int(length)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(part.column(0).to_numpy(), TABLES)),
-                    pa.array(np.full(buckets.size, length, np.int32)),
-                    pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(at))),
-                    pa.array(buckets.ravel()),
-                ],
-                names=["class", "length", "slot", "bucket"],
-            )
+def _with_buckets(bits: int, tables: int):
+    """(class, length, vector) to (class, buckets), a bucket for each table."""
+
+    def run(batches):
+        for batch in batches:
+            lengths = batch.column(1).to_numpy()
+            for length in np.unique(lengths):
+                part = batch.take(pa.array(np.flatnonzero(lengths == length)))
+                buckets = _buckets(_matrix(part.column(2), int(length)), bits, tables)
+                cuts = pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * tables)
+                lists = pa.ListArray.from_arrays(cuts, pa.array(buckets.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["class", "buckets"])
+
+    return run
 
 
 def _near_pairs(vectors: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs a < b of one block whose unit vectors reach the cosine; blocks are runs of rows."""
+    """Row pairs a < b of one block whose unit vectors reach the cosine; blocks are runs of rows.
+
+    Products find the candidates; what decides is one sum over the components, whatever the block.
+    """
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     block = np.repeat(np.arange(len(starts)), sizes)
     small = np.repeat(sizes <= SMALL, sizes)
     for shift in range(1, min(SMALL, sizes.max(initial=0))):
         a = np.flatnonzero(small[:-shift] & (block[:-shift] == block[shift:]))
-        near = np.einsum("ij,ij->i", vectors[a], vectors[a + shift]) >= cosine
-        out.append((a[near], a[near] + shift))
+        out.append((a, a + shift))
     for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
         part = vectors[start : start + size]
-        a, b = np.nonzero(np.triu(part @ part.T >= cosine, 1))
+        a, b = np.nonzero(np.triu(part @ part.T >= cosine - NEAR, 1))
         out.append((a + start, b + start))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    near = []
+    for a, b in out:
+        for k in range(0, len(a), CHUNK):
+            at, to = a[k : k + CHUNK], b[k : k + CHUNK]
+            reach = np.einsum("ij,ij->i", vectors[at], vectors[to]) >= cosine
+            near.append((at[reach], to[reach]))
+    return tuple(np.concatenate(x) for x in zip(*(near or out), strict=True))
 
 
 def _compare(cosine: float):
@@ -114,19 +145,16 @@ def _compare(cosine: float):
         starts = np.flatnonzero(begins)
         sizes = np.diff(np.append(starts, len(order)))
         classes, copies = part.column("class").to_numpy()[order], part.column("copies").to_numpy()[order]
-        raw = _matrix(part.column("vector").combine_chunks(), length)[order]
-        # Divided by the largest component first, so that no square overflows or vanishes.
-        unit = raw / np.abs(raw).max(axis=1, keepdims=True)
+        unit = _scaled(_matrix(part.column("vector").combine_chunks(), length)[order])
         unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        buckets = part.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
         a, b = _near_pairs(unit, starts, sizes, cosine)
         across = (low[a] == high[a]) | (side[a] != side[b])
         a, b = a[across], b[across]
         fresh = np.ones(len(a), bool)
         for k in range(0, len(a), 4096):
-            rows, at = np.unique(np.concatenate([a[k : k + 4096], b[k : k + 4096]]), return_inverse=True)
-            buckets = _buckets(raw[rows])
-            x, y = buckets[at[: len(at) // 2]], buckets[at[len(at) // 2 :]]
-            fresh[k : k + 4096] = (x == y).argmax(axis=1) == slot[a[k : k + 4096]]
+            at, to = a[k : k + 4096], b[k : k + 4096]
+            fresh[k : k + 4096] = (buckets[at] == buckets[to]).argmax(axis=1) == slot[at]
         a, b = a[fresh], b[fresh]
         links = np.bincount(a, copies[b], len(order)) + np.bincount(b, copies[a], len(order))
         group = np.arange(len(order))
@@ -158,9 +186,8 @@ def near_duplicate_vectors(
 
     Rows are linked if their cosine, in double precision, is at least ``cosine`` and they share a bucket;
     equal vectors always are. n_links counts the other rows linked directly; component_id is the smallest
-    id that links reach. A vector that is null, empty, zero, or has null or non-finite components, or whose
-    squares overflow, links with nothing and is its own component; vectors of different lengths are never
-    linked. A row with a null id counts as a link and gets its component's smallest id, or null. Repeated
+    id that links reach. A vector that is null, empty, zero, or has null or non-finite components links with
+    nothing and is its own component; vectors of different lengths are never linked. A row with a null id counts as a link and gets its component's smallest id, or null. Repeated
     rows are rows. An empty table gives no rows; other columns are ignored.
     """
     pairs = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"))
@@ -176,10 +203,14 @@ def near_duplicate_vectors(
         ),
         "classes",
     )
-    buckets = classes.select("class", "length", "vector").mapInArrow(
-        _bucket_rows, "class long, length int, slot int, bucket long"
+    bits, tables = tables_for(classes.count(), cosine)
+    hashed = stored(
+        classes.select("class", "length", "vector").mapInArrow(_with_buckets(bits, tables), "class long, buckets array<long>")
+        .join(classes, "class"),
+        "hashed",
     )
     keys = ["slot", "length", "bucket"]
+    buckets = hashed.select("class", "length", F.posexplode("buckets").alias("slot", "bucket"))
     shared = buckets.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
     members = buckets.join(shared, keys)
     count = F.ceil(F.col("size") / BLOCK)
@@ -195,7 +226,7 @@ def near_duplicate_vectors(
     # Blocks are dealt into chunks of about CHUNK rows; a block has at most two sides of about BLOCK rows.
     chunks = max(1, -(-blocks.count() // CHUNK))
     chunk = F.pmod(F.xxhash64(*keys, "low", "high"), F.lit(chunks)).alias("chunk")
-    whole = blocks.select("*", chunk).join(classes.select("class", "copies", "vector"), "class")
+    whole = blocks.select("*", chunk).join(hashed.select("class", "copies", "vector", "buckets"), "class")
     found = stored(
         whole.groupBy("chunk").applyInArrow(_compare(cosine), "class long, links long, other long"), "links"
     )

@@ -15,7 +15,8 @@ def expected(rows):
     edges = []
     for k, (i, u) in enumerate(good):
         for j, v in good[k + 1 :]:
-            if len(u) == len(v) and u @ v / (np.linalg.norm(u) * np.linalg.norm(v)) >= 0.95:
+            x, y = u / np.abs(u).max(), v / np.abs(v).max()
+            if len(u) == len(v) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.95:
                 links[i] += 1
                 links[j] += 1
                 edges.append((i, j))
@@ -79,3 +80,36 @@ def test_repeats_null_ids_empty_tables_and_clashing_columns(spark):
         [(4, 3, 4, True)] * 2 + [(None, 3, 4, False), (9, 3, 4, False), (None, 0, None, True)], key=repr
     )
     assert found(spark, []) == {}
+
+
+def test_any_finite_vector_takes_part(spark):
+    rows = [(1, [1e160, 2e160]), (2, [1e160, 2.0001e160]), (3, [1.7e308, -1.7e308, 1.0]), (4, [1.6e308, -1.7e308, 0.0]),
+            (5, [5e-324, 1e-323]), (6, [1.0, 2.0]), (7, [-1e160, -2e160])]
+    got = found(spark, rows, "vec_id long, embedding array<double>")
+    assert got == {1: (3, 1), 2: (3, 1), 3: (1, 3), 4: (1, 3), 5: (3, 1), 6: (3, 1), 7: (0, 7)}
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((30, 3000))
+    rows = [(k, list(map(float, v))) for k, v in enumerate([*base, *(base[:10] + rng.standard_normal((10, 3000)) * 0.1)])]
+    assert found(spark, rows, "vec_id long, embedding array<double>") == expected(rows)
+
+
+@pytest.mark.parametrize("n", [2, 300, 10_000, 10**9])
+def test_signs_follow_the_vectors_and_tables_the_signs(n):
+    bits, tables = vd.tables_for(n, 0.95)
+    assert bits == max(8, int(np.ceil(np.log2(n)))) and n / 2**bits <= 1 or n < 256
+    missed = (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables
+    assert missed <= vd.MISS < (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** (tables - 1)
+
+
+def test_pairs_at_the_limit_are_decided_alike_in_blocks_of_any_size():
+    """A pair whose product is the limit up to the last bit: shifting rows and a matrix product agree."""
+    rng = np.random.default_rng(9)
+    vectors = rng.standard_normal((40, 64))
+    vectors /= np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    limit = float(np.einsum("ij,ij->i", vectors[3:4], vectors[17:18])[0])
+    large = {(int(a), int(b)) for a, b in zip(*vd._near_pairs(vectors, np.array([0]), np.array([40]), limit), strict=True)}
+    small = {(int(a), int(b)) for a, b in zip(*vd._near_pairs(vectors[:18], np.array([0]), np.array([18]), limit), strict=True)}
+    assert (3, 17) in large and (3, 17) in small and small == {p for p in large if p[1] < 18}
