@@ -14,7 +14,7 @@ from ..plans.materialise import stored
 from ..session import prepare as prepare_session
 from . import bytewords as bw
 
-__all__ = ["OncePerWorker", "ascii_lower", "fold", "prepare", "stored", "table", "unused", "with_text_results"]
+__all__ = ["OncePerWorker", "ascii_lower", "computed_once", "fold", "prepare", "stored", "table", "unused", "with_text_results"]
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,6 +50,11 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def computed_once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_text_results(
     df: DataFrame,
     text_column: str,

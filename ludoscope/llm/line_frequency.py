@@ -9,12 +9,10 @@ broadcast; the others are joined, and none of them makes a large key.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, unused
+from .common import computed_once, stored, unused
 
 SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -25,11 +23,6 @@ LEAST_LEFT = 0.2  # of a document's characters
 HEAVY = 10_000  # a line with more than this part of all lines is heavy, so there are fewer heavy lines
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _n_without(text: Column, letters: str) -> Column:
     return F.length(F.translate(text, letters, "")).cast("long")
 
@@ -49,7 +42,7 @@ def _covered(windows: Column) -> Column:
         return F.aggregate(steps, F.lit(0).cast("long"), lambda n, step: n + step)
 
     found = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("hash"), i.alias("at"))))
-    return _with(_with(found, places), words)
+    return computed_once(computed_once(found, places), words)
 
 
 def _word_counts(text: Column) -> Column:
@@ -58,7 +51,7 @@ def _word_counts(text: Column) -> Column:
     def counts(hashes: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(hashes) - WINDOW)
         windows = F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
-        repeated = _with(
+        repeated = computed_once(
             windows,
             lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(_covered(w)),
         )
@@ -68,7 +61,7 @@ def _word_counts(text: Column) -> Column:
         )
 
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    return _with(F.transform(words, lambda w: F.xxhash64(w)), counts)
+    return computed_once(F.transform(words, lambda w: F.xxhash64(w)), counts)
 
 
 def _line_counts(text: Column) -> Column:
@@ -78,11 +71,11 @@ def _line_counts(text: Column) -> Column:
         worded = F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
         distinct = F.transform(lines, lambda line, at: F.struct(_line_hash(line), _n_without(line, SPACES).alias("chars"), at.alias("at")))
         return F.struct(
-            _with(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            computed_once(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             F.filter(distinct, lambda line: line["chars"] > 0).alias("lines"),
         )
 
-    return _with(F.split(text, "\n"), counts)
+    return computed_once(F.split(text, "\n"), counts)
 
 
 def _line_hash(line: Column) -> Column:
@@ -211,7 +204,7 @@ def without_frequent_lines(
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), f"{content}_removed")
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    stripped = F.when(F.col(f"{content}_removed").isNull(), F.col(text_column)).otherwise(_with(F.split(text, "\n"), rest))
+    stripped = F.when(F.col(f"{content}_removed").isNull(), F.col(text_column)).otherwise(computed_once(F.split(text, "\n"), rest))
     return (
         docs.withColumn(content, _content(host_column, text))
         .join(places, content, "left")

@@ -2,10 +2,11 @@
 
 Two variable-order Markov models, of accepted and of rejected addresses, give each character a
 probability after up to ORDER characters, smoothed by Witten-Bell interpolation down to order 0. An
-address is judged by the difference of its log-likelihoods per character against a threshold calibrated
-on labelled addresses that were left out of the models. The rules label the addresses. Everything is
-DataFrame operations: each distinct string of ORDER + 1 characters is scored once, by joins from the
-lowest order up, and addresses sum the scores of their strings.
+address is the whole url, from the scheme to the fragment, its digits as 0. It is judged by the difference
+of its log-likelihoods per character against a threshold calibrated on labelled addresses that were left
+out of the models. The rules label the addresses. Everything is DataFrame operations: each distinct string
+of ORDER + 1 characters is scored once, by joins from the lowest order up, and addresses sum the scores
+of their strings.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, computed_once, stored
 
 ORDER = 4
 BINS = 1000  # on either side of 0, in hundredths, for the threshold
@@ -65,10 +66,17 @@ def _longest(rules: tuple[Rule, ...], host: Column, path: Column) -> Column:
 
 
 def _strings(address: str) -> Column:
-    """All strings of ORDER + 1 characters of an address between its marks, the last ending it."""
+    """All strings of ORDER + 1 characters of an address between its marks, the last ending it.
+
+    The address is taken apart once, so that the work follows its length.
+    """
     padded = F.concat(F.lit(_START * ORDER), F.col(address), F.lit(_END))
-    places = F.sequence(F.lit(1), F.length(address) + 1)
-    return F.transform(places, lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+
+    def strings(letters: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(letters) - ORDER - 1)
+        return F.transform(places, lambda i: F.concat(*[F.get(letters, i + k) for k in range(ORDER + 1)]))
+
+    return computed_once(F.regexp_extract_all(padded, F.lit("(?s)(.)"), F.lit(1)), strings)
 
 
 def _string_scores(strings: DataFrame) -> DataFrame:
@@ -129,35 +137,37 @@ def judge_urls(pages: DataFrame, url_column: str = "url", id_column: str = "page
     """``pages``' id and url with host, path, rule, verdict and score.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest fitting rule
-    decides, all others by the models. An address is host and path with digits as 0. A null url, or one
-    without ``://``, has an empty host and path and is judged by the models alone. A fifth of the ids, by
-    crc32, is left out of the models and calibrates the threshold; a null id trains. Without labelled
-    addresses every score is 0 and accepted. Repeated rows are rows; extra columns are ignored.
+    decides, all others by the models, which see the whole url with its digits as 0. A null url is an empty
+    one. A url without ``://`` has an empty host and path and is judged by the models alone. A fifth of the
+    addresses, by crc32, is left out of the models and calibrates the threshold. Without labelled
+    addresses every score is 0 and accepted. Repeated rows and null ids are rows; extra columns are ignored.
     """
     host, path = host_of(url_column), path_of(url_column)
     split = pages.select(F.col(id_column), F.col(url_column).alias("url"), host.alias("host"), path.alias("path"))
     ruled = split.withColumn("by_rule", _longest(rules, F.col("host"), F.col("path"))).withColumn(
-        "address", F.translate(F.concat("host", "path"), "123456789", "000000000")
+        "address", F.translate(F.coalesce("url", F.lit("")), "123456789", "000000000")
     )
-    left_out = F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    left_out = F.crc32(F.col("address").cast("binary")) % 5 == 0
     counted = {
         f"{kind}_{label}": F.count_if(chosen & (F.col("by_rule.allow") == allow))
         for kind, chosen in (("train", ~left_out), ("test", left_out))
         for label, allow in (("good", True), ("bad", False))
     }
-    addresses = stored(ruled.groupBy("address").agg(*[c.alias(n) for n, c in counted.items()]), "addresses")
-    exploded = addresses.select("address", "train_good", "train_bad", F.explode(_strings("address")).alias("string"))
+    grouped = ruled.groupBy("address").agg(*[c.alias(n) for n, c in counted.items()])
+    # Strings carry a number in place of their address, which may be long.
+    addresses = stored(grouped.withColumn("number", F.monotonically_increasing_id()), "addresses")
+    exploded = addresses.select("number", "train_good", "train_bad", F.explode(_strings("address")).alias("string"))
     strings = stored(
         exploded.groupBy("string").agg(F.sum("train_good").alias("good"), F.sum("train_bad").alias("bad")), "strings"
     )
     by_string = stored(_string_scores(strings), "string-scores")
     sums = (
-        exploded.select("address", "string")
+        exploded.select("number", "string")
         .join(by_string, "string")
-        .groupBy("address")
+        .groupBy("number")
         .agg((F.sum("score") / F.count("*") / SCALE).alias("score"))
     )
-    scores = stored(addresses.join(sums, "address"), "scores")
+    scores = stored(addresses.join(sums, "number"), "scores")
     judged = scores.crossJoin(F.broadcast(_threshold(scores))).select(  # one row
         "address", "score", (F.col("score") >= F.col("threshold")).alias("accepted")
     )

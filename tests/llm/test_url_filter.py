@@ -28,7 +28,7 @@ def rule_of(host, path):
 
 
 def address(url):
-    return "".join("0" if c in "123456789" else c for c in "".join(split(url)))
+    return "".join("0" if c in "123456789" else c for c in url or "")
 
 
 def strings(text):
@@ -40,7 +40,7 @@ def strings(text):
 def crc(key):
     import zlib
 
-    return zlib.crc32(str(key).encode()) % 5
+    return zlib.crc32(key.encode()) % 5
 
 
 def plain_scores(pages):
@@ -50,7 +50,7 @@ def plain_scores(pages):
     for page, url in pages:
         letters.update(s[-1] for s in strings(address(url)))
         rule = rule_of(*split(url))
-        if rule and crc(page) == 0:
+        if rule and crc(address(url)) == 0:
             test.append((url, rule[1]))
         elif rule:
             for s in strings(address(url)):
@@ -126,6 +126,35 @@ def test_repeats_null_ids_empty_tables_and_clashing_columns(spark):
     assert {(r["verdict"], r["score"]) for r in unlabelled.values()} == {("allow", 0.0)}
 
 
+def test_the_whole_url_is_judged(spark):
+    """Urls that differ in query, fragment or scheme only, or that have no mark, have scores of their own."""
+    rows = [(k, f"http://a{k}.com/x?good=1#yes") for k in range(40)] + [(100 + k, f"ftp://b{k}.net/es/x?bad=1#no") for k in range(40)]
+    rows += [(200, "http://c.org/x?good=1#yes"), (201, "http://c.org/x?bad=1#no"), (202, "ftp://c.org/x"), (203, "good=1#yes"), (204, "bad=1#no")]
+    got = judged(spark, rows)
+    assert got[200]["score"] > got[201]["score"] and got[203]["score"] > got[204]["score"] and got[202]["score"] < got[200]["score"]
+    assert got[200]["verdict"] == "allow" and got[204]["verdict"] == "block"
+
+
+def test_addresses_are_left_out_whole(spark, monkeypatch):
+    """An address that many rows have is on one side, whatever their ids."""
+    seen = []
+    real = url_filter._string_scores
+    monkeypatch.setattr(url_filter, "_string_scores", lambda strings: seen.append(strings) or real(strings))
+    url = next(u for u in (f"x://h{c}.com/" for c in "abcdefghijklmnop") if crc(u) == 0)
+    judged(spark, [(k, url) for k in range(50)] + [(k, "x://other.org") for k in range(50, 60)])
+    assert seen[0].agg({"good": "sum"}).first()[0] == 0
+
+
+def test_a_url_of_a_million_characters(spark):
+    import time
+
+    long = "x://a.net/es/" + "é🙂z9" * 250_000
+    start = time.time()
+    got = judged(spark, [(1, long), (2, "x://a.com/"), (3, None)])
+    assert time.time() - start < 60
+    assert got[1]["rule"] == "net/es/" and len(got[1]["path"]) == len(long) - 9 and got[3]["host"] == ""
+
+
 def test_the_plan_stays_in_the_engine(spark):
     from helpers import plan_of
 
