@@ -445,11 +445,28 @@ def _mixed(labelled: DataFrame) -> DataFrame:
 
 
 def _blocks(apart: DataFrame) -> DataFrame:
-    """Deal each band's classes into blocks and pair every block with every other, itself included."""
-    count: Column = F.ceil(F.col("size") / BLOCK)
-    dealt = apart.withColumn("side", F.pmod(F.xxhash64("class"), count)).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    """Deal each band's classes into blocks whose pairs are all that may still link: those of two components.
+
+    The band's largest component has no pairs within itself to compare, so its classes meet the others only.
+    The others are dealt into ``rest`` sides, the largest component into ``main`` sides after them; every
+    side of the others meets itself, every other one, and every side of the largest.
+    """
+    per_component = apart.groupBy("band", "component").agg(F.count("*").alias("n"))
+    largest = per_component.groupBy("band").agg(
+        F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("size")
+    )
+    sizes = largest.select(
+        "band",
+        F.col("largest.component").alias("main_component"),
+        F.ceil(F.col("largest.n") / BLOCK).alias("main"),
+        F.ceil((F.col("size") - F.col("largest.n")) / BLOCK).alias("rest"),
     )
+    zero, rest, main = F.lit(0).cast("long"), F.col("rest"), F.col("main")
+    is_main = F.col("component") == F.col("main_component")
+    number = F.xxhash64("class")
+    side = F.when(is_main, rest + F.pmod(number, main)).otherwise(F.pmod(number, rest))
+    others = F.when(is_main, F.sequence(zero, rest - 1)).otherwise(F.sequence(zero, rest + main - 1))
+    dealt = apart.select("band", "class", "component").join(sizes, "band").withColumn("side", side).withColumn("other", F.explode(others))
     return dealt.select(
         "band", "class", "component", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high")
     )
