@@ -3,15 +3,18 @@
 A text is a stream of bytes, lower-cased, and one end symbol; a byte is eight binary decisions. For each
 order from 0 to 4, a context (the bytes before, and the bits already known of this one) has a pair of
 counters of zeros and ones, gathered from all training texts. A decision mixes the log-odds of the five
-predictors in the logistic domain, with a weight set gated by the highest order that has been seen and by
-the place of the bit. Weights are learnt online, batch after batch over the corpus, each prediction made
-without the occurrence that it predicts; a last table adaptively refines the mixed probability.
+predictors in the logistic domain, with a weight set gated by the highest order that has been seen, how often,
+and by the place of the bit. Weights are learnt online: the contexts are dealt into BLOCKS by their hash, and block
+after block moves the weights by what it adds to slope and curvature, each prediction made without the
+occurrence that it predicts. A last table adaptively refines the mixed probability.
 
 When texts are scored, counters, weights and refinement are fixed: a text's score depends on the text and
-the training texts alone, and equal strings of five bytes cost the same everywhere, so each is mixed once.
+the training texts alone, not on how tasks share the work, and equal strings of five bytes cost the same
+everywhere, so each is mixed once.
 
-The counters are exact and grow with the corpus. Byte strings are counted by a shuffle and kept as a table
-of one row per three bytes of context, which holds all that orders 2 to 4 have to know about its strings; a
+The counters are an exact form of hashed ones: a table, dealt out by the hash of the context, in which every
+context has a slot of its own, so that none reads another's counts; it grows with the corpus. Byte strings
+are counted by a shuffle and kept as a table of one row per three bytes of context, which holds all that orders 2 to 4 have to know about its strings; a
 row has at most 65,536 strings. Orders 0 and 1 have at most 65,536 counts and are handed to every task,
 as are the frequent words and the bits of the frequent byte strings; the other words and strings are joined.
 """
@@ -27,18 +30,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from . import bytewords as bw
 from .common import OncePerWorker, stored, with_text_results
 
 ORDERS = 5
-TABLE_BITS = 22  # of ``string_bits`` and ``_Scorer`` over a hashed table, which no query uses
 HOT_WORDS = 1 << 18  # frequent words that every task holds, 4 MB; the others are joined
 HOT_STRINGS = 1 << 20  # frequent byte strings whose bits every task holds, 16 MB; the others are joined
 PIECE = 1 << 20
-ROUNDS = 2  # online passes over the corpus
-BATCH = 4096  # byte strings of one online step
+BLOCKS = 8  # of the contexts, by their hash: the steps of online learning
+BATCH = 4096  # byte strings whose predictions are made together
 _INPUTS = 2 * ORDERS + 1
-_SETS = 8 * ORDERS
+_SEEN = (2, 8, 64)  # occurrences of the highest order seen that part the weight sets
+_GATES = ORDERS * (len(_SEEN) + 1)
+_SETS = 8 * _GATES
 _BINS = 25
 _PRIOR = 0.3
 _PAD, _END = 0xFE, 0xFF  # never in UTF-8
@@ -51,18 +56,41 @@ _CACHE_BITS = 21
 
 def byte_strings(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For every byte and end of the texts, that byte and the four before it, as one number."""
+    return np.concatenate([np.zeros(0, np.uint64), *(codes for _, codes in string_pieces(data, offsets))])
+
+
+def string_pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, byte string) of all texts, PIECE bytes at a time, so that memory does not follow a text's length."""
+    n, i = len(offsets) - 1, 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        for start in range(int(offsets[i]), max(int(offsets[j]), int(offsets[i]) + 1), PIECE):
+            stop = min(start + PIECE, int(offsets[j]))
+            inside = np.clip(offsets[i : j + 1], start, stop)
+            last = stop == offsets[j]
+            yield _strings_in(data, inside, i, start - int(offsets[i]), last)
+        i = j
+
+
+def _strings_in(data: np.ndarray, offsets: np.ndarray, first: int, done: int, ends: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of texts from ``first`` on; of the first one ``done`` bytes came before, and without ``ends`` more follow."""
     n = len(offsets) - 1
-    low = bw.LOWER[data]
-    stream = np.full(len(data) + 5 * n, _PAD, np.uint8)
+    stream = np.full(offsets[-1] - offsets[0] + 5 * n, _PAD, np.uint8)
+    owners = np.full(len(stream), -1)
     for k in range(n):
-        at = offsets[k] + 5 * k + 4
-        stream[at : at + offsets[k + 1] - offsets[k]] = low[offsets[k] : offsets[k + 1]]
-        stream[at + offsets[k + 1] - offsets[k]] = _END
+        size = offsets[k + 1] - offsets[k]
+        at = offsets[k] - offsets[0] + 5 * k + 4
+        before = min(4, done) if k == 0 else 0
+        stream[at - before : at + size] = bw.LOWER[data[offsets[k] - before : offsets[k + 1]]]
+        owners[at : at + size] = first + k
+        if ends or k < n - 1:
+            stream[at + size], owners[at + size] = _END, first + k
     wide = stream.astype(np.uint64)
     code = wide[4:].copy()
     for back in range(1, 5):
         code |= wide[4 - back : -back] << np.uint64(8 * back)
-    return code[stream[4:] != _PAD]
+    real = owners[4:] >= 0
+    return owners[4:][real], code[real]
 
 
 class _Tally:
@@ -112,10 +140,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in bw.pieces(batch.column(0), PIECE):
             tallies[_WORD].add(bw.words(data, offsets, bw.BY_SPACE).hashes)
             tallies[_WORD].add(np.array([_END_WORD]), np.array([j - i]))
-            tallies[_STRING].add(byte_strings(data, offsets))
-            for kind, tally in tallies.items():
-                if tally.full():
-                    yield tally.take(kind)
+            for _, codes in string_pieces(data, offsets):
+                tallies[_STRING].add(codes)
+                for kind, tally in tallies.items():
+                    if tally.full():
+                        yield tally.take(kind)
     for kind, tally in tallies.items():
         yield tally.take(kind)
 
@@ -125,15 +154,17 @@ def _count_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally = _Tally()
     for batch in batches:
         for _, _, data, offsets in bw.pieces(batch.column(0), PIECE):
-            tally.add(byte_strings(data, offsets))
-            if tally.full():
-                yield tally.take(_ASKED)
+            for _, codes in string_pieces(data, offsets):
+                tally.add(codes)
+                if tally.full():
+                    yield tally.take(_ASKED)
     yield tally.take(_ASKED)
 
 
 # -- the counters ------------------------------------------------------------------------------------
 
 _CONTEXTS = (1 << 24) - 1
+_CONTEXT_ROWS = "strings array<struct<key: long, n: long, m: long>>, second array<struct<key: long, n: long>>, block long"
 
 
 def context_table(strings: DataFrame) -> DataFrame:
@@ -151,7 +182,7 @@ def context_table(strings: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("key", "n"))).alias("second")
     )
     joined = rows.withColumn("pair", F.col("context").bitwiseAND(0xFFFF)).join(second, "pair", "left")
-    return joined.select("strings", "second")
+    return joined.select("strings", "second", F.pmod(F.xxhash64("context"), F.lit(BLOCKS)).alias("block"))
 
 
 def first_counts(strings: DataFrame) -> np.ndarray:
@@ -216,19 +247,6 @@ def _strings_of(batches: Iterator[pa.RecordBatch], first: np.ndarray) -> Iterato
 # -- the mixing model --------------------------------------------------------------------------------
 
 
-def _context_hashes(strings: np.ndarray) -> list[np.ndarray]:
-    """One hash per order of the bytes before the last."""
-    before = strings >> np.uint64(8)
-    return [
-        bw.mix((before & np.uint64((1 << 8 * k) - 1)) * np.uint64(ORDERS + 3) + np.uint64(k + 1)) for k in range(ORDERS)
-    ]
-
-
-def _slots(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Counter of a context when these leading bits of the byte are known (with a leading 1)."""
-    return (((hashes + known * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-
 def _decisions(strings: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(place, known leading bits, this bit) of the eight decisions of each string's last byte."""
     byte = strings & np.uint64(0xFF)
@@ -262,15 +280,13 @@ def _at_place(paths: np.ndarray, place: int, bit: np.ndarray) -> list[tuple[np.n
     return [(np.where(bit == 0, a, b), np.where(bit == 1, a, b)) for a, b in zip(own, other, strict=True)]
 
 
-def _hashed(tables: np.ndarray, hashes: list[np.ndarray], known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Zeros and ones of each order's context from a hashed table."""
-    return [(tables[0][at].astype(float), tables[1][at].astype(float)) for at in (_slots(h, known) for h in hashes)]
-
-
 def _inputs(counters, bit=None) -> tuple[np.ndarray, np.ndarray]:
-    """Mixer inputs (rows, _INPUTS) and the highest order seen; with ``bit``, one occurrence of it less."""
+    """Mixer inputs (rows, _INPUTS) and the gate; with ``bit``, one occurrence of it less.
+
+    The gate is the highest order seen and how often it has been seen.
+    """
     rows = len(counters[0][0])
-    x, seen = np.ones((rows, _INPUTS)), np.zeros(rows, np.int64)
+    x, gate = np.ones((rows, _INPUTS)), np.zeros(rows, np.int64)
     for k, (a, b) in enumerate(counters):
         if bit is not None:
             a, b = np.maximum(a - (bit == 0), 0), np.maximum(b - (bit == 1), 0)
@@ -278,8 +294,9 @@ def _inputs(counters, bit=None) -> tuple[np.ndarray, np.ndarray]:
         odds = np.log((b + _PRIOR) / (a + _PRIOR))
         x[:, k] = odds
         x[:, ORDERS + k] = odds * (total / (total + 4))
-        seen[total > 0] = k
-    return x, seen
+        some = total > 0
+        gate[some] = k * (len(_SEEN) + 1) + np.searchsorted(_SEEN, total[some], "right")
+    return x, gate
 
 
 def _bins(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,18 +318,12 @@ def _bits(strings: np.ndarray, counters: Callable, mixer: Mixer) -> np.ndarray:
     """Bits that the last byte of each string takes, by its ``counters(place, known, bit)``."""
     bits = np.zeros(len(strings))
     for place, known, bit in _decisions(strings):
-        x, seen = _inputs(counters(place, known, bit))
-        one = _probability(mixer, x, place * ORDERS + seen)
+        x, gate = _inputs(counters(place, known, bit))
+        one = _probability(mixer, x, place * _GATES + gate)
         bits -= np.log2(np.where(bit == 1, one, 1 - one))
     return bits
 
 
-def string_bits(strings: np.ndarray, tables, mixer: Mixer) -> np.ndarray:
-    """Bits that the last byte of each string takes after the others, by a hashed table."""
-    hashes = _context_hashes(strings)
-    return _bits(strings, lambda place, known, bit: _hashed(tables, hashes, known), mixer)
-
-
 def _mix(shared, mixer: Mixer):
     """Rows of the context table to (string, bits, occurrences) of the strings that are to be scored."""
 
@@ -328,45 +339,44 @@ def _mix(shared, mixer: Mixer):
     return run
 
 
-def _learn(shared, mixer: Mixer):
-    """Online pass over a part of the corpus: its weights and how much each is worth."""
+def _numbered(sums: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(sums.ravel())
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums.ravel()[some])], names=["i", "value"])
+
+
+def _slopes(shared, mixer: Mixer):
+    """A part of a block: slope and curvature of its log-likelihood at these weights, by weight set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = mixer.weights.copy()
-        worth = np.tile(np.eye(_INPUTS) * 20.0, (_SETS, 1, 1))
+        sums = np.zeros((_SETS, _INPUTS + 1, _INPUTS))
         for strings, n, paths in _training(batches, shared.value):
             for place, _, bit in _decisions(strings):
-                x, seen = _inputs(_at_place(paths, place, bit), bit)
-                for order in range(ORDERS):
-                    at = seen == order
-                    if not at.any():
-                        continue
-                    k, part = place * ORDERS + order, x[at]
-                    one = 1 / (1 + np.exp(-np.clip(part @ weights[k], -12, 12)))
-                    worth[k] += (part * (n[at] * np.maximum(one * (1 - one), 1e-3))[:, None]).T @ part
-                    slope = part.T @ (n[at] * (bit[at].astype(float) - one))
-                    weights[k] += np.linalg.solve(worth[k], slope)
-        if len(weights):
-            both = np.concatenate([worth.ravel(), np.einsum("kij,kj->ki", worth, weights).ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], names=["sums"])
+                x, gate = _inputs(_at_place(paths, place, bit), bit)
+                for own in np.unique(gate):
+                    at = gate == own
+                    k, part = place * _GATES + own, x[at]
+                    one = 1 / (1 + np.exp(-np.clip(part @ mixer.weights[k], -12, 12)))
+                    sums[k, :-1] += (part * (n[at] * np.maximum(one * (1 - one), 1e-3))[:, None]).T @ part
+                    sums[k, -1] += part.T @ (n[at] * (bit[at].astype(float) - one))
+        yield _numbered(sums)
 
     return run
 
 
 def _refine(shared, mixer: Mixer):
-    """Pass over a part of the corpus: ones and all decisions by weight set and bin."""
+    """A part of the corpus: ones and all decisions by weight set and bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, _SETS, _BINS))
         for strings, n, paths in _training(batches, shared.value):
             for place, _, bit in _decisions(strings):
-                x, seen = _inputs(_at_place(paths, place, bit), bit)
-                sets = place * ORDERS + seen
+                x, gate = _inputs(_at_place(paths, place, bit), bit)
+                sets = place * _GATES + gate
                 low, part = _bins((x * mixer.weights[sets]).sum(axis=1))
                 for at, share in ((low, n * (1 - part)), (low + 1, n * part)):
                     np.add.at(sums[0], (sets, at), share * bit.astype(float))
                     np.add.at(sums[1], (sets, at), share)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+        yield _numbered(sums)
 
     return run
 
@@ -378,43 +388,29 @@ def _training(batches: Iterator[pa.RecordBatch], first: np.ndarray) -> Iterator[
         yield strings[taught], n[taught].astype(float), paths[:, :, taught]
 
 
-def _sums(df: DataFrame) -> np.ndarray:
-    """Sum of the arrays of all parts: some 40 KB from each."""
-    return sum(np.frombuffer(r["sums"], float) for r in df.collect())
+def _sums(parts: DataFrame, *shape: int) -> np.ndarray:
+    """Sum of the arrays of all parts, added up by Spark: what comes here is one array."""
+    out = np.zeros(int(np.prod(shape)))
+    for row in parts.groupBy("i").agg(F.sum("value").alias("value")).collect():
+        out[row["i"]] = row["value"]
+    return out.reshape(shape)
 
 
 def train_mixer(contexts: DataFrame, shared) -> Mixer:
-    """Learn weights in ROUNDS online passes, averaged over the parts of the corpus, then the refinement."""
-    mixer = Mixer.start()
-    for _ in range(ROUNDS):
-        sums = _sums(contexts.mapInArrow(_learn(shared, mixer), "sums binary"))
-        size = _SETS * _INPUTS * _INPUTS
-        worth, moment = sums[:size].reshape(_SETS, _INPUTS, _INPUTS), sums[size:].reshape(_SETS, _INPUTS)
-        mixer = Mixer(np.linalg.solve(worth, moment[:, :, None])[:, :, 0], mixer.refined)
-    ones, total = _sums(contexts.mapInArrow(_refine(shared, mixer), "sums binary")).reshape(2, _SETS, _BINS)
-    return Mixer(mixer.weights, (ones + 2 * mixer.refined) / (total + 2))
-
+    """Weights by one online Newton step for each block of the contexts, in a fixed order; then the refinement.
 
-class _Scorer:
-    """Bits of strings by a hashed table, each mixed once as long as it stays in a cache; no query uses it."""
-
-    def __init__(self, tables, mixer: Mixer):
-        self.tables, self.mixer = tables, mixer
-        self.strings = np.zeros(1 << _CACHE_BITS, np.uint64)  # no string is 0: no text holds five zero bytes here
-        self.strings[:] = np.uint64(2**64 - 1)
-        self.bits = np.zeros(1 << _CACHE_BITS)
-
-    def __call__(self, strings: np.ndarray) -> np.ndarray:
-        place = ((strings * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
-        out = self.bits[place]
-        missing = np.flatnonzero(self.strings[place] != strings)
-        if len(missing):
-            new, at = np.unique(strings[missing], return_inverse=True)
-            bits = np.concatenate([string_bits(new[k : k + 16384], self.tables, self.mixer) for k in range(0, len(new), 16384)])
-            out[missing] = bits[at]
-            self.strings[place[missing]] = strings[missing]
-            self.bits[place[missing]] = bits[at]
-        return out
+    A step goes by the block's slope at the weights so far and by the curvature of all blocks so far. Both
+    are sums over the block, so they are the same however it is spread over tasks.
+    """
+    mixer, part = Mixer.start(), "i int, value double"
+    curvature = np.tile(np.eye(_INPUTS) * 20.0, (_SETS, 1, 1))
+    for block in range(BLOCKS):
+        rows = contexts.where(F.col("block") == block).drop("block")
+        sums = _sums(rows.mapInArrow(_slopes(shared, mixer), part), _SETS, _INPUTS + 1, _INPUTS)
+        curvature += sums[:, :-1]
+        mixer = Mixer(mixer.weights + np.linalg.solve(curvature, sums[:, -1, :, None])[:, :, 0], mixer.refined)
+    ones, total = _sums(contexts.drop("block").mapInArrow(_refine(shared, mixer), part), 2, _SETS, _BINS)
+    return Mixer(mixer.weights, (ones + 2 * mixer.refined) / (total + 2))
 
 
 class _Known:
@@ -477,19 +473,21 @@ def _score(hot, hot_strings):
         else:
             known, logs = np.zeros(len(text), bool), np.zeros(n)
         ends = 0 if end_log is None else 1
-        strings = byte_strings(data, offsets)
-        firsts = offsets[:-1] + np.arange(n)
-        bits, unknown = _known(hot_strings)(strings)
-        unknown = np.flatnonzero(unknown)
+        bits, strange, owners = np.zeros(n), [], []
+        for owner, codes in string_pieces(data, offsets):
+            own, unknown = _known(hot_strings)(codes)
+            bits += np.bincount(owner, own, n)
+            strange.append(codes[unknown])
+            owners.append(owner[unknown])
         return [
             pa.array(first + np.arange(n)),
             pa.array(np.diff(found.bounds) + 1),
             pa.array(np.bincount(text[known], minlength=n) + ends),
             pa.array(logs + (end_log or 0.0)),
-            pa.array(np.add.reduceat(bits, firsts)),
+            pa.array(bits),
             pa.array(np.diff(offsets)),
             _lists(found.hashes[~known], text[~known], n),
-            _lists(strings[unknown], np.searchsorted(firsts, unknown, "right") - 1, n),
+            _lists(np.concatenate(strange), np.concatenate(owners), n),
         ]
 
     return per_piece
@@ -540,9 +538,11 @@ def score_texts(docs: DataFrame, training: DataFrame, text_column: str = "text",
     hot = context.broadcast((keys[order], hot_logs, None if end is None else float(np.log10(end + 0.5))))
 
     shared = context.broadcast(first_counts(strings))
-    contexts = stored(context_table(strings), "contexts")
+    folder = shared_folder(spark, "contexts")
+    context_table(strings).write.partitionBy("block").parquet(folder)
+    contexts = spark.read.schema(_CONTEXT_ROWS).parquet(folder)
     mixer = train_mixer(contexts, shared) if total else Mixer.start()
-    bits = stored(contexts.mapInArrow(_mix(shared, mixer), "key long, bits double, n long"), "bits")
+    bits = stored(contexts.drop("block").mapInArrow(_mix(shared, mixer), "key long, bits double, n long"), "bits")
     frequent = _frequent(bits, HOT_STRINGS).toArrow()
     keys = frequent.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
