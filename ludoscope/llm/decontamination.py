@@ -6,8 +6,9 @@ table over blocks of two words tells how far the end of the search window may ju
 leads to a bucket, chosen by the hash of the last block and of the first, whose strings are compared
 word by word. Many texts are searched side by side, one numpy step moving all of them.
 
-Windows go to the tasks in blocks of at most ``WINDOWS`` strings, each block against all documents, so
-that what is broadcast is bounded however large the benchmark is.
+Windows go to the tasks in blocks of at most ``WINDOWS`` strings, each with a number that stands for the set of
+items that hold it; the items themselves are joined to what was found. So what is broadcast is bounded
+however large the benchmark is, and however many items share a passage.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ WINDOWS = 200_000  # strings of one broadcast block, about 25 MB
 LANE = 512  # positions of a text that one lane of the search covers
 TABLE_BITS = 20
 
-_FIELDS = "n_words long, n_hit long, items array<string>, ranges array<struct<start: long, end: long>>"
+_FIELDS = "n_words long, n_hit long, holders array<long>, ranges array<struct<start: long, end: long>>"
 
 
 def _windows(length: int):
@@ -64,10 +65,10 @@ class _Strings:
     codes: np.ndarray  # strings by words, in bucket order
     shifts: np.ndarray
     buckets: np.ndarray  # sorted keys of the strings
-    items: list[list[str]]
+    holders: np.ndarray  # numbers of the sets of items that hold them
 
     @classmethod
-    def of(cls, codes: np.ndarray, items: list[list[str]]) -> _Strings:
+    def of(cls, codes: np.ndarray, holders: np.ndarray) -> _Strings:
         size = codes.shape[1]
         block = min(2, size)
         shifts = np.full(1 << TABLE_BITS, size - block + 1, np.int16)
@@ -76,7 +77,7 @@ class _Strings:
             np.minimum.at(shifts, at, size - end)
         keys = cls.keys(codes[:, 0], codes[:, block - 1], codes[:, size - block], codes[:, size - 1])
         order = np.argsort(keys)
-        return cls(size, codes[order], shifts, keys[order], [items[k] for k in order])
+        return cls(size, codes[order], shifts, keys[order], holders[order])
 
     @staticmethod
     def keys(first, second, before_last, last) -> np.ndarray:
@@ -112,13 +113,13 @@ class _Strings:
 
 
 def _tables(rows: list[tuple]) -> list[_Strings]:
-    """Search tables, one for each length, of (window, items) rows."""
+    """Search tables, one for each length, of (window, holders) rows."""
     by_size: dict[int, list[tuple]] = {}
-    for window, items in rows:
-        by_size.setdefault(len(window) // 8, []).append((window, items))
+    for window, holders in rows:
+        by_size.setdefault(len(window) // 8, []).append((window, holders))
     return [
         _Strings.of(
-            np.frombuffer(b"".join(w for w, _ in same), np.uint64).reshape(len(same), size), [i for _, i in same]
+            np.frombuffer(b"".join(w for w, _ in same), np.uint64).reshape(len(same), size), np.array([h for _, h in same], np.int64)
         )
         for size, same in by_size.items()
     ]
@@ -131,21 +132,23 @@ def _searcher(shared):
     def per_piece(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         found = bw.words(data, offsets, bw.BY_SYMBOL)
         marks = np.zeros(len(found.starts) + 1, np.int64)
-        items: list[set[str]] = [set() for _ in range(len(offsets) - 1)]
+        none = np.zeros(0, np.int64)
+        owners, holders = [none], [none]
         for strings in _built(shared):
             starts, tests = strings.search(found.hashes, found.bounds)
             np.add.at(marks, starts, 1)
             np.add.at(marks, starts + strings.size, -1)
-            owners = np.searchsorted(found.bounds, starts, "right") - 1
-            for owner, test in set(zip(owners.tolist(), tests.tolist(), strict=True)):
-                items[owner].update(strings.items[test])
+            owners.append(np.searchsorted(found.bounds, starts, "right") - 1)
+            holders.append(strings.holders[tests])
+        pairs = np.unique(np.stack([np.concatenate(owners), np.concatenate(holders)], axis=1), axis=0)
+        cuts = np.searchsorted(pairs[:, 0], np.arange(len(offsets))).astype(np.int32)
         hit = np.cumsum(marks[:-1]) > 0
         ranges = _ranges(hit, found.bounds)
         hits = np.concatenate([[0], np.cumsum(hit)])[found.bounds]
         return [
             pa.array(np.diff(found.bounds)),
             pa.array(np.diff(hits)),
-            pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+            pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.ascontiguousarray(pairs[:, 1]))),
             pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ]
 
@@ -166,6 +169,49 @@ def _ranges(hit: np.ndarray, bounds: np.ndarray) -> list[list[dict]]:
     return out
 
 
+def _found(
+    docs: DataFrame, benchmark: DataFrame, text_column: str, item_column: str, item_text_column: str, length: int, keep_text: bool
+) -> tuple[DataFrame, str, DataFrame]:
+    """``docs`` with what is hit and the holders' numbers, that column's name, and (holder, items)."""
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).alias("text"))
+    grouped = (
+        items.mapInArrow(_windows(length), "item string, window binary")
+        .groupBy("window")
+        .agg(F.sort_array(F.collect_set("item")).alias("items"))
+    )
+    windows = stored(grouped.withColumn("holder", F.xxhash64("items")), "windows")
+    holders = windows.groupBy("holder").agg(F.any_value("items").alias("items"))
+    blocks = max(1, -(-windows.count() // WINDOWS))
+    name = unused(docs.columns, "contamination")
+    context = docs.sparkSession.sparkContext
+    found, parts = docs, []
+    for block in range(blocks):
+        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).select("window", "holder").collect()
+        shared = context.broadcast([(bytes(r["window"]), r["holder"]) for r in rows])
+        part = unused(found.columns, f"{name}_{block}")
+        found = with_text_results(
+            found, text_column, part, _FIELDS, _searcher(shared), keep_text=keep_text or block < blocks - 1
+        )
+        parts.append(part)
+        if block < blocks - 1:
+            found = stored(found, "contamination")
+    return _merged(found, parts, name), name, holders
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_column: str = "text",
+    item_column: str = "item_id",
+    item_text_column: str = "text",
+    length: int = LENGTH,
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns; see ``contamination``."""
+    found, name, _ = _found(docs, benchmark, text_column, item_column, item_text_column, length, True)
+    return found.where(~F.col(name)["contaminated"]).select(*[f"`{c}`" for c in docs.columns])
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -184,37 +230,36 @@ def contamination(
     without words or an empty benchmark finds nothing; items with a null id mark words but are not listed.
     Repeated rows, extra and equally named columns stay as they are. Two words are taken as equal if
     their 64-bit codes are.
+
+    Texts that hold windows of the same holders share one list of items, which is put together once.
     """
-    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).alias("text"))
-    windows = stored(
-        items.mapInArrow(_windows(length), "item string, window binary")
-        .groupBy("window")
-        .agg(F.sort_array(F.collect_set("item")).alias("items")),
-        "windows",
+    found, name, holders = _found(docs, benchmark, text_column, item_column, item_text_column, length, keep_text)
+    result, key = F.col(name), unused(found.columns, "held_by")
+    found = stored(found, "contamination") if not keep_text else found
+    lists = found.select(result["holders"].alias("held")).where(F.size("held") > 0).distinct()
+    each = lists.select(F.xxhash64("held").alias("key"), F.explode("held").alias("holder")).join(holders, "holder")
+    items = each.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found_items"))
+    named = items.select(F.col("key").alias(f"{key}_of"), F.col("found_items").alias(f"{key}_items"))
+    # Most texts hold nothing; they share no key, so that none is hot.
+    keyed = found.withColumn(key, F.when(F.size(result["holders"]) > 0, F.xxhash64(result["holders"])))
+    joined = keyed.join(named, F.col(key) == F.col(f"{key}_of"), "left")
+    none = F.array().cast("array<string>")
+    whole = F.struct(
+        result["n_words"].alias("n_words"),
+        result["n_hit"].alias("n_hit"),
+        F.coalesce(f"{key}_items", none).alias("items"),
+        result["ranges"].alias("ranges"),
+        result["contaminated"].alias("contaminated"),
     )
-    blocks = max(1, -(-windows.count() // WINDOWS))
-    name = unused(docs.columns, "contamination")
-    context = docs.sparkSession.sparkContext
-    found, parts = docs, []
-    for block in range(blocks):
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect()
-        shared = context.broadcast([(bytes(r["window"]), list(r["items"])) for r in rows])
-        part = unused(found.columns, f"{name}_{block}")
-        found = with_text_results(
-            found, text_column, part, _FIELDS, _searcher(shared), keep_text=keep_text or block < blocks - 1
-        )
-        parts.append(part)
-        if block < blocks - 1:
-            found = stored(found, "contamination")
-    return _merged(found, parts, name), name
+    return joined.withColumn(name, whole).drop(key, f"{key}_of", f"{key}_items"), name
 
 
 def _merged(found: DataFrame, parts: list[str], name: str) -> DataFrame:
     """One result of the results of all blocks."""
     n_words = F.col(f"{parts[0]}.n_words")
-    n_hit, items, ranges = (F.col(f"{parts[0]}.{c}") for c in ("n_hit", "items", "ranges"))
+    n_hit, holders, ranges = (F.col(f"{parts[0]}.{c}") for c in ("n_hit", "holders", "ranges"))
     if len(parts) > 1:
-        items = F.sort_array(F.array_distinct(F.concat(*[F.col(f"{p}.items") for p in parts])))
+        holders = F.sort_array(F.array_distinct(F.concat(*[F.col(f"{p}.holders") for p in parts])))
         ranges = F.array_sort(F.concat(*[F.col(f"{p}.ranges") for p in parts]))
         ranges = F.aggregate(
             ranges,
@@ -236,7 +281,7 @@ def _merged(found: DataFrame, parts: list[str], name: str) -> DataFrame:
     whole = F.struct(
         n_words.alias("n_words"),
         n_hit.alias("n_hit"),
-        items.alias("items"),
+        holders.alias("holders"),
         ranges.alias("ranges"),
         ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"),
     )

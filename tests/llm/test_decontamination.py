@@ -76,3 +76,30 @@ def test_empty_tables_and_clashing_columns(spark):
     assert run(spark, [], ITEMS) == []
     ((doc, result),) = run(spark, [(1, "b3 b4", "mine")], [], "doc_id long, text string, contamination string")
     assert (doc, result["n_words"], result["n_hit"], result["contaminated"]) == (1, 2, 0, False)
+
+
+def test_a_window_that_very_many_items_share(spark):
+    """Their ids are in the result, but go neither to the driver nor to every task."""
+    prepare(spark)
+    shared = " ".join(f"b{k}" for k in range(13))
+    items = spark.range(20_000).selectExpr("cast(id as string) item_id", f"'{shared}' text").unionByName(
+        spark.createDataFrame([("own", "q1 q2 q3")], "item_id string, text string"))
+    docs = plain.documents(spark, [(1, shared + " more"), (2, "q1 q2 q3"), (3, "clean"), (4, shared + " q1 q2 q3"), (5, None)] )
+    seen, real = [], spark.sparkContext.broadcast
+    try:
+        spark.sparkContext.broadcast = lambda value: seen.append(value) or real(value)
+        found, name = de.contamination(docs, items)
+        got = {r["doc_id"]: r[name]["items"] for r in found.collect()}
+    finally:
+        del spark.sparkContext.broadcast
+    every = sorted(str(k) for k in range(20_000))
+    assert got == {1: every, 2: ["own"], 3: [], 4: [*every, "own"], 5: []}
+    assert [len(rows) for rows in seen] == [2] and all(isinstance(holder, int) for _, holder in seen[0])
+
+
+def test_clean_rows_stay_as_they_are(spark):
+    prepare(spark)
+    docs = plain.documents(spark, [(1, "b3 b4", "x"), (1, "clean", "x"), (2, None, "x"), (3, "", "x"), (1, "clean", "x")], "doc_id long, text string, contamination string")
+    got = de.clean(docs, spark.createDataFrame(ITEMS, "item_id string, text string"))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "clean", "x"), (1, "clean", "x"), (2, None, "x"), (3, "", "x")], key=repr)
