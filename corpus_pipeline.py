@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ludoscope.llm.common import prepare, stored, table
-from ludoscope.llm.decontamination import contamination
+from ludoscope.llm.decontamination import clean
 from ludoscope.llm.line_quality import with_quality
 from ludoscope.llm.mixing import mixed
 from ludoscope.llm.near_duplicates import one_of_each_group
@@ -36,8 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
     prepare(spark)
-    found, name = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col(name)["contaminated"]).select(*docs.columns)
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
