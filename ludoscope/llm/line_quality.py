@@ -25,6 +25,9 @@ SAMPLE = 3000  # labelled documents that the field is fitted on
 SAMPLE_LINES = 200_000  # and their lines at most; the longest documents lend the middle of theirs
 CHAIN = 64  # lines of one chain while fitting
 STEPS = 120
+RUN = 128  # lines of a text that one pass of messages goes through; longer texts are cut into runs
+LINES = 100_000  # of one text whose features are held at once
+PIECE_BYTES = 1 << 18  # of texts that are scored together
 
 _codes = np.arange(256)
 _CLASSES = {
@@ -36,6 +39,7 @@ _CLASSES = {
 }
 _CLASSES["symbol"] = ~np.logical_or.reduce(list(_CLASSES.values()))
 FEATURES = 2 * len(_CLASSES) + 14
+SEEN = 2 * len(_CLASSES) + 10  # place of the feature that an earlier line of the text is equal
 
 
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,10 +76,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     other[1:] = (found.hashes[order][1:] != found.hashes[order][:-1]) | (line[order][1:] != line[order][:-1])
     distinct = np.bincount(line[order], other, minlength=n) / some
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    whole = bw.range_hashes(data, starts, ends) if len(data) else np.zeros(n, np.uint64)
-    seen = np.zeros(n, bool)
-    by_line = np.lexsort((np.arange(n), whole, text))
-    seen[by_line[1:]] = (whole[by_line][1:] == whole[by_line][:-1]) & (text[by_line][1:] == text[by_line][:-1])
+    seen = _seen(data, starts, ends, text)
     last = data[np.maximum(ends - 1, 0)] if len(data) else np.zeros(n, np.uint8)
     first = data[np.minimum(starts, len(data) - 1)] if len(data) else np.zeros(n, np.uint8)
     columns += [
@@ -94,6 +95,16 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.stack(columns, axis=1).astype(np.float32), size, bounds
 
 
+def _seen(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether an earlier line of the same text is equal."""
+    n = len(starts)
+    whole = bw.range_hashes(data, starts, ends) if len(data) else np.zeros(n, np.uint64)
+    seen = np.zeros(n, bool)
+    by_line = np.lexsort((np.arange(n), whole, text))
+    seen[by_line[1:]] = (whole[by_line][1:] == whole[by_line][:-1]) & (text[by_line][1:] == text[by_line][:-1])
+    return seen
+
+
 def with_neighbours(features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Each line's features, then those of the line before and of the line after, 0 beyond the text."""
     before, after = np.zeros_like(features), np.zeros_like(features)
@@ -103,6 +114,83 @@ def with_neighbours(features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate([features, before, after], axis=1)
 
 
+def _local(score: np.ndarray) -> np.ndarray:
+    """How much a line's score speaks for bad and for good, the larger as one."""
+    score = np.clip(score, -30, 30)
+    return np.stack([np.exp(-np.maximum(score, 0)), np.exp(np.minimum(score, 0))], axis=1)
+
+
+def _messages(
+    local: np.ndarray, bounds: np.ndarray, move: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of every line, each summing to one.
+
+    All chains move one line in one step, the longest first, so that those still going are a prefix.
+    ``before`` and ``behind`` are what comes in at the chains' ends: factors of the first line, and the backward
+    message of the last.
+    """
+    sizes = np.diff(bounds)
+    order = np.argsort(-sizes, kind="stable")
+    first, sizes = bounds[:-1][order], sizes[order]
+    going = np.searchsorted(-sizes, -np.arange(1, sizes.max(initial=0) + 1), "right")
+    ahead, back = np.empty_like(local), np.ones_like(local)
+    if behind is not None:
+        back[bounds[1:] - 1] = behind
+    for t, k in enumerate(going):
+        at = first[:k] + t
+        if t:
+            now = (ahead[at - 1] @ move) * local[at]
+        else:
+            now = local[at] if before is None else before[order] * local[at]
+        ahead[at] = now / now.sum(axis=1, keepdims=True)
+    for t in range(len(going) - 2, -1, -1):
+        at = first[: going[t + 1]] + t
+        now = (local[at + 1] * back[at + 1]) @ move.T
+        back[at] = now / now.sum(axis=1, keepdims=True)
+    return ahead, back
+
+
+def _messages_in_runs(local: np.ndarray, bounds: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_messages``, for long chains: cut into runs of RUN lines that all move side by side.
+
+    What a run does to a message is a matrix of two by two. These matrices carry the messages from run to
+    run, forwards and backwards, and then every run is passed through with what comes in at its ends.
+    """
+    sizes = np.diff(bounds)
+    runs = -(-sizes // RUN)
+    nth = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    starts = np.repeat(bounds[:-1], runs) + nth * RUN
+    cuts = np.append(starts, bounds[-1])
+    whole = np.tile(np.eye(2), (len(starts), 1, 1))
+    for t in range(RUN):
+        here = np.flatnonzero(starts + t < cuts[1:])
+        now = (whole[here] @ move) * local[starts[here] + t][:, None, :]
+        if t == 0:  # no move leads into a chain's first line
+            opens = nth[here] == 0
+            now[opens] = local[starts[here][opens]][:, None, :]
+        whole[here] = now / now.sum(axis=(1, 2), keepdims=True)
+    before, behind = np.ones((len(starts), 2)), np.ones((len(starts), 2))
+    (m00, m01), (m10, m11) = move.tolist()
+    steps = whole.tolist()
+    a, b = 0.5, 0.5
+    for k, opens in enumerate((nth == 0).tolist()):
+        if not opens:
+            before[k] = a * m00 + b * m10, a * m01 + b * m11
+        (w00, w01), (w10, w11) = steps[k]
+        a, b = (w00, w01) if opens else (a * w00 + b * w10, a * w01 + b * w11)
+        a, b = a / (a + b), b / (a + b)
+    closes = np.append(nth[1:] == 0, True).tolist()
+    a, b = 1.0, 1.0
+    for k in range(len(steps) - 1, -1, -1):
+        if closes[k]:
+            a, b = 1.0, 1.0
+        behind[k] = a, b
+        (w00, w01), (w10, w11) = steps[k]
+        a, b = w00 * a + w01 * b, w10 * a + w11 * b
+        a, b = a / (a + b), b / (a + b)
+    return _messages(local, cuts, move, before, behind)
+
+
 @dataclass
 class Field:
     """Weights of "good" against "bad", and log transitions from label to label (0 bad, 1 good)."""
@@ -112,26 +200,9 @@ class Field:
     curve: tuple[float, float] = (1.0, 0.0)  # of the log-odds of a document's mean
 
     def marginals(self, features: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(good) of every line, and the expected transitions summed over all chains.
-
-        All chains move one line in one step, the longest first, so that those still going are a prefix.
-        """
-        score = np.clip(features @ self.weights, -30, 30)
-        local = np.stack([np.exp(-np.maximum(score, 0)), np.exp(np.minimum(score, 0))], axis=1)
-        move = np.exp(self.moves)
-        sizes = np.diff(bounds)
-        order = np.argsort(-sizes, kind="stable")
-        first, sizes = bounds[:-1][order], sizes[order]
-        going = np.searchsorted(-sizes, -np.arange(1, sizes.max(initial=0) + 1), "right")
-        ahead, back = np.empty_like(local), np.ones_like(local)
-        for t, k in enumerate(going):
-            at = first[:k] + t
-            now = local[at] if t == 0 else (ahead[at - 1] @ move) * local[at]
-            ahead[at] = now / now.sum(axis=1, keepdims=True)
-        for t in range(len(going) - 2, -1, -1):
-            at = first[: going[t + 1]] + t
-            now = (local[at + 1] * back[at + 1]) @ move.T
-            back[at] = now / now.sum(axis=1, keepdims=True)
+        """P(good) of every line, and the expected transitions summed over all chains."""
+        local, move = _local(features @ self.weights), np.exp(self.moves)
+        ahead, back = _messages(local, bounds, move)
         both = ahead * back
         good = both[:, 1] / both.sum(axis=1)
         inner = np.ones(len(local), bool)
@@ -141,15 +212,47 @@ class Field:
         pairs /= pairs.sum(axis=(1, 2), keepdims=True)
         return good, pairs.sum(axis=0)
 
+    def good_lines(self, score: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """P(good) of every line from the lines' scores; chains of any length take RUN steps a pass."""
+        local, move = _local(score), np.exp(self.moves)
+        if np.diff(bounds).max(initial=0) <= RUN:
+            ahead, back = _messages(local, bounds, move)
+        else:
+            ahead, back = _messages_in_runs(local, bounds, move)
+        ahead *= back
+        return ahead[:, 1] / ahead.sum(axis=1)
+
     def means(self, features: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Mean marginal of "good" of each text, by length; ``features`` have neighbours already."""
-        good, _ = self.marginals(features, bounds)
-        weight = size + 1.0
+        return self._means(features @ self.weights, size, bounds)
+
+    def _means(self, score: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        good, weight = self.good_lines(score, bounds), size + 1.0
         return np.add.reduceat(good * weight, bounds[:-1]) / np.add.reduceat(weight, bounds[:-1])
 
+    def _scores_of_long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and lengths of the lines of one text, whose features are made LINES at a time."""
+        starts, ends, bounds = line_bounds(data, np.array([0, len(data)]))
+        n = int(bounds[1])
+        seen = _seen(data, starts, ends, np.zeros(n, np.int8)) & (ends > starts)
+        score = np.empty(n)
+        for first in range(0, n, LINES):
+            stop = min(first + LINES, n)
+            low, high = max(first - 1, 0), min(stop + 1, n)  # with the neighbours of the outer lines
+            part = data[starts[low] : ends[high - 1]]
+            features, _, own = line_features(part, np.array([0, len(part)]))
+            features[:, SEEN] = seen[low:high]
+            score[first:stop] = with_neighbours(features, own)[first - low : stop - low] @ self.weights
+        return score, ends - starts
+
     def qualities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        features, size, bounds = line_features(data, offsets)
-        odds = log_odds(self.means(with_neighbours(features, bounds), size, bounds))
+        if len(offsets) == 2 and np.count_nonzero(data == 10) >= LINES:
+            score, size = self._scores_of_long(data)
+            means = self._means(score, size, np.array([0, len(score)]))
+        else:
+            features, size, bounds = line_features(data, offsets)
+            means = self.means(with_neighbours(features, bounds), size, bounds)
+        odds = log_odds(means)
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * odds + self.curve[1], -30, 30)))
 
 
@@ -265,5 +368,7 @@ def with_quality(
     def per_piece(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         return [pa.array(np.clip(field.qualities(data, offsets), 0.0, 1.0))]
 
-    found = with_text_results(docs, text_column, name, "value double", per_piece, keep_text=keep_text)
+    found = with_text_results(
+        docs, text_column, name, "value double", per_piece, keep_text=keep_text, piece_bytes=PIECE_BYTES
+    )
     return found.withColumn(name, F.col(f"{name}.value")), name

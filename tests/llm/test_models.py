@@ -247,3 +247,49 @@ def test_documents_of_very_many_lines_do_not_end_the_sample(spark, monkeypatch):
     assert 200 < sum(r["n"] for r in rows) <= 300 and {r["n"] for r in rows if r["n"] < 4} == {3}
     assert isinstance(lq.fit_on(plain.documents(spark, texts), labels, "doc_id", "text", "quality"), lq.Field)
     assert lq._most_lines([5, 7]) >= 7 and lq._most_lines([2, 500, 500]) == 149
+
+
+def test_messages_of_long_chains_equal_those_of_one_pass(monkeypatch):
+    rng = np.random.default_rng(11)
+    field = lq.Field(np.zeros(1), rng.standard_normal((2, 2)))
+    for sizes in ([1, 5, 300, 128, 129, 1], [1000], [256, 128], [1]):
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        score = rng.standard_normal(bounds[-1]) * 5
+        ahead, back = lq._messages(lq._local(score), bounds, np.exp(field.moves))
+        plain_good = (ahead * back)[:, 1] / (ahead * back).sum(axis=1)
+        for run in (1, 7, 128):
+            monkeypatch.setattr(lq, "RUN", run)
+            assert np.abs(field.good_lines(score, bounds) - plain_good).max() < 1e-12
+
+
+def test_features_of_a_long_text_are_made_in_parts(monkeypatch):
+    rng = np.random.default_rng(12)
+    lines = ["", "a b", "The end.", "x x x x", "12 #!", "é"]
+    text = "\n".join(lines[k] for k in rng.integers(0, len(lines), 500)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    field = lq.Field(rng.standard_normal(3 * lq.FEATURES), rng.standard_normal((2, 2)), (0.7, 0.1))
+    whole = field.qualities(data, offsets)
+    for most in (1, 7, 100, 499):
+        monkeypatch.setattr(lq, "LINES", most)
+        assert np.abs(field.qualities(data, offsets) - whole).max() < 1e-6
+
+
+def test_a_text_of_ten_million_lines_takes_bounded_memory_and_time():
+    import resource
+    import subprocess
+    import sys
+    import time
+
+    code = """
+import numpy as np
+from ludoscope.llm import line_quality as lq
+field = lq.Field(np.random.default_rng(1).standard_normal(3 * lq.FEATURES) * 0.1, np.zeros((2, 2)))
+data = np.tile(np.frombuffer(b"a\\nb\\n", np.uint8), 5_000_000)
+assert 0 <= field.qualities(data, np.array([0, len(data)]))[0] <= 1
+"""
+    start = time.time()
+    root = lq.__file__.rsplit("/ludoscope/", 1)[0]
+    before = resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
+    subprocess.run([sys.executable, "-c", code], check=True, env={"PYTHONPATH": root, "PATH": "/usr/bin:/bin"}, timeout=120)
+    used = resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
+    assert time.time() - start < 90 and (used <= before or used < 3_000_000)  # KB
