@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .calibration import fit_line
-from .common import fold, unused, with_text_results
+from .common import fold, stored, unused, with_text_results
 
 SAMPLE = 6000  # labelled documents that the models are fitted on
 PREFIXES = (4, 5, 6)  # bytes of a word's beginning that are features beside the word
 KEPT = 4096  # features of one category's model
+LEAST = 3  # documents that a feature of a model occurs in
 FOLDS = 3
 STEPS = 80
 SPARSE = 4e-4  # strength of the absolute-value penalty
@@ -98,8 +99,8 @@ def _train(rows: np.ndarray, codes: np.ndarray, earlier: np.ndarray, labels: np.
     with_label = np.bincount(at, labels[rows], len(names))
     count = np.bincount(at, minlength=len(names))
     share = labels.mean()
-    gain = (with_label - count * share) ** 2 / (count + 2)
-    gain[count < 3] = 0
+    gain = _gain(with_label, count, share)
+    gain[count < LEAST] = 0
     best = np.sort(np.argsort(-gain, kind="stable")[:KEPT])
     place = np.full(len(names), -1)
     place[best] = np.arange(len(best))
@@ -127,8 +128,8 @@ def train_chain(rows: np.ndarray, codes: np.ndarray, labels: np.ndarray, folds:
     return models
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, categories: dict[str, Column]):
-    """(labels, fold, rows, codes) of the sampled documents."""
+def _sampled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, categories: dict[str, Column]) -> DataFrame:
+    """(place, categories, codes) of the sampled documents, ``codes`` their distinct features."""
     names = list(categories)
     plain = labels.select("doc_id", *[c.cast("int").alias(n) for n, c in categories.items()])
     valid = F.lit(True)
@@ -159,11 +160,91 @@ def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str
         return [pa.array([np.unique(codes[order[a:b]]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())]
 
     found = with_text_results(texts, "text", "found", "codes binary", per_piece, keep_text=False)
-    rows = found.select("place", *names, "found.codes").orderBy("place").collect()  # at most SAMPLE rows
-    codes = [np.frombuffer(r["codes"], np.uint64) for r in rows]
-    labels_of = np.array([[r[n] for n in names] for r in rows]).reshape(len(rows), len(names))
-    owner = np.repeat(np.arange(len(rows)), [len(c) for c in codes])
-    return labels_of, np.arange(len(rows)) % FOLDS, owner, np.concatenate(codes or [np.zeros(0, np.uint64)])
+    return found.select("place", *names, "found.codes")
+
+
+def _counts(categories: int):
+    """(fold, labels, codes) to (code, counts): by fold the documents with a feature, and those with each label."""
+    width = 1 + categories
+
+    def run(batches):
+        for batch in batches:
+            codes = [np.frombuffer(c.as_buffer(), np.uint64) for c in batch.column(2)]
+            names, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
+            owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+            folds = batch.column(0).to_numpy()[owner]
+            truth = np.array(batch.column(1).to_pylist(), np.int64).reshape(len(codes), categories)[owner]
+            sums = np.zeros((len(names), FOLDS, width), np.int64)
+            np.add.at(sums, (at, folds, 0), 1)
+            for k in range(categories):
+                np.add.at(sums, (at, folds, 1 + k), truth[:, k])
+            cuts = pa.array(np.arange(len(names) + 1, dtype=np.int32) * FOLDS * width)
+            lists = pa.ListArray.from_arrays(cuts, pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), lists], names=["code", "counts"])
+
+    return run
+
+
+def _gain(with_label, count, share):
+    """How well a feature tells the labels apart."""
+    return (with_label - count * share) * (with_label - count * share) / (count + 2)
+
+
+def _candidates(rows: DataFrame, truth: np.ndarray, folds: np.ndarray) -> DataFrame:
+    """The codes that any category's model, or its model without one fold, may take: its KEPT best by gain."""
+    width = 1 + truth.shape[1]
+    sums = [F.sum(F.get("counts", F.lit(k))).alias(f"c{k}") for k in range(FOLDS * width)]
+    counted = rows.mapInArrow(_counts(truth.shape[1]), "code long, counts array<long>").groupBy("code").agg(*sums)
+    counted, best = stored(counted, "features"), None
+    for category in range(truth.shape[1]):
+        for left_out in (None, *range(FOLDS)):
+            used = [k for k in range(FOLDS) if k != left_out]
+            share = float(truth[np.isin(folds, used), category].mean())
+            count = sum((F.col(f"c{k * width}") for k in used), F.lit(0))
+            with_label = sum((F.col(f"c{k * width + 1 + category}") for k in used), F.lit(0))
+            ranked = counted.where(count >= LEAST).select("code", _gain(with_label, count, F.lit(share)).alias("gain"))
+            top = ranked.orderBy(F.desc("gain"), "code").limit(KEPT).select("code")
+            best = top if best is None else best.unionByName(top)
+    return best.distinct()
+
+
+def _only(shared):
+    """(place, codes) to (place, numbers of the wanted codes)."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for codes in batch.column(1):
+                codes, wanted = np.frombuffer(codes.as_buffer(), np.uint64), shared.value
+                at = np.minimum(np.searchsorted(wanted, codes), max(len(wanted) - 1, 0))
+                found.append((at[wanted[at] == codes] if len(wanted) else at[:0]).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["place", "numbers"])
+
+    return run
+
+
+def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, categories: dict[str, Column]):
+    """(labels, fold, rows, codes) of the sampled documents.
+
+    Features are counted by label where the documents are, and only those that a model may take come here:
+    SAMPLE documents with KEPT numbers for each category and fold at most, whatever the texts' length.
+    """
+    names, spark = list(categories), docs.sparkSession
+    found = stored(_sampled(docs, labels, id_column, text_column, categories), "sample")
+    heads = found.select("place", *names).orderBy("place").collect()  # at most SAMPLE rows of a few numbers
+    truth = np.array([[r[n] for n in names] for r in heads], np.int64).reshape(len(heads), len(names))
+    folds = np.arange(len(heads)) % FOLDS
+    if len(heads) < 2 * FOLDS:
+        return truth, folds, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    dealt = spark.createDataFrame([(r["place"], int(f)) for r, f in zip(heads, folds, strict=True)], "place long, fold int")
+    rows = found.join(F.broadcast(dealt), "place").select("fold", F.array(*names).alias("truth"), "codes")
+    wanted = _candidates(rows, truth, folds).toArrow().column("code").to_numpy()
+    wanted = np.sort(wanted.view(np.uint64))
+    shared = spark.sparkContext.broadcast(wanted)
+    kept = found.select("place", "codes").mapInArrow(_only(shared), "place long, numbers binary").orderBy("place").collect()
+    numbers = [np.frombuffer(r["numbers"], np.int32) for r in kept]
+    owner = np.repeat(np.arange(len(kept)), [len(x) for x in numbers])
+    return truth, folds, owner, wanted[np.concatenate(numbers)]
 
 
 def with_toxicity(

@@ -293,3 +293,106 @@ assert 0 <= field.qualities(data, np.array([0, len(data)]))[0] <= 1
     subprocess.run([sys.executable, "-c", code], check=True, env={"PYTHONPATH": root, "PATH": "/usr/bin:/bin"}, timeout=120)
     used = resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
     assert time.time() - start < 90 and (used <= before or used < 3_000_000)  # KB
+
+
+def plain_chain(texts, truth):
+    """The chain on dense matrices of words and word beginnings as Python strings; returns its probabilities.
+
+    Features are taken in the order of their gain, and every fold is fitted and scored by itself.
+    """
+    from ludoscope.llm import toxicity as tx
+    from ludoscope.llm.calibration import fit_line
+
+    def found(text):
+        words = {w.encode() for w in plain.SYMBOLED.findall(plain.lower(text))}
+        return {("word", w) for w in words} | {(k, w[:k]) for w in words for k in tx.PREFIXES if len(w) > k}
+
+    sets = [found(t) for t in texts]
+    names = sorted(set().union(*sets), key=repr)
+    ones = np.array([[name in s for name in names] for s in sets], float)
+    folds = np.arange(len(texts)) % tx.FOLDS
+
+    def fitted(x, earlier, y):
+        share, count = y.mean(), x.sum(axis=0)
+        gain = np.where(count < 3, 0.0, (x.T @ y - count * share) ** 2 / (count + 2))
+        kept = np.sort(np.argsort(-gain, kind="stable")[: tx.KEPT])
+        x, n = x[:, kept], len(y)
+        every = np.hstack([x, earlier, np.ones((n, 1))])
+        values = np.zeros(every.shape[1])
+        share = np.clip(share, 1 / (n + 2), 1 - 1 / (n + 2))
+        values[-1] = np.log(share / (1 - share))
+        ahead, pace = values.copy(), 1.0
+        step = 2.0 / np.concatenate([np.sqrt(x.mean(axis=0)) * 2 + 0.02, (earlier**2).mean(axis=0) * 4 + 1, [2.0]])
+        for _ in range(tx.STEPS):
+            slope = every.T @ (1 / (1 + np.exp(-np.clip(every @ ahead, -30, 30))) - y) / n
+            moved = ahead - step * slope
+            for k in range(len(kept)):
+                moved[k] = np.sign(moved[k]) * max(abs(moved[k]) - step[k] * tx.SPARSE, 0.0)
+            next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+            ahead = moved + (pace - 1) / next_pace * (moved - values) * 0.9
+            values, pace = moved, next_pace
+        return lambda x, e: np.clip(np.hstack([x[:, kept], e, np.ones((len(x), 1))]) @ values, -30, 30)
+
+    def nothing(n):
+        return np.zeros((n, 0))
+
+    told, scored, out = nothing(len(texts)), nothing(len(texts)), []
+    for category in range(truth.shape[1]):
+        y, odds = truth[:, category].astype(float), np.zeros(len(texts))
+        for k in range(tx.FOLDS):
+            inside = folds != k
+            odds[~inside] = fitted(ones[inside], told[inside], y[inside])(ones[~inside], told[~inside])
+        final = fitted(ones, told, y)(ones, scored)
+        slope, shift = fit_line(odds, y)
+        out.append(1 / (1 + np.exp(-np.clip(slope * final + shift, -30, 30))))
+        told, scored = np.column_stack([told, odds]), np.column_stack([scored, final])
+    return np.stack(out, axis=1)
+
+
+def chain_texts(n):
+    rng = np.random.default_rng(14)
+    words = [f"word{chr(97 + k)}{chr(97 + 7 * k % 26)}x{'yz' * (k % 3)}" for k in range(26)]
+    ids = [k for k in range(1, 2 * n) if crc32(str(k).encode()) % 5][:n]
+    texts, truth = [], []
+    for k in ids:
+        poor, toxic = int(rng.random() < 0.4), int(rng.random() < 0.3)
+        chances = np.ones(26)
+        chances[:4] += 3 * poor
+        chances[4:7] += 4 * toxic
+        texts.append((k, " ".join(rng.choice(words, rng.integers(4, 20), p=chances / chances.sum()))))
+        truth.append((k, 1 - poor, toxic))
+    return texts, truth
+
+
+def test_chain_equals_plain_models_on_dense_matrices(spark, monkeypatch):
+    from ludoscope.llm import toxicity as tx
+
+    prepare(spark)
+    texts, truth = chain_texts(240)
+    categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    for kept in (4096, 20):
+        monkeypatch.setattr(tx, "KEPT", kept)
+        found, name = with_toxicity(plain.documents(spark, texts), spark.createDataFrame(truth, LABELS), categories)
+        order = [r[0] for r in spark.createDataFrame([(k,) for k, _ in texts], "doc_id long").orderBy(F.xxhash64("doc_id")).collect()]
+        by_id, labels = dict(texts), {k: (1 - q, t) for k, q, t in truth}
+        want = plain_chain([by_id[k] for k in order], np.array([labels[k] for k in order]))
+        got = {r["doc_id"]: (r[name]["low_quality"], r[name]["toxic"]) for r in found.collect()}
+        assert len(got) == 240
+        difference = np.abs(np.array([got[k] for k in order]) - want)
+        # With 20 features ties at the cut may fall to others; without a cut all is alike.
+        assert difference.max() < 1e-9 if kept > 1000 else np.median(difference) < 0.05
+
+
+def test_only_features_that_models_take_come_to_the_driver(spark, monkeypatch):
+    """However many words the sampled documents have."""
+    from ludoscope.llm import toxicity as tx
+
+    prepare(spark)
+    monkeypatch.setattr(tx, "KEPT", 50)
+    texts, truth = chain_texts(60)
+    texts = [(k, t + " " + " ".join(f"own{k}q{j}" for j in range(3000))) for k, t in texts]
+    labels = spark.createDataFrame(truth, LABELS)
+    categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    kinds, folds, owner, codes = tx._sample(plain.documents(spark, texts), labels, "doc_id", "text", categories)
+    assert kinds.shape == (60, 2) and len(np.unique(codes)) <= 2 * (tx.FOLDS + 1) * 50
+    assert len(codes) <= 60 * len(np.unique(codes))
