@@ -812,6 +812,16 @@ def statements() -> dict[str, str]:
                     UNION ALL SELECT *, 0, 1 FROM load_once WHERE appid % 31 = 0)
               GROUP BY appid, name, publisher, ccu)
         WHERE n_before <> n_after"""
+    # Sketches are exact while a group has few values, as here.
+    sql["players_from_sketches"] = """
+        SELECT CAST(date_trunc('week', event_time) AS TIMESTAMP) AS window_start, game_id,
+            count(DISTINCT user_id) AS users
+        FROM sessions GROUP BY 1, 2"""
+    sql["req_latency_from_sketches"] = """
+        SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, CAST(count(duration_s) AS BIGINT) AS requests,
+            quantile_disc(duration_s, 0.50) AS p50, quantile_disc(duration_s, 0.95) AS p95,
+            quantile_disc(duration_s, 0.99) AS p99
+        FROM req WHERE duration_s IS NOT NULL GROUP BY 1"""
     sql["agg_latest_version"] = "SELECT * FROM day_purchases"
 
     # Staging
