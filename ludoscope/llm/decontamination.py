@@ -240,14 +240,17 @@ def contamination(
     each = lists.select(F.xxhash64("held").alias("key"), F.explode("held").alias("holder")).join(holders, "holder")
     items = each.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found_items"))
     named = items.select(F.col("key").alias(f"{key}_of"), F.col("found_items").alias(f"{key}_items"))
-    # Most texts hold nothing; they share no key, so that none is hot.
-    keyed = found.withColumn(key, F.when(F.size(result["holders"]) > 0, F.xxhash64(result["holders"])))
+    # Most texts hold nothing; each has a key of its own, so that none is hot.
+    holds = F.size(result["holders"]) > 0
+    keyed = found.withColumn(key, F.xxhash64(F.monotonically_increasing_id())).withColumn(
+        key, F.when(holds, F.xxhash64(result["holders"])).otherwise(F.col(key))
+    )
     joined = keyed.join(named, F.col(key) == F.col(f"{key}_of"), "left")
     none = F.array().cast("array<string>")
     whole = F.struct(
         result["n_words"].alias("n_words"),
         result["n_hit"].alias("n_hit"),
-        F.coalesce(f"{key}_items", none).alias("items"),
+        F.when(holds, F.col(f"{key}_items")).otherwise(none).alias("items"),
         result["ranges"].alias("ranges"),
         result["contaminated"].alias("contaminated"),
     )
