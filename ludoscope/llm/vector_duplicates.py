@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytewords as bw
 from .common import stored
@@ -60,46 +61,74 @@ def _buckets(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (sums >= 0).reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _usable(batches):
-    """(id, vector) to (id, class, length, components as bytes); no class for an unusable vector."""
-    for batch in batches:
-        classes, lengths, raw = [], [], []
-        for vector in batch.column(1):
-            found = None
-            if vector.is_valid and not vector.values.null_count:
-                found = vector.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                if not (len(found) and np.isfinite(found).all() and found.any()):
-                    found = None
-            if found is None:
-                classes.append(None), lengths.append(None), raw.append(None)
-                continue
-            bits = found.view(np.uint64)
-            code = bw.shingles(bw.mix(bits + np.uint64(len(bits))), len(bits))
-            classes.append(int(code.view(np.int64)[0]))
-            lengths.append(len(found))
-            raw.append(found.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(classes, pa.int64()), pa.array(lengths, pa.int32()), pa.array(raw, pa.binary())],
-            names=["id", "class", "length", "vector"],
-        )
-
-
-def _matrix(column: pa.Array, length: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), length)
-
-
-def _with_buckets(bits: int, tables: int):
-    """(class, length, vector) to (class, buckets), a bucket for each table."""
+def _usable(kind: type):
+    """(id, vector) to (id, class, length, components as bytes of ``kind``); no class for an unusable vector."""
+
+    def run(batches):
+        for batch in batches:
+            classes, lengths, raw = [], [], []
+            for vector in batch.column(1):
+                found = None
+                if vector.is_valid and not vector.values.null_count:
+                    found = vector.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+                    if not (len(found) and np.isfinite(found).all() and found.any()):
+                        found = None
+                if found is None:
+                    classes.append(None), lengths.append(None), raw.append(None)
+                    continue
+                bits = found.view(np.uint64)
+                code = bw.shingles(bw.mix(bits + np.uint64(len(bits))), len(bits))
+                classes.append(int(code.view(np.int64)[0]))
+                lengths.append(len(found))
+                raw.append(found.astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(classes, pa.int64()), pa.array(lengths, pa.int32()), pa.array(raw, pa.binary())],
+                names=["id", "class", "length", "vector"],
+            )
+
+    return run
+
+
+def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
+    """Rows of ``width`` numbers out of their bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+
+
+def _bucket_kind(bits: int) -> type:
+    return next(kind for kind in (np.uint16, np.uint32, np.uint64) if bits <= 8 * kind().nbytes)
+
+
+def _with_buckets(bits: int, tables: int, kind: type):
+    """(class, length, vector) to (class, buckets): the bytes of a number for each table."""
 
     def run(batches):
         for batch in batches:
             lengths = batch.column(1).to_numpy()
             for length in np.unique(lengths):
                 part = batch.take(pa.array(np.flatnonzero(lengths == length)))
-                buckets = _buckets(_matrix(part.column(2), int(length)), bits, tables)
-                cuts = pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * tables)
-                lists = pa.ListArray.from_arrays(cuts, pa.array(buckets.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["class", "buckets"])
+                vectors = _matrix(part.column(2), int(length), kind).astype(np.float64)
+                buckets = _buckets(vectors, bits, tables).astype(_bucket_kind(bits))
+                packed = pa.array([row.tobytes() for row in buckets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), packed], names=["class", "buckets"])
+
+    return run
+
+
+def _bucket_rows(bits: int, tables: int):
+    """(class, length, buckets) to one row (class, length, slot, bucket) for each table."""
+
+    def run(batches):
+        for batch in batches:
+            buckets = _matrix(batch.column(2), tables, _bucket_kind(bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch.column(0).to_numpy(), tables)),
+                    pa.array(np.repeat(batch.column(1).to_numpy(), tables)),
+                    pa.array(np.tile(np.arange(tables, dtype=np.int32), len(buckets))),
+                    pa.array(buckets.ravel()),
+                ],
+                names=["class", "length", "slot", "bucket"],
+            )
 
     return run
 
@@ -128,7 +157,7 @@ def _near_pairs(vectors: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosi
     return tuple(np.concatenate(x) for x in zip(*(near or out), strict=True))
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, bits: int, tables: int, kind: type):
     """Many blocks: (class, links, other) with the multiplicities linked to a class and an edge to its group.
 
     A pair counts in the first table in which it shares a bucket, so in one block only.
@@ -145,9 +174,9 @@ def _compare(cosine: float):
         starts = np.flatnonzero(begins)
         sizes = np.diff(np.append(starts, len(order)))
         classes, copies = part.column("class").to_numpy()[order], part.column("copies").to_numpy()[order]
-        unit = _scaled(_matrix(part.column("vector").combine_chunks(), length)[order])
+        unit = _scaled(_matrix(part.column("vector").combine_chunks(), length, kind)[order].astype(np.float64))
         unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        buckets = part.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+        buckets = _matrix(part.column("buckets").combine_chunks(), tables, _bucket_kind(bits))[order]
         a, b = _near_pairs(unit, starts, sizes, cosine)
         across = (low[a] == high[a]) | (side[a] != side[b])
         a, b = a[across], b[across]
@@ -191,7 +220,10 @@ def near_duplicate_vectors(
     rows are rows. An empty table gives no rows; other columns are ignored.
     """
     pairs = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"))
-    rows = stored(pairs.mapInArrow(_usable, "id long, class long, length int, vector binary"), "vectors")
+    # Components travel as they come, in four bytes or eight; all arithmetic is in double precision.
+    single = isinstance(getattr(pairs.schema["vector"].dataType, "elementType", None), T.FloatType)
+    kind = np.float32 if single else np.float64
+    rows = stored(pairs.mapInArrow(_usable(kind), "id long, class long, length int, vector binary"), "vectors")
     classes = stored(
         rows.where("class is not null")
         .groupBy("class")
@@ -205,12 +237,14 @@ def near_duplicate_vectors(
     )
     bits, tables = tables_for(classes.count(), cosine)
     hashed = stored(
-        classes.select("class", "length", "vector").mapInArrow(_with_buckets(bits, tables), "class long, buckets array<long>")
+        classes.select("class", "length", "vector").mapInArrow(_with_buckets(bits, tables, kind), "class long, buckets binary")
         .join(classes, "class"),
         "hashed",
     )
     keys = ["slot", "length", "bucket"]
-    buckets = hashed.select("class", "length", F.posexplode("buckets").alias("slot", "bucket"))
+    buckets = hashed.select("class", "length", "buckets").mapInArrow(
+        _bucket_rows(bits, tables), "class long, length int, slot int, bucket long"
+    )
     shared = buckets.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
     members = buckets.join(shared, keys)
     count = F.ceil(F.col("size") / BLOCK)
@@ -228,7 +262,7 @@ def near_duplicate_vectors(
     chunk = F.pmod(F.xxhash64(*keys, "low", "high"), F.lit(chunks)).alias("chunk")
     whole = blocks.select("*", chunk).join(hashed.select("class", "copies", "vector", "buckets"), "class")
     found = stored(
-        whole.groupBy("chunk").applyInArrow(_compare(cosine), "class long, links long, other long"), "links"
+        whole.groupBy("chunk").applyInArrow(_compare(cosine, bits, tables, kind), "class long, links long, other long"), "links"
     )
     parts = components(found, "class", "other")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
