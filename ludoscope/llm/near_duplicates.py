@@ -35,6 +35,7 @@ HASHES = BANDS * ROWS
 BATCH = 32  # signature values that one step of the sequential comparison reads
 MISS = 1e-4  # most that pruning a pair at the similarity may be likely, over all batches
 BLOCK = 512  # classes of a band that meet in one comparison block
+HEAVY = 10_000  # a band with more than this part of all rows is heavy, so there are fewer heavy bands
 
 _seeds = np.random.default_rng(20).integers(0, 2**32, (2, HASHES), dtype=np.uint64).astype(np.uint32)
 _FACTOR, _SHIFT = _seeds[0] | np.uint32(1), _seeds[1]
@@ -303,6 +304,17 @@ def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs.select("a", "b", *[f"{c}_{end}" for c in columns for end in ("a", "b")])
 
 
+def _with_bands(rows: DataFrame, per_band: DataFrame, n_rows: int) -> DataFrame:
+    """``rows`` with what ``per_band`` says of their band, which has its ``size``; rows of other bands go.
+
+    Heavy bands are few by definition and are broadcast, so that none is one key of a shuffle.
+    """
+    heavy = F.col("size") * HEAVY > n_rows
+    few = F.broadcast(per_band.where(heavy))
+    light = rows.join(F.broadcast(per_band.where(heavy).select("band")), "band", "left_anti")
+    return rows.join(few, "band").unionByName(light.join(per_band.where(~heavy), "band")).drop("size")
+
+
 def _members(classes: DataFrame) -> DataFrame:
     """(band, class, leader, second) of the bands that several classes share.
 
@@ -310,13 +322,14 @@ def _members(classes: DataFrame) -> DataFrame:
     """
     bands = classes.select("class", "signature").mapInArrow(_bands, "band long, class long")
     scrambled = F.struct(F.xxhash64("class"), F.col("class").alias("class"))
-    shared = (
+    shared = stored(
         bands.groupBy("band")
         .agg(F.min("class").alias("leader"), F.min(scrambled).alias("second"), F.count("*").alias("size"))
         .where("size > 1")
-        .select("band", "leader", F.col("second.class").alias("second"))
+        .select("band", "leader", F.col("second.class").alias("second"), "size"),
+        "bands",
     )
-    return bands.join(shared, "band")
+    return _with_bands(bands, shared, classes.count() * BANDS)
 
 
 def _shingle_rows(batches):
@@ -413,7 +426,7 @@ def near_duplicates(
     # Step 2: bands that still hold several components, in blocks.
     apart = _apart(members, parts)
     able = stored(_able(apart, classes, sets, percent), "able")
-    apart = _mixed(stored(apart.join(able.select("class"), "class", "left_semi"), "apart"))
+    apart = stored(_mixed(stored(apart.join(able.select("class"), "class", "left_semi"), "apart")), "apart")
     blocks = _blocks(apart).join(able, "class")
     block = ["band", "low", "high"]
     listed = blocks.groupBy(*block).applyInArrow(
@@ -427,7 +440,7 @@ def near_duplicates(
 
 
 def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(band, class, component, size) of the bands whose classes are not all in one component."""
+    """(band, class, component) of the bands whose classes are not all in one component."""
     labelled = members.join(parts.withColumnRenamed("node", "class"), "class", "left").select(
         "band", "class", F.coalesce("component", "class").alias("component")
     )
@@ -435,13 +448,14 @@ def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
-    """Rows of bands with several components; ``size`` is counted anew."""
+    """Rows of bands with several components, counted anew."""
     several = (
         labelled.groupBy("band")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
         .where("least <> most")
     )
-    return labelled.select("band", "class", "component").join(several.select("band", "size"), "band")
+    several = stored(several.select("band", "size"), "bands")
+    return _with_bands(labelled.select("band", "class", "component"), several, labelled.count())
 
 
 def _blocks(apart: DataFrame) -> DataFrame:
@@ -457,6 +471,7 @@ def _blocks(apart: DataFrame) -> DataFrame:
     )
     sizes = largest.select(
         "band",
+        "size",
         F.col("largest.component").alias("main_component"),
         F.ceil(F.col("largest.n") / BLOCK).alias("main"),
         F.ceil((F.col("size") - F.col("largest.n")) / BLOCK).alias("rest"),
@@ -466,7 +481,8 @@ def _blocks(apart: DataFrame) -> DataFrame:
     number = F.xxhash64("class")
     side = F.when(is_main, rest + F.pmod(number, main)).otherwise(F.pmod(number, rest))
     others = F.when(is_main, F.sequence(zero, rest - 1)).otherwise(F.sequence(zero, rest + main - 1))
-    dealt = apart.select("band", "class", "component").join(sizes, "band").withColumn("side", side).withColumn("other", F.explode(others))
+    sizes = stored(sizes, "bands")
+    dealt = _with_bands(apart, sizes, apart.count()).withColumn("side", side).withColumn("other", F.explode(others))
     return dealt.select(
         "band", "class", "component", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high")
     )
