@@ -61,28 +61,46 @@ def _buckets(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (sums >= 0).reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def _codes(vectors: np.ndarray) -> np.ndarray:
+    """64 bits that stand for each row of numbers."""
+    size = vectors.shape[1]
+    mixed = bw.mix(vectors.view(np.uint64) + np.uint64(size))
+    total = np.full(len(vectors), size, np.uint64)
+    for k in range(size):
+        total = total * np.uint64(0xD1342543DE82EF95) + mixed[:, k]
+        total ^= total >> np.uint64(29)
+    return bw.mix(total).view(np.int64)
+
+
 def _usable(kind: type):
     """(id, vector) to (id, class, length, components as bytes of ``kind``); no class for an unusable vector."""
 
     def run(batches):
         for batch in batches:
-            classes, lengths, raw = [], [], []
-            for vector in batch.column(1):
-                found = None
-                if vector.is_valid and not vector.values.null_count:
-                    found = vector.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    if not (len(found) and np.isfinite(found).all() and found.any()):
-                        found = None
-                if found is None:
-                    classes.append(None), lengths.append(None), raw.append(None)
+            vectors = batch.column(1)
+            lengths = vectors.value_lengths().fill_null(0).to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            flat = vectors.flatten()
+            values = flat.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no negative zeros, nulls as NaN
+            n = batch.num_rows
+            classes, used, raw = np.zeros(n, np.int64), np.zeros(n, bool), [None] * n
+            for length in np.unique(lengths[lengths > 0]):
+                at = np.flatnonzero(lengths == length)
+                rows = values[starts[at][:, None] + np.arange(length)]
+                good = np.isfinite(rows).all(axis=1) & rows.any(axis=1)
+                at, rows = at[good], rows[good]
+                if not len(at):
                     continue
-                bits = found.view(np.uint64)
-                code = bw.shingles(bw.mix(bits + np.uint64(len(bits))), len(bits))
-                classes.append(int(code.view(np.int64)[0]))
-                lengths.append(len(found))
-                raw.append(found.astype(kind).tobytes())
+                classes[at], used[at] = _codes(rows), True
+                for i, row in zip(at, rows.astype(kind), strict=True):
+                    raw[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(classes, pa.int64()), pa.array(lengths, pa.int32()), pa.array(raw, pa.binary())],
+                [
+                    batch.column(0),
+                    pa.array(classes, mask=~used),
+                    pa.array(lengths.astype(np.int32), mask=~used),
+                    pa.array(raw, pa.binary()),
+                ],
                 names=["id", "class", "length", "vector"],
             )
 
