@@ -99,6 +99,13 @@ def _mart(spark, d, name):
     return fx.warehouse(spark, d, f"mart-{name}", builders[name])
 
 
+def shared_tables(spark: SparkSession, sf_dir: str) -> None:
+    """Build the tables that several registered queries read, as the daily run leaves them."""
+    _stored_games(prepare(spark), sf_dir)
+    for name in ("trending", "genres", "publishers", "findings", "flagged"):
+        _mart(spark, sf_dir, name)
+
+
 def _graph_games(spark, d):
     return graph.graph_games(_stored_games(spark, d))
 

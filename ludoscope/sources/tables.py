@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,21 +131,20 @@ def full_refresh(
 
 
 def record_position(spark: SparkSession, path: str, position: int) -> None:
-    """Note beside ``path`` how far it is complete; the largest number noted counts."""
-    noted = spark.createDataFrame([(position,)], "position bigint")
-    noted.coalesce(1).write.mode("overwrite").json(f"{path}_position/at={position}")
-    known = sorted(folders(spark, f"{path}_position/at=*"), key=lambda f: int(f.rsplit("at=", 1)[1]))
+    """Note beside ``path`` how far it is complete, as the name of a folder; the largest number counts."""
+    marks = f"{path}_position"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{marks}/at={position}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(mark)
+    known = sorted(folders(spark, f"{marks}/at=*"), key=_noted)
     forget(spark, *known[:-2])
 
 
 def recorded_position(spark: SparkSession, path: str) -> int | None:
-    try:
-        noted = spark.read.schema("position bigint").json(f"{path}_position")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return noted.agg(F.max("position")).first()[0]
+    return max(map(_noted, folders(spark, f"{path}_position/at=*")), default=None)
+
+
+def _noted(folder: str) -> int:
+    return int(folder.rsplit("at=", 1)[1])
 
 
 def folders(spark: SparkSession, pattern: str) -> list[str]:

@@ -8,7 +8,6 @@ from helpers import frame, plan_of, rows
 from ludoscope.operators import sketches, sliding, subtotals, windows
 from ludoscope.plans.materialise import stored
 from ludoscope.sources import tables, topics
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 T = datetime(2024, 1, 1)
