@@ -2,7 +2,7 @@
 
 import pytest
 from helpers import frame, plan_of, rows
-from ludoscope.plans import anomalies, marts
+from ludoscope.plans import anomalies, graph, marts
 from ludoscope.plans.materialise import stored
 from test_marts_graph import A_DDL, B_DDL, NODE_DDL, a_row, b_row
 
@@ -30,3 +30,24 @@ def test_titles_meet_by_a_sorted_join(spark, dedupe):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     want = [(1, 11), (2, None), (3, None)]
     assert rows(games.select("steam_app_id", "igdb_id")) == (want if dedupe else [(1, 10), *want])
+
+
+def test_findings_join_games_by_sorting(spark):
+    """Dominant publishers and inconsistent neighbours, the other parts of the findings."""
+    by = files(spark, "src_id int, dst string", [(k, "P") for k in range(4)])
+    genre = files(spark, "src_id int, dst string", [(k, "G") for k in range(5)])
+    held = anomalies.publisher_dominance(by, genre)
+    assert "BroadcastHashJoin" not in plan_of(held)
+    assert rows(held.select("entity_name", "metric_value")) == [("P", 80.0)]
+    nodes = files(spark, NODE_DDL, [(1, "a", 1, 90.0, "x"), (2, "b", 1, 10.0, "x")])
+    edges = files(spark, "a int, b int, similarity_score double, genre string", [(1, 2, 0.9, "g")])
+    odd = anomalies.sales_inconsistency(edges, nodes)
+    assert "BroadcastHashJoin" not in plan_of(odd)
+    assert rows(odd.select("entity_name", "metric_value")) == [("a", 9.0)]
+
+
+def test_loads_without_a_wipe_merge_by_sorting(spark):
+    ddl = "a int, b int, genre string"
+    both = graph.merged(files(spark, ddl, [(1, 2, "old"), (1, 3, "old")]), files(spark, ddl, [(1, 2, "new")]), "a", "b")
+    assert "BroadcastHashJoin" not in plan_of(both)
+    assert rows(both) == [(1, 2, "new"), (1, 3, "old")]
