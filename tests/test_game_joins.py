@@ -1,5 +1,7 @@
 """Joins of games do not go through the driver, however small the compressed files look to the planner."""
 
+from datetime import datetime
+
 import pytest
 from helpers import frame, plan_of, rows
 from ludoscope.plans import anomalies, graph, marts
@@ -51,3 +53,32 @@ def test_loads_without_a_wipe_merge_by_sorting(spark):
     both = graph.merged(files(spark, ddl, [(1, 2, "old"), (1, 3, "old")]), files(spark, ddl, [(1, 2, "new")]), "a", "b")
     assert "BroadcastHashJoin" not in plan_of(both)
     assert rows(both) == [(1, 2, "new"), (1, 3, "old")]
+
+
+GAMES_DDL = ("steam_app_id int, game_name string, developer string, publisher string, primary_genre_final string, owners_estimate bigint, "
+             "popularity_score double, popularity_tier string, price_tier string, price_usd double, review_score double, review_label string, "
+             "positive_reviews int, negative_reviews int, concurrent_users int, avg_playtime_hours double")
+
+
+def activity(spark, columns, *values):
+    return files(spark, f"window_start timestamp, steam_app_id int, {columns}", [(datetime(2024, 1, 1), 1, *values)])
+
+
+def test_games_meet_their_activity_by_sorting(spark):
+    games = files(spark, GAMES_DDL, [(k, f"g{k}", "d", "p", "G", 10, 1.0, "mid", "cheap", 1.0, 50.0, "mixed", 1, 1, 1, 1.0) for k in (1, 2)])
+    p = activity(spark, "num_purchases bigint, revenue_net_usd double, is_viral boolean", 3, 6.0, False)
+    r = activity(spark, "num_reviews bigint, avg_rating double, recommend_pct double, is_review_bomb boolean", 2, 5.0, 50.0, False)
+    s = activity(spark, "num_starts bigint, num_ends bigint, avg_duration_sec double, is_ccu_spike boolean", 4, 2, 60.0, False)
+    w = activity(spark, "net_added bigint, is_viral_wishlist boolean", 1, False)
+    at = {"as_of": "2024-01-02"}
+    trending = marts.mart_trending(games, marts.recent_activity(p, r, s, w, **at))
+    of = {
+        "trending_score": trending,
+        "stream_reviews_period": marts.mart_review_analysis(games, r, **at),
+        "total_starts_period": marts.mart_session_analysis(games, s, **at),
+        "total_purchases_24h": marts.mart_price_analysis(games, p, hours=48, **at),
+    }
+    for name, mart in of.items():
+        assert "BroadcastHashJoin" not in plan_of(mart), name
+    assert {name: rows(mart.select(name)) for name, mart in of.items()} == {
+        "trending_score": [(27,)], "stream_reviews_period": [(2,)], "total_starts_period": [(4,)], "total_purchases_24h": [(3,)]}
