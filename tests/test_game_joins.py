@@ -82,3 +82,9 @@ def test_games_meet_their_activity_by_sorting(spark):
         assert "BroadcastHashJoin" not in plan_of(mart), name
     assert {name: rows(mart.select(name)) for name, mart in of.items()} == {
         "trending_score": [(27,)], "stream_reviews_period": [(2,)], "total_starts_period": [(4,)], "total_purchases_24h": [(3,)]}
+
+
+def test_catalogues_are_read_once_where_one_record_counts(spark):
+    b, a = files(spark, B_DDL, [b_row(1, "Doom")]), files(spark, A_DDL, [a_row(10, "doom")])
+    plan = marts.mart_games(b, a)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
