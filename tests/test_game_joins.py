@@ -2,12 +2,15 @@
 
 from datetime import datetime
 
+import __spark_entry__ as entry
 import pytest
 from helpers import frame, plan_of, rows
 from ludoscope.plans import anomalies, graph, marts
 from ludoscope.plans.materialise import stored
 from test_marts_graph import A_DDL, B_DDL, NODE_DDL, a_row, b_row
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def files(spark, ddl, data):
     """Rows read from files, whose size the planner knows."""
@@ -88,3 +91,15 @@ def test_catalogues_are_read_once_where_one_record_counts(spark):
     b, a = files(spark, B_DDL, [b_row(1, "Doom")]), files(spark, A_DDL, [a_row(10, "doom")])
     plan = marts.mart_games(b, a)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 2
+
+
+def broadcast_joins(df):
+    """Joins that go through the driver, but for those of the slices' borders."""
+    return [line for line in plan_of(df).splitlines() if "BroadcastHashJoin" in line and "_slice" not in line]
+
+
+def test_findings_that_are_read_later_were_joined_by_sorting(spark):
+    """q_graph_anomalies reads the stored findings, which the session's first reader builds."""
+    assert broadcast_joins(entry._findings(spark, SMALL)) == []
+    found = entry.queries()["q_graph_anomalies"](spark, SMALL).collect()
+    assert all((f.anomaly_type, f.severity) == ("isolated_game", "High") for f in found)
