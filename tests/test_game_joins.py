@@ -5,7 +5,7 @@ from datetime import datetime
 import __spark_entry__ as entry
 import pytest
 from helpers import frame, plan_of, rows
-from ludoscope.plans import anomalies, graph, marts
+from ludoscope.plans import anomalies, dashboard, graph, marts
 from ludoscope.plans.materialise import stored
 from test_marts_graph import A_DDL, B_DDL, NODE_DDL, a_row, b_row
 
@@ -103,3 +103,10 @@ def test_findings_that_are_read_later_were_joined_by_sorting(spark):
     assert broadcast_joins(entry._findings(spark, SMALL)) == []
     found = entry.queries()["q_graph_anomalies"](spark, SMALL).collect()
     assert all((f.anomaly_type, f.severity) == ("isolated_game", "High") for f in found)
+
+
+def test_severities_of_findings_are_counted_without_broadcasts(spark):
+    """severity_kpis over findings that are not stored: one row, and no join of games through the driver."""
+    counted = dashboard.severity_kpis(entry._findings(spark, SMALL))
+    assert broadcast_joins(counted) == [] and "SortMergeJoin" in plan_of(counted)
+    assert counted.count() == 1
